@@ -4,10 +4,11 @@ A repeated string can only be found where all its copies meet, so strings of
 ``length`` bytes ("windows") are first dealt to initial buckets by one of their
 q-grams, the first of the least hash.  Neighbouring windows that chose the same
 q-gram travel as one run, named by its bucket and a fingerprint of its text; a
-run that occurs earlier is repeated as a whole.  Only buckets with runs of
-different text need the text itself: of it, each task builds a suffix array by
-bucket-pointer refinement, in which equal windows are neighbours, and the first
-of every distinct window of a task meets those of other tasks by fingerprint.
+run that occurs earlier is repeated as a whole.  Buckets with runs of different
+text are refined by longer q-grams, and what these leave is refined to the end:
+each task builds a suffix array of its texts by bucket-pointer refinement, in
+which equal windows are neighbours, and the first of every distinct window of a
+task meets those of other tasks by fingerprint.
 """
 
 from __future__ import annotations
@@ -177,9 +178,26 @@ def _spread(doc: np.ndarray, n: int) -> np.ndarray:
     return (mix(doc.astype(np.int64).view(U64)) % U64(n)).astype(np.int64)
 
 
-def find_runs(keyed: DataFrame, length: int, q: int) -> DataFrame:
-    """Repeated spans (what 0) and the runs whose bucket holds runs of other text (what 1)."""
-    parts = reducers(keyed.sparkSession)
+def stretches(runs) -> list[tuple[int, int]]:
+    """(start, windows) of runs, those that touch joined."""
+    out: list[tuple[int, int]] = []
+    for s, n in sorted((r["start"], r["n"]) for r in runs):
+        if out and s <= sum(out[-1]):
+            out[-1] = out[-1][0], max(out[-1][1], s + n - out[-1][0])
+        else:
+            out.append((s, n))
+    return out
+
+
+def only(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """The texts, with the runs that are left to refine."""
+    wanted = found.filter("what = 1").groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    return wanted.join(keyed, ["doc", "tie"]).select("doc", "tie", "body", "runs")
+
+
+def find_runs(rows: DataFrame, length: int, q: int) -> DataFrame:
+    """Repeated spans (what 0) and the runs whose bucket holds runs of other text (what 1), of whole texts or of their ``runs``."""
+    parts = reducers(rows.sparkSession)
 
     def scatter(batches):
         held, texts, size = [[] for _ in RUN], [], 0
@@ -209,9 +227,11 @@ def find_runs(keyed: DataFrame, length: int, q: int) -> DataFrame:
             return block_batch(rows)
 
         for b in batches:
-            for doc, tie, body in zip(*(b.column(k).to_pylist() for k in range(3))):
-                for base in range(0, max(1, len(body) - length + 1), TEXT):
-                    part = body[base : base + TEXT + length - 1]
+            runs = b.column(3).to_pylist() if b.num_columns > 3 else [None] * b.num_rows
+            for doc, tie, body, some in zip(*(b.column(k).to_pylist() for k in range(3)), runs):
+                whole = [(0, len(body) - length + 1)] if some is None else stretches(some)
+                for base, n in ((at, min(TEXT, s + w - at)) for s, w in whole for at in range(s, s + w, TEXT)):
+                    part = body[base : base + n + length - 1]
                     if len(part) < length:
                         continue
                     texts.append((doc, tie, base, part))
@@ -239,15 +259,12 @@ def find_runs(keyed: DataFrame, length: int, q: int) -> DataFrame:
             shared[:-1] |= same
         yield _rows(1, [c[shared] for c in heads[2:]])
 
-    blocks = keyed.select("doc", "tie", "body").mapInArrow(scatter, BLOCKS)
-    return gather(blocks, reduce, FOUND)
+    return gather(rows.mapInArrow(scatter, BLOCKS), reduce, FOUND)
 
 
-def find_windows(keyed: DataFrame, runs: DataFrame, length: int) -> DataFrame:
+def find_windows(rows: DataFrame, length: int) -> DataFrame:
     """Repeated windows among runs whose text differs."""
-    parts = reducers(keyed.sparkSession)
-    wanted = runs.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    rows = wanted.join(keyed.select("doc", "tie", "body"), ["doc", "tie"])
+    parts = reducers(rows.sparkSession)
 
     def scatter(batches):
         pieces, places, size = [], [], 0
@@ -270,11 +287,11 @@ def find_windows(keyed: DataFrame, runs: DataFrame, length: int) -> DataFrame:
             return block_batch(rows)
 
         for b in batches:
-            for doc, tie, runs_, body in zip(*(b.column(k).to_pylist() for k in range(4))):
-                for r in runs_:
-                    pieces.append(body[r["start"] : r["start"] + r["n"] + length - 1])
-                    places.append((doc, tie, r["start"]))
-                    size += r["n"]
+            for doc, tie, body, runs in zip(*(b.column(k).to_pylist() for k in range(4))):
+                for s, n in stretches(runs):
+                    pieces.append(body[s : s + n + length - 1])
+                    places.append((doc, tie, s))
+                    size += n
                     if size >= WINDOWS:
                         yield flush()
         if pieces:
@@ -286,7 +303,7 @@ def find_windows(keyed: DataFrame, runs: DataFrame, length: int) -> DataFrame:
         again = [c[order][~first] for c in cols[2:]] + [np.ones((~first).sum(), np.int64)]
         yield _rows(0, merged(*[np.concatenate(x) for x in zip(again, unpack(kinds.get(1, []), SPAN))]))
 
-    return gather(rows.select("doc", "tie", "runs", "body").mapInArrow(scatter, BLOCKS), reduce, FOUND)
+    return gather(rows.mapInArrow(scatter, BLOCKS), reduce, FOUND)
 
 
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -300,11 +317,15 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     no rows.  Texts shorter than ``length`` stay as they are.
     """
     prepare(docs.sparkSession)
-    keyed, q = with_keys(docs), max(1, min(20, length // 2))
-    found = cut(find_runs(keyed, length, q))
-    more = find_windows(keyed, found.filter("what = 1").select("doc", "tie", "start", "n"), length)
-    spans = found.filter("what = 0").union(more).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    rows = keyed.join(spans, ["doc", "tie"], "left").select("doc_id", "body", "runs")
+    # the texts are dealt by document once, and that exchange serves the refinements and the result
+    keyed = with_keys(docs).select("doc", "tie", "body")
+    found = cut(find_runs(keyed, length, max(1, min(20, length // 2))))
+    finer = find_runs(only(keyed, found), length, max(1, length * 4 // 5))
+    last = find_windows(only(keyed, finer), length)
+    repeats = found.filter("what = 0").union(finer.filter("what = 0")).union(last)
+    spans = repeats.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    doc_id = F.when(F.col("doc") != -(2**63), F.col("doc")).alias("doc_id")
+    rows = keyed.join(spans, ["doc", "tie"], "left").select(doc_id, "body", "runs")
     out_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut_out(batches):
@@ -327,5 +348,4 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
             sizes = pa.array([len(x) for x in b.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), sizes, pa.array(spans_, out_type)], names=["doc_id", "kept", "n_bytes", "spans"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(cut_out, f"doc_id {kind}, kept binary, n_bytes long, spans array<struct<start: long, end: long>>")
+    return rows.mapInArrow(cut_out, "doc_id long, kept binary, n_bytes long, spans array<struct<start: long, end: long>>")
