@@ -9,6 +9,7 @@ that is in a third of all rows reaches a reducer once for each map task only.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -32,6 +33,15 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def release() -> None:
+    """Give freed memory back, which idle workers would otherwise hold."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; only where that is unset (as in tests), one of our own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -96,6 +106,8 @@ def gather(blocks: DataFrame, reduce, schema: str) -> DataFrame:
             for k, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 kinds.setdefault(k, []).append(x)
         yield from reduce(kinds)
+        kinds.clear()
+        release()
 
     n = reducers(blocks.sparkSession)
     return blocks.repartitionById(n, F.col("part")).mapInArrow(run, schema)

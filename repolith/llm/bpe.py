@@ -12,8 +12,9 @@ linear in the piece.  Compatibility of adjacent tokens is memoised.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
-from itertools import islice
+from itertools import chain, islice
 
 import ahocorasick
 import pyarrow as pa
@@ -21,9 +22,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolith.llm._common import prepare
+from repolith.llm._common import prepare, release
 
-#: Entries of a piece's memo before it is emptied.
+#: Pieces of a generation of the memo; a full one takes the place of the one before it.
 MEMO = 400_000
 
 
@@ -40,6 +41,10 @@ class BytePairCodec:
         self.pattern = regex.compile(pattern)
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in rank_lines.splitlines() if x.strip())}
         self.bytes_of = {i: t for t, i in self.ranks.items()}
+        #: Bytes and decimal text of each id.
+        self.parts = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of, default=-1) + 1)]
+        self.names = [str(i) for i in range(len(self.parts))]
+        self.size_of = {i: len(t) for i, t in self.bytes_of.items()}
         self.halves: dict[int, tuple[int, int]] = {}
         self.automaton = ahocorasick.Automaton()
         reach = {}
@@ -48,12 +53,16 @@ class BytePairCodec:
             if len(parts) == 1 or len(parts) == 2:
                 self.halves[i] = (i, i) if len(parts) == 1 else (parts[0], parts[1])
                 reach[token] = i
-                self.automaton.add_word(token.decode("latin-1"), (len(token), i))
+                if len(token) > 1:  # single bytes are looked up
+                    self.automaton.add_word(token.decode("latin-1"), (len(token) - 1, i))
         self.automaton.make_automaton()
+        self.most = max(map(len, self.ranks), default=1)
+        self.single = [reach.get(bytes([b])) for b in range(256)]
         #: The longest token that is a proper prefix of a token, if any.
         self.shorter = {i: next((reach[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in reach), None) for t, i in reach.items()}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.memo: dict[str, tuple[str, int, bytes]] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def _merge(self, token: bytes, below: int) -> list[int]:
         """The parts left when a token's bytes are merged by lower ranks only."""
@@ -91,64 +100,113 @@ class BytePairCodec:
         return ok
 
     def encode_piece(self, piece: bytes) -> list[int]:
+        """A piece's ids by backtracking."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        longest: list[int] = [-1] * len(piece)
-        reach = [0] * len(piece)
-        for end, (n, i) in self.automaton.iter(piece.decode("latin-1")):
-            start = end - n + 1
-            if n > reach[start]:
-                reach[start], longest[start] = n, i
-        size, at = len(piece), 0
+        text, words, single = piece.decode("latin-1"), self.automaton, self.single
+        longest: dict[int, int] = {}
+
+        def at_(place: int) -> int:
+            """The longest token that begins at a place."""
+            found = longest.get(place)
+            if found is None:
+                part = text[place : place + self.most]
+                part = part[: words.longest_prefix(part)]
+                while len(part) > 1 and part not in words:
+                    part = part[:-1]
+                found = longest[place] = words.get(part)[1] if len(part) > 1 else single[piece[place]]
+            return found
+
+        fits, size_of, size, at = self.fits, self.size_of, len(piece), 0
         out: list[int] = []
         dead = bytearray(size + 1)
-        token = longest[0]
+        token, last = at_(0), None
         while at < size:
-            end = at + len(self.bytes_of[token])
-            if not dead[end] and (not out or self._compatible(out[-1], token)):
-                out.append(token)
-                at = end
-                token = longest[at] if at < size else -1
-                continue
+            end = at + size_of[token]
+            if not dead[end]:
+                ok = last is None or fits.get((last, token))
+                if ok or (ok is None and self._compatible(last, token)):
+                    out.append(token)
+                    at, last = end, token
+                    token = at_(at) if at < size else -1
+                    continue
             less = self.shorter[token]
             while less is None:
                 dead[at] = 1
                 token = out.pop()
-                at -= len(self.bytes_of[token])
+                last = out[-1] if out else None
+                at -= size_of[token]
                 less = self.shorter[token]
             token = less
         return out
 
-    def piece(self, piece: str) -> tuple[str, int, bytes]:
-        """Ids joined by commas, their number, and the bytes that the ids decode to."""
-        ids = self.encode_piece(piece.encode("utf-8"))
-        found = ",".join(map(str, ids)), len(ids), self.decode(ids)
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        if len(piece) <= 64:
-            self.memo[piece] = found
+    def _learn(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
+        """Encode new pieces together.
+
+        One pass over all of them takes the longest tokens from left to right; where
+        neighbours are compatible throughout, backtracking would have taken the same,
+        and only the other pieces go through it.
+        """
+        raws = [p.encode("utf-8") for p in pieces]
+        matches = self.automaton.iter_long("\u0100".join([r.decode("latin-1") for r in raws]))
+        single, size_of, fits, whole, found = self.single, self.size_of, self.fits, self.ranks.get, {}
+        base, (end, (before, i)) = 0, next(matches, (1 << 60, (0, 0)))
+        for p, raw in zip(pieces, raws):
+            out, at, stop = [], base, base + len(raw)
+            while at < stop:
+                if end - before > at:
+                    out.append(single[raw[at - base]])
+                    at += 1
+                    continue
+                out.append(i)
+                at = end + 1
+                end, (before, i) = next(matches, (1 << 60, (0, 0)))
+            known = whole(raw)
+            if known is not None:
+                out = [known]
+            elif not all([ok if (ok := fits.get(x)) is not None else self._compatible(*x) for x in zip(out, out[1:])]):
+                out = self.encode_piece(raw)
+            found[p] = tuple(out)
+            base = stop + 1
+        return found
+
+    def encode_block(self, block: list[str]) -> list[tuple[int, ...]]:
+        """Ids of each piece, from the memo's two generations or anew."""
+        less = set(block).difference(self.memo)
+        if not less:
+            return list(map(self.memo.__getitem__, block))
+        back = {p: x for p in less if (x := self.older.get(p))}
+        if len(back) < len(less):
+            back |= self._learn([p for p in less if p not in back])
+        if len(self.memo) + len(back) > MEMO:
+            kept = {p: self.memo[p] for p in set(block).difference(back)}
+            self.older, self.memo = self.memo, kept
+        self.memo |= back
+        found = list(map(self.memo.__getitem__, block))
+        for p in less:
+            if len(p) > 40:
+                del self.memo[p]
         return found
 
     def decode(self, ids) -> bytes:
-        table = self.bytes_of
-        return b"".join([table[i] for i in ids])
+        return b"".join(map(self.parts.__getitem__, ids))
 
     def encode(self, text: str) -> list[int]:
-        return [i for p in self.pattern.findall(text) for i in self.encode_piece(p.encode("utf-8"))]
+        return list(chain.from_iterable(self.encode_block(self.pattern.findall(text))))
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids and SHA-256 of the ids and of the decoded bytes; long texts go in blocks of pieces."""
-        n, ids, back, sep = 0, hashlib.sha256(), hashlib.sha256(), b""
+        n, digest, back, sep = 0, hashlib.sha256(), hashlib.sha256(), ""
         pieces = (m.group() for m in self.pattern.finditer(text)) if len(text) > 1 << 20 else iter(self.pattern.findall(text))
-        memo, one = self.memo, self.piece
+        name = self.names.__getitem__
         while block := list(islice(pieces, 50_000)):
-            found = [memo.get(p) or one(p) for p in block]
-            ids.update(sep + ",".join([x[0] for x in found]).encode())
-            back.update(b"".join([x[2] for x in found]))
-            n += sum([x[1] for x in found])
-            sep = b","
-        return n, ids.hexdigest(), back.hexdigest()
+            ids = list(chain.from_iterable(self.encode_block(block)))
+            digest.update((sep + ",".join(map(name, ids))).encode())
+            back.update(self.decode(ids))
+            n += len(ids)
+            sep = ","
+        return n, digest.hexdigest(), back.hexdigest()
 
 
 _codecs: dict[tuple[int, str], BytePairCodec] = {}
@@ -159,6 +217,9 @@ def codec(rank_lines: bytes, pattern: str) -> BytePairCodec:
     key = hash(rank_lines), pattern
     if key not in _codecs:
         _codecs[key] = BytePairCodec(rank_lines, pattern)
+        # the tables stay for the worker's life and hold no cycles: collecting garbage over and over them is in vain
+        gc.freeze()
+        gc.set_threshold(100_000, 50, 100)
     return _codecs[key]
 
 
@@ -182,6 +243,7 @@ def encode_decode(docs: DataFrame, rank_path: str, pattern: str, ids: bool = Fal
             rows = [c.digest(t) for t in texts]
             cols = [b.column(0), *map(list, zip(*rows))] if rows else [[], [], [], []]
             cols += [[c.encode(t) for t in texts]] * ids
+            release()
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(cols, types)], names=names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids

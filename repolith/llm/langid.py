@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolith.llm._common import prepare
+from repolith.llm._common import prepare, release
 
-LANE, LANES = 128, 2048
+LANE, LANES = 128, 1024
 #: A text with no match has no letter.
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -211,6 +211,7 @@ def predict(docs: DataFrame, model: ByteGru | None, columns: list[str]) -> DataF
                         names[i], scores[i] = model.languages[best[i]], min(1.0, max(0.0, p[i, best[i]]))
             kept = [b.column(i) for i in range(b.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "lang_pred", "score"])
+        release()
 
     return docs.select(*columns, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema + ", lang_pred string, score double")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolith.llm._common import BLOCKS, U64, block_batch, cut, deal, first_flags, gather, mix, prepare, reducers, unpack, with_keys
+from repolith.llm._common import BLOCKS, U64, block_batch, cut, deal, first_flags, gather, mix, prepare, reducers, release, unpack, with_keys
 
 #: Characters worked on at a time; lines and variants that a task holds before it deals them out.
 TEXT, LINES, VARIANTS = 1 << 19, 200_000, 1_000_000
@@ -144,6 +144,7 @@ def find_lines(keyed: DataFrame, near: int) -> DataFrame:
         if texts:
             work()
         yield flush()
+        release()
 
     def reduce(kinds):
         cols = unpack(kinds.get(0, []), EQUAL)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolith.llm._common import BLOCKS, U64, block_batch, cut, deal, first_flags, gather, mix, prepare, reducers, unpack, with_keys
+from repolith.llm._common import BLOCKS, U64, block_batch, cut, deal, first_flags, gather, mix, prepare, reducers, release, unpack, with_keys
 
 #: Bytes of text worked on at a time, runs and windows held by a task before they are dealt out.
 TEXT, RUNS, WINDOWS = 1 << 20, 500_000, 400_000
@@ -243,6 +243,7 @@ def find_runs(rows: DataFrame, length: int, q: int) -> DataFrame:
         if texts:
             work()
         yield flush()
+        release()
 
     def reduce(kinds):
         cols = unpack(kinds.get(0, []), RUN)
