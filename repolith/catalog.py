@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from repolith.functions import scalars
 from repolith.operators import graph, relational as rel
+from repolith.plans import registries
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -244,3 +245,25 @@ def grouped_totals(spark, d):
 def strongest_by_nation(spark, d):
     rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.groupBy(F.col("n_name").alias("nation")).agg(F.max_by("c_name", "c_acctbal").alias("best"), F.min("c_custkey").alias("first_customer"))
+
+
+@query(
+    "WITH c AS (SELECT source, lang, CAST(sum(n_chars) AS BIGINT) AS loc, count(*) AS files FROM documents GROUP BY source, lang), "
+    "k AS (SELECT lang, list_sort(list(DISTINCT detector)) AS covered_by FROM (VALUES ('en', 'words'), ('en', 'lines'), ('de', 'words'), ('any', 'bytes')) v(lang, detector) WHERE lang <> 'any' GROUP BY lang) "
+    "SELECT source AS root, c.lang AS language, loc, files, CASE WHEN covered_by IS NOT NULL THEN 'covered' WHEN source = 'src1' AND c.lang = 'fr' THEN 'accepted' WHEN loc >= 20000 THEN 'gap' ELSE 'small' END AS state FROM c LEFT JOIN k ON c.lang = k.lang"
+)
+def perimeter_cells(spark, d):
+    files = table(spark, d, "documents").select(F.col("source").alias("root"), F.col("lang").alias("language"), F.col("n_chars").alias("loc"))
+    covers = spark.createDataFrame([("en", "words"), ("en", "lines"), ("de", "words"), ("any", "bytes")], "language string, detector string")
+    accepted = spark.createDataFrame([("src1", "fr")], "root string, language string")
+    return registries.perimeter(files, covers, accepted, 20000).drop("covered_by")
+
+
+@query(
+    "WITH n AS (SELECT o_custkey AS id, count(*) AS m FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' GROUP BY 1), b AS (SELECT o_custkey AS id, count(*) AS m FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1) "
+    "SELECT coalesce(n.id, b.id) AS id, least(n.m, b.m) AS allowed, CASE WHEN b.m IS NULL THEN 'new' WHEN n.m > b.m THEN 'grown' WHEN n.m IS NULL THEN 'gone' ELSE 'held' END AS state FROM n FULL JOIN b ON n.id = b.id"
+)
+def order_ratchet(spark, d):
+    o = table(spark, d, "orders").withColumnRenamed("o_custkey", "id")
+    count = lambda rows: rows.groupBy("id").agg(F.count("*").alias("metric"))
+    return registries.ratchet(count(o.filter("o_orderdate >= TIMESTAMP '1996-01-01'")), count(o.filter("o_orderdate < TIMESTAMP '1996-01-01'")))
