@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolith.functions import scalars
-from repolith.operators import graph, relational as rel
-from repolith.plans import registries
+from repolith.operators import chunks, detectors, graph, relational as rel
+from repolith.plans import matrix, registries
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -267,3 +267,103 @@ def order_ratchet(spark, d):
     o = table(spark, d, "orders").withColumnRenamed("o_custkey", "id")
     count = lambda rows: rows.groupBy("id").agg(F.count("*").alias("metric"))
     return registries.ratchet(count(o.filter("o_orderdate >= TIMESTAMP '1996-01-01'")), count(o.filter("o_orderdate < TIMESTAMP '1996-01-01'")))
+
+
+@query("SELECT p_partkey, p_size, p_size >= (SELECT min(p_size) FROM (SELECT p_size FROM part ORDER BY p_size DESC LIMIT 10)) AS selected FROM part")
+def selection_with_omissions(spark, d):
+    return detectors.select_with_omissions(table(spark, d, "part").select("p_partkey", "p_size"), "p_size", 10)
+
+
+@query("SELECT o_custkey AS caller, count(*) FILTER (o_orderstatus <> 'O') AS resolved, count(*) FILTER (o_orderstatus = 'O') AS unresolved, CASE WHEN bool_and(o_orderstatus <> 'O') THEN 'complete' WHEN bool_and(o_orderstatus = 'O') THEN 'unresolved' ELSE 'partial' END AS state FROM orders GROUP BY o_custkey")
+def call_completeness(spark, d):
+    o = table(spark, d, "orders")
+    return detectors.call_completeness(o.select(F.col("o_custkey").alias("caller"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderkey")).alias("callee")))
+
+
+LAYERS = [("0-URGENT", "2-HIGH"), ("1-URGENT", "2-HIGH"), ("1-URGENT", "3-MEDIUM")]
+
+
+@query(
+    "WITH l AS (SELECT o_orderkey, o_orderkey % 5 || '-' || CASE o_orderkey % 3 WHEN 0 THEN 'URGENT' WHEN 1 THEN 'HIGH' ELSE 'MEDIUM' END AS layer FROM orders), "
+    "e AS (SELECT DISTINCT l_orderkey AS a, l_partkey AS b FROM lineitem) "
+    "SELECT e.a AS importer, e.b AS imported, x.layer AS from_layer, y.layer AS to_layer FROM e JOIN l x ON e.a = x.o_orderkey JOIN l y ON e.b = y.o_orderkey "
+    "WHERE x.layer <> y.layer AND (x.layer, y.layer) NOT IN (VALUES " + ", ".join(map(str, LAYERS)) + ")"
+)
+def layer_violations(spark, d):
+    name = F.when(F.col("path") % 3 == 0, "URGENT").when(F.col("path") % 3 == 1, "HIGH").otherwise("MEDIUM")
+    layers = table(spark, d, "orders").select(F.col("o_orderkey").alias("path")).select("path", F.concat_ws("-", F.col("path") % 5, name).alias("layer"))
+    edges = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("importer"), F.col("l_partkey").alias("imported"))
+    return detectors.layer_violations(edges, layers, spark.createDataFrame(LAYERS, "from_layer string, to_layer string"))
+
+
+@query("SELECT u AS id, coalesce(last_type, 'new') AS state, n AS transitions FROM (SELECT c_custkey AS u FROM customer) LEFT JOIN (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_type, count(*) AS k FROM events GROUP BY user_id) ON u = user_id CROSS JOIN LATERAL (SELECT coalesce(k, 0) AS n)")
+def folded_states(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("ts").alias("at"), F.col("event_id").alias("ordinal"), F.col("event_type").alias("to_state"))
+    return detectors.fold_states(e, table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("new").alias("state")))
+
+
+@query("SELECT event_id, EXISTS (SELECT 1 FROM events v WHERE v.event_type = 'view' AND v.user_id = e.user_id AND v.ts <= e.ts AND floor(epoch(e.ts)) - floor(epoch(v.ts)) <= 12 * 3600) AS backed FROM events e WHERE event_type = 'purchase'")
+def recent_evidence(spark, d):
+    e = table(spark, d, "events").withColumn("at", F.col("ts"))
+    return detectors.recent_evidence(e.filter("event_type = 'purchase'").select("event_id", "user_id", "at"), e.filter("event_type = 'view'").select("user_id", "at"), ["user_id"]).select("event_id", "backed")
+
+
+@query("SELECT l_orderkey, 'C-' || lpad(CAST(k AS VARCHAR), 2, '0') AS chunk, CASE WHEN k = 1 THEN 1 ELSE l_linenumber END AS first, coalesce(nxt - 1, 9) AS last FROM (SELECT l_orderkey, l_linenumber, row_number() OVER w AS k, lead(l_linenumber) OVER w AS nxt FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber))")
+def chunk_tiles(spark, d):
+    return chunks.tile(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey"], "l_linenumber", F.lit(9))
+
+
+@query(
+    "WITH RECURSIVE i AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS n, l_returnflag = 'R' AS forced, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_quantity AS BIGINT), l_returnflag = 'R') AS k FROM lineitem), "
+    "p AS (SELECT l_orderkey, l_linenumber, k, 1 AS chunk, n AS held FROM i WHERE k = 1 UNION ALL "
+    "SELECT i.l_orderkey, i.l_linenumber, i.k, p.chunk + CASE WHEN i.forced OR p.held + i.n > 60 THEN 1 ELSE 0 END, CASE WHEN i.forced OR p.held + i.n > 60 THEN i.n ELSE p.held + i.n END "
+    "FROM p JOIN i ON i.l_orderkey = p.l_orderkey AND i.k = p.k + 1) SELECT l_orderkey, l_linenumber, chunk FROM p"
+)
+def packed_with_breaks(spark, d):
+    items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_returnflag") == "R").alias("forced"))
+    return chunks.pack_with_breaks(items, ["l_orderkey"], "l_linenumber", "l_quantity", "forced", 60)
+
+
+@query("SELECT l_returnflag, count(*) FILTER (l_discount > 0.08) AS failures, CASE WHEN bool_or(l_discount > 0.08 AND l_quantity >= 50 AND l_returnflag IN ('A', 'R')) THEN 'fail' WHEN bool_or(l_discount > 0.08) THEN 'pass-with-notes' ELSE 'pass' END AS verdict FROM lineitem GROUP BY l_returnflag")
+def mode_scorecard(spark, d):
+    checks = table(spark, d, "lineitem").select("l_returnflag", (F.col("l_discount") <= 0.08).alias("passed"), ((F.col("l_quantity") >= 50) & F.col("l_returnflag").isin("A", "R")).alias("consequential"))
+    return matrix.scorecard(checks, ["l_returnflag"])
+
+
+DOMAINS = [("sized", "^(small|medium|large)$"), ("offer", "promo|economy")]
+
+
+@query("SELECT domain, list(p_partkey ORDER BY p_partkey) AS members FROM (SELECT p_partkey, CASE " + " ".join(f"WHEN regexp_matches(lower(p_type), '{p}') THEN '{n}'" for n, p in DOMAINS) + " ELSE 'utility' END AS domain FROM part) GROUP BY domain HAVING count(*) >= 2")
+def domain_groups(spark, d):
+    return matrix.prompt_groups(table(spark, d, "part").select(matrix.domain_of(F.col("p_type"), DOMAINS).alias("domain"), F.col("p_partkey").alias("name")))
+
+
+@query("SELECT doc_id, concept, band, terms FROM (WITH g(concept, term, standing) AS (VALUES ('pair', 'the', 'canonical'), ('pair', 'and', 'competing'), ('pair', 'der', 'superseded'), ('out', 'license', 'avoid')), "
+       "w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '\\w+')) AS term FROM documents), "
+       "s AS (SELECT doc_id, concept, list(DISTINCT term ORDER BY term) AS terms, list(DISTINCT standing) AS st FROM w JOIN g USING (term) GROUP BY doc_id, concept) "
+       "SELECT doc_id, concept, 'avoid_term_hit' AS band, terms FROM s WHERE list_contains(st, 'avoid') UNION ALL SELECT doc_id, concept, 'competing_term_coexistence', terms FROM s WHERE list_contains(st, 'competing') AND len(terms) > 1 "
+       "UNION ALL SELECT doc_id, concept, 'superseded_co_occurrence', terms FROM s WHERE list_contains(st, 'superseded') AND list_contains(st, 'canonical'))")
+def term_bands(spark, d):
+    glossary = spark.createDataFrame([("pair", "the", "canonical"), ("pair", "and", "competing"), ("pair", "der", "superseded"), ("out", "license", "avoid")], "concept string, term string, standing string")
+    return detectors.term_bands(table(spark, d, "documents").select("doc_id", "text"), glossary, "doc_id", "text")
+
+
+@query("SELECT 'orders' AS carrier_type, o_orderpriority AS field, count(*) AS operations, list(DISTINCT o_orderstatus ORDER BY o_orderstatus) AS literals, CASE WHEN count(DISTINCT o_orderstatus) >= 2 AND bool_or(o_totalprice > 100000) AND bool_or(o_totalprice <= 100000) THEN 'first_party_state_operation' ELSE 'insufficient_closed_state_evidence' END AS classification FROM orders GROUP BY o_orderpriority")
+def implicit_states(spark, d):
+    ops = table(spark, d, "orders").select(F.lit("orders").alias("carrier_type"), F.col("o_orderpriority").alias("field"), F.lit("string").alias("field_type"), F.col("o_orderstatus").alias("literal"), F.when(F.col("o_totalprice") > 100000, "comparison").otherwise("assignment").alias("operation"))
+    return detectors.implicit_states(ops)
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(path, '^/en/[^/]+') THEN 'english' WHEN starts_with(path, '/de/') THEN 'german' ELSE 'other' END AS family, '/' || trim(path, '/') AS normal FROM (SELECT page_id, regexp_extract(url, '://[^/?#]*([^?#]*)', 1) AS path FROM pages)")
+def url_families(spark, d):
+    path = F.regexp_extract("url", r"://[^/?#]*([^?#]*)", 1)
+    family = rel.classify([("english", path.rlike("^/en/[^/]+")), ("german", path.startswith("/de/"))], "other")
+    return table(spark, d, "pages").select("page_id", family.alias("family"), detectors.normal_route(path).alias("normal"))
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49 AND l_discount > 0.09) ")
+def dormant_suppliers(spark, d):
+    defs = table(spark, d, "supplier").select(F.lit("s").alias("path"), F.lit(1).alias("line"), F.col("s_suppkey").alias("name"), F.array().cast("array<string>").alias("decorators"))
+    refs = table(spark, d, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 49 AND l_discount > 0.09").select(F.col("l_suppkey").alias("name"))
+    free = detectors.dormant(defs, refs, refs).select(F.col("name").alias("s_suppkey"))
+    return free.join(table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey")
