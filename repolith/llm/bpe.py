@@ -44,7 +44,7 @@ class BytePairCodec:
         #: Bytes and decimal text of each id.
         self.parts = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of, default=-1) + 1)]
         self.names = [str(i) for i in range(len(self.parts))]
-        self.size_of = {i: len(t) for i, t in self.bytes_of.items()}
+        self.size_of = list(map(len, self.parts))
         self.halves: dict[int, tuple[int, int]] = {}
         self.automaton = ahocorasick.Automaton()
         reach = {}
@@ -56,7 +56,6 @@ class BytePairCodec:
                 if len(token) > 1:  # single bytes are looked up
                     self.automaton.add_word(token.decode("latin-1"), (len(token) - 1, i))
         self.automaton.make_automaton()
-        self.most = max(map(len, self.ranks), default=1)
         self.single = [reach.get(bytes([b])) for b in range(256)]
         #: The longest token that is a proper prefix of a token, if any.
         self.shorter = {i: next((reach[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in reach), None) for t, i in reach.items()}
@@ -99,76 +98,54 @@ class BytePairCodec:
         self.fits[left, right] = ok
         return ok
 
-    def encode_piece(self, piece: bytes) -> list[int]:
-        """A piece's ids by backtracking."""
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        text, words, single = piece.decode("latin-1"), self.automaton, self.single
-        longest: dict[int, int] = {}
-
-        def at_(place: int) -> int:
-            """The longest token that begins at a place."""
-            found = longest.get(place)
-            if found is None:
-                part = text[place : place + self.most]
-                part = part[: words.longest_prefix(part)]
-                while len(part) > 1 and part not in words:
-                    part = part[:-1]
-                found = longest[place] = words.get(part)[1] if len(part) > 1 else single[piece[place]]
-            return found
-
-        fits, size_of, size, at = self.fits, self.size_of, len(piece), 0
+    def _longest(self, raws: list[bytes]) -> list[int]:
+        """The longest token that begins at each byte of the pieces, one place of no meaning between two pieces.
+
+        Matches come by where they end, so of those that begin at a place the last is the longest.
+        """
+        found = list(map(self.single.__getitem__, b" ".join(raws)))
+        for end, (before, i) in self.automaton.iter("\u0100".join([r.decode("latin-1") for r in raws])):
+            found[end - before] = i
+        found.append(-1)
+        return found
+
+    def _cover(self, longest: list[int], at: int, stop: int) -> list[int]:
+        """The ids from one place to another, by backtracking."""
+        fits, size_of, shorter = self.fits, self.size_of, self.shorter
         out: list[int] = []
-        dead = bytearray(size + 1)
-        token, last = at_(0), None
-        while at < size:
+        dead: set[int] = set()
+        token, last = longest[at], None
+        while at < stop:
             end = at + size_of[token]
-            if not dead[end]:
+            if end not in dead:
                 ok = last is None or fits.get((last, token))
                 if ok or (ok is None and self._compatible(last, token)):
                     out.append(token)
-                    at, last = end, token
-                    token = at_(at) if at < size else -1
+                    at, last, token = end, token, longest[end]
                     continue
-            less = self.shorter[token]
+            less = shorter[token]
             while less is None:
-                dead[at] = 1
+                dead.add(at)
                 token = out.pop()
                 last = out[-1] if out else None
                 at -= size_of[token]
-                less = self.shorter[token]
+                less = shorter[token]
             token = less
         return out
 
-    def _learn(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
-        """Encode new pieces together.
+    def encode_piece(self, piece: bytes) -> list[int]:
+        """A piece's ids."""
+        whole = self.ranks.get(piece)
+        return [whole] if whole is not None else self._cover(self._longest([piece]), 0, len(piece))
 
-        One pass over all of them takes the longest tokens from left to right; where
-        neighbours are compatible throughout, backtracking would have taken the same,
-        and only the other pieces go through it.
-        """
+    def _learn(self, pieces: list[str]) -> dict[str, tuple[int, ...]]:
+        """Encode new pieces together, with one pass of the automaton over all of them."""
         raws = [p.encode("utf-8") for p in pieces]
-        matches = self.automaton.iter_long("\u0100".join([r.decode("latin-1") for r in raws]))
-        single, size_of, fits, whole, found = self.single, self.size_of, self.fits, self.ranks.get, {}
-        base, (end, (before, i)) = 0, next(matches, (1 << 60, (0, 0)))
+        longest, whole, cover, found, at = self._longest(raws), self.ranks.get, self._cover, {}, 0
         for p, raw in zip(pieces, raws):
-            out, at, stop = [], base, base + len(raw)
-            while at < stop:
-                if end - before > at:
-                    out.append(single[raw[at - base]])
-                    at += 1
-                    continue
-                out.append(i)
-                at = end + 1
-                end, (before, i) = next(matches, (1 << 60, (0, 0)))
-            known = whole(raw)
-            if known is not None:
-                out = [known]
-            elif not all([ok if (ok := fits.get(x)) is not None else self._compatible(*x) for x in zip(out, out[1:])]):
-                out = self.encode_piece(raw)
-            found[p] = tuple(out)
-            base = stop + 1
+            known, stop = whole(raw), at + len(raw)
+            found[p] = (known,) if known is not None else tuple(cover(longest, at, stop))
+            at = stop + 1
         return found
 
     def encode_block(self, block: list[str]) -> list[tuple[int, ...]]:
