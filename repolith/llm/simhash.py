@@ -1,7 +1,8 @@
-"""SimHash near-duplicates: fingerprints, pigeonhole blocks, Hamming verification, components."""
+"""Near-duplicates: SimHash with pigeonhole blocks and Hamming verification, and shingle similarity by MinHash bands and exact verification."""
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -10,13 +11,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolith.llm._common import cut, prepare
+from repolith.llm._common import cut, prepare, release
 from repolith.llm.graph import components, least_labels, runs, tiles
 
 #: Rows of a bucket that one tile's side holds; larger buckets are split.
 TILE = 2048
 #: Bytes of a text whose words are taken at a time.
 BLOCK = 1 << 21
+#: Documents that one side of a tile holds where shingle sets are compared.
+SETS = 1024
+#: What tells rows apart whose doc_id repeats or is null; rows that agree in these are copies of each other.
+ROW = ["__none", "__doc", "__h1", "__h2"]
 
 
 def _word_blocks(text: bytes):
@@ -136,3 +141,139 @@ def keep_one(docs: DataFrame, bits: int = 4, width: int = 4) -> DataFrame:
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__doc"))
     firsts = docs.join(kept.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left_semi")
     return firsts.dropDuplicates(["doc_id"]).select(*named)
+
+
+def _with_row(docs: DataFrame) -> DataFrame:
+    """``docs`` with the columns of ROW: whether doc_id is null, doc_id as a long, and 128 bits of hash of the text."""
+    doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.withColumns({"__none": doc.isNull(), "__doc": F.coalesce(doc, F.lit(0)), "__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(1), text)})
+
+
+def _firsts(rows: DataFrame, group: str) -> DataFrame:
+    """The least row of each group: the smallest doc_id, null ids last, ties by the text's hash."""
+    return rows.groupBy(group).agg(F.min(F.struct(*ROW)).alias("__row")).select("__row.*", group)
+
+
+def _take(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each of the ``wanted``."""
+    return _with_row(docs).join(wanted.select(*ROW), ROW, "left_semi").dropDuplicates(ROW)
+
+
+def shingle_set(text: bytes, width: int, seed: int = 42) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of all ``width``-word shingles of an A-Z lower-cased text; of fewer words, the hash of them all."""
+    digest, parts, carry, some = xxhash.xxh64_intdigest, [], [], False
+    for words in _word_blocks(text.lower()):
+        words = carry + words
+        carry = words[1 - width :] if width > 1 else []
+        if len(words) < width:
+            carry = words
+            continue
+        some = True
+        hashes = [digest(b" ".join(words[i : i + width]), seed) for i in range(len(words) - width + 1)]
+        parts.append(np.unique(np.array(hashes, np.uint64)))
+    if not some:
+        return np.array([digest(b" ".join(carry), seed)] if carry else [], np.uint64)
+    return np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]
+
+
+def band_plan(similarity: float, miss: float, hashes: int = 6) -> int:
+    """Bands of ``hashes`` MinHashes each, so that a pair at ``similarity`` shares none with probability ``miss`` at most."""
+    return math.ceil(math.log(miss) / math.log1p(-(similarity**hashes))) if similarity < 1 else 1
+
+
+def bands(shingles: np.ndarray, number: int, hashes: int = 6, seed: int = 3) -> np.ndarray:
+    """A key for each band: the MinHashes of its ``hashes`` functions, and its number, hashed together."""
+    rnd = np.random.default_rng(seed)
+    odd, salt = (rnd.integers(0, 1 << 63, number * hashes, np.uint64) for _ in (0, 1))
+    odd = odd * np.uint64(2) + np.uint64(1)
+    least = np.full(number * hashes, np.uint64((1 << 64) - 1))
+    for at in range(0, len(shingles), 1024):
+        x = (shingles[at : at + 1024, None] ^ salt) * odd
+        np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=0), out=least)
+    rows = least.reshape(number, hashes)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
+
+
+def similar_labels(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set, the least index reachable over pairs of Jaccard similarity ``similarity`` or more, all compared exactly."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    uniq, flat = np.unique(np.concatenate(sets), return_inverse=True) if sizes.sum() else (np.empty(0), np.empty(0, np.int64))
+    ends = np.cumsum(sizes)
+    owner, mark = np.repeat(np.arange(len(sets)), sizes), np.zeros(len(uniq), bool)
+    label = np.full(len(sets), -1)
+    flat_open, owner_open = flat, owner
+    for first in range(len(sets)):
+        if label[first] >= 0:
+            continue
+        label[first], reached, stale = first, [first], True
+        while reached:
+            if stale:  # what is labelled needs no comparison any more
+                left = label[owner_open] < 0
+                flat_open, owner_open, stale = flat_open[left], owner_open[left], False
+            u = reached.pop()
+            mine = flat[ends[u] - sizes[u] : ends[u]]
+            mark[mine] = True
+            common = np.bincount(owner_open[mark[flat_open]], minlength=len(sets))
+            mark[mine] = False
+            hit = (label < 0) & (common / np.maximum(sizes + sizes[u] - common, 1) >= similarity)
+            if hit.any():
+                label[hit], stale = first, True
+                reached += np.flatnonzero(hit).tolist()
+    return label
+
+
+def keep_one_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5, miss: float = 0.0005) -> DataFrame:
+    """One row of each group of documents linked by Jaccard similarity of their sets of ``width``-word shingles.
+
+    A pair at ``similarity`` is met with probability 1 - ``miss`` at least, a more
+    similar one more surely: the bands that two texts share make candidate groups,
+    and within a candidate group every pair's sets are compared exactly, in tiles.
+    Texts of equal sets are one node, those without words too.  The row kept is the
+    least of its group by doc_id (null last), ties by a 128-bit hash of the text;
+    rows are told apart by both, so null or repeated ids lose nothing.
+    """
+    prepare(docs.sparkSession)
+    named = [F.col(f"`{c}`") for c in docs.columns]
+    number = band_plan(similarity, miss)
+    body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("__text")
+
+    def sketch(batches):
+        for b in batches:
+            node, keys, known = [], [], {}
+            for t in b.column(len(ROW)).to_pylist():
+                if t not in known:
+                    s = shingle_set(t, width)
+                    known[t] = xxhash.xxh64_intdigest(s.tobytes()), bands(s, number)
+                node.append(known[t][0])
+                keys.append(known[t][1])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(ROW)], pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=[*ROW, "node", "keys"])
+        release()
+
+    def sets(batches):
+        for b in batches:
+            found = [shingle_set(t, width).view(np.int64) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(found, pa.list_(pa.int64()))], names=["node", "near", "shingles"])
+        release()
+
+    def verify(batches):
+        for t in runs(batches, ["near", "t0", "t1"]):
+            node = t.column("node").to_numpy()
+            label = similar_labels([np.asarray(x.values.to_numpy(), np.int64) for x in t.column("shingles")], similarity)
+            moved = np.flatnonzero(label != np.arange(len(label)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[moved]), pa.array(node[label[moved]])], names=["a", "b"])
+        release()
+
+    kinds = "__none boolean, __doc long, __h1 long, __h2 long"
+    rows = cut(_with_row(docs).select(*ROW, body).mapInArrow(sketch, f"{kinds}, node long, keys array<long>"))
+    keyed = rows.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least != most")
+    stars = keyed.join(shared, "key").filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    near = components(cut(stars)).withColumnRenamed("root", "near")
+    near = near.union(near.select(F.col("near").alias("node"), "near").distinct())
+    ones = cut(_firsts(rows.join(near, "node", "left_semi"), "node").join(near, "node"))
+    texts = _take(docs.select("doc_id", "text"), ones).select(*ROW, body).join(ones, ROW).select("node", "near", "__text")
+    held = cut(texts.mapInArrow(sets, "node long, near long, shingles array<long>"))
+    tiled = tiles(held, ["near"], "node", SETS).select("near", "t0", "t1", "node", "shingles")
+    linked = components(cut(tiled.mapInArrow(verify, "a long, b long")))
+    groups = rows.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return _take(docs, _firsts(groups.select(*ROW, "root"), "root")).select(*named)

@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -13,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from repolith.llm import bpe, langid, licenses, lines, mixing, queries, simhash, substrings
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, doc string, tie string, body string, node string, size string"
@@ -283,5 +285,59 @@ def test_keep_one(spark):
     assert 5 in ids and 6 not in ids and ids.count(12) <= 1
 
 
+def shingles(text, width=5):
+    w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode().split()
+    return {b" ".join(w[i : i + width]) for i in range(len(w) - width + 1)} or ({b" ".join(w)} if w else set())
+
+
+def groups_by_similarity(rows, least=0.8):
+    sets, root = [shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= least * len(a | b) > 0:
+                root[top(i)] = top(j)
+    return [top(i) for i in range(len(rows))]
+
+
+def near_copies():
+    r, rows = random.Random(8), []
+    for base in range(40):
+        words = prose(r.randint(60, 200), 1000 + base).split()
+        for copy in range(r.randint(1, 5)):
+            for _ in range(r.randint(0, 4)):
+                words[r.randrange(len(words))] = f"new{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+@pytest.mark.parametrize("tile", [1024, 2])
+def test_near_dedup_finds_all_similar_pairs(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "SETS", tile)
+    rows = near_copies() + [(300, ""), (301, None), (302, "  "), (303, "one two"), (304, "One  two")]
+    tops = groups_by_similarity(rows)
+    least = {}
+    for (i, _), t in zip(rows, tops):
+        least[t] = min(i, least.get(t, i))
+    kept = corpus_pipeline.near_dedup(spark, docs(spark, rows), None)
+    assert kept.columns == docs(spark).columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(least.values())
+
+
+def test_bands_miss_few_pairs():
+    r, met, n = random.Random(9), 0, 400
+    number = simhash.band_plan(0.8, 0.0005)
+    for k in range(n):
+        both = [r.getrandbits(64) for _ in range(80)]
+        a, b = (np.unique(np.array(both + [r.getrandbits(64) for _ in range(10)], np.uint64)) for _ in (0, 1))
+        met += bool((simhash.bands(a, number) == simhash.bands(b, number)).any())
+    assert met >= n - 3
+
+
 def test_queries_are_named():
     assert len(queries.QUERIES) == 10 and all(re.match(r"op\d+_", n) for n in queries.QUERIES)
