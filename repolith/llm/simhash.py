@@ -135,12 +135,13 @@ def near_duplicates(docs: DataFrame, bits: int = 4, width: int = 4) -> DataFrame
 
 
 def keep_one(docs: DataFrame, bits: int = 4, width: int = 4) -> DataFrame:
-    """The documents whose doc_id is their component's; of rows that repeat that doc_id, one."""
+    """One row of each component: the least by doc_id (null last), ties by a 128-bit hash of the text, so null or repeated ids lose nothing."""
     named = [F.col(f"`{c}`") for c in docs.columns]
-    groups = near_duplicates(docs, bits, width)
-    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__doc"))
-    firsts = docs.join(kept.distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left_semi")
-    return firsts.dropDuplicates(["doc_id"]).select(*named)
+    rows = cut(fingerprints(_with_row(docs), width, tuple(ROW)))
+    nodes = cut(rows.select("fp").distinct())
+    found = components(cut(links(nodes, bits, nodes.count()))).withColumnRenamed("node", "fp")
+    groups = rows.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return _take(docs, _firsts(groups.select(*ROW, "root"), "root")).select(*named)
 
 
 def _with_row(docs: DataFrame) -> DataFrame:

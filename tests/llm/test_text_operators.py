@@ -285,6 +285,14 @@ def test_keep_one(spark):
     assert 5 in ids and 6 not in ids and ids.count(12) <= 1
 
 
+@pytest.mark.parametrize("keep", [simhash.keep_one, simhash.keep_one_similar])
+def test_keep_one_with_null_and_repeated_ids(spark, keep):
+    texts = [prose(80, 70 + k) for k in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (None, texts[4]), (9, texts[4]), (8, texts[5]), (8, texts[5]), (None, texts[5])]
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in keep(docs(spark, rows)).collect())
+    assert got == sorted([(0, texts[0]), (0, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4]), (8, texts[5])])
+
+
 def shingles(text, width=5):
     w = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode().split()
     return {b" ".join(w[i : i + width]) for i in range(len(w) - width + 1)} or ({b" ".join(w)} if w else set())
