@@ -123,11 +123,10 @@ class Forest:
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, trees: int, keep: int, seed: int):
-        order = np.argsort(ids, kind="stable")
-        ids, vectors = ids[order], vectors[order]
         raw = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1])))[:, 0]
         _, first, which = np.unique(raw, return_index=True, return_inverse=True)
-        by = np.argsort(which, kind="stable")  # ids ascend within each distinct vector
+        by = np.lexsort([ids, which])  # ids ascend within each distinct vector, each once
+        by = by[np.r_[True, (which[by][1:] != which[by][:-1]) | (ids[by][1:] != ids[by][:-1])]]
         starts = np.searchsorted(which[by], np.arange(len(first)))
         ends = np.append(starts[1:], len(by))
         self.ids = [ids[by[s : min(e, s + keep)]] for s, e in zip(starts, ends)]
@@ -159,23 +158,34 @@ class Forest:
         return [np.unique(np.concatenate([o[s:e] for o, s, e in zip(self.orders, low[:, q], high[:, q])])) for q in range(len(queries))]
 
     def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int, enough: int):
-        """(query id, vec_id, score) of each query's k best candidates."""
+        """(query id, vec_id, score) of each query's k best candidates, each vec_id by its best score."""
         queries = queries.astype(np.float64)
         sizes = unit(queries)
         for qid, q, size, found in zip(query_ids.tolist(), queries, sizes, self.candidates(queries, enough)):
-            score = self.vectors[found] @ q / (self.sizes[found] * size)
-            top = np.argsort(-score, kind="stable")[: k + 1]
-            cut_at = score[top[-1]]
-            top = np.flatnonzero(score >= cut_at)
-            rows = sorted((-s, i) for s, f in zip(score[top].tolist(), found[top].tolist()) for i in self.ids[f].tolist() if i != qid)
-            for s, i in rows[:k]:
-                yield qid, i, -s
+            best = self.best(qid, q, size, found, k)
+            if len(best) < k and len(found) < len(self.vectors):  # the candidates are vectors of too few ids
+                best = self.best(qid, q, size, np.arange(len(self.vectors)), k)
+            for i, s in best.items():
+                yield qid, i, s
+
+    def best(self, qid: int, q: np.ndarray, size: float, found: np.ndarray, k: int) -> dict[int, float]:
+        """The k best vec_ids other than ``qid`` among the ``found`` vectors; more vectors are read as long as they hold fewer ids."""
+        score = self.vectors[found] @ q / (self.sizes[found] * size)
+        order, take = np.argsort(-score, kind="stable"), k + 1
+        while True:
+            top = np.flatnonzero(score >= score[order[:take][-1]])
+            best: dict[int, float] = {}
+            for s, i in sorted((-s, i) for s, f in zip(score[top].tolist(), found[top].tolist()) for i in self.ids[f].tolist() if i != qid):
+                best.setdefault(i, -s)
+            if len(best) >= k or take >= len(order):
+                return dict(list(best.items())[:k])
+            take *= 4
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 32, share: float = 0.6, least: int = 4000, block: int = 16384, seed: int = 9) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by ``every``.
 
-    Every usable row is indexed.  Rows are dealt by hash to blocks of about
+    Every usable row is indexed, those that repeat a vec_id and its vector once.  Rows are dealt by hash to blocks of about
     ``block`` rows, each with its own forest; queries visit every block, and each
     trees ascend until they hold ``share`` times the block's vectors together, and
     ``least`` in any case; each block's k best meet in one ranking by score (cosine in double precision), ties
@@ -186,6 +196,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 32, sh
     """
     spark = prepare(vectors.sparkSession)
     rows = vectors.filter(usable() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    rows = cut(rows.distinct())
     blocks = max(1, math.ceil(rows.count() / block))
     data = rows.select(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("asks"), "vec_id", "embedding")
     asked = rows.filter(F.col("vec_id") % every == 0).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("asks"), "vec_id", "embedding")

@@ -75,6 +75,23 @@ def test_nearest(spark):
         assert [(v, s) for _, v, s in found] == want and [r for r, _, _ in found] == list(range(1, len(want) + 1))
 
 
+@pytest.mark.parametrize("block", [10_000, 60])
+def test_nearest_with_repeated_ids(spark, block):
+    r = np.random.default_rng(3)
+    q = r.standard_normal(16)
+    near = lambda k: [float(x) for x in np.float32(q + 0.01 * k * r.standard_normal(16))]
+    own, other = near(0), near(4)
+    rows = [(50, own)] * 9 + [(i, own) for i in (70, 71)] + [(50, near(1)) for _ in range(8)] + [(7, other)] * 12 + [(7, near(2)) for _ in range(8)]
+    rows += [(200 + k, near(5 + k)) for k in range(6)] + [(300 + k, [float(x) for x in np.float32(r.standard_normal(16))]) for k in range(100) if (300 + k) % 50]
+    got = embeddings.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=50, k=5, share=8.0, block=block)
+    best = {}
+    for v, e in rows:
+        if v != 50:
+            best[v] = max([round(cosine(x, e), 12) for i, x in rows if i == 50] + [best.get(v, -2)])
+    want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]
+    assert [(x["vec_id"], round(x["score"], 12)) for x in sorted(got.collect(), key=lambda x: x["rank"]) if x["query_id"] == 50] == want
+
+
 def test_nearest_recall(spark):
     frame = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     p = frame.toPandas()
