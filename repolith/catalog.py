@@ -156,6 +156,17 @@ def bounded_reach(spark, d):
     return graph.shortest_depths(edges, spark.range(1).select(F.col("id").alias("node")), 4)
 
 
+@query(
+    "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 500 AS src, (o_orderkey * 7 + 3) % 500 AS dst FROM orders), "
+    "b(node, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, depth + 1 FROM b JOIN e ON b.node = e.src WHERE depth < 8) "
+    "SELECT 0::BIGINT AS start, node, min(depth)::INTEGER AS depth FROM b GROUP BY node"
+)
+def bounded_reach_all(spark, d):
+    """``bounded_reach`` over all orders, to the operator's own depth of 8."""
+    edges = table(spark, d, "orders").select((F.col("o_custkey") % 500).alias("src"), ((F.col("o_orderkey") * 7 + 3) % 500).alias("dst"))
+    return graph.shortest_depths(edges, spark.range(1).select(F.col("id").alias("node")))
+
+
 @query("WITH a AS (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'), b AS (SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1994-01-01') SELECT o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'fixed' WHEN a.o_orderkey IS NULL THEN 'new' ELSE 'persisting' END AS state FROM a FULL JOIN b USING (o_orderkey)")
 def manifest_diff(spark, d):
     o = table(spark, d, "orders")

@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 
 def shortest_depths(edges: DataFrame, starts: DataFrame, depth: int = 8) -> DataFrame:
-    """(start, node, depth) for nodes within ``depth`` steps, by one join a step that never revisits a node."""
+    """(start, node, depth) for nodes within ``depth`` steps, by one join a step that expands only the nodes the step before reached.
+
+    Each step uses the step before once, so the plan grows in proportion to ``depth``.
+    """
     edges = edges.select("src", "dst").distinct()
-    seen = front = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct()
+    seen = starts.select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct()
     for d in range(1, depth + 1):
-        step = front.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        front = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(d))
-        seen = seen.union(front)
+        step = seen.join(edges, (F.col("node") == F.col("src")) & (F.col("depth") == d - 1), "left")
+        new = F.when(F.col("src").isNotNull(), F.struct(F.col("dst").alias("node"), F.lit(d).alias("depth")))
+        step = step.select("start", F.explode(F.array(F.struct("node", "depth"), new)).alias("at")).filter("at IS NOT NULL")
+        seen = step.groupBy("start", F.col("at.node").alias("node")).agg(F.min("at.depth").alias("depth"))
     return seen

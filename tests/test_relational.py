@@ -190,3 +190,17 @@ def test_flags_and_mentions(spark, n):
     texts = spark.createDataFrame([(1, "Aa bb aa"), (2, "aa")], "id int, t string")
     terms = spark.createDataFrame([("aa",), ("zz",)], "term string")
     assert {r["term"]: (r["n"], r["hits"]) for r in rel.mentions(texts, terms, "id", "t").collect()} == {"aa": (2, 3), "zz": (0, 0)}
+
+
+def test_bounded_reach_over_all_orders(spark):
+    from repolith import catalog
+
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_custkey", "o_orderkey").collect()
+    steps, depth, front = {}, {0: 0}, [0]
+    for c, o in orders:
+        steps.setdefault(c % 500, set()).add((o * 7 + 3) % 500)
+    for k in range(1, 9):
+        front = sorted({y for x in front for y in steps.get(x, ())} - depth.keys())
+        depth |= dict.fromkeys(front, k)
+    got = {(r["node"], r["depth"]) for r in catalog.QUERIES["bounded_reach_all"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == set(depth.items())
