@@ -213,6 +213,18 @@ def term_mentions(spark, d):
     return rel.mentions(table(spark, d, "documents"), terms, "doc_id", "text", "[a-z]+")
 
 
+@query(
+    "WITH t AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[a-zA-Z]+'))) AS term FROM benchmark), "
+    "w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents), "
+    "c AS (SELECT term, count(DISTINCT doc_id) AS n, count(*) AS hits FROM w GROUP BY term) "
+    "SELECT t.term, coalesce(n, 0) AS n, CAST(coalesce(hits, 0) AS BIGINT) AS hits FROM t LEFT JOIN c USING (term)"
+)
+def term_mentions_all(spark, d):
+    """``term_mentions`` of the terms of the whole benchmark table."""
+    terms = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("term"))
+    return rel.mentions(table(spark, d, "documents"), terms, "doc_id", "text", "[a-z]+")
+
+
 @query("SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events) WHERE k <= 3")
 def first_examples(spark, d):
     from pyspark.sql import Window

@@ -204,3 +204,21 @@ def test_bounded_reach_over_all_orders(spark):
         depth |= dict.fromkeys(front, k)
     got = {(r["node"], r["depth"]) for r in catalog.QUERIES["bounded_reach_all"](spark, "/root/testdata/sf0.001").collect()}
     assert got == set(depth.items())
+
+
+def test_term_mentions_of_all_items(spark):
+    import re
+    from collections import Counter
+
+    from repolith import catalog
+
+    d = "/root/testdata/sf0.001"
+    find = lambda text: re.findall("[a-z]+", (text or "").lower())
+    terms = {t for r in spark.read.parquet(f"{d}/benchmark.parquet").select("text").collect() for t in find(r["text"])}
+    n, hits = Counter(), Counter()
+    for r in spark.read.parquet(f"{d}/documents.parquet").select("text").collect():
+        words = find(r["text"])
+        hits.update(words)
+        n.update(set(words))
+    got = sorted(tuple(r) for r in catalog.QUERIES["term_mentions_all"](spark, d).collect())
+    assert got == sorted((t, n[t], hits[t]) for t in terms)
