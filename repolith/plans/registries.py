@@ -80,7 +80,7 @@ def tokens_present(required: DataFrame, manifest: DataFrame, files: DataFrame) -
 
 
 def clone_clusters(pairs: DataFrame, rounds: int = 50) -> DataFrame:
-    """(member, cluster, multiplicity) of clone pairs a, b: least member reachable, by label steps until nothing changes.
+    """(member, cluster, multiplicity) of clone pairs a, b: least member reachable, by label steps until nothing changes; an error if ``rounds`` run out.
 
     Each round is checkpointed reliably; labels also jump to their own label, so rounds grow with the logarithm of a chain.
     """
@@ -97,4 +97,6 @@ def clone_clusters(pairs: DataFrame, rounds: int = 50) -> DataFrame:
         label = step.select("member", F.col("further").alias("cluster"))
         if not step.filter("further <> was").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"labels still change after {rounds} rounds")
     return label.withColumn("multiplicity", F.count("*").over(Window.partitionBy("cluster")))

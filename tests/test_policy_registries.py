@@ -4,6 +4,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from repolith.functions.scalars import glob_regex
 from repolith.operators import policy
 from repolith.plans import registries
@@ -78,3 +80,9 @@ def test_clone_clusters(spark):
     pairs = spark.createDataFrame([(k, k + 1) for k in range(1, 12)] + [(30, 31)], "a int, b int")
     got = {r["member"]: (r["cluster"], r["multiplicity"]) for r in registries.clone_clusters(pairs).collect()}
     assert got == {**{k: (1, 12) for k in range(1, 13)}, 30: (30, 2), 31: (30, 2)}
+
+
+def test_clone_clusters_say_when_rounds_run_out(spark):
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(20)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        registries.clone_clusters(pairs, rounds=1)
