@@ -9,10 +9,13 @@ that is in a third of all rows reaches a reducer once for each map task only.
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
+import math
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +24,19 @@ from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 U64 = np.uint64
+#: Bytes of an Arrow batch, and of the compressed input whose blocks a reducer holds at once.
+BATCH, SLICE = 16 << 20, 16 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and keep Arrow batches small enough for long texts."""
+    """Let Python workers import this package, and keep the session's Arrow batches small enough for long texts, by rows and by bytes."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 512:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH)).rstrip("b")) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
     return spark
 
 
@@ -43,25 +50,78 @@ def release() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (as in tests), one of our own."""
+    """The folder of ``spark.checkpoint.dir``; only where that is unset and all runs on one machine (as in tests), one of our own."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "repolith-checkpoints")
     return found.rstrip("/")
 
 
+#: Lists that the open ``scratch`` blocks collect the paths of cut tables in.
+_open: list[list[str]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows as a table in the shared folder and reread them: lineage ends, lost executors lose nothing."""
+    """Write the rows as a table in the shared folder and reread them: lineage ends, lost executors lose nothing.
+
+    The table stays as long as a result may read it; see ``scratch``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/repolith/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables, by Spark's own file systems."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(conf).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables cut within the block go when it ends: write what is to stay before that."""
+    held: list[str] = []
+    _open.append(held)
+    try:
+        yield held
+    finally:
+        _open.remove(held)
+        remove(spark, held)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, with underscores put before them until no column has them (Spark takes no notice of case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def reducers(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def parts_for(rows: DataFrame) -> int:
+    """Parts that keys are dealt to: as many for each reducer as its share of the input has slices.
+
+    A reducer's parts come to it in order, one at a time, so that what it holds at
+    once doesn't grow with the input.
+    """
+    n = reducers(rows.sparkSession)
+    size = float(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n * max(1, min(256, math.ceil(size / SLICE / n)))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A finaliser that spreads 64-bit values."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
@@ -98,27 +158,34 @@ def block_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 def gather(blocks: DataFrame, reduce, schema: str) -> DataFrame:
-    """``reduce(iterator of {kind: [block, ...]})`` sees all blocks of its reducer's parts at once."""
+    """``reduce({kind: [block, ...]})`` sees all blocks of a part, one part after another.
+
+    Parts are dealt to reducers and sorted there by Spark, which spills, so a task holds one part's blocks at once.
+    """
 
     def run(batches):
-        kinds: dict[int, list[bytes]] = {}
+        now, kinds = None, {}
         for b in batches:
-            for k, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for p, k, x in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if p != now and kinds:
+                    yield from reduce(kinds)
+                    kinds = {}
+                now = p
                 kinds.setdefault(k, []).append(x)
         yield from reduce(kinds)
         kinds.clear()
         release()
 
     n = reducers(blocks.sparkSession)
-    return blocks.repartitionById(n, F.col("part")).mapInArrow(run, schema)
+    return blocks.repartitionById(n, F.pmod("part", F.lit(n))).sortWithinPartitions("part").mapInArrow(run, schema)
 
 
 def with_keys(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc (null: the least long), tie (tells texts of one doc_id apart) and the text's UTF-8 bytes (null: empty)."""
+    """doc (null: the least long), tie (64 bits that tell texts of one doc_id apart) and the text's UTF-8 bytes (null: empty)."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc"),
-        F.hash(body).alias("tie"),
+        F.xxhash64(body).alias("tie"),
         F.col("doc_id"),
         body.cast("binary").alias("body"),
     )

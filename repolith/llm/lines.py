@@ -4,55 +4,88 @@ A line goes if an earlier line (smaller doc_id, or the same document and above)
 is equal or within one edit (a character put in, left out or replaced).  Lines
 within one edit agree on their first or on their last half, so a first pass deals
 hashes of both halves and keeps, of all distinct lines, those that share a half
-with another.  These emit their deletion neighbourhood as hashed keys: the line
+with another; a map task settles a half that several of its own lines share, and
+sends one line for each half on, so a half that very many lines share loads no
+reducer.  The lines kept emit their deletion neighbourhood as hashed keys: the line
 itself and each variant with one character left out, and again each variant with
 its place.  Equal keys join: a variant with a line for a deletion, two variants
 of one place for a replacement.  Joined pairs are verified on their text.
+
+Lines are equal if 128 bits of XXH3 of their UTF-8 bytes agree.  Keys of variants are
+polynomials, one modulo 2^64 and two modulo the prime 2^31 - 1, so that no family of
+texts collides whatever the base.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from repolith.llm._common import BLOCKS, U64, block_batch, cut, deal, first_flags, gather, mix, prepare, reducers, release, unpack, with_keys
+from repolith.llm._common import BLOCKS, U64, block_batch, cut, deal, first_flags, gather, mix, parts_for, prepare, release, unpack, unused, with_keys
 
 #: Characters worked on at a time; lines and variants that a task holds before it deals them out.
 TEXT, LINES, VARIANTS = 1 << 19, 200_000, 1_000_000
-EQUAL = ["u8", "u8", "i8", "i4", "i4"]  # two hashes, doc, tie, line
-HALF = ["u8", "u8", "i8", "i4", "i4"]  # half's key, line's hash, doc, tie, line
-GONE = ["i8", "i4", "i4"]  # doc, tie, line
-VARIANT = ["u8", "u8", "i8", "i4", "i4", "i1"]  # two hashes, doc, tie, line, kind
-BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+EQUAL = ["u8", "u8", "i8", "i8", "i4", "i1"]  # two hashes, doc, tie, line, whether it shares a half
+HALF = ["u8", "u8", "i8", "i8", "i4", "i1"]  # half's key, line's hash, doc, tie, line, whether other lines of its task share it
+GONE = ["i8", "i8", "i4"]  # doc, tie, line
+VARIANT = ["u8", "u8", "i8", "i8", "i4", "i1"]  # two keys, doc, tie, line, kind
+BASE, BASES, PRIME = 0x9E3779B97F4A7C15, (1_103_515_245, 1_566_083_941), (1 << 31) - 1
 #: Characters that make no line: code points of white space below 0x3001.
 BLANK = np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288], np.uint32)
 
 
 class Prefixes:
-    """Hashes modulo 2^64 of any stretch of a text, from prefix sums."""
+    """Hashes of any stretch of a text, from prefix sums: modulo 2^64, or modulo the prime 2^31 - 1."""
 
-    powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    powers: dict[tuple[int, bool], tuple[np.ndarray, np.ndarray]] = {}
 
-    def __init__(self, codes: np.ndarray, base: int):
-        n = len(codes)
-        up, down = self.powers.get(base, (np.empty(0, U64),) * 2)
+    def __init__(self, codes: np.ndarray, base: int, prime: bool = False):
+        n, self.prime = len(codes), prime
+        up, down = self.powers.get((base, prime), (np.empty(0, U64),) * 2)
         if len(up) <= n:
-            size, inverse = max(n + 1, TEXT + 1), pow(base, -1, 1 << 64)
-            up, down = (np.cumprod(np.r_[U64(1), np.full(size - 1, b, U64)]) for b in (base, inverse))
+            size = max(n + 1, TEXT + 1)
+            up, down = (self._row(b, size) for b in (base, pow(base, -1, PRIME if prime else 1 << 64)))
             if size <= 4 * TEXT:
-                self.powers[base] = up, down
+                self.powers[base, prime] = up, down
         self.up, self.down = up, down
         self.sums = np.zeros(n + 1, U64)
-        np.cumsum((codes.astype(U64) + U64(1)) * up[:n], out=self.sums[1:])
+        terms = self._low((codes.astype(U64) + U64(1)) * up[:n])  # in the prime field below 2^31, so that sums don't overflow
+        np.cumsum(terms, out=self.sums[1:])
+        if prime:
+            self.sums = self._low(self.sums)
+
+    def _low(self, x: np.ndarray) -> np.ndarray:
+        if not self.prime:
+            return x
+        p, s = U64(PRIME), U64(31)
+        x = (x & p) + (x >> s)
+        x = (x & p) + (x >> s)
+        return np.where(x >= p, x - p, x)
+
+    def _row(self, base: int, size: int) -> np.ndarray:
+        """base ** 0, 1, 2, ... by doubling."""
+        out = np.ones(size, U64)
+        n = 1
+        while n < size:
+            top = U64(pow(base, n, PRIME if self.prime else 1 << 64))
+            out[n : 2 * n] = self._low(out[: min(n, size - n)] * top)
+            n *= 2
+        return out
+
+    def _less(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a + U64(PRIME) - b if self.prime else a - b
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.down[start]
+        return self._low(self._low(self._less(self.sums[end], self.sums[start])) * self.down[start])
 
     def without(self, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
         """[start, end) with the character at ``at`` left out."""
-        return (self.sums[at] - self.sums[start] + (self.sums[end] - self.sums[at + 1]) * self.down[1]) * self.down[start]
+        after = self._low(self._low(self._less(self.sums[end], self.sums[at + 1])) * self.down[1])
+        return self._low(self._low(self._less(self.sums[at], self.sums[start]) + after) * self.down[start])
 
 
 def within_one(a: str, b: str) -> bool:
@@ -72,17 +105,16 @@ def _codes(text: str) -> np.ndarray:
 
 
 def _rows(what: int, cols) -> pa.RecordBatch:
-    names, kinds = ["what", "doc", "tie", "line", "doc2", "tie2", "line2"], [pa.int64(), pa.int32(), pa.int32()] * 2
+    names, kinds = ["what", "doc", "tie", "line", "doc2", "tie2", "line2"], [pa.int64(), pa.int64(), pa.int32()] * 2
     cols = [*cols, *[np.zeros(len(cols[0]))] * (6 - len(cols))]
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), what, np.int32)), *[pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(cols, kinds)]], names=names)
 
 
-FOUND = "what int, doc long, tie int, line int, doc2 long, tie2 int, line2 int"
+FOUND = "what int, doc long, tie long, line int, doc2 long, tie2 long, line2 int"
 
 
-def find_lines(keyed: DataFrame, near: int) -> DataFrame:
-    """Lines that an equal line precedes (what 0), and first lines that share a half with another line (what 1)."""
-    parts = reducers(keyed.sparkSession)
+def find_lines(keyed: DataFrame, near: int, parts: int) -> DataFrame:
+    """Lines that an equal line precedes (what 0), and first lines that share a half with another line (what 1; some come twice)."""
 
     def scatter(batches):
         texts, size = [], 0
@@ -90,7 +122,8 @@ def find_lines(keyed: DataFrame, near: int) -> DataFrame:
 
         def work():
             nonlocal texts, size
-            codes = _codes("\n".join(t[2] for t in texts) + "\n")
+            whole = "\n".join(t[2] for t in texts)
+            codes = _codes(whole + "\n")
             ends = np.flatnonzero(codes == 10)
             starts = np.r_[0, ends[:-1] + 1]
             counts = np.array([t[2].count("\n") + 1 for t in texts])
@@ -98,10 +131,10 @@ def find_lines(keyed: DataFrame, near: int) -> DataFrame:
             line = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
             solid = np.r_[0, np.cumsum(~((codes <= 12288) & np.isin(codes, BLANK)))]
             some = solid[ends] > solid[starts]
+            digests = [xxhash.xxh3_128_digest(x) for x, s in zip(whole.encode("utf-8", "surrogatepass").split(b"\n"), some) if s]
+            h1, h2 = np.frombuffer(b"".join(digests), U64).reshape(-1, 2).T
             starts, ends, doc, line = starts[some], ends[some], doc[some], line[some]
-            one, two = (Prefixes(codes, b) for b in BASES)
-            n = ends - starts
-            h1, h2 = mix(one.of(starts, ends) + n.astype(U64)), mix(two.of(starts, ends))
+            one, n = Prefixes(codes, BASE), ends - starts
             halves = []
             for m in (n - 1, n):
                 half = np.maximum(m, 0) // 2
@@ -109,7 +142,7 @@ def find_lines(keyed: DataFrame, near: int) -> DataFrame:
                 halves += [mix(one.of(starts, starts + half) + salt), mix(one.of(ends - (m - half), ends) + salt + U64(1))]
             for k in halves:
                 k[n < near] = 0
-            ids, ties = np.array([t[0] for t in texts], np.int64), np.array([t[1] for t in texts], np.int32)
+            ids, ties = (np.array([t[k] for t in texts], np.int64) for k in (0, 1))
             for h, c in zip(held, [h1, h2, *halves, ids[doc], ties[doc], line.astype("i4")]):
                 h.append(c)
             texts, size = [], 0
@@ -126,11 +159,19 @@ def find_lines(keyed: DataFrame, near: int) -> DataFrame:
             place = cols[6:]
             rows = [(p, 1, b) for p, b in deal((mix(gone[0].view(U64)) % U64(parts)).astype(np.int64), gone)] if len(gone[0]) else []
             if len(h1):
-                rows += [(p, 0, b) for p, b in deal((h1 % U64(parts)).astype(np.int64), [h1, h2, *place])]
-                key = np.concatenate(halves)
-                long = key != 0
-                rest = [np.tile(c, 4)[long] for c in (h1, *place)]
-                rows += [(p, 2, b) for p, b in deal((key[long] % U64(parts)).astype(np.int64), [key[long], *rest])]
+                # the lines are distinct here: where two have a half, all of its lines share it, and the first of them goes on
+                key, at = np.concatenate(halves), np.tile(np.arange(len(h1)), 4)
+                key, at = key[key != 0], at[key != 0]
+                by = np.argsort(key, kind="stable")
+                key, at = key[by], at[by]
+                head = np.ones(len(key), bool)
+                head[1:] = key[1:] != key[:-1]
+                several = ~(head & np.append(head[1:], True)) if len(key) else head
+                flag = np.zeros(len(h1), "i1")
+                flag[at[several]] = 1
+                rows += [(p, 0, b) for p, b in deal((h1 % U64(parts)).astype(np.int64), [h1, h2, *place, flag])]
+                key, at, several = key[head], at[head], several[head]
+                rows += [(p, 2, b) for p, b in deal((key % U64(parts)).astype(np.int64), [key, h1[at], *[c[at] for c in place], several.astype("i1")])]
             return block_batch(rows)
 
         for b in batches:
@@ -148,24 +189,26 @@ def find_lines(keyed: DataFrame, near: int) -> DataFrame:
 
     def reduce(kinds):
         cols = unpack(kinds.get(0, []), EQUAL)
-        order, _, first = first_flags(cols[:2], cols[2:])
-        yield _rows(0, [np.concatenate(x) for x in zip([c[order][~first] for c in cols[2:]], unpack(kinds.get(1, []), GONE))])
+        order, new, first = first_flags(cols[:2], cols[2:5])
+        cols = [c[order] for c in cols]
+        yield _rows(0, [np.concatenate(x) for x in zip([c[~first] for c in cols[2:5]], unpack(kinds.get(1, []), GONE))])
+        if len(order):
+            yield _rows(1, [c[new][np.logical_or.reduceat(cols[5] > 0, np.flatnonzero(new))] for c in cols[2:5]])
         cols = unpack(kinds.get(2, []), HALF)
-        order, new, _ = first_flags(cols[:2], cols[2:])
-        heads = [c[order][new] for c in cols]
-        key, shared = heads[0], np.zeros(len(heads[0]), bool)
+        order, new, _ = first_flags(cols[:2], cols[2:5])
+        key, flag = cols[0][order], cols[5][order] > 0
         if len(key):
-            same = key[1:] == key[:-1]
-            shared[1:] |= same
-            shared[:-1] |= same
-        yield _rows(1, [c[shared] for c in heads[2:]])
+            # a half is shared if two lines have it, in one task or in several
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            shared = np.logical_or.reduceat(flag, start) | (np.add.reduceat(new.astype(np.int64), start) > 1)
+            shared = np.repeat(shared, np.diff(np.r_[start, len(key)])) & new
+            yield _rows(1, [c[order][shared] for c in cols[2:5]])
 
     return gather(keyed.select("doc", "tie", "body").mapInArrow(scatter, BLOCKS), reduce, FOUND)
 
 
-def near_lines(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+def near_lines(keyed: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
     """(doc, tie, line) of the wanted lines that an earlier wanted line precedes within one edit."""
-    parts = reducers(keyed.sparkSession)
     lines = wanted.groupBy("doc", "tie").agg(F.collect_set("line").alias("lines")).join(keyed.select("doc", "tie", "body").dropDuplicates(["doc", "tie"]), ["doc", "tie"])
 
     def pick(batches):
@@ -175,9 +218,9 @@ def near_lines(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
                 every = body.decode("utf-8", "replace").split("\n")
                 out += [(doc, tie, i, every[i]) for i in at]
             cols = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int32(), pa.int32(), pa.string()])], names=["doc", "tie", "line", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.string()])], names=["doc", "tie", "line", "text"])
 
-    texts = cut(lines.select("doc", "tie", "lines", "body").mapInArrow(pick, "doc long, tie int, line int, text string"))
+    texts = cut(lines.select("doc", "tie", "lines", "body").mapInArrow(pick, "doc long, tie long, line int, text string"))
 
     def scatter(batches):
         held, size = [[] for _ in VARIANT], 0
@@ -189,9 +232,10 @@ def near_lines(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
             n = np.diff(np.r_[0, ends])
             row, at = np.repeat(np.arange(len(rows)), n), np.arange(len(codes))
             starts, ends_ = (ends - n)[row], ends[row]
-            hashes = [Prefixes(codes, b) for b in BASES]
+            hashes = [Prefixes(codes, BASE), *[Prefixes(codes, b, True) for b in BASES]]
             out = [h.without(starts, ends_, at) for h in hashes]
             whole = [h.of(ends - n, ends) for h in hashes]
+            out, whole = ([x[0], (x[1] << U64(32)) | x[2]] for x in (out, whole))
             place = (at - starts + 1).astype(U64) * U64(0xC2B2AE3D27D4EB4F)
             keys = [np.concatenate([mix(out[0] + place), mix(out[0]), mix(whole[0])]), np.concatenate([out[1] + place, out[1], whole[1]])]
             which = np.concatenate([row, row, np.arange(len(rows))])
@@ -256,37 +300,39 @@ def near_lines(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
             ok = [within_one(x, y) for x, y in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(ok, pa.bool_())) for c in b.columns[:3]], names=["doc", "tie", "line"])
 
-    return both.mapInArrow(verify, "doc long, tie int, line int")
+    return both.mapInArrow(verify, "doc long, tie long, line int")
 
 
-def duplicate_lines(keyed: DataFrame, near: int = 20) -> DataFrame:
+def duplicate_lines(keyed: DataFrame, near: int, parts: int) -> DataFrame:
     """doc, tie and the numbers of the lines to remove."""
-    found = cut(find_lines(keyed, near))
-    gone = found.filter("what = 0").select("doc", "tie", "line").union(near_lines(keyed, found.filter("what = 1").select("doc", "tie", "line").distinct()))
+    found = cut(find_lines(keyed, near, parts))
+    wanted = found.filter("what = 1").select("doc", "tie", "line").distinct()
+    gone = found.filter("what = 0").select("doc", "tie", "line").union(near_lines(keyed, wanted, parts))
     return gone.groupBy("doc", "tie").agg(F.collect_set("line").alias("gone"))
 
 
-def dedup(docs: DataFrame, near: int = 20, drop_emptied: bool = False) -> DataFrame:
-    """The rows of ``docs`` with text reduced, and n_lines, n_removed (longs).
+def dedup(docs: DataFrame, near: int = 20, drop_emptied: bool = False, counts: bool = True) -> DataFrame:
+    """The rows of ``docs`` with text reduced, and (with ``counts``) n_lines, n_removed (longs).
 
     Lines are separated by LF and numbered from 0; a line of white space only is
     never removed.  Lines of under ``near`` characters go only if an equal line
     precedes, longer ones also if one within one edit does, as the input stands.
     A null text stays null and has no lines; a null doc_id is the smallest; rows
     that repeat doc_id and text are one document and all get its result; different
-    texts under one doc_id are ordered by a hash; other columns are kept.  With
-    ``drop_emptied``, rows of which every line but blank ones was removed go too.
-    An empty table gives no rows.
+    texts under one doc_id are ordered by a hash; other columns, of whatever name,
+    are kept.  With ``drop_emptied``, rows of which every line but blank ones was
+    removed go too.  An empty table gives no rows.
     """
     prepare(docs.sparkSession)
-    gone = duplicate_lines(with_keys(docs), near)
+    gone = duplicate_lines(with_keys(docs), near, parts_for(docs))
     body = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    kept = [f.name for f in docs.schema.fields]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("__doc"), F.hash(body).alias("__tie"))
-    gone = gone.select(F.col("doc").alias("__doc"), F.col("tie").alias("__tie"), F.col("gone").alias("__gone"))
-    rows = rows.join(gone, ["__doc", "__tie"], "left").select(*[F.col(f"`{c}`") for c in kept], "__gone")
+    kept = docs.columns
+    doc, tie, lost = unused(kept, "doc", "tie", "gone")
+    rows = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), tie: F.xxhash64(body)})
+    rows = rows.join(gone.select(F.col("doc").alias(doc), F.col("tie").alias(tie), F.col("gone").alias(lost)), [doc, tie], "left")
     at = kept.index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    fields = [*docs.schema.fields, *[T.StructField(n, T.LongType()) for n in ("n_lines", "n_removed") if counts]]
+    names = [f.name for f in fields]
 
     def reduce(batches):
         for b in batches:
@@ -301,9 +347,9 @@ def dedup(docs: DataFrame, near: int = 20, drop_emptied: bool = False) -> DataFr
                     t = "\n".join(every)
                 texts.append(t)
                 left.append(not g or any(x.strip() for x in every))
-            cols = [*b.columns[:-1], pa.array(lines, pa.int64()), pa.array(removed, pa.int64())]
+            cols = [*b.columns[:-1], *[pa.array(x, pa.int64()) for x in (lines, removed) if counts]]
             cols[at] = pa.array(texts, pa.string())
-            out = pa.RecordBatch.from_arrays(cols, names=[*kept, "n_lines", "n_removed"])
+            out = pa.RecordBatch.from_arrays(cols, names=names)
             yield out.filter(pa.array(left, pa.bool_())) if drop_emptied else out
 
-    return rows.mapInArrow(reduce, schema + ", n_lines long, n_removed long")
+    return rows.select(*[F.col(f"`{c}`") for c in kept], lost).mapInArrow(reduce, T.StructType(fields))

@@ -18,16 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolith.llm._common import BLOCKS, U64, block_batch, cut, deal, first_flags, gather, mix, prepare, reducers, release, unpack, with_keys
+from repolith.llm._common import BLOCKS, U64, block_batch, cut, deal, first_flags, gather, mix, parts_for, prepare, release, unpack, with_keys
 
 #: Bytes of text worked on at a time, runs and windows held by a task before they are dealt out.
 TEXT, RUNS, WINDOWS = 1 << 20, 500_000, 400_000
 #: Bits for a place in such a text.
 PLACE = 23
-RUN = ["u8", "u8", "i8", "i4", "i8", "i4"]  # bucket, fingerprint, doc, tie, start, windows
-SPAN = ["i8", "i4", "i8", "i8"]  # doc, tie, start, windows
-WINDOW = ["u8", "u8", "i8", "i4", "i8"]  # two fingerprints, doc, tie, start
-FOUND = "what int, doc long, tie int, start long, n long"
+RUN = ["u8", "u8", "i8", "i8", "i8", "i4"]  # bucket, fingerprint, doc, tie, start, windows
+SPAN = ["i8", "i8", "i8", "i8"]  # doc, tie, start, windows
+WINDOW = ["u8", "u8", "i8", "i8", "i8"]  # two fingerprints, doc, tie, start
+FOUND = "what int, doc long, tie long, start long, n long"
 
 
 class Grams:
@@ -170,7 +170,7 @@ def window_classes(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.nda
 
 
 def _rows(what: int, cols: list[np.ndarray]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+    kinds = [pa.int64()] * 4
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), what, np.int32)), *[pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(cols, kinds)]], names=["what", "doc", "tie", "start", "n"])
 
 
@@ -195,9 +195,8 @@ def only(keyed: DataFrame, found: DataFrame) -> DataFrame:
     return wanted.join(keyed, ["doc", "tie"]).select("doc", "tie", "body", "runs")
 
 
-def find_runs(rows: DataFrame, length: int, q: int) -> DataFrame:
+def find_runs(rows: DataFrame, length: int, q: int, parts: int) -> DataFrame:
     """Repeated spans (what 0) and the runs whose bucket holds runs of other text (what 1), of whole texts or of their ``runs``."""
-    parts = reducers(rows.sparkSession)
 
     def scatter(batches):
         held, texts, size = [[] for _ in RUN], [], 0
@@ -210,7 +209,7 @@ def find_runs(rows: DataFrame, length: int, q: int) -> DataFrame:
             if found:
                 bucket, name, doc, at, n = found
                 ids, ties, base = (np.array([t[k] for t in texts], np.int64) for k in (0, 1, 2))
-                for h, c in zip(held, (bucket, name, ids[doc], ties[doc].astype("i4"), at - starts[doc] + base[doc], n.astype("i4"))):
+                for h, c in zip(held, (bucket, name, ids[doc], ties[doc], at - starts[doc] + base[doc], n.astype("i4"))):
                     h.append(c)
             texts, size = [], 0
 
@@ -263,9 +262,8 @@ def find_runs(rows: DataFrame, length: int, q: int) -> DataFrame:
     return gather(rows.mapInArrow(scatter, BLOCKS), reduce, FOUND)
 
 
-def find_windows(rows: DataFrame, length: int) -> DataFrame:
+def find_windows(rows: DataFrame, length: int, parts: int) -> DataFrame:
     """Repeated windows among runs whose text differs."""
-    parts = reducers(rows.sparkSession)
 
     def scatter(batches):
         pieces, places, size = [], [], 0
@@ -274,7 +272,7 @@ def find_windows(rows: DataFrame, length: int) -> DataFrame:
             nonlocal pieces, places, size
             piece, start, new = window_classes(pieces, length)
             doc, tie, base = (np.array([p[k] for p in places], np.int64)[piece] for k in range(3))
-            place = [doc, tie.astype("i4"), base + start]
+            place = [doc, tie, base + start]
             order, head, first = first_flags([np.cumsum(new)], place)
             again = merged(*[c[order][~first] for c in place], np.ones((~first).sum(), np.int64))
             at = order[head]
@@ -320,9 +318,10 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     prepare(docs.sparkSession)
     # the texts are dealt by document once, and that exchange serves the refinements and the result
     keyed = with_keys(docs).select("doc", "tie", "body")
-    found = cut(find_runs(keyed, length, max(1, min(20, length // 2))))
-    finer = find_runs(only(keyed, found), length, max(1, length * 4 // 5))
-    last = find_windows(only(keyed, finer), length)
+    parts = parts_for(docs)
+    found = cut(find_runs(keyed, length, max(1, min(20, length // 2)), parts))
+    finer = find_runs(only(keyed, found), length, max(1, length * 4 // 5), parts)
+    last = find_windows(only(keyed, finer), length, parts)
     repeats = found.filter("what = 0").union(finer.filter("what = 0")).union(last)
     spans = repeats.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
     doc_id = F.when(F.col("doc") != -(2**63), F.col("doc")).alias("doc_id")

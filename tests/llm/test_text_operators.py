@@ -89,6 +89,43 @@ def test_suffix_array(codes):
     assert order.tolist() == sorted(range(len(codes)), key=lambda i: codes[i:])
 
 
+def thue_morse(n, letters):
+    return "".join(letters[bin(k).count("1") % 2] for k in range(n))
+
+
+def test_lines_that_polynomials_take_for_equal(spark):
+    rows = [(1, thue_morse(1024, "ab")), (2, thue_morse(1024, "ba")), (3, thue_morse(4096, "ab") + "x"), (4, thue_morse(4096, "ba") + "x")]
+    assert sorted((r["doc_id"], r["text"]) for r in lines.dedup(docs(spark, rows)).collect()) == rows
+
+
+def test_lines_with_a_common_half(spark, monkeypatch):
+    r = random.Random(12)
+    start = "2024-01-01 00:00:00 request served by host one; "
+    rows = [(k, "\n".join(start + "".join(r.choice("0123456789abcdef") for _ in range(r.choice([2, 3, 12, 13]))) for _ in range(6))) for k in range(60)]
+    rows.append((61, "\n".join([rows[3][1].split("\n")[2], "", "short", rows[9][1].split("\n")[1] + "!", "short"])))
+    monkeypatch.setattr(lines, "LINES", 50)
+    got = {(x["doc_id"], x["text"]) for x in lines.dedup(docs(spark, rows).repartition(5)).collect()}
+    assert got == set(brute_lines(rows, 20).items())
+
+
+def test_parts_are_reduced_one_at_a_time(spark, monkeypatch):
+    from repolith.llm import _common
+
+    monkeypatch.setattr(_common, "SLICE", 2000)
+    frame = docs(spark)
+    assert _common.parts_for(frame) > _common.reducers(spark)
+    want = brute_substrings(EDGES, 40)
+    assert all((bytes(x["kept"]), len(x["spans"])) == want[x["doc_id"]] for x in substrings.remove_repeats(frame, 40).collect())
+    assert {(x["doc_id"], x["text"]) for x in lines.dedup(frame).collect()} == set(brute_lines(EDGES, 20).items())
+
+
+def test_extra_columns_of_any_name_stay(spark):
+    frame = docs(spark).withColumns({n: F.lit("mine") for n in ("gone", "n_removed", "__doc", "__tie")})
+    got = lines.dedup(frame, counts=False)
+    assert got.columns == frame.columns and got.count() == len(EDGES)
+    assert all(x["gone"] == x["n_removed"] == x["__doc"] == "mine" for x in got.collect())
+
+
 def brute_fingerprint(text, width=4):
     words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), text.encode()))
     grams = [b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))] if words else []
