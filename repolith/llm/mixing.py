@@ -1,8 +1,10 @@
 """Mixing sources to target weights by balanced sampling (the cube method).
 
 A document of a source whose target is f times its size is taken floor(f) times,
-and once more with inclusion probability f - floor(f).  The flight phase moves
-these probabilities through the null space of two constraints, total words and
+and once more with inclusion probability p = f - floor(f).  Of r rows that agree in
+everything, floor(r * p) are taken once more for certain and one with probability
+r * p - floor(r * p), so that rows which repeat are decided one by one and yet cost
+one unit.  The flight phase moves these probabilities through the null space of two constraints, total words and
 number of documents, until at most two documents of a chunk are undecided.  Of
 that null space it takes the direction that moves the largest undecided document
 against all smaller ones of its chunk, so that only the smallest are left over.
@@ -17,7 +19,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolith.llm._common import cut, prepare
@@ -92,22 +94,24 @@ def targets(units: DataFrame, weights: tuple[float, ...], share: float, most: fl
     return pool.select(F.col("source").alias("its_source"), "source_size", "n", target.cast("double").alias("target"))
 
 
-FIELDS = "source string, doc_id long, size long, rows long, source_size long, target double, base double, p double"
+FIELDS = "source string, doc_id long, size long, row long, rows long, source_size long, target double, base long, sure long, p double"
 
 
 def fly(units: DataFrame, level: int, seed: int, land: bool) -> DataFrame:
     """One flight for each (source, chunk), large documents first."""
-    names = [f.split()[0] for f in FIELDS.split(", ")]
-    schema = pa.schema([("source", pa.string()), ("doc_id", pa.int64()), ("size", pa.int64()), ("rows", pa.int64()), ("source_size", pa.int64()), ("target", pa.float64()), ("base", pa.float64()), ("p", pa.float64())])
+    names, kinds = zip(*(f.split() for f in FIELDS.split(", ")))
+    types = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
+    schema = pa.schema([(n, types[k]) for n, k in zip(names, kinds)])
+    size, last = names.index("size"), len(names) - 1
 
     def run(batches):
         now, held = None, []
 
         def flown():
             rnd = random.Random(f"{seed}/{level}/{now[0] is None}/{now[0]}/{now[1]}")
-            x = np.array([float(r[2] * r[3]) for r in held])
-            p = decide(x, np.array([r[7] for r in held]), rnd, land)
-            cols = [*list(zip(*held))[:7], p]
+            x = np.array([float(r[size]) for r in held])
+            p = decide(x, np.array([r[last] for r in held]), rnd, land)
+            cols = [*list(zip(*held))[:last], p]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types)], schema=schema)
 
         for b in batches:
@@ -121,32 +125,39 @@ def fly(units: DataFrame, level: int, seed: int, land: bool) -> DataFrame:
         if held:
             yield flown()
 
-    return units.repartition("source", "chunk").sortWithinPartitions("source", "chunk", F.desc(F.col("size") * F.col("rows")), F.desc("size"), "doc_id").mapInArrow(run, FIELDS)
+    return units.repartition("source", "chunk").sortWithinPartitions("source", "chunk", F.desc("size"), "doc_id", "row").mapInArrow(run, FIELDS)
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """64 bits of hash of all columns that can be hashed."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))])
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: float = 3.0, chunk: int = 2048, seed: int = 13) -> DataFrame:
-    """doc_id, source, size, rows, source_size, target, copies: a row for each distinct (doc_id, source, size).
+    """doc_id, source, size, row, rows, source_size, target, base, extra: a unit for all rows that agree in every column (hash ``row``).
 
-    ``rows`` counts the rows that repeat it, and each of them is taken ``copies``
-    times.  A source is dealt by hash to chunks of about ``chunk`` documents, so a
-    hot source is flown by many tasks.  Null texts have size 0; documents of size
-    0 are decided like others and add nothing; a null source is a source of its
-    own; an empty table gives no rows.  Everything is seeded by values, so reruns agree.
+    ``rows`` counts these; each is taken ``base`` times, and ``extra`` of them once
+    more.  A source is dealt by hash to chunks of about ``chunk`` units, so a hot
+    source is flown by many tasks.  Null texts have size 0; documents of size 0 are
+    decided like others and add nothing; a null source is a source of its own; an
+    empty table gives no rows.  Everything is seeded by values, so reruns agree.
     """
     prepare(docs.sparkSession)
-    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"))
-    units = cut(units.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")))
+    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"), row_hash(docs).alias("row"))
+    units = cut(units.groupBy("doc_id", "source", "size", "row").agg(F.count("*").alias("rows")))
     goal = cut(targets(units, weights, share, most).coalesce(1))
     factor = F.least(F.lit(float(most)), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     flown = units.join(goal, F.col("source").eqNullSafe(F.col("its_source"))).withColumn("f", factor)
-    base = F.floor(F.col("f") + 1e-9).cast("double")
-    flown = flown.withColumn("base", base).withColumn("p", F.greatest(F.lit(0.0), F.col("f") - F.col("base")))
-    flown = flown.withColumn("p", F.when(F.col("p") < 1e-9, 0.0).otherwise(F.col("p")))
+    flown = flown.withColumn("base", F.floor(F.col("f") + 1e-9).cast("long"))
+    whole = F.col("rows") * F.greatest(F.lit(0.0), F.col("f") - F.col("base"))
+    flown = flown.withColumn("whole", whole).withColumn("sure", F.floor(F.col("whole") + 1e-9).cast("long"))
+    left = F.col("whole") - F.col("sure")
+    flown = flown.withColumn("p", F.when(left < 1e-9, 0.0).otherwise(left))
     most_docs = goal.agg(F.max("n")).first()[0] or 1
     parts = F.ceil(F.col("n") / chunk)
     pieces = math.ceil(most_docs / chunk)
 
-    level, done, now = 0, [], flown.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), parts))
+    level, done, now = 0, [], flown.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "row", F.lit(seed)), parts))
     while True:
         last = pieces == 1
         found = cut(fly(now, level, seed, last))
@@ -155,16 +166,43 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float =
             break
         # two documents of a chunk at most are left
         level, pieces = level + 1, math.ceil(2 * pieces / chunk)
-        now = found.filter("p not in (0, 1)").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed + level)), F.lit(pieces)))
+        now = found.filter("p not in (0, 1)").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "row", F.lit(seed + level)), F.lit(pieces)))
     out = done[0]
     for d in done[1:]:
         out = out.union(d)
-    return out.withColumn("copies", (F.col("base") + F.col("p")).cast("int")).select("doc_id", "source", "size", "rows", "source_size", "target", "copies")
+    return out.withColumn("extra", F.col("sure") + F.col("p").cast("long")).select("doc_id", "source", "size", "row", "rows", "source_size", "target", "base", "extra")
+
+
+def each_row(units: DataFrame) -> DataFrame:
+    """The units with a line for each of their rows, and ``copies``, how often it is taken; a unit of very many rows is dealt out before it is unfolded."""
+    per = 1 << 16
+    some = units.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(per).cast("long"))))
+    nth = F.explode(F.sequence(F.col("first") + 1, F.least(F.col("rows"), F.col("first") + per)))
+    return some.withColumn("nth", nth).withColumn("copies", F.col("base") + (F.col("nth") <= F.col("extra")).cast("long")).drop("first", "nth")
 
 
 def apply(docs: DataFrame, **options) -> DataFrame:
-    """The documents themselves, each row as often as the mix takes it."""
+    """The documents themselves, each row as often as the mix takes it; their columns may have any name.
+
+    Rows are joined to their units by hash; that join is a sort-merge join whatever
+    the size.  What a unit of several rows takes beyond ``base`` is taken from one
+    of them, as they agree in every column.
+    """
     named = [F.col(f"`{c}`") for c in docs.columns]
-    taken = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("__doc"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copies")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")) & F.col("source").cast("string").eqNullSafe(F.col("__source")) & (words() == F.col("__size"))
-    return docs.join(taken, same).withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*named)
+    units = cut(mix(docs, **options))
+    one = F.when(F.col("rows") == 1, F.col("base") + F.col("extra")).otherwise(F.col("base"))
+    plain = units.select("row", "doc_id", "source", "size", one.alias("copies")).filter("copies > 0")
+    keyed = docs.select(F.struct(*named).alias("doc"), row_hash(docs).alias("row"), F.col("doc_id").cast("long").alias("its"), F.col("source").cast("string").alias("from"), words().alias("words"))
+
+    def joined(taken: DataFrame) -> DataFrame:
+        same = (keyed["row"] == taken["row"]) & keyed["its"].eqNullSafe(taken["doc_id"]) & keyed["from"].eqNullSafe(taken["source"]) & (keyed["words"] == taken["size"])
+        return keyed.join(taken.hint("merge"), same).select(keyed["row"], "its", "from", "words", "doc", "copies")
+
+    def copied(rows: DataFrame) -> DataFrame:
+        return rows.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("doc.*")
+
+    out = copied(joined(plain))
+    more = units.filter("rows > 1 AND extra > 0").select("row", "doc_id", "source", "size", F.col("extra").alias("copies"))
+    if more.limit(1).count():
+        out = out.union(copied(joined(more).dropDuplicates(["row", "its", "from", "words"])))
+    return out

@@ -45,8 +45,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(_read(spark, sf_dir, "documents"), weights=(1, 2, 3), share=1.0, most=3.0)
-    found = found.withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    return found.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
+    return mixing.each_row(found).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

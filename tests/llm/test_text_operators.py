@@ -238,30 +238,49 @@ def test_mixing(spark):
     r = random.Random(3)
     rows = [(k, prose(r.randint(0, 300), k)) for k in range(900)] + [(5, "again and again"), (5, "again and again"), (901, None)]
     frame = docs(spark, rows).withColumn("source", F.expr("CASE WHEN doc_id % 10 < 6 THEN 'a' WHEN doc_id % 10 < 8 THEN 'b' WHEN doc_id % 10 = 8 THEN 'c' ELSE NULL END"))
-    got = mixing.mix(frame, chunk=64).collect()
-    assert sorted((x.doc_id, x.size) for x in got for _ in range(x.rows)) == sorted((i, len((t or "").split())) for i, t in rows)
+    got = mixing.each_row(mixing.mix(frame, chunk=64)).collect()
+    assert sorted((x.doc_id, x.size) for x in got) == sorted((i, len((t or "").split())) for i, t in rows)
     sizes = {}
     for x in got:
-        sizes[x.source] = sizes.get(x.source, 0) + x.size * x.rows
-    want, total, weights = {}, sum(sizes.values()), {"a": 1, "b": 2, "c": 3, None: 1}
-    open_ = set(sizes)
+        sizes[x.source] = sizes.get(x.source, 0) + x.size
+    want = brute_targets(sizes, {"a": 1, "b": 2, "c": 3, None: 1})
+    for s in sizes:
+        mine = [x for x in got if x.source == s]
+        assert math.isclose(mine[0].target, want[s], rel_tol=1e-9) and mine[0].source_size == sizes[s]
+        assert all(0 <= x.copies <= 3 for x in mine)
+        assert abs(sum(x.size * x.copies for x in mine) - want[s]) <= 40
+    assert sorted(got) == sorted(mixing.each_row(mixing.mix(frame, chunk=64)).collect())
+    taken = mixing.apply(frame, chunk=64)
+    assert taken.columns == frame.columns and taken.count() == sum(x.copies for x in got)
+    assert {x.doc_id for x in mixing.mix(docs(spark)).collect()} == {i for i, _ in EDGES}
+
+
+def brute_targets(sizes, weights):
+    total, open_ = sum(sizes.values()), set(sizes)
     while True:
         left = total - sum(3 * sizes[s] for s in sizes if s not in open_)
         shares = {s: left * weights[s] / sum(weights[o] for o in open_) for s in open_}
         over = {s for s in open_ if shares[s] > 3 * sizes[s]}
         if not over:
-            break
+            return {s: shares.get(s, 3.0 * sizes[s]) for s in sizes}
         open_ -= over
-    want = {s: shares.get(s, 3.0 * sizes[s]) for s in sizes}
+
+
+def test_mixing_repeated_rows(spark):
+    text = prose(53, 3)
+    rows = [(1, text)] * 400 + [(2, text)] * 3 + [(10 + k, prose(30, k)) for k in range(200)] + [(None, prose(20 + k, 300 + k)) for k in range(30)]
+    frame = docs(spark, rows).withColumns({"source": F.expr("CASE WHEN doc_id = 1 THEN 'a' WHEN doc_id <= 100 THEN 'b' END"), "copies": F.lit(9), "row": F.lit("mine"), "doc_id_": F.lit(0)})
+    sizes = {"a": 400 * 53, "b": 3 * 53 + 91 * 30, None: 109 * 30 + sum(20 + k for k in range(30))}
+    want = brute_targets(sizes, {"a": 1, "b": 2, None: 3})
+    got = mixing.each_row(mixing.mix(frame)).collect()
+    assert len(got) == len(rows)
     for s in sizes:
-        mine = [x for x in got if x.source == s]
-        assert math.isclose(mine[0].target, want[s], rel_tol=1e-9) and mine[0].source_size == sizes[s]
-        assert all(0 <= x.copies <= 3 for x in mine)
-        assert abs(sum(x.size * x.copies * x.rows for x in mine) - want[s]) <= 40
-    assert sorted(got) == sorted(mixing.mix(frame, chunk=64).collect())
-    taken = mixing.apply(frame, chunk=64)
-    assert taken.columns == frame.columns and taken.count() == sum(x.copies * x.rows for x in got)
-    assert {x.doc_id for x in mixing.mix(docs(spark)).collect()} == {i for i, _ in EDGES}
+        assert abs(sum(x.size * x.copies for x in got if x.source == s) - want[s]) <= 53, s
+    taken = mixing.apply(frame)
+    assert taken.columns == frame.columns
+    out = taken.collect()
+    assert sum(r["doc_id"] == 1 for r in out) == sum(x.copies for x in got if x.doc_id == 1)
+    assert len(out) == sum(x.copies for x in got) and all(r["row"] == "mine" and r["copies"] == 9 for r in out)
 
 
 def test_bpe(spark):
