@@ -69,8 +69,10 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large and small stars: logarithmically many rounds of joins and
     aggregations, each cut by a table in the shared folder.  A node with very many
-    edges is aggregated partially and its join is split by adaptive execution;
-    nothing but two numbers for each round comes to the driver.
+    edges is aggregated partially and its join is split by adaptive execution: the
+    aggregates are grouped by a further hash of the node, so that both sides of the
+    join have exchanges of their own, which that takes.  Nothing but two numbers for
+    each round comes to the driver.
     """
     lo, hi = F.least("a", "b").alias("root"), F.greatest("a", "b").alias("node")
     now = cut(edges.select(hi, lo).filter("node != root").distinct())
@@ -81,8 +83,8 @@ def components(edges: DataFrame) -> DataFrame:
             return now
         before = state
         both = now.select(F.col("node").alias("u"), F.col("root").alias("v")).union(now.select(F.col("root").alias("u"), F.col("node").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u", F.xxhash64("u")).agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.filter("v > u").join(least, "u").select("v", "m").distinct()
-        smaller = large.groupBy("v").agg(F.min("m").alias("least"))
+        smaller = large.groupBy("v", F.xxhash64("v")).agg(F.min("m").alias("least")).select("v", "least")
         small = large.join(smaller, "v").filter("m != least").select(F.col("m").alias("node"), F.col("least").alias("root"))
         now = cut(small.union(smaller.select(F.col("v").alias("node"), F.col("least").alias("root"))).distinct())

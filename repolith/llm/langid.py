@@ -5,24 +5,26 @@ bounded sample of labelled rows.  Every byte position of a text gets a
 probability for each language; a document's probabilities are the mean over all
 its positions.  Gates are piecewise linear (clipped), which keeps inference to a
 few vector operations for each byte.  Texts are read in lanes of ``LANE`` bytes
-that run side by side; a text's last lane is moved back to end with the text,
-and positions that an earlier lane has labelled are not counted again.
+that run side by side and overlap: of a lane's positions, the first and the last
+``CONTEXT`` are only read, unless the text begins or ends there, so that each
+position is labelled with that many bytes of its text on either side.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from repolith.llm._common import prepare, release
+from repolith.llm._common import prepare, release, unused
 
-LANE, LANES = 128, 1024
-#: A text with no match has no letter.
-LETTER = re.compile(r"[^\W\d_]")
+LANE, CONTEXT, LANES = 128, 8, 1024
+#: Labels whose counts are broadcast; more are joined.
+LABELS = 10_000
+#: A text with no match (of the JVM's regular expressions) has no letter.
+LETTER = r"\p{L}"
 
 
 class ByteGru:
@@ -142,12 +144,15 @@ class ByteGru:
             return out
         padded = np.frombuffer(b"".join(t if len(t) >= LANE else t.ljust(LANE) if t else b"" for t in texts), np.uint8)
         held = np.where(sizes == 0, 0, np.maximum(sizes, LANE))
-        base = np.cumsum(held) - held
-        counts = -(-held // LANE)
+        base, step = np.cumsum(held) - held, LANE - 2 * CONTEXT
+        counts = np.where(held == 0, 0, 1 + -(-(held - LANE) // step))
         doc = np.repeat(np.arange(len(texts)), counts)
         nth = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
-        start = np.minimum(nth * LANE, held[doc] - LANE)  # the last lane ends with the text
-        skip, end = nth * LANE - start, np.minimum(sizes[doc] - start, LANE)
+        start = np.minimum(nth * step, held[doc] - LANE)  # the last lane ends with the text
+        last = nth == counts[doc] - 1
+        # a lane labels what follows the labels of the lane before it
+        skip = np.where(nth == 0, 0, nth * step + CONTEXT - start)
+        end = np.where(last, np.minimum(sizes[doc] - start, LANE), LANE - CONTEXT)
         time = np.arange(LANE)[:, None]
         for at in range(0, len(doc), LANES):
             part = slice(at, at + LANES)
@@ -160,60 +165,64 @@ class ByteGru:
         return out / np.maximum(sizes, 1)[:, None]
 
 
-def train(docs: DataFrame, label: str = "lang", rows_per_language: int = 400, languages: int = 64, seed: int = 7) -> ByteGru | None:
-    """Fit on a bounded sample of the labelled rows: of each of the ``languages``
-    most frequent labels, about ``rows_per_language`` rows picked by hash, and of
-    each a stretch of 300 characters at a hashed offset.  None if no row is labelled.
+def train(docs: DataFrame, label: str = "lang", rows_per_language: int = 400, seed: int = 7) -> ByteGru | None:
+    """Fit on a bounded sample of the labelled rows: of each label, the ``rows_per_language``
+    rows of the least hash (of doc_id and text), and of each a stretch of 300
+    characters at a hashed offset.  None if no row is labelled.
 
-    Ties between labels go by code point.  Rows without a letter teach nothing.
+    Every label is learned.  Rows without a letter teach nothing; rows that repeat
+    doc_id and text count once.  A first filter by hash leaves little more than the
+    sample to be sorted, so that a hot label costs one count.
     """
-    known = docs.filter(F.col(label).isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = known.groupBy(label).count().orderBy(F.desc("count"), label).limit(languages).collect()
-    if not counts:
+    known = docs.filter(F.col(label).isNotNull() & F.col("text").rlike(LETTER)).select(F.col(label).cast("string").alias("y"), "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
+    counts = known.groupBy("y").count()
+    some = counts.limit(LABELS + 1).collect()
+    if len(some) <= LABELS:  # the text isn't shuffled where labels are few
+        counts = F.broadcast(docs.sparkSession.createDataFrame(some, "y string, count long"))
+    below = F.when(F.col("count") <= 2 * rows_per_language, 1.0).otherwise(2.0 * rows_per_language / F.col("count"))
+    near = known.join(counts, "y").filter(F.pmod("h", F.lit(1 << 30)) < below * (1 << 30))
+    offset = 1 + F.pmod(F.col("h"), F.greatest(F.length("text") - 300, F.lit(1))).cast("int")
+    near = near.groupBy("y", "h").agg(F.first(F.substring(F.col("text"), offset, F.lit(300))).alias("t"))
+    nth = F.row_number().over(Window.partitionBy("y").orderBy("h"))
+    sample = sorted(tuple(r) for r in near.withColumn("nth", nth).filter(F.col("nth") <= rows_per_language).select("y", "h", "t").collect())
+    names = sorted({r[0] for r in sample})
+    if not names:
         return None
-    names = sorted(r[0] for r in counts)
-    spread = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col(label) == r[0], min(1.0, rows_per_language / r["count"])).otherwise(share)
-    offset = 1 + F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - 300, F.lit(1))).cast("int")
-    rows = known.filter(spread < share).select("doc_id", F.col(label).alias("y"), F.substring(F.col("text"), offset, F.lit(300)).alias("t"))
-    sample = sorted((tuple(r) for r in rows.limit(4 * rows_per_language * len(names)).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
-    if len({r[1] for r in sample}) < len(names):  # a rare label that the hash passed over
-        have = {r[1] for r in sample}
-        for name in (x for x in names if x not in have):
-            sample += [tuple(r) for r in known.filter(F.col(label) == name).select("doc_id", F.lit(name), F.substring("text", 1, 300)).limit(1).collect()]
     model = ByteGru(names, seed=seed)
     if len(names) > 1:
-        model.fit([r[2].encode() for r in sample], [names.index(r[1]) for r in sample])
+        at = {n: k for k, n in enumerate(names)}
+        model.fit([r[2].encode() for r in sample], [at[r[0]] for r in sample])
     return model
 
 
-def predict(docs: DataFrame, model: ByteGru | None, columns: list[str]) -> DataFrame:
-    """Add lang_pred and score (mean probability of lang_pred) to ``columns`` of each row.
+def predict(docs: DataFrame, model: ByteGru | None, columns: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Add to ``columns`` of each row the predicted language and its score (mean probability of it), as columns of these ``names``.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was
-    learned.  Whole texts are read, row by row; nothing is shuffled.
+    learned; equal scores go to the language that is first by code point.  Whole
+    texts are read, row by row; nothing is shuffled.
     """
     prepare(docs.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema.fields)
+    kept = docs.select(*[F.col(f"`{c}`") for c in columns])
+    text = F.col("text").cast("string")
+    out_names = [*columns, *names]
+    fields = [*kept.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
 
     def run(batches):
         for b in batches:
-            at = b.schema.get_field_index("__text")
-            texts = [t if t is not None and LETTER.search(t) else None for t in b.column(at).to_pylist()]
-            names, scores = ["und"] * len(texts), np.zeros(len(texts))
+            texts = b.column(b.num_columns - 1).to_pylist()
+            found, scores = ["und"] * len(texts), np.zeros(len(texts))
             if model is not None:
                 p = model.pooled([t.encode() if t else b"" for t in texts])
                 best = p.argmax(axis=1)
                 for i, t in enumerate(texts):
                     if t:
-                        names[i], scores[i] = model.languages[best[i]], min(1.0, max(0.0, p[i, best[i]]))
-            kept = [b.column(i) for i in range(b.num_columns) if i != at]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "lang_pred", "score"])
+                        found[i], scores[i] = model.languages[best[i]], min(1.0, max(0.0, p[i, best[i]]))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=out_names)
         release()
 
-    return docs.select(*columns, F.col("text").cast("string").alias("__text")).mapInArrow(run, schema + ", lang_pred string, score double")
+    (read,) = unused(out_names, "read")
+    return docs.select(*[F.col(f"`{c}`") for c in columns], F.when(text.rlike(LETTER), text).alias(read)).mapInArrow(run, T.StructType(fields))
 
 
 def remainder():

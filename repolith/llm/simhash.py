@@ -136,18 +136,19 @@ def near_duplicates(docs: DataFrame, bits: int = 4, width: int = 4) -> DataFrame
 
 def keep_one(docs: DataFrame, bits: int = 4, width: int = 4) -> DataFrame:
     """One row of each component: the least by doc_id (null last), ties by a 128-bit hash of the text, so null or repeated ids lose nothing."""
-    named = [F.col(f"`{c}`") for c in docs.columns]
-    rows = cut(fingerprints(_with_row(docs), width, tuple(ROW)))
+    prepare(docs.sparkSession)
+    rows = cut(fingerprints(_with_row(docs).withColumnRenamed("__text", "text"), width, tuple(ROW)))
     nodes = cut(rows.select("fp").distinct())
     found = components(cut(links(nodes, bits, nodes.count()))).withColumnRenamed("node", "fp")
     groups = rows.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return _take(docs, _firsts(groups.select(*ROW, "root"), "root")).select(*named)
+    return _take(docs, _firsts(groups.select(*ROW, "root"), "root"))
 
 
 def _with_row(docs: DataFrame) -> DataFrame:
-    """``docs`` with the columns of ROW: whether doc_id is null, doc_id as a long, and 128 bits of hash of the text."""
+    """The columns of ROW (whether doc_id is null, doc_id as a long, 128 bits of hash of the text), __text (null: empty) and __all, a struct of all columns."""
     doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumns({"__none": doc.isNull(), "__doc": F.coalesce(doc, F.lit(0)), "__h1": F.xxhash64(text), "__h2": F.xxhash64(F.lit(1), text)})
+    row = [doc.isNull(), F.coalesce(doc, F.lit(0)), F.xxhash64(text), F.xxhash64(F.lit(1), text)]
+    return docs.select(*[c.alias(n) for c, n in zip(row, ROW)], text.cast("binary").alias("__text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__all"))
 
 
 def _firsts(rows: DataFrame, group: str) -> DataFrame:
@@ -156,8 +157,9 @@ def _firsts(rows: DataFrame, group: str) -> DataFrame:
 
 
 def _take(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each of the ``wanted``."""
-    return _with_row(docs).join(wanted.select(*ROW), ROW, "left_semi").dropDuplicates(ROW)
+    """One row of ``docs`` for each of the ``wanted``, whose ROW are distinct; rows that repeat come once.  A sort-merge join whatever the size."""
+    rows = _with_row(docs).select(*ROW, "__all").join(wanted.select(*ROW).hint("merge"), ROW)
+    return rows.dropDuplicates(ROW).select("__all.*")
 
 
 def shingle_set(text: bytes, width: int, seed: int = 42) -> np.ndarray:
@@ -234,9 +236,7 @@ def keep_one_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5, m
     rows are told apart by both, so null or repeated ids lose nothing.
     """
     prepare(docs.sparkSession)
-    named = [F.col(f"`{c}`") for c in docs.columns]
     number = band_plan(similarity, miss)
-    body = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("__text")
 
     def sketch(batches):
         for b in batches:
@@ -265,16 +265,16 @@ def keep_one_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5, m
         release()
 
     kinds = "__none boolean, __doc long, __h1 long, __h2 long"
-    rows = cut(_with_row(docs).select(*ROW, body).mapInArrow(sketch, f"{kinds}, node long, keys array<long>"))
+    rows = cut(_with_row(docs).select(*ROW, "__text").mapInArrow(sketch, f"{kinds}, node long, keys array<long>"))
     keyed = rows.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least != most")
     stars = keyed.join(shared, "key").filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     near = components(cut(stars)).withColumnRenamed("root", "near")
     near = near.union(near.select(F.col("near").alias("node"), "near").distinct())
     ones = cut(_firsts(rows.join(near, "node", "left_semi"), "node").join(near, "node"))
-    texts = _take(docs.select("doc_id", "text"), ones).select(*ROW, body).join(ones, ROW).select("node", "near", "__text")
+    texts = _with_row(docs).select(*ROW, "__text").join(ones.hint("merge"), ROW).dropDuplicates(ROW).select("node", "near", "__text")
     held = cut(texts.mapInArrow(sets, "node long, near long, shingles array<long>"))
     tiled = tiles(held, ["near"], "node", SETS).select("near", "t0", "t1", "node", "shingles")
     linked = components(cut(tiled.mapInArrow(verify, "a long, b long")))
     groups = rows.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return _take(docs, _firsts(groups.select(*ROW, "root"), "root")).select(*named)
+    return _take(docs, _firsts(groups.select(*ROW, "root"), "root"))

@@ -176,6 +176,53 @@ def test_pipeline(spark):
     assert names == ["language", "line_dedup", "near_dedup", "mix", "encode"]
 
 
+def odd_documents(spark):
+    """Null, empty, repeated and very long texts, null and repeated ids, and names that the operators use themselves."""
+    r = random.Random(5)
+    words = {"en": ["the", "house", "and", "river", "with", "old", "stone", "green"], "fr": ["été", "maison", "où", "rivière", "ça", "pierre", "verte", "être"]}
+    text = lambda k, n: " ".join(r.choice(words[k]) + str(r.randrange(99)) for _ in range(n))
+    rows = [(k, text(("en", "fr")[k % 2], 40), ("en", "fr")[k % 2], ("a", "b", None)[k % 3]) for k in range(60)]
+    rows += [(70, rows[0][1], "en", "a"), (70, rows[0][1], "en", "a"), (None, rows[3][1], "fr", "b"), (None, text("en", 30), "en", "a"), (None, text("fr", 30), None, "b")]
+    rows += [(80, None, "en", "a"), (81, "", None, None), (82, " 12 34 ", "fr", "a"), (83, text("en", 20_000), "en", "b"), (84, "same line of some length\nsame line of some length", "en", "a")]
+    names = ["score", "lang_pred", "n_removed", "n_lines", "__doc", "__tie", "gone", "copies", "row", "fp", "node", "chunk", "ids", "__all", "its", "words", "base"]
+    frame = spark.createDataFrame([(*x, len(x[1] or "")) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    return frame.withColumns({n: (frame.doc_id if k % 2 else frame.source) for k, n in enumerate(names)})
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_odd_documents(spark, name):
+    stage, frame = dict(corpus_pipeline.STAGES)[name], odd_documents(spark)
+    none = stage(spark, frame.limit(0), SF)
+    assert none.count() == 0
+    out = stage(spark, frame, SF)
+    got = out.collect()
+    if name == "encode":
+        assert len(got) == frame.count() and sum(x.n_tokens == 0 for x in got) == 2
+        return
+    assert out.dtypes == frame.dtypes == none.dtypes
+    texts, before = [x.text for x in got], [x.text for x in frame.collect()]
+    assert all(x.score == x.source and x.lang_pred == x.doc_id for x in got)
+    if name == "language":
+        assert not {None, "", " 12 34 "} & set(texts) and texts.count(before[0]) == 3 and len(got) >= 0.9 * frame.count()
+    if name == "line_dedup":
+        assert texts.count(before[0]) == 1 and "same line of some length" in texts and None in texts and all(x.n_chars == len(x.text or "") for x in got if x.doc_id == 84)
+    if name == "near_dedup":
+        assert sorted(set(before) - {None, ""}) == sorted(t for t in texts if t) and texts.count(before[0]) == 1
+    if name == "mix":
+        assert texts.count(before[0]) <= 9 and set(texts) <= set(before)
+
+
+def test_scratch_leaves_nothing(spark, tmp_path):
+    from repolith.llm import _common
+
+    with _common.scratch(spark) as held:
+        rows = _common.cut(spark.range(5))
+        rows.write.parquet(str(tmp_path / "kept"))
+        paths = [p.removeprefix("file://") for p in held]
+        assert paths and all(os.path.isdir(p) for p in paths)
+    assert not any(os.path.exists(p) for p in paths) and spark.read.parquet(str(tmp_path / "kept")).count() == 5
+
+
 def test_entry_names():
     import __spark_entry__ as e
 
