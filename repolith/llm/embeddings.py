@@ -13,6 +13,8 @@ from repolith.llm._common import cut, prepare
 from repolith.llm.graph import components, least_labels, runs, tiles
 
 TILE = 1024
+#: Bits of a sketch.
+SKETCH = 128
 
 
 def usable(vector: str = "embedding"):
@@ -44,58 +46,92 @@ def table_plan(largest: int, cosine: float, recall: float) -> tuple[int, int]:
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.9995, seed: int = 5) -> DataFrame:
+def sketch_bound(cosine: float, bits: int = SKETCH) -> int:
+    """Differing bits of two sketches that a pair at ``cosine`` passes only in one case of about 10^8 (six standard deviations over the mean)."""
+    p = math.acos(min(1.0, max(-1.0, cosine))) / math.pi
+    return math.ceil(bits * p + 6 * math.sqrt(bits * p * (1 - p)))
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.99999, seed: int = 5) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of (vec_id, embedding, label).
 
     Vectors are compared only within a label (not null) and a length.  Equal
     vectors of a label are one node with a weight, so a vector that a third of
-    all rows share is one row of a bucket.  A table's bucket is split into tiles;
+    all rows share is one row of a bucket.  A table's buckets are first looked
+    through with sketches of 128 further sign bits, so that only vectors which have
+    a likely partner there are dealt out themselves.  Buckets are split into tiles;
     in each, cosines are taken in double precision, and a pair counts in the first
     table where it meets, so each link counts once.  Unusable vectors, and those
     without a label, link with nothing; rows that repeat a vec_id are vectors of
     their own; an empty table gives no rows.
     """
-    spark = prepare(vectors.sparkSession)
+    prepare(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), "embedding")
     rows = rows.withColumn("ok", usable() & F.col("label").isNotNull())
-    nodes = cut(rows.filter("ok").groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight")).withColumn("dim", F.size("embedding")).withColumn("node", F.xxhash64("label", "embedding")))
+    nodes = rows.filter("ok").groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("weight"))
+    nodes = cut(nodes.withColumn("dim", F.size("embedding")).withColumn("node", F.xxhash64("label", "embedding")))
     largest = nodes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 1
     bits, tables = table_plan(largest, cosine, recall)
+    most = sketch_bound(cosine)
 
     def sign(batches):
         for b in batches:
             emb = b.column(b.schema.get_field_index("embedding"))
             dims = b.column(b.schema.get_field_index("dim")).to_numpy()
-            sigs = np.zeros((b.num_rows, tables), np.int64)
+            sigs, sketches = np.zeros((b.num_rows, tables), np.int64), np.zeros((b.num_rows, SKETCH // 64), np.int64)
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
-                up = (matrix(emb.take(pa.array(at))) @ planes(int(d), bits * tables, seed) > 0).reshape(len(at), tables, bits)
-                sigs[at] = up @ (1 << np.arange(bits))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(sigs), pa.list_(pa.int64()))], names=[*b.schema.names, "sigs"])
-
-    kept = nodes.select("node", "label", "dim", "weight", "embedding")
-    kind = kept.schema["embedding"].dataType.simpleString()
-    signed = kept.mapInArrow(sign, f"node long, label long, dim int, weight long, embedding {kind}, sigs array<long>")
-    keyed = signed.select("*", F.posexplode("sigs").alias("table", "sig"))
-    keys = ["table", "label", "dim", "sig"]
+                up = matrix(emb.take(pa.array(at))) @ planes(int(d), bits * tables + SKETCH, seed) > 0
+                sigs[at] = up[:, : bits * tables].reshape(len(at), tables, bits) @ (1 << np.arange(bits))
+                sketches[at] = np.packbits(up[:, bits * tables :], axis=1).view(np.int64)
+            lists = [pa.array(list(x), pa.list_(pa.int64())) for x in (sigs, sketches)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *lists], names=[*b.schema.names, "sigs", "sketch"])
+
+    kind = nodes.schema["embedding"].dataType.simpleString()
+    keys, bucket = ["table", "key"], F.xxhash64("label", "dim", "sig").alias("key")  # a bucket may hold those of another key; labels are compared again
+    signed = nodes.select("node", "label", "dim", "embedding").mapInArrow(sign, f"node long, label long, dim int, embedding {kind}, sigs array<long>, sketch array<long>")
+    words = [F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH // 64)]
+    keyed = signed.select("node", "label", "dim", *words, F.posexplode("sigs").alias("table", "sig")).select("table", bucket, "node", *[f"s{k}" for k in range(SKETCH // 64)])
+
+    def likely(batches):
+        for t in runs(batches, [*keys, "t0", "t1"]):
+            if t.num_rows < 2:
+                continue
+            s = np.stack([t.column(f"s{k}").to_numpy().view(np.uint64) for k in range(SKETCH // 64)])
+            some = np.zeros(t.num_rows, bool)
+            for at in range(0, t.num_rows, 256):
+                far = np.bitwise_count(s[:, at : at + 256, None] ^ s[:, None, :]).sum(axis=0, dtype=np.int64)
+                near = far <= most
+                near[np.arange(len(near)), at + np.arange(len(near))] = False
+                some[at : at + 256] = near.any(axis=1)
+            if some.any():
+                yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks().filter(pa.array(some)) for c in (*keys, "node")], names=[*keys, "node"])
+
+    flagged = cut(tiles(keyed, keys, "node", TILE).select(*keys, "t0", "t1", *keyed.columns[2:]).mapInArrow(likely, "table int, key long, node long").distinct())
+    held = flagged.join(nodes.select("node", "label", "dim", "weight", "embedding"), "node")
+    held = held.mapInArrow(sign, f"node long, table int, key long, label long, dim int, weight long, embedding {kind}, sigs array<long>, sketch array<long>").drop("sketch")
 
     def verify(batches):
         for t in runs(batches, [*keys, "t0", "t1"]):
             if t.num_rows < 2:
                 continue
-            node, weight, chunk = (t.column(c).to_numpy() for c in ("node", "weight", "chunk"))
-            x, sigs = matrix(t.column("embedding")), matrix(t.column("sigs"))
-            size = unit(x)
-            i, j = np.nonzero(np.triu(x @ x.T / np.outer(size, size) >= cosine, 1))
-            now, new = t.column("table")[0].as_py(), np.ones(len(i), bool)
-            for at in range(0, len(i), 1 << 16):
-                p = slice(at, at + (1 << 16))
-                new[p] = ~(sigs[i[p], :now] == sigs[j[p], :now]).any(axis=1)
-            if t.column("t0")[0].as_py() != t.column("t1")[0].as_py():
-                new &= chunk[i] != chunk[j]
-            i, j = i[new], j[new]
-            if not len(i):
-                continue
+            label, dim = (t.column(c).to_numpy() for c in ("label", "dim"))
+            for part in {(a, d) for a, d in zip(label.tolist(), dim.tolist())}:
+                yield from linked_rows(t.take(pa.array(np.flatnonzero((label == part[0]) & (dim == part[1])))))
+
+    def linked_rows(t):
+        node, weight, chunk = (t.column(c).to_numpy() for c in ("node", "weight", "chunk"))
+        x, sigs = matrix(t.column("embedding")), matrix(t.column("sigs"))
+        size = unit(x)
+        i, j = np.nonzero(np.triu(x @ x.T / np.outer(size, size) >= cosine, 1))
+        now, new = t.column("table")[0].as_py(), np.ones(len(i), bool)
+        for at in range(0, len(i), 1 << 16):
+            p = slice(at, at + (1 << 16))
+            new[p] = ~(sigs[i[p], :now] == sigs[j[p], :now]).any(axis=1)
+        if t.column("t0")[0].as_py() != t.column("t1")[0].as_py():
+            new &= chunk[i] != chunk[j]
+        i, j = i[new], j[new]
+        if len(i):
             linked = np.zeros((len(x), len(x)), bool)
             linked[i, j] = linked[j, i] = True
             label = least_labels(linked)
@@ -103,7 +139,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.
             some = np.flatnonzero(count)
             yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[label[some]]), pa.array(count[some].astype(np.int64))], names=["a", "b", "n"])
 
-    found = cut(tiles(keyed, keys, "node", TILE).mapInArrow(verify, "a long, b long, n long"))
+    found = cut(tiles(held, keys, "node", TILE).mapInArrow(verify, "a long, b long, n long"))
     counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     member = nodes.join(counts, "node", "left").join(components(found.select("a", "b")), "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = member.groupBy("root").agg(F.min("vec_id").alias("component_id"))
@@ -182,13 +218,13 @@ class Forest:
             take *= 4
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 32, share: float = 0.6, least: int = 4000, block: int = 16384, seed: int = 9) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 32, share: float = 1.0, block: int = 16384, seed: int = 9) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row whose vec_id is divisible by ``every``.
 
     Every usable row is indexed, those that repeat a vec_id and its vector once.  Rows are dealt by hash to blocks of about
     ``block`` rows, each with its own forest; queries visit every block, and each
-    trees ascend until they hold ``share`` times the block's vectors together, and
-    ``least`` in any case; each block's k best meet in one ranking by score (cosine in double precision), ties
+    trees ascend until they hold ``share`` times the block's vectors together (a
+    vector counts in each tree, the query itself in none); each block's k best meet in one ranking by score (cosine in double precision), ties
     to the smaller vec_id.  Blocks hold any mixture of rows, so hot vectors or
     labels make no block larger.  Unusable vectors and rows without a vec_id take
     no part; vectors are compared with those of their own length only; where rows
@@ -219,7 +255,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 32, sh
                         parts = held.pop(d)
                         forests[d] = Forest(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]) + 0.0, trees, k + 1, seed)
                     if d in forests:
-                        out += forests[d].nearest(ids[at], x, k, max(least, math.ceil(share * len(forests[d].vectors))))
+                        out += forests[d].nearest(ids[at], x, k, trees + math.ceil(share * len(forests[d].vectors)))
             if out:
                 q, v, s = zip(*out)
                 yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
