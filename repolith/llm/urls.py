@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from repolith.llm._common import cut
 
+SUFFIXES = ("top", "domain", "ending")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -56,23 +57,33 @@ def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
 
 
 class UrlTrees:
-    """Boosted trees; ``rates`` are the suffix statistics, ``trees`` nested (feature, threshold, left, right) or leaf values."""
+    """Boosted trees.
 
-    def __init__(self, prior: float, rates: dict[str, dict[str, float]], trees: list):
+    ``rates`` are the suffix statistics: a table (v, rate) for each kind of suffix, of at most as many
+    rows as were learned from; ``trees`` are nested (feature, threshold, left, right) or leaf values.
+    """
+
+    def __init__(self, prior: float, rates: dict[str, DataFrame], trees: list):
         self.prior, self.rates, self.trees = prior, rates, trees
 
-    def features(self, url: str | Column = "url") -> list[Column]:
-        u = F.coalesce(F.col(url) if isinstance(url, str) else url, F.lit(""))
+    def with_features(self, rows: DataFrame, url: str = "url") -> DataFrame:
+        """The rows with a column for each feature, named as in ``names``."""
+        u = F.coalesce(F.col(f"`{url}`"), F.lit(""))
         host, path = host_path(u)
-        out = [c.cast("double").alias(n) for n, c in lexical(u, host, path).items()]
-        for kind, value in suffixes(u, host, path).items():
-            known = self.rates.get(kind) or {}
-            rate = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in sorted(known.items()) for x in p]), value), F.lit(self.prior)) if known else F.lit(self.prior)
-            out.append(rate.alias(f"{kind}_rate"))
+        found = lexical(u, host, path)
+        out = rows.withColumns({n: c.cast("double") for n, c in found.items()} | {f"{k}_of": c for k, c in suffixes(u, host, path).items()})
+        for kind in SUFFIXES:
+            if kind in self.rates:
+                known = self.rates[kind].select(F.col("v").alias(f"{kind}_of"), F.col("rate").alias(f"{kind}_known"))
+                out = out.join(F.broadcast(known), f"{kind}_of", "left")  # no more rows than the sample, which is bounded
+                out = out.withColumn(f"{kind}_rate", F.coalesce(f"{kind}_known", F.lit(self.prior))).drop(f"{kind}_known")
+            else:
+                out = out.withColumn(f"{kind}_rate", F.lit(self.prior))
+            out = out.drop(f"{kind}_of")
         return out
 
     def margin(self) -> Column:
-        """Log-odds of block, over the columns that ``features`` names."""
+        """Log-odds of block, over the features' columns."""
 
         def read(tree) -> Column:
             if not isinstance(tree, tuple):
@@ -93,85 +104,99 @@ def _odds(p: float) -> float:
     return log(p / (1 - p))
 
 
-def fit(labelled: DataFrame, rows: int = 20_000, trees: int = 8, depth: int = 3, bins: int = 16, rate: float = 0.4, suffix_values: int = 128) -> UrlTrees:
+def fit(labelled: DataFrame, rows: int = 20_000, trees: int = 8, depth: int = 3, bins: int = 16, rate: float = 0.4) -> UrlTrees:
     """Learn from (url, blocked 0/1): at most ``rows`` of them, those of the least url hashes.
 
-    Suffix statistics are smoothed block rates of the ``suffix_values`` most
-    frequent values of each suffix.  Each level of a tree is one aggregation of
-    gradients by node, feature and bin, of which the driver gets at most
-    nodes x features x bins rows.  Without labelled rows everything is allowed.
+    Suffix statistics are smoothed block rates of every value in that sample.  The
+    sample's features are cut once as bin numbers; then each level of a tree is one
+    aggregation of gradients by node, feature and bin, of which the driver gets at
+    most nodes x features x bins rows, and each tree leaves its margins as a column.
+    The bounded sample is one partition, so no level shuffles.  Without labelled
+    rows everything is allowed.
     """
     url = F.coalesce("url", F.lit(""))
     sample = labelled.select(url.alias("url"), F.col("blocked").cast("int").alias("y")).orderBy(F.xxhash64("url"), "url", "y").limit(rows)
-    sample = cut(sample.coalesce(2))
+    sample = cut(sample.coalesce(1))
     total, ones = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     prior = (ones + 0.5) / (total + 1) if total else 0.0
     if not 0 < ones < total:
         return UrlTrees(prior, {}, [])
     host, path = host_path("url")
-    rates: dict[str, dict[str, float]] = {}
-    for kind, value in suffixes(F.col("url"), host, path).items():
-        seen = sample.groupBy(value.alias("v")).agg(F.count("*").alias("n"), F.sum("y").alias("s")).orderBy(F.desc("n"), "v").limit(suffix_values).collect()
-        rates[kind] = {r["v"]: (r["s"] + 4 * prior) / (r["n"] + 4) for r in seen}
-    model = UrlTrees(prior, rates, [])
-    table = cut(sample.select("y", *model.features()).coalesce(2))
+    value = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("v")) for k, c in suffixes(F.col("url"), host, path).items()]))
+    seen = sample.coalesce(1).select("y", value.alias("x")).groupBy("x.kind", "x.v").agg(((F.sum("y") + 4 * prior) / (F.count("*") + 4)).alias("rate"))
+    seen = cut(seen)
+    model = UrlTrees(prior, {k: seen.filter(F.col("kind") == k).select("v", "rate") for k in SUFFIXES}, [])
+    table = cut(model.with_features(sample.coalesce(1)).drop("url"))
     names = [c for c in table.columns if c != "y"]
     cuts_at = table.agg(*[F.percentile_approx(n, [i / bins for i in range(1, bins)], 2000).alias(n) for n in names]).first()
     edges = {n: sorted(set(cuts_at[n])) for n in names}
+    binned = [_bin(F.col(n), edges[n]).alias(f"b{i}") for i, n in enumerate(names)]
+    now = cut(table.coalesce(1).select("y", F.lit(_odds(prior)).alias("m"), *binned))
     for _ in range(trees):
-        p = 1 / (1 + F.exp(-model.margin()))
-        rows_ = table.select(*names, (F.col("y") - p).alias("g"), (p * (1 - p)).alias("h"))
-        model.trees.append(_grow(rows_, names, edges, depth, rate))
+        p = 1 / (1 + F.exp(-F.col("m")))
+        splits, values = _grow(now.coalesce(1).withColumns({"g": F.col("y") - p, "h": p * (1 - p)}), names, edges, depth, rate)
+        model.trees.append(_tree(1, splits, values, names, edges))
+        now = cut(now.coalesce(1).withColumn("m", F.col("m") + _walk(1, splits, lambda node: F.lit(_leaf(values, node)))))
     return model
 
 
-def _grow(rows: DataFrame, names: list[str], edges: dict[str, list[float]], depth: int, rate: float, ridge: float = 1.0, least: float = 5.0):
-    """One regression tree on gradients g and curvatures h, level by level."""
-    splits: dict[int, tuple[str, float]] = {}
-    values: dict[int, float] = {}
+def _bin(value: Column, edges: list[float]) -> Column:
+    """How many of the edges the value is over."""
+    return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: value > e)) if edges else F.lit(0)
+
+
+def _leaf(values: dict[int, float], node: int) -> float:
+    return round(values.get(node, 0.0), 9)
+
 
-    def place() -> Column:
-        def go(node: int) -> Column:
-            if node not in splits:
-                return F.lit(node)
-            feature, t = splits[node]
-            return F.when(F.col(feature) <= t, go(2 * node)).otherwise(go(2 * node + 1))
+def _tree(node: int, splits: dict[int, tuple[int, int]], values: dict[int, float], names: list[str], edges: dict[str, list[float]]):
+    if node not in splits:
+        return _leaf(values, node)
+    f, b = splits[node]
+    left, right = (_tree(2 * node + k, splits, values, names, edges) for k in (0, 1))
+    return names[f], float(edges[names[f]][b]), left, right
 
-        return go(1)
 
+def _walk(node: int, splits: dict[int, tuple[int, int]], end) -> Column:
+    """``end`` of the node that a row of bin numbers comes to."""
+    if node not in splits:
+        return end(node)
+    f, b = splits[node]
+    return F.when(F.col(f"b{f}") <= b, _walk(2 * node, splits, end)).otherwise(_walk(2 * node + 1, splits, end))
+
+
+def _grow(rows: DataFrame, names: list[str], edges: dict[str, list[float]], depth: int, rate: float, ridge: float = 1.0, least: float = 5.0):
+    """One regression tree on gradients g and curvatures h, level by level: (feature, bin) of each split, and the nodes' values."""
+    splits: dict[int, tuple[int, int]] = {}
+    values: dict[int, float] = {}
     for level in range(depth):
-        binned = [F.struct(F.lit(i).alias("f"), sum([(F.col(n) > e).cast("int") for e in edges[n]], F.lit(0)).alias("b")) for i, n in enumerate(names)]
-        at = rows.select(place().alias("node"), "g", "h", F.explode(F.array(*binned)).alias("x")).filter(F.col("node") >= 2**level)
-        found = at.groupBy("node", "x.f", "x.b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect()
+        bins = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"b{i}").alias("b")) for i in range(len(names))]))
+        at = rows.select(_walk(1, splits, F.lit).alias("node"), "g", "h", bins.alias("x")).filter(F.col("node") >= 2**level)
         sums: dict[int, dict[int, dict[int, tuple[float, float]]]] = {}
-        for r in found:
+        for r in at.groupBy("node", "x.f", "x.b").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():
             sums.setdefault(r["node"], {}).setdefault(r["f"], {})[r["b"]] = r["g"], r["h"]
         grew = False
         for node, by in sums.items():
-            g, h = (sum(v[i] for v in by[0].values()) for i in (0, 1))
+            g, h = (sum(by[0][b][i] for b in sorted(by[0])) for i in (0, 1))
             values[node] = rate * g / (h + ridge)
             best = (1e-6,)
-            for f, hist in by.items():
+            for f, hist in sorted(by.items()):
                 gl = hl = 0.0
-                for b, t in enumerate(edges[names[f]]):
+                for b in range(len(edges[names[f]])):
                     gl, hl = gl + hist.get(b, (0, 0))[0], hl + hist.get(b, (0, 0))[1]
                     gr, hr = g - gl, h - hl
                     if min(hl, hr) < least / 4:
                         continue
                     gain = round(gl * gl / (hl + ridge) + gr * gr / (hr + ridge) - g * g / (h + ridge), 6)
                     if gain > best[0]:
-                        best = gain, f, t, rate * gl / (hl + ridge), rate * gr / (hr + ridge)
+                        best = gain, f, b, rate * gl / (hl + ridge), rate * gr / (hr + ridge)
             if len(best) > 1:
-                splits[node] = names[best[1]], float(best[2])
+                splits[node] = best[1], best[2]
                 values[2 * node], values[2 * node + 1] = best[3], best[4]
                 grew = True
         if not grew:
             break
-
-    def tree(node: int):
-        return (*splits[node], tree(2 * node), tree(2 * node + 1)) if node in splits else round(values.get(node, 0.0), 9)
-
-    return tree(1)
+    return splits, values
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], model: UrlTrees | None = None, **fit_options) -> DataFrame:
@@ -187,6 +212,6 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], model: UrlTrees | None
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumns({"rule": rule, "says": says})
     if model is None:
         model = fit(rows.filter(F.col("says").isNotNull()).select("url", (F.col("says") == "block").cast("int").alias("blocked")), **fit_options)
-    scored = rows.select("page_id", "host", "path", "rule", "says", *model.features()).withColumn("score", 1 / (1 + F.exp(-model.margin())))
+    scored = model.with_features(rows).withColumn("score", 1 / (1 + F.exp(-model.margin())))
     learned = F.when(F.col("score") > 0.5, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("says", learned).alias("verdict"), "score")

@@ -61,6 +61,31 @@ def test_embedding_dedup(spark, monkeypatch, tile):
     assert got == want
 
 
+def test_embedding_query_on_links_around_the_threshold(spark, tmp_path):
+    """The registered query with its own settings, on pairs placed at cosines around 0.93."""
+    from repolith.llm import queries
+
+    r, rows = np.random.default_rng(8), []
+    for k in range(600):
+        a, b = r.standard_normal((2, 64))
+        a /= np.sqrt(a @ a)
+        b -= (a @ b) * a
+        b /= np.sqrt(b @ b)
+        for c in (1.0, r.uniform(0.90, 0.96)):
+            rows.append((len(rows), [float(x) for x in np.float32(3 * (c * a + np.sqrt(1 - c * c) * b))], k % 2))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    x = np.array([e for _, e, _ in rows])
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    label = np.array([m for _, _, m in rows])
+    near = (x @ x.T >= 0.93) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    assert 400 < near.sum() < 800
+    got = {g.vec_id: g for g in queries.QUERIES["op3_embedding_dedup"](spark, str(tmp_path)).collect()}
+    for v in range(len(rows)):
+        least = min([v, *np.flatnonzero(near[v]).tolist()])
+        assert (got[v].n_links, got[v].component_id, got[v].kept) == (near[v].sum(), least, least == v)
+
+
 def test_nearest(spark):
     rows, frame = vectors(spark)
     got = embeddings.nearest(frame, every=50, k=5, share=8.0, block=100).collect()
@@ -152,8 +177,39 @@ def test_trees_learn(spark):
     train = spark.createDataFrame(rows[:600], "url string, blocked int")
     test = spark.createDataFrame(rows[600:], "url string, blocked int")
     model = urls.fit(train, trees=4, depth=2)
-    scored = test.select("blocked", *model.features()).withColumn("m", model.margin()).collect()
+    scored = model.with_features(test).withColumn("m", model.margin()).collect()
     assert sum((x.m > 0) == bool(x.blocked) for x in scored) >= 0.95 * len(scored)
+    rates = {k: {x.v: x.rate for x in t.collect()} for k, t in model.rates.items()}
+    assert all(0 < x < 1 for t in rates.values() for x in t.values())
+    for x in scored:  # the columns and the trees once more, by plain loops
+        host, path = brute_rule(x.url)[:2]
+        want = brute_features(x.url, host, path)
+        want |= {f"{k}_rate": rates[k].get(v, model.prior) for k, v in (("top", host.split(".")[-1]), ("domain", ".".join(host.split(".")[-2:])), ("ending", ""))}
+        assert all(math.isclose(x[n], v, abs_tol=1e-9) for n, v in want.items()), x
+        m = math.log(model.prior / (1 - model.prior))
+        for tree in model.trees:
+            while isinstance(tree, tuple):
+                tree = tree[2] if want[tree[0]] <= tree[1] else tree[3]
+            m += tree
+        assert math.isclose(m, x.m, abs_tol=1e-9)
+
+
+def brute_features(url, host, path):
+    n = len(url)
+    query = url.split("#")[0].partition("?")[2]
+    return {
+        "length": n, "host_length": len(host), "depth": path.count("/"), "labels": host.count("."), "digits": sum(c in "0123456789" for c in url) / max(n, 1),
+        "entropy": -sum(url.count(c) / n * math.log2(url.count(c) / n) for c in set(url)), "parameters": query.count("&") + 1 if query else 0,
+        "hyphens": url.count("-") + url.count("_"), "secure": float(url.startswith("https")),
+    }
+
+
+def test_urls_long_and_repeated(spark):
+    long = "http://a.example.com/de/" + "x/" * 20_000 + "?" + "&".join(f"p{k}={k}" for k in range(3000))
+    rows = [(1, long), (1, long), (2, "http://b.test/q.html"), (2, "http://b.test/q.html"), (None, None), (3, "http://c.org/fr/")]
+    frame = spark.createDataFrame([(*x, "mine") for x in rows], "page_id long, url string, length string")
+    got = sorted(((x.page_id or 0, x.rule, x.verdict, round(x.score, 9)) for x in urls.judge(frame, URL_RULES).collect()), key=str)
+    assert len(got) == len(rows) and got[1] == got[2] and got[1][1:3] == ("example.com/de/", "block") and got[3] == got[4]
 
 
 def test_no_python_in_url_plan(spark):
