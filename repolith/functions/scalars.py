@@ -43,10 +43,10 @@ def calendar_days(then: Column, now: Column, missing: int = 10**6) -> Column:
 
 
 def duration_seconds(text: Column, cap_days: int = 30) -> Column:
-    """Seconds of ``14d``, ``12h`` or ``30m``, positive and capped; null for anything else."""
-    n = F.try_to_number(F.regexp_extract(text, r"^(\d{1,9})[dhm]$", 1), F.lit("999999999")).cast("long")
-    unit = F.when(text.endswith("d"), 86400).when(text.endswith("h"), 3600).otherwise(60)
-    return F.when(n > 0, F.least(n * unit, F.lit(cap_days * 86400)))
+    """Seconds of ``14d``, ``12h`` or ``30m``; null for anything else, for zero and for more than ``cap_days``."""
+    n = F.try_to_number(F.regexp_extract(F.trim(text), r"^(\d{1,9})[dhm]$", 1), F.lit("999999999")).cast("long")
+    unit = F.when(F.trim(text).endswith("d"), 86400).when(F.trim(text).endswith("h"), 3600).otherwise(60)
+    return F.when((n > 0) & (n * unit <= cap_days * 86400), n * unit)
 
 
 def percentage(part: Column, whole: Column, digits: int = 1) -> Column:
@@ -85,3 +85,67 @@ def normal_path(path: Column) -> Column:
     parts = F.filter(F.split(F.translate(path, "\\", "/"), "/"), lambda p: (p != "") & (p != "."))
     step = lambda done, p: F.when(done.isNull() | ((p == "..") & (F.size(done) == 0)), F.lit(None)).when(p == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(p)))
     return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
+
+
+def one_line(text: Column, size: int) -> Column:
+    """White space collapsed, cut at a word's end so that with ``...`` it has at most ``size`` characters; a longer first word is cut inside."""
+    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
+    head = F.substring(flat, 1, size - 2)
+    words = F.regexp_extract(head, r"^(.*)\s\S*$", 1)
+    return F.when(F.length(flat) <= size, flat).otherwise(F.concat(F.when(words != "", words).otherwise(F.substring(flat, 1, size - 3)), F.lit("...")))
+
+
+def date_prefix(*fields: Column) -> Column:
+    """The first ten characters of the first field that has as many; they aren't checked to be a date."""
+    return F.coalesce(*[F.when(F.length(f) >= 10, F.substring(f, 1, 10)) for f in fields])
+
+
+def line_of(text: Column, offset: Column) -> Column:
+    """The line (from 1) of a character offset (from 0)."""
+    head = F.substring(text, F.lit(1), offset)
+    return F.length(head) - F.length(F.translate(head, "\n", "")) + 1
+
+
+def column_of(text: Column, offset: Column) -> Column:
+    """The column (from 1) of a character offset (from 0)."""
+    head = F.substring(text, F.lit(1), offset)
+    return F.length(F.element_at(F.split(head, "\n"), -1)) + 1
+
+
+def java_version_key(v: Column) -> Column:
+    """``version_key`` in which the old ``1.8`` counts as ``8``."""
+    return version_key(F.regexp_replace(v, r"^\D*1\.(?=\d)", ""))
+
+
+def canonical_json(row: Column | str) -> Column:
+    """A JSON object's members by name, as text: one identity for whatever order they came in."""
+    pairs = F.from_json(row, "map<string, string>")
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(pairs))))
+
+
+def tree_digest(files, by: list[str]):
+    """(by, digest): SHA-256 over the sorted (path, digest of the bytes) of (by, path, text)."""
+    own = F.concat_ws(":", "path", F.sha2("text", 256))
+    return files.groupBy(*by).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(own)), "\n"), 256).alias("digest"))
+
+
+def cell(text: Column) -> Column:
+    """Text for a cell of a Markdown table."""
+    return F.replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s*\n\s*", " "), F.lit("|"), F.lit("\\|"))
+
+
+def nested(doc: Column, path: str, default: str) -> Column:
+    """A member of a JSON document by its path (``$.a.b``), or the default where it is absent or null."""
+    return F.coalesce(F.get_json_object(doc, path), F.lit(default))
+
+
+def description(text: Column, least: int = 16, most: int = 150) -> Column:
+    """The first paragraph of a source's leading docstring or comment, on one line of at most ``most`` characters; null if it has fewer than ``least``."""
+    body = F.regexp_replace(text, r"\A(?:\ufeff|#![^\n]*\n|\s)*", "")
+    quoted = F.regexp_extract(body, r"(?s)\A[rRuU]?(?:\"\"\"|''')(.*?)(?:\"\"\"|''')", 1)
+    block = F.regexp_replace(F.regexp_extract(body, r"(?s)\A/\*+(.*?)\*/", 1), r"(?m)^\s*\*+ ?", "")
+    marked = F.regexp_replace(F.regexp_extract(body, r"\A((?:[ \t]*(?:#|//+)[^\n]*(?:\n|\z))+)", 1), r"(?m)^\s*(?:#+|//+)!? ?", "")
+    found = F.when(quoted != "", quoted).when(block != "", block).otherwise(marked)
+    first = F.regexp_extract(F.regexp_replace(found, r"\A\s+", ""), r"(?s)\A(.+?)(?:\n\s*\n|\z)", 1)
+    short = one_line(first, most)
+    return F.when(F.length(short) >= least, short)

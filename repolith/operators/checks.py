@@ -1,19 +1,23 @@
-"""Checks of Python sources by name: each yields (line, column, message) for a syntax tree; and branch scores of functions."""
+"""Checks of Python sources by name: each yields (line, column, last line, message) for a syntax tree; and branch scores of functions."""
 
 from __future__ import annotations
 
 import ast
+import re
 from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-Check = Callable[[ast.AST], Iterator[tuple[int, int, str]]]
+from repolith.operators.facts import FUNCTIONS, over_sources
+
+Check = Callable[[ast.AST], Iterator[tuple[int, int, int, str]]]
 
 CHECKS: dict[str, Check] = {}
 
 BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp, ast.match_case)
-FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+#: Handlers of these catch everything.
+BROAD = ("Exception", "BaseException")
 
 
 def check(rule: str) -> Callable[[Check], Check]:
@@ -26,18 +30,34 @@ def check(rule: str) -> Callable[[Check], Check]:
     return add
 
 
+def broad(handler: ast.ExceptHandler) -> bool:
+    return handler.type is None or (isinstance(handler.type, ast.Name) and handler.type.id in BROAD)
+
+
+def silent(body: list[ast.stmt]) -> str | None:
+    """What the only statement of a body does, if it hides the error."""
+    match body:
+        case [ast.Pass()]:
+            return "pass"
+        case [ast.Continue()]:
+            return "continue"
+        case [ast.Return(value=None) | ast.Return(value=ast.Constant(value=None))]:
+            return "return None"
+    return None
+
+
 @check("silent-handler")
 def silent_handler(tree):
     for node in ast.walk(tree):
-        if isinstance(node, ast.ExceptHandler) and all(isinstance(s, (ast.Pass, ast.Continue)) for s in node.body):
-            yield node.lineno, node.col_offset, "handler hides the error"
+        if isinstance(node, ast.ExceptHandler) and broad(node) and (how := silent(node.body)):
+            yield node.lineno, node.col_offset, node.body[-1].end_lineno, f"handler hides the error by {how}"
 
 
 @check("bare-handler")
 def bare_handler(tree):
     for node in ast.walk(tree):
         if isinstance(node, ast.ExceptHandler) and node.type is None:
-            yield node.lineno, node.col_offset, "handler names no error"
+            yield node.lineno, node.col_offset, node.lineno, "handler names no error"
 
 
 def branch_score(function: ast.AST) -> int:
@@ -54,44 +74,35 @@ def branch_score(function: ast.AST) -> int:
     return score
 
 
-def _over(files: DataFrame, rows_of: Callable[[ast.AST], Iterator[tuple]], fields: list[tuple[str, pa.DataType]], schema: str) -> DataFrame:
-    """Rows of each file's tree, in Arrow batches; files that can't be parsed (or hold no text) give none."""
-
-    def run(batches):
-        for b in batches:
-            rows = []
-            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                try:
-                    rows += [(path, *r) for r in rows_of(ast.parse(text or ""))]
-                except (SyntaxError, ValueError, RecursionError):
-                    continue
-            cols = list(zip(*rows)) or [[]] * len(fields)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields)], names=[n for n, _ in fields])
-
-    return files.select("path", "text").mapInArrow(run, schema)
-
+def run_checks(files: DataFrame, rules: list[str] | None = None, routes: dict[str, tuple[str, str | None]] | None = None) -> DataFrame:
+    """(path, rule, line, col, message) of the named checks, all if none is named, over (path, text); an unknown name is an error.
 
-def run_checks(files: DataFrame, rules: list[str] | None = None) -> DataFrame:
-    """(path, rule, line, col, message) of the named checks, all if none is named, over (path, text); an unknown name is an error."""
+    ``routes`` gives a rule the paths it is for (a regex to find, and one that must not be found).  A finding
+    goes if one of its lines holds ``# noqa: <rule>: <reason>`` with a reason.
+    """
     chosen = {r: CHECKS[r] for r in (CHECKS if rules is None else rules)}
 
-    def rows_of(tree):
+    def rows_of(tree, lines):
         for rule, f in chosen.items():
-            for found in f(tree):
-                yield rule, *found
+            allowed = re.compile(rf"#\s*noqa:\s*{re.escape(rule)}:\s*\S")
+            for line, col, end, message in f(tree):
+                if not any(allowed.search(x) for x in lines[line - 1 : end]):
+                    yield rule, line, col, message
 
-    fields = [("path", pa.string()), ("rule", pa.string()), ("line", pa.int32()), ("col", pa.int32()), ("message", pa.string())]
-    return _over(files, rows_of, fields, "path string, rule string, line int, col int, message string")
+    found = over_sources(files, {"rule": "string", "line": "int", "col": "int", "message": "string"}, rows_of)
+    for rule, (include, exclude) in (routes or {}).items():
+        fits = F.col("path").rlike(include) & ~(F.col("path").rlike(exclude) if exclude else F.lit(False))
+        found = found.filter((F.col("rule") != rule) | fits)
+    return found
 
 
 def hotspots(files: DataFrame, least_score: int, least_lines: int = 1) -> DataFrame:
     """(path, name, line, end_line, branch_score) of functions with at least that score and that many lines."""
 
-    def rows_of(tree):
+    def rows_of(tree, lines):
         for node in ast.walk(tree):
             if isinstance(node, FUNCTIONS):
                 yield node.name, node.lineno, node.end_lineno, branch_score(node)
 
-    fields = [("path", pa.string()), ("name", pa.string()), ("line", pa.int32()), ("end_line", pa.int32()), ("branch_score", pa.int32())]
-    found = _over(files, rows_of, fields, "path string, name string, line int, end_line int, branch_score int")
+    found = over_sources(files, {"name": "string", "line": "int", "end_line": "int", "branch_score": "int"}, rows_of)
     return found.filter((found.branch_score >= least_score) & (found.end_line - found.line + 1 >= least_lines))

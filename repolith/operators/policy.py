@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolith.functions.scalars import version_key
+from repolith.operators.relational import small
 
 
 def unquoted(command: Column) -> Column:
@@ -18,12 +19,12 @@ def evaluate(commands: DataFrame, rules: DataFrame, first_only: list[str]) -> Da
 
     commands: id, command; rules: rule, pattern, raw, grp, decision, ordinal.  Rules
     that aren't raw see the command without quoted text.  Of a group in
-    ``first_only``, the first matching rule counts.  The rules are joined by their
-    pattern; Spark broadcasts them only if they are small by its own size check.
+    ``first_only``, the first matching rule counts.  The rules are broadcast once
+    they are counted; see ``relational.small``.
     """
     seen = commands.withColumn("plain", unquoted(F.col("command")))
     subject = F.when(F.col("raw"), F.col("command")).otherwise(F.col("plain"))
-    hits = seen.join(rules, F.regexp_like(subject, F.col("pattern")))
+    hits = seen.join(small(rules), F.regexp_like(subject, F.col("pattern")))
     nth = F.row_number().over(Window.partitionBy("id", "grp").orderBy("ordinal"))
     return hits.withColumn("nth", nth).filter((F.col("nth") == 1) | ~F.col("grp").isin(first_only)).select("id", "rule", "decision", "ordinal")
 
@@ -54,15 +55,34 @@ def grants_for(requests: DataFrame, grants: DataFrame) -> DataFrame:
     return rows.filter(session & command & paths).select("request", "grant")
 
 
+#: How a patch names the file whose lines follow: unified diffs, ``*** Add File:`` blocks and ``Index:`` headers.
+HEADERS = (r"^\+\+\+ (?:b/)?(\S+)", r"^\*\*\* (?:Add|Update) File: (\S+)", r"^Index: (\S+)")
+
+
 def patch_additions(patches: DataFrame) -> DataFrame:
-    """(id, path, line, text) of added lines of unified diffs; the file is carried down from its header."""
+    """(id, path, line, text) of added lines of patches in three dialects; the file is carried down from its header."""
     rows = patches.select("id", F.posexplode(F.split("patch", "\n")).alias("at", "text"))
-    header = F.regexp_extract("text", r"^\+\+\+ (?:b/)?(\S+)", 1)
-    path = F.last(F.when(header != "", header), ignorenulls=True).over(Window.partitionBy("id").orderBy("at"))
+    header = F.concat(*[F.regexp_extract("text", h, 1) for h in HEADERS])
+    deleted = F.col("text").rlike(r"^\*\*\* Delete File: ")
+    path = F.last(F.when(deleted, "/dev/null").when(header != "", header), ignorenulls=True).over(Window.partitionBy("id").orderBy("at"))
     added = F.col("text").startswith("+") & ~F.col("text").startswith("+++")
     return rows.withColumn("path", path).filter(added & (F.col("path") != "/dev/null")).select("id", "path", (F.col("at") + 1).alias("line"), F.expr("substring(text, 2)").alias("text"))
 
 
+#: Predicates over added lines (columns path and text) by name; a caller may put others in their place.
+PREDICATES = {
+    "secret": lambda: F.col("text").rlike(r"(?i)(?:password|secret|token|api_key)\s*[:=]\s*[\"'][^\"']{4,}"),
+    "debugger": lambda: F.col("path").endswith(".py") & F.col("text").rlike(r"^\s*(?:import pdb|breakpoint\()"),
+}
+
+
+def patch_findings(additions: DataFrame, predicates: dict | None = None) -> DataFrame:
+    """(id, path, line, predicate) of added lines for which a predicate holds; ``predicates`` take the place of those of the same name."""
+    chosen = PREDICATES | (predicates or {})
+    hit = F.filter(F.array(*[F.when(F.coalesce(p(), F.lit(False)), n) for n, p in chosen.items()]), lambda x: x.isNotNull())
+    return additions.select("id", "path", "line", F.explode(hit).alias("predicate"))
+
+
 def suppress(findings: DataFrame, markers: DataFrame) -> DataFrame:
     """Findings without a marker of their rule on one of the lines [start, end] of the same path."""
     m = markers.select(F.col("path").alias("m_path"), F.col("rule").alias("m_rule"), F.col("line").alias("m_line"))
@@ -77,6 +97,14 @@ def tool_status(tools: DataFrame) -> DataFrame:
     return n.select("capability", one.alias("status"))
 
 
+def trajectory(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(callee, option, was, share, course) of two ``divergence`` results: spreading, receding, steady, new or closed."""
+    a = before.select("callee", "option", F.col("share").alias("was"))
+    rows = a.join(after.select("callee", "option", "share"), ["callee", "option"], "full_outer")
+    course = F.when(F.col("was").isNull(), "new").when(F.col("share").isNull(), "closed").when(F.col("share") > F.col("was"), "spreading").when(F.col("share") < F.col("was"), "receding").otherwise("steady")
+    return rows.select("callee", "option", "was", "share", course.alias("course"))
+
+
 def divergence(calls: DataFrame, least_share: float = 0.8, least_size: int = 3) -> DataFrame:
     """(callee, option, present, size, share, stragglers) for options that most call sites of a callee pass and some don't.
 

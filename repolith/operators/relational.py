@@ -35,10 +35,22 @@ def matches_any(path: Column, globs: list[str]) -> Column:
     return out
 
 
+#: Rows of a rule table that may be broadcast; rules are joined by regexes, so every item meets every rule.
+MOST_RULES = 10_000
+
+
+def small(rules: DataFrame, most: int = MOST_RULES) -> DataFrame:
+    """The rules marked for broadcast once they are counted; more than ``most`` of them are an error."""
+    n = rules.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} rules")
+    return F.broadcast(rules)
+
+
 def route(items: DataFrame, rules: DataFrame, text: str) -> DataFrame:
-    """(item columns, rule columns) for include/exclude regexes in ``rules``; the rules are a small table of a checked plan size."""
+    """(item columns, rule columns) for include/exclude regexes in ``rules``, a small table whose size is checked."""
     hit = F.regexp_like(F.col(text), F.col("include")) & ~F.coalesce(F.regexp_like(F.col(text), F.col("exclude")), F.lit(False))
-    return items.join(rules, hit).dropDuplicates([text, "rule"])
+    return items.join(small(rules), hit).dropDuplicates([text, "rule"])
 
 
 # joins
@@ -82,19 +94,35 @@ def compare_sides(left: DataFrame, right: DataFrame, key: str, digest: str) -> D
 
 
 def overlapping(items: DataFrame, ranges: DataFrame, on: list[str]) -> DataFrame:
-    """Items [start, end] that meet a range of the same key, inclusive."""
-    r = ranges.select(*on, F.col("start").alias("__s"), F.col("end").alias("__e"))
-    cond = [F.col("start") <= F.col("__e"), F.col("end") >= F.col("__s")]
-    renamed = r.select(*[F.col(c).alias(f"__{c}") for c in on], "__s", "__e")
-    return items.join(renamed, [F.col(c) == F.col(f"__{c}") for c in on] + cond, "left_semi")
+    """Items [start, end] that meet a range of the same key, inclusive.
+
+    One window over both: of the ranges that start no later than an item ends, the
+    furthest end decides.  Nothing is paired, however many of both a key has.
+    """
+    held = F.struct(*[F.col(f"`{c}`") for c in items.columns])
+    a = items.select(*on, F.col("end").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("__reach"), held.alias("__item"))
+    b = ranges.select(*on, F.col("start").alias("__at"), F.lit(0).alias("__kind"), F.col("end").cast("long").alias("__reach"), F.lit(None).cast(a.schema["__item"].dataType).alias("__item"))
+    w = Window.partitionBy(*on).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = a.unionByName(b).withColumn("__furthest", F.max("__reach").over(w))
+    return both.filter((F.col("__kind") == 1) & (F.col("__furthest") >= F.col("__item.start"))).select("__item.*")
 
 
 def containing(items: DataFrame, spans: DataFrame, on: list[str], name: str) -> DataFrame:
-    """The innermost span (latest start, then earliest end) that holds each item [start, end]; null where none."""
+    """The innermost span (latest start, then earliest end) that holds each item [start, end]; null where none.  Equal items stay apart."""
+    n = items.groupBy(*items.columns).agg(F.count("*").alias("__n"))
     s = spans.select(*[F.col(c).alias(f"__{c}") for c in on], F.col("start").alias("__s"), F.col("end").alias("__e"), F.col(name).alias("__name"))
-    hits = items.join(s, [F.col(c) == F.col(f"__{c}") for c in on] + [F.col("start") >= F.col("__s"), F.col("end") <= F.col("__e")], "left")
-    best = F.max_by("__name", F.struct("__s", -F.col("__e")))
-    return hits.groupBy(*items.columns).agg(best.alias(name))
+    hits = n.join(s, [F.col(c) == F.col(f"__{c}") for c in on] + [F.col("start") >= F.col("__s"), F.col("end") <= F.col("__e")], "left")
+    best = hits.groupBy(*items.columns, "__n").agg(F.max_by("__name", F.struct("__s", -F.col("__e"))).alias(name))
+    return best.withColumn("__each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).drop("__each", "__n")
+
+
+def placed(items: DataFrame, spans: DataFrame, on: list[str], name: str) -> DataFrame:
+    """``containing`` with ``reason``: null where a span holds the item, ``crosses`` where one only meets it, else ``outside``."""
+    held = containing(items, spans, on, name)
+    met = overlapping(held, spans, on).select(*held.columns, F.lit(True).alias("met")).distinct()
+    same = [held[c].eqNullSafe(met[c]) for c in held.columns]
+    rows = held.join(met, same, "left").select(*[held[c] for c in held.columns], "met")
+    return rows.withColumn("reason", F.when(F.col(name).isNull(), F.when(F.col("met"), "crosses").otherwise("outside"))).drop("met")
 
 
 def last_before(events: DataFrame, probe: Column, other: Column, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
@@ -112,7 +140,7 @@ def mentions(texts: DataFrame, terms: DataFrame, key: str, text: str, pattern: s
     """term, n (texts that mention it) and hits, by an inverted index; unmentioned terms keep 0."""
     words = texts.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(f"({pattern})"), F.lit(1))).alias("term"))
     wanted = terms.select(F.lower("term").alias("term")).distinct()
-    found = words.groupBy("term", key).count().join(wanted, "term").groupBy("term").agg(F.count("*").alias("n"), F.sum("count").alias("hits"))
+    found = words.join(wanted, "term", "left_semi").groupBy("term", key).count().groupBy("term").agg(F.count("*").alias("n"), F.sum("count").alias("hits"))
     return wanted.join(found, "term", "left").na.fill(0, ["n", "hits"])
 
 
@@ -151,11 +179,14 @@ def resolve_imports(specs: DataFrame, files: DataFrame, aliases: DataFrame) -> D
 
 
 def latest(rows: DataFrame, key: list[str], ts: str, ordinal: str) -> DataFrame:
-    """The latest row of each key and ``superseded``, the number of others; equal times keep the first, a null time is the epoch."""
+    """The latest row of each key and ``superseded``, the number of others; equal times keep the first, a null time is the epoch.
+
+    One partial aggregation; ``ordinal`` is a number.
+    """
+    rest = [c for c in rows.columns if c not in key]
     t = F.coalesce(F.col(ts), F.timestamp_seconds(F.lit(0)))
-    by = Window.partitionBy(*key)
-    ranked = rows.withColumns({"nth": F.row_number().over(by.orderBy(t.desc(), ordinal)), "superseded": F.count("*").over(by) - 1})
-    return ranked.filter("nth = 1").drop("nth")
+    best = F.max_by(F.struct(*rest), F.struct(t, -F.col(ordinal)))
+    return rows.groupBy(*key).agg(best.alias("__row"), (F.count("*") - 1).alias("superseded")).select(*key, "__row.*", "superseded").select(*rows.columns, "superseded")
 
 
 def keep_first(rows: DataFrame, key: list[str], ordinal: str) -> DataFrame:
@@ -198,8 +229,10 @@ def histograms(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(pairs.alias("x")).groupBy("x.facet", "x.value").agg(F.count("*").alias("n"))
 
 
-def clone_groups(rows: DataFrame, key: list[str], place: str, least: int = 2) -> DataFrame:
-    """Keys in ``least`` distinct places or more: occurrences counts rows."""
+def clone_groups(rows: DataFrame, key: list[str], place: str, least: int = 2, hooks: tuple[str, ...] = ()) -> DataFrame:
+    """Keys in ``least`` distinct places or more: occurrences counts rows.  Rows whose ``name`` is dunder or one of the ``hooks`` are left out."""
+    if "name" in rows.columns:
+        rows = rows.filter(~F.col("name").rlike("^__.*__$") & ~F.col("name").isin(*hooks))
     out = rows.groupBy(*key).agg(F.count("*").alias("occurrences"), F.countDistinct(place).alias("places"))
     return out.filter(F.col("places") >= least)
 
@@ -225,10 +258,50 @@ def top_ties(rows: DataFrame, score: str, k: int) -> DataFrame:
     return rows.join(kept, score, "left_semi")
 
 
-def grade(planted: DataFrame, found: DataFrame) -> DataFrame:
-    """tp, fp, fn, precision and recall of findings on planted lines, pairing equal (file, line) one to one; empty denominators are 1."""
-    w = Window.partitionBy("file", "line").orderBy("ordinal")
-    a = planted.withColumn("nth", F.row_number().over(w)).select("file", "line", "nth", F.lit(1).alias("a"))
-    b = found.withColumn("nth", F.row_number().over(w)).select("file", "line", "nth", F.lit(1).alias("b"))
-    n = a.join(b, ["file", "line", "nth"], "full_outer").agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("tp"), F.count_if(F.col("a").isNull()).alias("fp"), F.count_if(F.col("b").isNull()).alias("fn"))
-    return n.withColumns({"precision": F.when(F.col("tp") + F.col("fp") == 0, 1.0).otherwise(F.col("tp") / (F.col("tp") + F.col("fp"))), "recall": F.when(F.col("tp") + F.col("fn") == 0, 1.0).otherwise(F.col("tp") / (F.col("tp") + F.col("fn")))})
+def first_n(rows: DataFrame, key: list[str], ordinal: str, n: int = 3) -> DataFrame:
+    """The first ``n`` rows of each key in the order they came."""
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(ordinal))).filter(F.col("nth") <= n).drop("nth")
+
+
+def stragglers(rows: DataFrame, group: list[str], variant: str, site: str) -> DataFrame:
+    """(group, variant, sites) of the classified rows that don't follow the majority of their group."""
+    less = census(rows, group, variant).filter("NOT majority").select(*group, variant)
+    return rows.join(less, [*group, variant], "left_semi").groupBy(*group, variant).agg(F.array_sort(F.collect_set(site)).alias("sites"))
+
+
+MATCH = "file string, finding string, instance string"
+
+
+def match_findings(planted: DataFrame, found: DataFrame, tolerance: int = 0) -> DataFrame:
+    """(file, finding, instance): each finding takes the first instance of its file that is left within ``tolerance`` lines, in the order they came.
+
+    planted: id, file, line, ordinal; found: id, file, line, ordinal.  Without a
+    tolerance, equal lines are paired by rank; with one, each file is matched in one go.
+    """
+    if tolerance == 0:
+        w = Window.partitionBy("file", "line").orderBy("ordinal")
+        a = planted.select("file", "line", F.col("id").alias("instance"), F.row_number().over(w).alias("nth"))
+        b = found.select("file", "line", F.col("id").alias("finding"), F.row_number().over(w).alias("nth"))
+        return a.join(b, ["file", "line", "nth"]).select("file", F.col("finding").cast("string"), F.col("instance").cast("string"))
+
+    def pair(key, left, right):
+        import pandas as pd
+
+        free, out = list(left.sort_values("ordinal").itertuples()), []
+        for f in right.sort_values("ordinal").itertuples():
+            at = next((i for i, p in enumerate(free) if abs(p.line - f.line) <= tolerance), None)
+            if at is not None:
+                out.append((key[0], str(f.id), str(free.pop(at).id)))
+        return pd.DataFrame(out, columns=["file", "finding", "instance"])
+
+    columns = ["id", "file", "line", "ordinal"]
+    return planted.select(*columns).groupBy("file").cogroup(found.select(*columns).groupBy("file")).applyInPandas(pair, MATCH)
+
+
+def grade(planted: DataFrame, found: DataFrame, tolerance: int = 0) -> DataFrame:
+    """tp, fp, fn, precision, recall (empty denominators are 1) and verdict (pass without misses and false positives) of findings on planted lines."""
+    n = match_findings(planted, found, tolerance).agg(F.count("*").alias("tp"))
+    n = n.crossJoin(planted.agg(F.count("*").alias("planted"))).crossJoin(found.agg(F.count("*").alias("found")))  # one row each
+    share = lambda of: F.when(F.col(of) == 0, 1.0).otherwise(F.col("tp") / F.col(of))
+    n = n.withColumns({"fp": F.col("found") - F.col("tp"), "fn": F.col("planted") - F.col("tp"), "precision": share("found"), "recall": share("planted")})
+    return n.withColumn("verdict", F.when((F.col("fp") == 0) & (F.col("fn") == 0), "pass").otherwise("fail")).select("tp", "fp", "fn", "precision", "recall", "verdict")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repolith.functions.scalars import calendar_days, elapsed_days, iso_timestamp, percentage
 from repolith.operators.relational import flags, latest, reasons
+from repolith.sources.sinks import shown
 
 
 def triage(scans: DataFrame, findings: DataFrame, dismissals: DataFrame, now: str, grace_days: int = 7) -> DataFrame:
@@ -35,6 +39,21 @@ def gate(rows: DataFrame, state: str = "unaccounted") -> int:
     return int(rows.filter(F.col("state") == state).limit(1).count() > 0)
 
 
+def report(build: Callable[[], DataFrame], state: str = "unaccounted", form: str = "text", limit: int = 100) -> tuple[int, str]:
+    """(exit status, report): 0 if no row of what is built is in the state, 1 if some are, 2 if it can't be built, as text or JSON."""
+    try:
+        rows = build()
+        bad = rows.filter(F.col("state") == state)
+        some, more = shown(bad, limit)
+    except Exception as e:  # the caller gets a status, not a trace
+        text = f"{type(e).__name__}: {e}".split("\n")[0][:200]
+        return 2, json.dumps({"status": 2, "error": text}) if form == "json" else f"error: {text}"
+    status = int(bool(some))
+    if form == "json":
+        return status, json.dumps({"status": status, "rows": [r.asDict(True) for r in some], "omitted": more}, default=str)
+    return status, "\n".join([", ".join(f"{k}={v}" for k, v in r.asDict().items()) for r in some] + [f"{len(some) + more} {state}"])
+
+
 def needs_review(ledger: DataFrame, metrics: DataFrame, today: str, days: int = 90, loc_delta: int = 50) -> DataFrame:
     """Entries with their reasons; planned decisions are passed over, and a file without metrics keeps its prior size."""
     rows = ledger.join(metrics.select("path", F.col("loc").alias("loc_now"), F.col("last_commit").alias("commit_now")), "path", "left")
@@ -59,15 +78,23 @@ def friction(events: DataFrame, now: str, days: int = 14, vocabulary: tuple[str,
 
 
 def coverage(items: DataFrame, refs: DataFrame) -> DataFrame:
-    """Each spec item with its references and disposition, and orphan references as rows of disposition ``orphan``."""
+    """Each spec item with its references and buckets, and orphan references as rows of bucket ``orphan``.
+
+    Buckets may overlap: done without a reference is ``unproven``; referenced before it
+    is done is ``ahead``, and if its status is partial ``partial`` too.
+    """
     n = refs.groupBy("spec", "item").agg(F.count("*").alias("refs"), F.countDistinct("path").alias("files"))
     rows = items.join(n, ["spec", "item"], "full_outer").withColumn("refs", F.coalesce("refs", F.lit(0))).withColumn("files", F.coalesce("files", F.lit(0)))
-    kind = F.when(F.col("status").isNull(), "orphan").when((F.col("status") == "done") & (F.col("refs") == 0), "unproven").when((F.col("status") != "done") & (F.col("refs") > 0), "ahead").when(F.col("refs") > 0, "covered").otherwise("open")
-    return rows.select("spec", "item", "status", "refs", "files", kind.alias("disposition"))
+    done, some, there = F.col("status") == "done", F.col("refs") > 0, F.col("status").isNotNull()
+    buckets = F.array(
+        F.when(~there, "orphan"), F.when(done & ~some, "unproven"), F.when(done & some, "covered"), F.when(there & (F.col("status") == "partial"), "partial"),
+        F.when(there & ~done & some, "ahead"), F.when(there & ~done & ~some & (F.col("status") != "partial"), "open"),
+    )
+    return rows.select("spec", "item", "status", "refs", "files", F.filter(buckets, lambda b: b.isNotNull()).alias("buckets"))
 
 
 def compliance(lines: DataFrame, good: str, bad: str) -> DataFrame:
-    """Lines by path: compliant (both patterns count as compliant), violating, pct."""
-    ok = F.col("text").rlike(good)
+    """Lines by path: compliant (they hold the text ``good``, whatever else), violating (the regex ``bad`` without it), pct."""
+    ok = F.col("text").contains(good)
     n = lines.groupBy("path").agg(F.count_if(ok).alias("compliant"), F.count_if(~ok & F.col("text").rlike(bad)).alias("violating"))
     return n.withColumn("pct", percentage(F.col("compliant"), F.col("compliant") + F.col("violating")))

@@ -7,13 +7,19 @@ import tempfile
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from repolith.functions.scalars import ancestors
 from repolith.operators.relational import owner, reasons
 
 
 def dispositions(candidates: DataFrame, registry: DataFrame, exemptions: DataFrame) -> DataFrame:
-    """path, owner (all winners) and registered, ambiguous, exempt or uncovered for each candidate path."""
+    """path, owner (all winners) and registered, ambiguous, exempt, partial or uncovered for each candidate path.
+
+    A folder that no prefix holds but that holds a registered prefix is ``partial``.
+    """
     rows = owner(candidates, registry, ties="all").join(exemptions.select("path", F.lit(True).alias("exempt")).distinct(), "path", "left")
-    state = F.when(F.size("owner") > 1, "ambiguous").when(F.size("owner") == 1, "registered").when(F.col("exempt"), "exempt").otherwise("uncovered")
+    above = registry.select(F.explode(ancestors(F.col("prefix"))).alias("path")).distinct().withColumn("above", F.lit(True))
+    rows = rows.join(above, "path", "left")
+    state = F.when(F.size("owner") > 1, "ambiguous").when(F.size("owner") == 1, "registered").when(F.col("exempt"), "exempt").when(F.col("above"), "partial").otherwise("uncovered")
     return rows.select("path", "owner", state.alias("state"))
 
 
@@ -38,6 +44,18 @@ def decision_drift(decisions: DataFrame, today: str, known: tuple[str, ...] = ("
     return own.union(broken).union(sided)
 
 
+def broken_links(plans: DataFrame, specs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(id, message) of plans that name an unknown spec, and specs that name an unknown decision.
+
+    plans: id, specs; specs: id, decisions; decisions: id.
+    """
+    def missing(rows, column, known, kind):
+        links = rows.select("id", F.explode(column).alias("other"))
+        return links.join(known.select(F.col("id").alias("other")).distinct(), "other", "left_anti").select("id", F.concat(F.lit(f"unknown {kind} "), "other").alias("message"))
+
+    return missing(plans, "specs", specs, "spec").union(missing(specs, "decisions", decisions, "decision"))
+
+
 def freshness(artifacts: DataFrame, commits: DataFrame) -> DataFrame:
     """artifact and stale: whether a commit below one of its scope folders is later than written_at; no commit is fresh."""
     scope = artifacts.select("artifact", "written_at", F.explode("scope").alias("folder"))
@@ -47,13 +65,20 @@ def freshness(artifacts: DataFrame, commits: DataFrame) -> DataFrame:
 
 
 def reviewed(findings: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Findings with hidden, resurfaced (the evidence has changed), regression (it was fixed) or new.
+    """Findings with hidden, resurfaced (evidence or detector version has changed), regression (it was fixed) or new.
 
-    findings: subject, fingerprint; decisions: subject, fingerprint, disposition, recorded_at, ordinal (the latest of a subject counts).
+    findings: subject, fingerprint, and version if known; decisions: subject, fingerprint,
+    disposition, recorded_at, ordinal (the latest of a subject counts), and version if
+    known.  It fails open: a decision without a fingerprint or of an unknown disposition hides nothing.
     """
+    none = F.lit(None).cast("string")
+    findings = findings if "version" in findings.columns else findings.withColumn("version", none)
+    decisions = decisions if "version" in decisions.columns else decisions.withColumn("version", none)
     last = Window.partitionBy("subject").orderBy(F.desc("recorded_at"), F.desc("ordinal"))
-    d = decisions.withColumn("nth", F.row_number().over(last)).filter("nth = 1").select("subject", F.col("fingerprint").alias("seen"), "disposition")
-    state = F.when(F.col("disposition").isNull(), "new").when(F.col("disposition") == "fixed", "regression").when(F.col("seen") == F.col("fingerprint"), "hidden").otherwise("resurfaced")
+    d = decisions.withColumn("nth", F.row_number().over(last)).filter("nth = 1").select("subject", F.col("fingerprint").alias("seen"), "disposition", F.col("version").alias("seen_version"))
+    same = F.col("seen").isNotNull() & (F.col("seen") == F.col("fingerprint")) & F.col("seen_version").eqNullSafe(F.col("version"))
+    hides = F.col("disposition").isin("dismissed", "accepted", "false_positive")
+    state = F.when(F.col("disposition").isNull(), "new").when(F.col("disposition") == "fixed", "regression").when(hides & F.coalesce(same, F.lit(False)), "hidden").otherwise("resurfaced")
     return findings.join(d, "subject", "left").select("subject", "fingerprint", state.alias("state"))
 
 
@@ -79,17 +104,19 @@ def tokens_present(required: DataFrame, manifest: DataFrame, files: DataFrame) -
     return rows.select("token", F.when(F.col("path").isNull(), "missing_token").when(F.col("there").isNull(), "missing_file").otherwise("ok").alias("state"))
 
 
-def clone_clusters(pairs: DataFrame, rounds: int = 50) -> DataFrame:
-    """(member, cluster, multiplicity) of clone pairs a, b: least member reachable, by label steps until nothing changes; an error if ``rounds`` run out.
+def clone_clusters(pairs: DataFrame) -> DataFrame:
+    """(member, cluster, multiplicity) of clone pairs a, b: least member reachable, by label steps until nothing changes.
 
     Each round is checkpointed reliably; labels also jump to their own label, so rounds grow with the logarithm of a chain.
     """
     context = pairs.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:  # only where spark.checkpoint.dir is unset, as in tests
+    if context.getCheckpointDir() is None:  # only where spark.checkpoint.dir is unset and all runs on one machine, as in tests
+        if context.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp())
     edges = pairs.select("a", "b").union(pairs.select("b", "a")).distinct()
     label = edges.select(F.col("a").alias("member")).distinct().withColumn("cluster", F.col("member"))
-    for _ in range(rounds):
+    while True:
         near = edges.join(label.withColumnRenamed("member", "b"), "b").groupBy(F.col("a").alias("member")).agg(F.min("cluster").alias("least"))
         step = label.join(near, "member").select("member", F.least("cluster", "least").alias("cluster"), F.col("cluster").alias("was"))
         hop = step.select(F.col("member").alias("cluster"), F.col("cluster").alias("further"))
@@ -97,6 +124,4 @@ def clone_clusters(pairs: DataFrame, rounds: int = 50) -> DataFrame:
         label = step.select("member", F.col("further").alias("cluster"))
         if not step.filter("further <> was").limit(1).count():
             break
-    else:
-        raise RuntimeError(f"labels still change after {rounds} rounds")
     return label.withColumn("multiplicity", F.count("*").over(Window.partitionBy("cluster")))

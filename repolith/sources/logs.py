@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import fnmatch
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,16 +66,39 @@ def front_matter(files: DataFrame) -> DataFrame:
     )
 
 
-def file_tree(spark: SparkSession, root: str, glob: str = "*", skipped: list[str] | None = None, text: bool = True) -> DataFrame:
-    """path below ``root``, suffix, size and text of its files, without folders named in ``skipped``; each path once."""
-    base = "/" + root.split("://", 1)[-1].strip("/") + "/"
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    path = F.regexp_replace(F.col("path"), "^.*?" + base.replace(".", r"\."), "")
-    rows = found.select(path.alias("path"), F.col("length").alias("size"), *([F.decode("content", "UTF-8").alias("text")] if text else []))
-    folders = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
-    if skipped:
-        rows = rows.filter(~F.arrays_overlap(folders, F.array(*map(F.lit, skipped))))
-    return rows.dropDuplicates(["path"]).withColumn("suffix", F.regexp_extract("path", r"(\.[^./]+)$", 1))
+def file_tree(spark: SparkSession, root: str, glob: str = "*", skipped: list[str] | None = None, text: bool = True, links: bool = False) -> DataFrame:
+    """path below ``root``, suffix, size and text of its files, without folders named in ``skipped``; each path once.
+
+    Names are listed and filtered before any contents are read; symbolic links, of
+    files and of folders, are passed over unless ``links`` is set.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path
+    base = at(root)
+    fs = base.getFileSystem(conf)
+    home, out, todo = fs.resolvePath(base).toString(), [], [(base, "")]
+    local = fs.getUri().getScheme() == "file"
+    while todo:
+        folder, below = todo.pop()
+        for f in fs.listStatus(folder):
+            name = f.getPath().getName()
+            path = f"{below}{name}"
+            linked = f.isSymlink() or (local and os.path.islink(f.getPath().toUri().getPath()))
+            if linked and not links:
+                continue
+            if f.isDirectory():
+                if name not in (skipped or ()):
+                    todo.append((f.getPath(), path + "/"))
+            elif fnmatch.fnmatchcase(name, glob):
+                out.append((path, f.getLen(), f"{home.rstrip('/')}/{path}"))
+    rows = spark.createDataFrame(out, "path string, size long, file string").withColumn("suffix", F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    if text and out:
+        read = spark.read.text([r[2] for r in out], wholetext=True).select(F.col("_metadata.file_path").alias("read"), F.col("value").alias("text"))
+        plain = lambda c: F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
+        rows = rows.join(read, F.regexp_replace("file", "^file:/+", "/") == plain(F.col("read")), "left").drop("read")
+    elif text:
+        rows = rows.withColumn("text", F.lit(None).cast("string"))
+    return rows.drop("file")
 
 
 def validate(rows: DataFrame, rules: list[tuple[str, Column, str]], ordinal: str = "ordinal") -> DataFrame:

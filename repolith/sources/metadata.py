@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import html
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repolith.sources.sinks import shown
+
 #: What a project file may hold; other elements are passed over.
 PROJECT = "PropertyGroup array<struct<TargetFramework: string, TargetFrameworks: string, OutputType: string, Nullable: string>>, ItemGroup array<struct<PackageReference: array<struct<_Include: string, _Version: string>>, ProjectReference: array<struct<_Include: string>>>>"
 #: The members of a compilation database's entry; others, or missing ones, make it malformed.
@@ -130,12 +133,22 @@ def attestation(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("rows"))
 
 
+def attestation_yaml(counts: DataFrame, title: str, limit: int = 1000) -> str:
+    """``attestation`` as YAML, keys in order; what is beyond ``limit`` rows is counted in ``omitted``."""
+    some, more = shown(counts.orderBy(*counts.columns[:-1]), limit)
+    quoted = lambda v: "null" if v is None else v if isinstance(v, int) else json.dumps(str(v), ensure_ascii=False)
+    lines = [f"{title}:"] + [f"  {'- ' if not i else '  '}{c}: {quoted(r[c])}" for r in some for i, c in enumerate(counts.columns)]
+    return "\n".join((lines if some else [f"{title}: []"]) + [f"omitted: {more}"]) + "\n"
+
+
 def html_table(rows: DataFrame, title: str, limit: int = 1000) -> str:
-    """A dashboard table of a small report (at most ``limit`` rows), escaped."""
+    """A dashboard table of a report, escaped; what is beyond ``limit`` rows is counted below it."""
     cell = lambda v: "" if v is None else html.escape(str(v))
+    some, more = shown(rows, limit)
     head = "".join(f"<th>{cell(c)}</th>" for c in rows.columns)
-    body = "".join("<tr>" + "".join(f"<td>{cell(v)}</td>" for v in r) + "</tr>" for r in rows.limit(limit).collect())
-    return f"<section><h2>{cell(title)}</h2><table><tr>{head}</tr>{body}</table></section>"
+    body = "".join("<tr>" + "".join(f"<td>{cell(v)}</td>" for v in r) + "</tr>" for r in some)
+    rest = f"<p>{more} more rows.</p>" if more else ""
+    return f"<section><h2>{cell(title)}</h2><table><tr>{head}</tr>{body}</table>{rest}</section>"
 
 
 def write_scope(spark: SparkSession, path: str, scope: list[str], written_at: str) -> None:

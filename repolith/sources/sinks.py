@@ -1,18 +1,57 @@
-"""Sinks: append-only logs, keyed upserts with history, checks against stored artifacts, Markdown."""
+"""Sinks: append-only logs, keyed upserts with history, replaced documents, checks against stored artifacts, Markdown."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from repolith.sources.logs import validate
+
 
 def append_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+def write_valid(rows: DataFrame, rules: list[tuple[str, Column, str]], path: str, ordinal: str = "ordinal") -> DataFrame:
+    """Append the rows as JSON lines and return (ordinal, field, message) for each rule that one breaks; such rows are written too."""
+    rows.write.mode("append").json(path)
+    return validate(rows, rules, ordinal)
+
+
+def replace_json(rows: DataFrame, path: str) -> None:
+    """Put the rows as JSON in place of what is at ``path``: written beside it first, so that readers see the old or the new rows, and a failed write leaves the old."""
+    spark = rows.sparkSession
+    staged, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
+    rows.write.json(staged)
+    fs, at = _file_system(spark, path)
+    if fs.exists(at(path)) and not fs.rename(at(path), at(old)):
+        raise OSError(f"{path} can't be moved")
+    if not fs.rename(at(staged), at(path)):
+        fs.rename(at(old), at(path))
+        raise OSError(f"{path} can't be replaced")
+    fs.delete(at(old), True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def upsert(versions: DataFrame, new: DataFrame, key: list[str], at: str) -> DataFrame:
-    """All versions with the new ones appended; the store is append-only."""
-    return versions.unionByName(new, allowMissingColumns=True)
+    """All versions with the new ones after them; the store is append-only, ``latest_with_history`` reads it.
+
+    versions: key, at, ordinal, ...; new: key, at, ....  Of a key's new rows the one of
+    the latest ``at`` counts, and a new row that is older than the stored one is left out.
+    Ordinals go on from the stored ones of its key.
+    """
+    order = Window.partitionBy(*key).orderBy(F.desc(at))
+    one = new.withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
+    last = versions.groupBy(*key).agg(F.max(at).alias("stored_at"), F.max("ordinal").alias("stored_ordinal"))
+    fresh = one.join(last, key, "left").filter(F.col("stored_at").isNull() | (F.col(at) >= F.col("stored_at")))
+    fresh = fresh.withColumn("ordinal", F.coalesce(F.col("stored_ordinal") + 1, F.lit(1)).cast(versions.schema["ordinal"].dataType))
+    return versions.unionByName(fresh.drop("stored_at", "stored_ordinal"), allowMissingColumns=True)
 
 
 def latest_with_history(versions: DataFrame, key: list[str], at: str) -> DataFrame:
@@ -35,8 +74,16 @@ def drift(now: DataFrame, stored: DataFrame) -> DataFrame:
     return now.exceptAll(stored).withColumn("side", F.lit("computed")).union(stored.exceptAll(now).withColumn("side", F.lit("stored")))
 
 
+def shown(rows: DataFrame, limit: int) -> tuple[list, int]:
+    """The first ``limit`` rows, and how many more there are."""
+    some = rows.limit(limit + 1).collect()
+    return some[:limit], rows.count() - limit if len(some) > limit else 0
+
+
 def markdown(rows: DataFrame, limit: int = 1000) -> str:
-    """A Markdown table of a small report (at most ``limit`` rows), cells escaped."""
+    """A Markdown table of a report, cells escaped; what is beyond ``limit`` rows is counted below it."""
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
-    return "\n".join(lines + ["| " + " | ".join(map(cell, r)) + " |" for r in rows.limit(limit).collect()]) + "\n"
+    some, more = shown(rows, limit)
+    lines += ["| " + " | ".join(map(cell, r)) + " |" for r in some]
+    return "\n".join(lines + ["", f"{more} more rows."] * bool(more)) + "\n"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -18,39 +19,58 @@ def each_batch(stream: DataFrame, fold: Callable[[DataFrame, int], None], checkp
     return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: A compound command, which no grant covers.
+COMPOUND = re.compile(r"[;&|`\n]|\$\(")
+
+
+def covers(grant: dict, request) -> bool:
+    """Whether a grant fits a request: its session, its command and all its paths; compound commands and, where a glob is set, empty path lists never fit."""
+    if grant["session"] not in ("", request.session_id):
+        return False
+    command = getattr(request, "command", None) or ""
+    if grant["command"] and (COMPOUND.search(command) or not re.search(grant["command"], command)):
+        return False
+    paths = getattr(request, "paths", None)
+    paths = [] if paths is None else list(paths)
+    return not grant["paths"] or (bool(paths) and all(re.search(grant["paths"], p) for p in paths))
+
+
 def _consume(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """State of a rule: its live grants as parallel lists (id, expiry, session, uses)."""
-    ids, expiry, session, uses = map(list, state.get) if state.exists else ([], [], [], [])
+    """State of a rule: its live grants as parallel lists; a rule without any has no state."""
+    names = ["id", "expiry", "session", "uses", "command", "paths"]
+    grants = [dict(zip(names, g)) for g in zip(*state.get)] if state.exists else []
     rows = pd.concat(list(frames)).sort_values(["at", "ordinal"])
     out = []
     for r in rows.itertuples():
-        live = [i for i, e in enumerate(expiry) if e >= r.at]
-        ids, expiry, session, uses = ([x[i] for i in live] for x in (ids, expiry, session, uses))
+        grants = [g for g in grants if g["expiry"] >= r.at]
         if r.kind == "grant":
-            ids.append(r.grant_id)
-            expiry.append(int(r.expires_at))
-            session.append(r.session_id or "")
-            uses.append(int(r.uses) if r.uses == r.uses and r.uses is not None else -1)
+            uses = int(r.uses) if r.uses == r.uses and r.uses is not None else -1
+            grants.append(dict(zip(names, (r.grant_id, int(r.expires_at), r.session_id or "", uses, getattr(r, "command_pattern", None) or "", getattr(r, "path_regex", None) or ""))))
         elif r.kind == "end":
-            live = [i for i, s in enumerate(session) if s != r.session_id]
-            ids, expiry, session, uses = ([x[i] for i in live] for x in (ids, expiry, session, uses))
+            grants = [g for g in grants if g["session"] != r.session_id]
         else:
-            hit = next((i for i, s in enumerate(session) if s in ("", r.session_id)), None)
-            out.append((key[0], r.ordinal, ids[hit] if hit is not None else None))
-            if hit is not None and uses[hit] > 0:
-                uses[hit] -= 1
-                if not uses[hit]:
-                    for x in (ids, expiry, session, uses):
-                        del x[hit]
-    state.update((ids, expiry, session, uses))
+            hit = next((g for g in grants if covers(g, r)), None)
+            out.append((key[0], r.ordinal, hit and hit["id"]))
+            if hit and hit["uses"] > 0:
+                hit["uses"] -= 1
+                grants = [g for g in grants if g is not hit or g["uses"]]
+    if grants:
+        state.update(tuple([g[n] for g in grants] for n in names))
+    elif state.exists:
+        state.remove()
     yield pd.DataFrame(out, columns=["rule_id", "ordinal", "grant_id"])
 
 
+STATE = "ids array<string>, expiry array<long>, session array<string>, uses array<int>, command array<string>, paths array<string>"
+
+
 def lease_stream(events: DataFrame) -> DataFrame:
     """(rule_id, ordinal, grant_id or null) for each request, in (at, ordinal) order within a micro-batch.
 
     events: rule_id, kind (grant, request, end), at and expires_at (long seconds),
-    ordinal, grant_id, session_id, uses.  Expired grants are pruned (expiry is
-    inclusive), a session's end drops its grants, and a grant without uses left goes.
+    ordinal, grant_id, session_id, uses, and if they matter command_pattern and
+    path_regex of grants, command and paths of requests.  Expired grants are pruned
+    (expiry is inclusive), a session's end drops its grants, a grant without uses left
+    goes, and a rule without grants leaves no state.
     """
-    return events.groupBy("rule_id").applyInPandasWithState(_consume, "rule_id string, ordinal long, grant_id string", "ids array<string>, expiry array<long>, session array<string>, uses array<int>", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("rule_id").applyInPandasWithState(_consume, "rule_id string, ordinal long, grant_id string", STATE, "append", GroupStateTimeout.NoTimeout)

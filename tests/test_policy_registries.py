@@ -82,7 +82,7 @@ def test_clone_clusters(spark):
     assert got == {**{k: (1, 12) for k in range(1, 13)}, 30: (30, 2), 31: (30, 2)}
 
 
-def test_clone_clusters_say_when_rounds_run_out(spark):
-    pairs = spark.createDataFrame([(k, k + 1) for k in range(20)], "a long, b long")
-    with pytest.raises(RuntimeError):
-        registries.clone_clusters(pairs, rounds=1)
+def test_clone_clusters_of_a_long_chain(spark):
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501)], "a long, b long")
+    got = registries.clone_clusters(pairs).collect()
+    assert {(r["cluster"], r["multiplicity"]) for r in got} == {(0, 201), (500, 2)} and len(got) == 203

@@ -28,7 +28,7 @@ def test_scalars(spark):
     assert one(spark, scalars.floored_days(scalars.iso_timestamp(F.lit("2024-03-11T13:00:00Z")), now)) == 0
     assert one(spark, scalars.iso_timestamp(F.lit("nonsense"))) is None
     assert one(spark, scalars.calendar_days(F.lit(None).cast("string"), now)) == 10**6 and one(spark, scalars.calendar_days(F.lit("bad"), now)) == 0
-    assert [one(spark, scalars.duration_seconds(F.lit(x))) for x in ("14d", "12h", "30m", "0d", "5w", "99d")] == [14 * 86400, 43200, 1800, None, None, 30 * 86400]
+    assert [one(spark, scalars.duration_seconds(F.lit(x))) for x in ("14d", "12h", "30m", "0d", "5w", "99d")] == [14 * 86400, 43200, 1800, None, None, None]
     assert one(spark, scalars.percentage(F.lit(1), F.lit(0))) is None
     assert one(spark, scalars.normal_path(F.lit("a/./b/../c"))) == "a/c" and one(spark, scalars.normal_path(F.lit("../x"))) is None
     assert one(spark, scalars.ancestors(F.lit("a/b/c"))) == ["a/b/c", "a/b", "a"]
@@ -107,10 +107,12 @@ def test_diff_census_grade_ties(spark):
     assert {r["id"]: r["state"] for r in rel.manifest_diff(a, b, ["id"]).collect()} == {"x": "fixed", "y": "persisting", "z": "new"}
     rows = spark.createDataFrame([("g", "b"), ("g", "a"), ("g", None)], "grp string, v string")
     assert sorted((r["v"], r["share"], r["majority"]) for r in rel.census(rows, ["grp"], "v").collect()) == [("a", 0.5, True), ("b", 0.5, False)]
-    planted = spark.createDataFrame([("f", 1, 1), ("f", 1, 2), ("f", 3, 3)], "file string, line int, ordinal int")
-    found = spark.createDataFrame([("f", 1, 1), ("f", 4, 2)], "file string, line int, ordinal int")
+    planted = spark.createDataFrame([("p1", "f", 1, 1), ("p2", "f", 1, 2), ("p3", "f", 3, 3)], "id string, file string, line int, ordinal int")
+    found = spark.createDataFrame([("a", "f", 1, 1), ("b", "f", 4, 2)], "id string, file string, line int, ordinal int")
     r = rel.grade(planted, found).first()
-    assert (r["tp"], r["fp"], r["fn"], r["precision"]) == (1, 1, 2, 0.5)
+    assert (r["tp"], r["fp"], r["fn"], r["precision"], r["verdict"]) == (1, 1, 2, 0.5, "fail")
+    assert {(r["finding"], r["instance"]) for r in rel.match_findings(planted, found, 3).collect()} == {("a", "p1"), ("b", "p2")}
+    assert rel.grade(planted, found, 3).first()["recall"] == 2 / 3
     assert rel.grade(planted.limit(0), found.limit(0)).first()["recall"] == 1.0
     s = spark.createDataFrame([(1,), (2,), (2,), (3,)], "n int")
     assert sorted(r["n"] for r in rel.top_ties(s, "n", 2).collect()) == [2, 2, 3]
@@ -125,8 +127,10 @@ def test_symbols(spark):
     assert rows["a.py", "A.run"]["has_self"] and rows["a.py", "A.run"]["arity"] == 2 and rows["bad.py", None]["kind"] == "unparsed"
     assert rows["a.py", "A.run"]["digest"] == rows["b.py", "run"]["digest"] != rows["a.py", "run"]["digest"]
     assert [(r["name"], r["definitions"], r["verdict"]) for r in symbols.name_audit(found).collect()] == [("run", 3, "shadow")]
-    js = spark.createDataFrame([("x.ts", "import a\nexport function f() {\n}\nclass C {}\n")], "path string, text string")
-    assert [(r["name"], r["line"], r["end_line"]) for r in symbols.extract_script(js).orderBy("line").collect()] == [("f", 2, 3), ("C", 4, 5)]
+    text = "import a\nfunction f() {\n}\nclass C {}\nconst k = 3\nconst g = (a, b) => a\nlet h = async x => x\n  function no() {}\nwindow.N = {}\ntype T = 1\n"
+    js = spark.createDataFrame([("x.ts", text)], "path string, text string")
+    got = [(r["name"], r["kind"], r["line"], r["end_line"], r["loc"]) for r in symbols.extract_script(js).orderBy("line").collect()]
+    assert got == [("f", "function", 2, 3, 2), ("C", "class", 4, 5, 2), ("g", "function", 6, 6, 1), ("h", "function", 7, 8, 2), ("N", "function", 9, 10, 2)]
 
 
 def test_triage(spark):
@@ -150,7 +154,7 @@ def test_ledger_and_coverage(spark):
     assert [r["path"] for r in audits.drift_scan(metrics, ledger, 100).collect()] == ["d"]
     items = spark.createDataFrame([("s", "1", "done"), ("s", "2", "done"), ("s", "3", "open")], "spec string, item string, status string")
     refs = spark.createDataFrame([("s", "1", "x"), ("s", "3", "y"), ("s", "9", "z")], "spec string, item string, path string")
-    assert {r["item"]: r["disposition"] for r in audits.coverage(items, refs).collect()} == {"1": "covered", "2": "unproven", "3": "ahead", "9": "orphan"}
+    assert {r["item"]: r["buckets"] for r in audits.coverage(items, refs).collect()} == {"1": ["covered"], "2": ["unproven"], "3": ["ahead"], "9": ["orphan"]}
     events = spark.createDataFrame([("2024-03-01T00:00:00Z", "r", "deny"), ("2023-03-01T00:00:00Z", "r", "allow")], "timestamp string, rule_id string, decision string")
     assert {r["decision"]: r["n"] for r in audits.friction(events, "2024-03-15 00:00:00").collect()} == {"allow": 0, "ask": 0, "deny": 1}
 
