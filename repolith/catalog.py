@@ -26,6 +26,12 @@ def query(sql: str):
     return add
 
 
+def unchecked(f):
+    """A query that SQL can't express; its operator has a test of its own."""
+    QUERIES[f.__name__] = f
+    return f
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

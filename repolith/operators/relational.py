@@ -284,18 +284,20 @@ def match_findings(planted: DataFrame, found: DataFrame, tolerance: int = 0) ->
         b = found.select("file", "line", F.col("id").alias("finding"), F.row_number().over(w).alias("nth"))
         return a.join(b, ["file", "line", "nth"]).select("file", F.col("finding").cast("string"), F.col("instance").cast("string"))
 
-    def pair(key, left, right):
+    def pair(key, rows):
         import pandas as pd
 
-        free, out = list(left.sort_values("ordinal").itertuples()), []
-        for f in right.sort_values("ordinal").itertuples():
+        rows = list(rows.sort_values("ordinal", kind="stable").itertuples())
+        free, out = [r for r in rows if r.kind == 0], []
+        for f in (r for r in rows if r.kind == 1):
             at = next((i for i, p in enumerate(free) if abs(p.line - f.line) <= tolerance), None)
             if at is not None:
-                out.append((key[0], str(f.id), str(free.pop(at).id)))
+                out.append((key[0], f.id, free.pop(at).id))
         return pd.DataFrame(out, columns=["file", "finding", "instance"])
 
-    columns = ["id", "file", "line", "ordinal"]
-    return planted.select(*columns).groupBy("file").cogroup(found.select(*columns).groupBy("file")).applyInPandas(pair, MATCH)
+    kind = F.lit(0).alias("kind")
+    both = planted.select(F.col("id").cast("string"), "file", "line", "ordinal", kind).union(found.select(F.col("id").cast("string"), "file", "line", "ordinal", F.lit(1)))
+    return both.groupBy("file").applyInPandas(pair, MATCH)
 
 
 def grade(planted: DataFrame, found: DataFrame, tolerance: int = 0) -> DataFrame:

@@ -41,11 +41,9 @@ def import_map(edges: DataFrame, subsystems: DataFrame) -> DataFrame:
     b = subsystems.select(F.col("path").alias("imported"), F.col("subsystem").alias("b"))
     rows = edges.select("importer", "imported").distinct().join(a, "importer", "left").join(b, "imported", "left")
     same = F.col("a") == F.col("b")
-    ends = F.array(
-        F.when(same, F.struct(F.col("a").alias("subsystem"), F.lit("inside").alias("how"), F.lit(None).cast("string").alias("door"))),
-        F.when(~F.coalesce(same, F.lit(False)), F.struct(F.col("b"), F.lit("inbound"), F.col("imported"))),
-        F.when(~F.coalesce(same, F.lit(False)), F.struct(F.col("a"), F.lit("outbound"), F.lit(None).cast("string"))),
-    )
+    end = lambda sub, how, door=None: F.struct(sub.alias("subsystem"), F.lit(how).alias("how"), (F.lit(None).cast("string") if door is None else door).alias("door"))
+    across = ~F.coalesce(same, F.lit(False))
+    ends = F.array(F.when(same, end(F.col("a"), "inside")), F.when(across, end(F.col("b"), "inbound", F.col("imported"))), F.when(across, end(F.col("a"), "outbound")))
     flat = rows.select(F.explode(F.filter(ends, lambda x: x.isNotNull())).alias("x")).select("x.*").filter("subsystem IS NOT NULL")
     kinds = [F.count_if(F.col("how") == k).alias(k) for k in ("inside", "inbound", "outbound")]
     return flat.groupBy("subsystem").agg(*kinds, (F.countDistinct("door") == 1).alias("barrel"))
