@@ -41,35 +41,11 @@ def latest_per_key(spark, d):
     return rel.latest(table(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id").select("event_id", "user_id", "event_type", "ts", "superseded")
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
-def never_purchased(spark, d):
-    e = table(spark, d, "events")
-    return e.select("user_id").distinct().join(e.filter("event_type = 'purchase'").select("user_id"), "user_id", "left_anti")
-
-
-@query("SELECT user_id, count(*) AS events FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase') GROUP BY user_id")
-def purchasers(spark, d):
-    e = table(spark, d, "events")
-    return e.join(e.filter("event_type = 'purchase'").select("user_id"), "user_id", "left_semi").groupBy("user_id").agg(F.count("*").alias("events"))
-
-
 @query("SELECT strftime(ts, '%Y-%m') AS month, " + ", ".join(f"count(*) FILTER (event_type = '{t}') AS {t}" for t in TYPES) + " FROM events GROUP BY 1")
 def month_pivot(spark, d):
     return rel.month_pivot(table(spark, d, "events"), "ts", "event_type", TYPES)
 
 
-@query("SELECT event_type, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 14 DAY GROUP BY event_type")
-def horizon_counts(spark, d):
-    e = table(spark, d, "events")
-    newest = e.agg(F.max("ts").alias("now"))
-    return e.crossJoin(newest).filter("ts >= now - INTERVAL 14 DAYS").groupBy("event_type").agg(F.count("*").alias("n"))
-
-
-@query("SELECT p_brand, count(*) AS n, min(p_partkey) AS first_seen FROM part GROUP BY p_brand ORDER BY n DESC, first_seen LIMIT 10")
-def top_first_seen(spark, d):
-    return table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_seen")).orderBy(F.desc("n"), "first_seen").limit(10)
-
-
 @query("SELECT p_partkey, p_size FROM (SELECT *, rank() OVER (ORDER BY p_size DESC) AS r FROM part) WHERE r <= 10")
 def top_with_ties(spark, d):
     return rel.top_ties(table(spark, d, "part"), "p_size", 10).select("p_partkey", "p_size")
@@ -96,12 +72,6 @@ def language_census(spark, d):
     return rel.census(table(spark, d, "documents"), ["source"], "lang")
 
 
-@query("SELECT d.doc_id, l.quality, l.doc_id IS NOT NULL AS labelled FROM documents d LEFT JOIN labels l USING (doc_id)")
-def optional_labels(spark, d):
-    labels = table(spark, d, "labels").select("doc_id", "quality", F.lit(True).alias("labelled"))
-    return table(spark, d, "documents").select("doc_id").join(labels, "doc_id", "left").select("doc_id", "quality", F.coalesce("labelled", F.lit(False)).alias("labelled"))
-
-
 @query("SELECT o_orderkey, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AS returned, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_discount >= 0.08) AS discounted, o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) AS in_debt FROM orders")
 def order_flags(spark, d):
     line = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
@@ -151,26 +121,18 @@ def view_before_purchase(spark, d):
     return rel.last_before(table(spark, d, "events"), is_("purchase"), is_("view"), ["user_id"], ["ts", "event_id"], "event_id", "last_view").select("event_id", "user_id", "last_view")
 
 
-@query(
-    "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 500 AS src, (o_orderkey * 7 + 3) % 500 AS dst FROM orders WHERE o_orderkey % 3 = 0), "
-    "b(node, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, depth + 1 FROM b JOIN e ON b.node = e.src WHERE depth < 4) "
-    "SELECT 0::BIGINT AS start, node, min(depth)::INTEGER AS depth FROM b GROUP BY node"
-)
-def bounded_reach(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey % 3 = 0")
-    edges = o.select((F.col("o_custkey") % 500).alias("src"), ((F.col("o_orderkey") * 7 + 3) % 500).alias("dst"))
-    return graph.shortest_depths(edges, spark.range(1).select(F.col("id").alias("node")), 4)
+PART_SUPPLIER = "SELECT DISTINCT l_partkey AS src, -l_suppkey AS dst FROM lineitem UNION SELECT DISTINCT -l_suppkey, l_partkey FROM lineitem"
 
 
 @query(
-    "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 500 AS src, (o_orderkey * 7 + 3) % 500 AS dst FROM orders), "
-    "b(node, depth) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, depth + 1 FROM b JOIN e ON b.node = e.src WHERE depth < 8) "
-    "SELECT 0::BIGINT AS start, node, min(depth)::INTEGER AS depth FROM b GROUP BY node"
+    f"WITH RECURSIVE e AS ({PART_SUPPLIER}), b(node, depth) AS (SELECT 1::BIGINT, 0 UNION SELECT e.dst, depth + 1 FROM b JOIN e ON b.node = e.src WHERE depth < 8) "
+    "SELECT 1::BIGINT AS start, node, min(depth)::INTEGER AS depth FROM b GROUP BY node"
 )
-def bounded_reach_all(spark, d):
-    """``bounded_reach`` over all orders, to the operator's own depth of 8."""
-    edges = table(spark, d, "orders").select((F.col("o_custkey") % 500).alias("src"), ((F.col("o_orderkey") * 7 + 3) % 500).alias("dst"))
-    return graph.shortest_depths(edges, spark.range(1).select(F.col("id").alias("node")))
+def bounded_reach(spark, d):
+    """Parts and (negative) suppliers within 8 steps of part 1, over all line items."""
+    line = table(spark, d, "lineitem")
+    down = line.select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst"))
+    return graph.shortest_depths(down.union(line.select(-F.col("l_suppkey"), "l_partkey")), spark.range(1, 2).select(F.col("id").alias("node")))
 
 
 @query("WITH a AS (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'), b AS (SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1994-01-01') SELECT o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'fixed' WHEN a.o_orderkey IS NULL THEN 'new' ELSE 'persisting' END AS state FROM a FULL JOIN b USING (o_orderkey)")
@@ -179,103 +141,34 @@ def manifest_diff(spark, d):
     return rel.manifest_diff(o.filter("o_orderdate < TIMESTAMP '1997-01-01'"), o.filter("o_orderdate >= TIMESTAMP '1994-01-01'"), ["o_orderkey"])
 
 
-@query("SELECT l_returnflag, round(median(l_extendedprice * l_discount), 4) AS median_saving, round(median(100 * l_discount), 4) AS median_pct, round(100 * median(l_extendedprice * l_discount) / median(l_extendedprice), 4) AS pct_of_medians, count(*) FILTER (l_discount >= 0.05) AS wins FROM lineitem GROUP BY l_returnflag")
-def paired_medians(spark, d):
-    saved = F.col("l_extendedprice") * F.col("l_discount")
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(
-        F.round(F.median(saved), 4).alias("median_saving"),
-        F.round(F.median(100 * F.col("l_discount")), 4).alias("median_pct"),
-        F.round(100 * F.median(saved) / F.median("l_extendedprice"), 4).alias("pct_of_medians"),
-        F.count_if(F.col("l_discount") >= 0.05).alias("wins"),
-    )
-
-
 @query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
 def keep_first(spark, d):
     rows = table(spark, d, "documents").withColumn("digest", F.sha2("text", 256))
     return rel.keep_first(rows, ["digest"], "doc_id").select("doc_id", "source")
 
 
-@query("SELECT user_id, count(*) AS events, CAST(min(ts) AS DATE) AS first_day, CAST(max(ts) AS DATE) AS last_day, bool_or(event_type = 'purchase') AS bought, count(DISTINCT event_type) AS kinds FROM events GROUP BY user_id HAVING count(*) > 1")
-def evidence_rollup(spark, d):
-    agg = table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("events"), F.to_date(F.min("ts")).alias("first_day"), F.to_date(F.max("ts")).alias("last_day"), F.bool_or(F.col("event_type") == "purchase").alias("bought"), F.countDistinct("event_type").alias("kinds"))
-    return agg.filter("events > 1")
-
-
-@query("SELECT event_type, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum, count(json_extract(props, '$.k')) AS with_k FROM events GROUP BY event_type")
-def json_fields(spark, d):
-    k = F.from_json("props", "k long")["k"]
-    return table(spark, d, "events").groupBy("event_type").agg(F.sum(k).alias("k_sum"), F.count(k).alias("with_k"))
-
-
-@query(
-    "WITH t AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[a-zA-Z]+'))) AS term FROM benchmark WHERE item_id < 20), "
-    "w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents), "
-    "c AS (SELECT term, count(DISTINCT doc_id) AS n, count(*) AS hits FROM w GROUP BY term) "
-    "SELECT t.term, coalesce(n, 0) AS n, CAST(coalesce(hits, 0) AS BIGINT) AS hits FROM t LEFT JOIN c USING (term)"
-)
-def term_mentions(spark, d):
-    terms = table(spark, d, "benchmark").filter("item_id < 20").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("term"))
-    return rel.mentions(table(spark, d, "documents"), terms, "doc_id", "text", "[a-z]+")
-
-
 @query(
     "WITH t AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[a-zA-Z]+'))) AS term FROM benchmark), "
     "w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents), "
     "c AS (SELECT term, count(DISTINCT doc_id) AS n, count(*) AS hits FROM w GROUP BY term) "
     "SELECT t.term, coalesce(n, 0) AS n, CAST(coalesce(hits, 0) AS BIGINT) AS hits FROM t LEFT JOIN c USING (term)"
 )
-def term_mentions_all(spark, d):
-    """``term_mentions`` of the terms of the whole benchmark table."""
+def term_mentions(spark, d):
     terms = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))).alias("term"))
     return rel.mentions(table(spark, d, "documents"), terms, "doc_id", "text", "[a-z]+")
 
 
-@query("SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events) WHERE k <= 3")
-def first_examples(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("event_type").orderBy("event_id")
-    return table(spark, d, "events").withColumn("k", F.row_number().over(w)).filter("k <= 3").select("event_type", "event_id")
-
-
-@query("SELECT source, count(*) FILTER (n_chars >= 500) AS large, count(*) AS n, CASE WHEN count(*) = 0 THEN NULL ELSE round(100.0 * count(*) FILTER (n_chars >= 500) / count(*), 4) END AS pct FROM documents GROUP BY source")
-def compliance_share(spark, d):
-    rows = table(spark, d, "documents").groupBy("source").agg(F.count_if(F.col("n_chars") >= 500).alias("large"), F.count("*").alias("n"))
-    return rows.withColumn("pct", scalars.percentage(F.col("large"), F.col("n"), 4))
-
-
 @query("SELECT doc_id, CASE WHEN text LIKE '%icensed%' AND n_chars > 2000 THEN ['license', 'long'] WHEN text LIKE '%icensed%' THEN ['license'] WHEN n_chars > 2000 THEN ['long'] ELSE [] END AS why FROM documents")
 def review_reasons(spark, d):
     why = rel.reasons([("license", F.col("text").contains("icensed")), ("long", F.col("n_chars") > 2000)])
     return table(spark, d, "documents").select("doc_id", why.alias("why"))
 
 
-@query("WITH c AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL), a AS (SELECT n_nationkey, s FROM nation, (SELECT DISTINCT c_mktsegment AS s FROM customer)) SELECT n_nationkey, s AS segment, coalesce(n, 0) AS customers FROM a LEFT JOIN c ON c_nationkey = n_nationkey AND c_mktsegment = s")
-def coverage_matrix(spark, d):
-    c = table(spark, d, "customer")
-    cells = table(spark, d, "nation").select("n_nationkey").crossJoin(c.select(F.col("c_mktsegment").alias("segment")).distinct())
-    n = c.groupBy(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("segment")).agg(F.count("*").alias("customers"))
-    return cells.join(n, ["n_nationkey", "segment"], "left").na.fill(0, ["customers"])
-
-
 @query("SELECT source, doc_id, substr(md5(text), 1, 12) AS digest, greatest(1, length(text) // 4) AS tokens FROM documents")
 def token_estimates(spark, d):
     return table(spark, d, "documents").select("source", "doc_id", scalars.short_digest(F.col("text")).alias("digest"), scalars.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("SELECT CAST(sum(CASE WHEN l_quantity < 25 THEN 1 ELSE 0 END) AS BIGINT) AS small, count(DISTINCT l_suppkey) AS suppliers, round(sum(l_extendedprice), 2) AS price, l_linestatus FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01' GROUP BY l_linestatus")
-def grouped_totals(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_shipdate < TIMESTAMP '1997-01-01'").groupBy("l_linestatus")
-    return rows.agg(F.count_if(F.col("l_quantity") < 25).alias("small"), F.countDistinct("l_suppkey").alias("suppliers"), F.round(F.sum("l_extendedprice"), 2).alias("price"))
-
-
-@query("SELECT n.n_name AS nation, max_by(c.c_name, c.c_acctbal) AS best, arg_min(c.c_custkey, c.c_custkey) AS first_customer FROM customer c JOIN nation n ON c_nationkey = n_nationkey GROUP BY n.n_name")
-def strongest_by_nation(spark, d):
-    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.groupBy(F.col("n_name").alias("nation")).agg(F.max_by("c_name", "c_acctbal").alias("best"), F.min("c_custkey").alias("first_customer"))
-
-
 @query(
     "WITH c AS (SELECT source, lang, CAST(sum(n_chars) AS BIGINT) AS loc, count(*) AS files FROM documents GROUP BY source, lang), "
     "k AS (SELECT lang, list_sort(list(DISTINCT detector)) AS covered_by FROM (VALUES ('en', 'words'), ('en', 'lines'), ('de', 'words'), ('any', 'bytes')) v(lang, detector) WHERE lang <> 'any' GROUP BY lang) "

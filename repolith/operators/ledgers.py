@@ -75,7 +75,7 @@ def lookup(registry: DataFrame, id_: str | None = None, status: str | None = Non
     """Registry rows by id (leading zeros don't count), status and slug, all that are given; by id."""
     out = registry
     if id_ is not None:
-        out = out.filter(F.ltrim(F.lit("0"), "id") == id_.lstrip("0"))
+        out = out.filter(F.ltrim("id", F.lit("0")) == id_.lstrip("0"))
     if status is not None:
         out = out.filter(F.lower("status") == status.lower())
     if slug is not None:
