@@ -175,12 +175,12 @@ def patch_lines(spark, d):
 
 
 @query("""
-WITH t AS (SELECT p_brand AS capability, CASE WHEN p_size % 13 = 0 THEN NULL ELSE '3.' || p_size || '.1' END AS version FROM part WHERE p_partkey % 5 < 2),
+WITH t AS (SELECT p_brand AS capability, CASE WHEN p_size % 13 = 0 THEN NULL ELSE '3.' || p_size || '.1' END AS version FROM part),
 s AS (SELECT capability, CASE WHEN version IS NULL THEN 'missing' WHEN CAST(split_part(version, '.', 2) AS INTEGER) < 9 THEN 'outdated' ELSE 'ready' END AS s FROM t)
 SELECT capability, CASE WHEN count(DISTINCT s) = 1 THEN min(s) WHEN bool_or(s = 'missing') THEN 'partial' ELSE 'outdated' END AS status FROM s GROUP BY capability""")
 def tool_states(spark, d):
     version = F.when(c("p_size") % 13 != 0, F.concat(F.lit("3."), text("p_size"), F.lit(".1")))
-    tools = table(spark, d, "part").filter("p_partkey % 5 < 2").select(c("p_brand").alias("capability"), c("p_name").alias("tool"), version.alias("version"), F.lit("3.9").alias("least"))
+    tools = table(spark, d, "part").select(c("p_brand").alias("capability"), c("p_name").alias("tool"), version.alias("version"), F.lit("3.9").alias("least"))
     return policy.tool_status(tools)
 
 
@@ -298,7 +298,7 @@ def evidence_tokens(spark, d):
     return registries.tokens_present(part.select(text("p_partkey").alias("token")), part.filter("p_size % 3 <> 0").select(text("p_partkey").alias("token"), path.alias("path")), files)
 
 
-CHAINS = "SELECT c_custkey AS a, c_custkey + 1 + c_custkey % 3 AS b FROM customer WHERE c_custkey % 4 <> 0"
+CHAINS = "SELECT c_custkey AS a, c_custkey + 1 + c_custkey % 3 AS b FROM customer WHERE c_acctbal > 0"
 
 
 @query(f"""
@@ -306,7 +306,7 @@ WITH RECURSIVE p AS ({CHAINS}), e AS (SELECT a, b FROM p UNION SELECT b, a FROM
 l AS (SELECT x AS member, min(y) AS cluster FROM r GROUP BY x) SELECT member, cluster, count(*) OVER (PARTITION BY cluster) AS multiplicity FROM l""")
 def clone_components(spark, d):
     k = c("c_custkey")
-    return registries.clone_clusters(table(spark, d, "customer").filter("c_custkey % 4 <> 0").select(k.alias("a"), (k + 1 + k % 3).alias("b")))
+    return registries.clone_clusters(table(spark, d, "customer").filter("c_acctbal > 0").select(k.alias("a"), (k + 1 + k % 3).alias("b")))
 
 
 @query("""
@@ -358,12 +358,12 @@ def inbound_importers(spark, d):
 
 
 @query("""
-WITH f AS (SELECT s_suppkey AS path, 'n' || s_nationkey AS sub FROM supplier WHERE s_suppkey % 9 <> 0), e AS (SELECT DISTINCT o_custkey AS importer, o_orderkey % 97 AS imported FROM orders),
+WITH f AS (SELECT s_suppkey AS path, 'n' || s_nationkey AS sub FROM supplier WHERE s_acctbal > 0), e AS (SELECT DISTINCT o_custkey AS importer, o_orderkey % 97 AS imported FROM orders),
 j AS (SELECT a.sub AS a, b.sub AS b, imported FROM e LEFT JOIN f a ON importer = a.path LEFT JOIN f b ON imported = b.path),
 x AS (SELECT a AS subsystem, 'inside' AS how, NULL AS door FROM j WHERE a = b UNION ALL SELECT b, 'inbound', imported FROM j WHERE a IS DISTINCT FROM b UNION ALL SELECT a, 'outbound', NULL FROM j WHERE a IS DISTINCT FROM b)
 SELECT subsystem, count(*) FILTER (how = 'inside') AS inside, count(*) FILTER (how = 'inbound') AS inbound, count(*) FILTER (how = 'outbound') AS outbound, count(DISTINCT door) = 1 AS barrel FROM x WHERE subsystem IS NOT NULL GROUP BY subsystem""")
 def subsystem_imports(spark, d):
-    owned = table(spark, d, "supplier").filter("s_suppkey % 9 <> 0").select(text("s_suppkey").alias("path"), F.concat(F.lit("n"), text("s_nationkey")).alias("subsystem"))
+    owned = table(spark, d, "supplier").filter("s_acctbal > 0").select(text("s_suppkey").alias("path"), F.concat(F.lit("n"), text("s_nationkey")).alias("subsystem"))
     edges = table(spark, d, "orders").select(text("o_custkey").alias("importer"), (c("o_orderkey") % 97).cast("string").alias("imported"))
     return inventories.import_map(edges, owned)
 
@@ -388,8 +388,8 @@ def contract_producers(spark, d):
 
 
 @query("""
-WITH s AS (SELECT c_custkey AS surface, CASE WHEN c_custkey % 3 = 0 THEN 'deferred' ELSE 'kept' END AS state, c_custkey % 60 AS did, c_custkey % 90 AS ev FROM customer WHERE c_custkey % 7 <> 0
-  UNION ALL SELECT c_custkey, 'kept', NULL, NULL FROM customer WHERE c_custkey % 10 = 1 UNION ALL SELECT -c_custkey, 'kept', NULL, NULL FROM customer WHERE c_custkey < 4),
+WITH s AS (SELECT c_custkey AS surface, CASE WHEN c_custkey % 3 = 0 THEN 'deferred' ELSE 'kept' END AS state, c_custkey % 60 AS did, c_custkey % 90 AS ev FROM customer WHERE c_acctbal >= 0
+  UNION ALL SELECT c_custkey, 'kept', NULL, NULL FROM customer WHERE c_mktsegment = 'BUILDING' UNION ALL SELECT -c_custkey, 'kept', NULL, NULL FROM customer WHERE c_custkey < 4),
 n AS (SELECT surface, count(*) AS n FROM s GROUP BY 1)
 SELECT coalesce(c_custkey, surface) AS surface, CASE WHEN c_custkey IS NULL THEN 'unknown' WHEN n IS NULL THEN 'missing' ELSE 'repeated' END AS fault FROM customer FULL JOIN n ON c_custkey = surface WHERE c_custkey IS NULL OR n IS NULL OR n > 1
 UNION ALL SELECT surface, 'unknown_id' FROM s WHERE state = 'deferred' AND (did IS NULL OR did NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey < 40))
@@ -397,16 +397,16 @@ UNION ALL SELECT surface, 'no_evidence' FROM s WHERE ev IS NOT NULL AND ev NOT I
 def surface_completeness(spark, d):
     k, none = c("c_custkey"), F.lit(None).cast("long")
     cust = table(spark, d, "customer")
-    said = cust.filter("c_custkey % 7 <> 0").select(k.alias("surface"), F.when(k % 3 == 0, "deferred").otherwise("kept").alias("state"), (k % 60).alias("deferred_id"), (k % 90).alias("evidence"))
-    said = said.union(cust.filter("c_custkey % 10 = 1").select(k, F.lit("kept"), none, none)).union(cust.filter("c_custkey < 4").select(-k, F.lit("kept"), none, none))
+    said = cust.filter("c_acctbal >= 0").select(k.alias("surface"), F.when(k % 3 == 0, "deferred").otherwise("kept").alias("state"), (k % 60).alias("deferred_id"), (k % 90).alias("evidence"))
+    said = said.union(cust.filter("c_mktsegment = 'BUILDING'").select(k, F.lit("kept"), none, none)).union(cust.filter("c_custkey < 4").select(-k, F.lit("kept"), none, none))
     ids = table(spark, d, "supplier").filter("s_suppkey < 40").select(c("s_suppkey").alias("id"))
     return inventories.closed_domain(cust.select(k.alias("surface")), said, ids, table(spark, d, "part").filter("p_partkey < 70").select(c("p_partkey").alias("path")))
 
 
-@query("SELECT DISTINCT url AS path FROM pages WHERE regexp_matches(url, 'example') AND NOT regexp_matches(url, '/de/') AND url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
+@query("SELECT DISTINCT url AS path FROM pages WHERE regexp_matches(url, 'example') AND NOT regexp_matches(url, '/de/') AND url NOT IN (SELECT url FROM pages WHERE contains(url, '7'))")
 def stray_pages(spark, d):
     pages = table(spark, d, "pages").select("page_id", c("url").alias("path"))
-    return inventories.stray_hits(pages, pages.filter("page_id % 3 = 0"), "example", "/de/")
+    return inventories.stray_hits(pages, pages.filter("contains(path, '7')"), "example", "/de/")
 
 
 @query("SELECT p_partkey AS path, coalesce(n, 0) AS hits, coalesce(n, 0) > 0 AS recalled FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_discount > 0.08 GROUP BY 1) ON l_partkey = p_partkey")
@@ -506,7 +506,7 @@ def resolved_calls(spark, d):
 @query("""
 WITH f AS (SELECT 'f' || p_partkey AS path FROM part WHERE p_size < 30), s AS (SELECT DISTINCT 'f' || l_partkey AS importer, 's' || l_suppkey AS spec, l_suppkey AS k FROM lineitem WHERE l_linenumber = 1),
 c AS (SELECT importer, spec, 'f' || (k * 2) AS path, 0 AS nth FROM s UNION ALL SELECT importer, spec, 'f' || (k + 1), 1 FROM s), b AS (SELECT importer, spec, arg_min(c.path, nth) AS direct FROM c JOIN f ON c.path = f.path GROUP BY ALL),
-a AS (SELECT 's' || s_suppkey AS spec, min('f' || s_nationkey) AS alias FROM supplier WHERE s_suppkey % 2 = 0 GROUP BY 1)
+a AS (SELECT 's' || s_suppkey AS spec, min('f' || s_nationkey) AS alias FROM supplier WHERE s_acctbal > 0 GROUP BY 1)
 SELECT s.importer, s.spec, coalesce(direct, alias) AS target FROM s LEFT JOIN b USING (importer, spec) LEFT JOIN a ON s.spec = a.spec WHERE coalesce(direct, alias) IS NOT NULL AND coalesce(direct, alias) <> s.importer""")
 def resolved_imports(spark, d):
     k = c("l_suppkey")
@@ -515,6 +515,6 @@ def resolved_imports(spark, d):
     files = table(spark, d, "part").filter("p_size < 30").select(F.concat(F.lit("f"), text("p_partkey")).alias("path"))
     s = table(spark, d, "supplier")
     alias = F.concat(F.lit("s"), text("s_suppkey"))
-    names = s.filter("s_suppkey % 2 = 0").select(alias.alias("spec"), F.concat(F.lit("f"), text("s_nationkey")).alias("path"))
-    odd = s.filter("s_suppkey % 2 = 1").select(alias.alias("spec"), F.explode(F.array(F.lit("f1"), F.lit("f2"))).alias("path"))
+    names = s.filter("s_acctbal > 0").select(alias.alias("spec"), F.concat(F.lit("f"), text("s_nationkey")).alias("path"))
+    odd = s.filter("s_acctbal <= 0").select(alias.alias("spec"), F.explode(F.array(F.lit("f1"), F.lit("f2"))).alias("path"))
     return rel.resolve_imports(specs, files, names.union(odd))

@@ -384,20 +384,20 @@ def route_families(spark, d):
 
 @query("""
 WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, -l_suppkey AS dst FROM lineitem WHERE l_returnflag = 'R' UNION SELECT DISTINCT -l_suppkey, l_partkey + 1 FROM lineitem WHERE l_linenumber = 1 AND l_discount > 0.09),
-b(start, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey IN (1, 2, 3) UNION SELECT start, e.dst, depth + 1 FROM b JOIN e ON b.node = e.src WHERE depth < 3),
+b(start, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_size = 50 UNION SELECT start, e.dst, depth + 1 FROM b JOIN e ON b.node = e.src WHERE depth < 3),
 m AS (SELECT start, node, min(depth) AS depth FROM b GROUP BY ALL) SELECT start, list(node ORDER BY depth, node) AS nodes, CAST(max(depth) AS INTEGER) AS depth FROM m GROUP BY start HAVING count(*) > 1""")
 def call_chains(spark, d):
     line = table(spark, d, "lineitem")
     down = line.filter("l_returnflag = 'R'").select(c("l_partkey").alias("src"), (-c("l_suppkey")).alias("dst"))
     up = line.filter("l_linenumber = 1 AND l_discount > 0.09").select(-c("l_suppkey"), c("l_partkey") + 1)
-    return chunks.chains(down.union(up), table(spark, d, "part").filter("p_partkey IN (1, 2, 3)").select(c("p_partkey").alias("node")), 3)
+    return chunks.chains(down.union(up), table(spark, d, "part").filter("p_size = 50").select(c("p_partkey").alias("node")), 3)
 
 
 EFFECT = """
 WITH RECURSIVE e AS (SELECT DISTINCT c_custkey AS src, c_custkey * 2 % 997 AS dst, c_custkey % 3 = 0 AS gated FROM customer UNION SELECT c_custkey, c_custkey * 5 % 991, c_custkey % 4 = 0 FROM customer),
-a(start, node, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer WHERE c_custkey <= 300 UNION SELECT start, dst, depth + 1 FROM a JOIN e ON node = src WHERE depth < 3),
-f(start, node, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer WHERE c_custkey <= 300 UNION SELECT start, dst, depth + 1 FROM f JOIN e ON node = src WHERE depth < 3 AND NOT gated)
-SELECT s AS start, s IN (SELECT start FROM a WHERE node % 17 = 0) AS writes, s IN (SELECT start FROM a WHERE node % 17 = 0) AND s NOT IN (SELECT start FROM f WHERE node % 17 = 0) AS gated FROM (SELECT c_custkey AS s FROM customer WHERE c_custkey <= 300)"""
+a(start, node, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer UNION SELECT start, dst, depth + 1 FROM a JOIN e ON node = src WHERE depth < 3),
+f(start, node, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer UNION SELECT start, dst, depth + 1 FROM f JOIN e ON node = src WHERE depth < 3 AND NOT gated)
+SELECT s AS start, s IN (SELECT start FROM a WHERE node % 17 = 0) AS writes, s IN (SELECT start FROM a WHERE node % 17 = 0) AND s NOT IN (SELECT start FROM f WHERE node % 17 = 0) AS gated FROM (SELECT c_custkey AS s FROM customer)"""
 
 
 @query(EFFECT)
@@ -405,7 +405,7 @@ def gated_effects(spark, d):
     k, cust = c("c_custkey"), table(spark, d, "customer")
     edges = cust.select(k.alias("src"), (k * 2 % 997).alias("dst"), (k % 3 == 0).alias("gated")).union(cust.select(k, k * 5 % 991, k % 4 == 0))
     writers = cust.filter("c_custkey % 17 = 0").select(k.alias("node")).union(spark.range(1).select(F.lit(0).cast("long")))
-    return chunks.effects(edges, writers, cust.filter("c_custkey <= 300").select(k.alias("node")))
+    return chunks.effects(edges, writers, cust.select(k.alias("node")))
 
 
 @query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'task' WHEN c_custkey % 3 = 0 THEN 'view' WHEN c_custkey % 5 = 0 THEN 'http_method' WHEN c_custkey % 7 = 0 THEN 'command' END AS kind FROM customer""")

@@ -38,7 +38,7 @@ def queue_items(files: DataFrame, entry: str) -> DataFrame:
 
 def artifacts(files: DataFrame, kinds: list[tuple[str, str]]) -> DataFrame:
     """(kind, path, summary): the first informative line of files whose path a kind's regex matches; one row for each kind."""
-    lines = F.filter(F.transform(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n"), F.trim), lambda x: (x != "") & ~x.rlike(r"^(---|#!|<!--|```)"))
+    lines = F.filter(F.transform(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"^(---|#!|<!--|```)"))
     hit = F.filter(F.array(*[F.when(F.col("path").rlike(p), k) for k, p in kinds]), lambda k: k.isNotNull())
     return files.select(F.explode(hit).alias("kind"), "path", F.regexp_replace(F.try_element_at(lines, F.lit(1)), r"^#+\s*", "").alias("summary"))
 
