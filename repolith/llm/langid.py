@@ -171,19 +171,21 @@ def train(docs: DataFrame, label: str = "lang", rows_per_language: int = 400, se
     characters at a hashed offset.  None if no row is labelled.
 
     Every label is learned.  Rows without a letter teach nothing; rows that repeat
-    doc_id and text count once.  A first filter by hash leaves little more than the
-    sample to be sorted, so that a hot label costs one count.
+    doc_id and text count once.  A first filter by hash, by each label's number of
+    distinct rows (within a few per cent), leaves about twice the sample to be
+    sorted, so that a hot label or text costs one partial aggregation.
     """
     known = docs.filter(F.col(label).isNotNull() & F.col("text").rlike(LETTER)).select(F.col(label).cast("string").alias("y"), "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
-    counts = known.groupBy("y").count()
+    counts = known.groupBy("y").agg(F.approx_count_distinct("h").alias("count"))
     some = counts.limit(LABELS + 1).collect()
     if len(some) <= LABELS:  # the text isn't shuffled where labels are few
         counts = F.broadcast(docs.sparkSession.createDataFrame(some, "y string, count long"))
     below = F.when(F.col("count") <= 2 * rows_per_language, 1.0).otherwise(2.0 * rows_per_language / F.col("count"))
-    near = known.join(counts, "y").filter(F.pmod("h", F.lit(1 << 30)) < below * (1 << 30))
+    spread = F.pmod("h", F.lit(1 << 30))
+    near = known.join(counts, "y").filter(spread < below * (1 << 30))
     offset = 1 + F.pmod(F.col("h"), F.greatest(F.length("text") - 300, F.lit(1))).cast("int")
     near = near.groupBy("y", "h").agg(F.first(F.substring(F.col("text"), offset, F.lit(300))).alias("t"))
-    nth = F.row_number().over(Window.partitionBy("y").orderBy("h"))
+    nth = F.row_number().over(Window.partitionBy("y").orderBy(spread, "h"))
     sample = sorted(tuple(r) for r in near.withColumn("nth", nth).filter(F.col("nth") <= rows_per_language).select("y", "h", "t").collect())
     names = sorted({r[0] for r in sample})
     if not names:

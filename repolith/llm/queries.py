@@ -97,3 +97,39 @@ n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, m.component_id, vec_id = m.component_id AS kept
 FROM m LEFT JOIN n USING (vec_id)
 """
+
+#: The templates' shingles, their number, and the length of the windows that they are looked for in.
+_SCANNER = licenses.Scanner(licenses.NOTICES)
+_WORDS = {n: licenses.WORD.findall(licenses.NOTICES[n].lower()) for n in _SCANNER.names}
+_SHINGLES = {n: sorted({" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}) for n, w in _WORDS.items()}
+_PAIRS = ", ".join(f"('{n}', '{s}')" for n, found in _SHINGLES.items() for s in found)
+_WINDOWS = ", ".join(f"('{n}', {w}, {w // 2}, {len(_SHINGLES[n])})" for n, w in zip(_SCANNER.names, _SCANNER.window))
+
+ORACLE["op5_license_scan"] = rf"""
+WITH tp(license, shingle) AS (VALUES {_PAIRS}), ti(license, long, half, size) AS (VALUES {_WINDOWS}),
+tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS ws FROM documents WHERE text <> ''),
+spot AS (SELECT doc_id, ws, unnest(range(0, greatest(1, len(ws) - 4))) AS pos FROM tok WHERE len(ws) > 0),
+sh AS (SELECT doc_id, pos, array_to_string(ws[pos + 1:pos + 5], ' ') AS s FROM spot),
+hit AS (SELECT DISTINCT doc_id, license, pos, s FROM sh JOIN tp ON s = shingle),
+win AS (SELECT DISTINCT doc_id, ti.license, long, half, size, greatest(0, (pos // half + k) * half) AS a FROM (SELECT DISTINCT doc_id, pos FROM hit), ti, (VALUES (-1), (0)) v(k)),
+part AS (SELECT * FROM win w WHERE EXISTS (SELECT 1 FROM hit h WHERE h.doc_id = w.doc_id AND h.license = w.license AND h.pos >= a AND h.pos < a + long)),
+found AS (SELECT w.doc_id, w.license, a, count(DISTINCT s) / size AS share, min(pos) AS p, max(pos) AS q
+  FROM part w JOIN hit h ON h.doc_id = w.doc_id AND h.license = w.license AND pos >= a - half AND pos < a + long + half GROUP BY w.doc_id, w.license, a, size HAVING count(DISTINCT s) / size >= 0.8),
+m AS (SELECT *, p > coalesce(max(q) OVER (PARTITION BY doc_id, license ORDER BY p, q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS new FROM found)
+SELECT doc_id, license, max(share) AS containment, count(*) FILTER (new) AS matches, min(p) AS first_word FROM m GROUP BY doc_id, license
+"""
+
+ORACLE["op8_line_dedup"] = r"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(range(0, len(ls))) AS i, unnest(ls) AS t FROM d WHERE text IS NOT NULL),
+s AS (SELECT * FROM l WHERE regexp_matches(t, '[^\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]')),
+f AS (SELECT t, min((doc_id, i)) AS place FROM s GROUP BY t),
+k AS (SELECT t, place, unnest(range(1, length(t) + 1)) AS k FROM f WHERE length(t) >= 20),
+v AS (SELECT t, place, k, left(t, k - 1) || substr(t, k + 1) AS x FROM k),
+n AS (SELECT f.t FROM v JOIN f ON v.x = f.t AND length(f.t) >= 20 WHERE v.place < f.place
+      UNION SELECT v.t FROM v JOIN f ON v.x = f.t AND length(f.t) >= 20 WHERE f.place < v.place
+      UNION SELECT a.t FROM v a JOIN v b ON a.k = b.k AND a.x = b.x WHERE b.place < a.place),
+g AS (SELECT s.doc_id, s.i FROM s JOIN f ON s.t = f.t WHERE (s.doc_id, s.i) > f.place OR s.t IN (SELECT t FROM n)),
+r AS (SELECT l.doc_id, string_agg(l.t, chr(10) ORDER BY l.i) FILTER (g.i IS NULL) AS kept, count(*) AS n_lines, count(g.i) AS n_removed FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.i = g.i GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+"""
