@@ -350,3 +350,11 @@ def patch_secrets(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey", n, line.alias("t")).distinct().groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "t"))).alias("h"))
     patches = rows.select(c("l_orderkey").alias("id"), said("+++ b/f", c("l_orderkey"), ".py\n", F.array_join(F.transform("h", lambda x: x["t"]), "\n")).alias("patch"))
     return policy.patch_findings(policy.patch_additions(patches))
+
+
+@query(f"SELECT {SCRIPT} AS path, 'go' || p_size AS name, 1 AS line, 6 AS end_line, CAST(5 + p_size % 2 AS INTEGER) AS branch_score FROM part")
+def script_hotspots(spark, d):
+    more = F.when(c("p_size") % 2 == 1, "x ? 1 : 2").otherwise("x?.y")
+    body = said("function go", c("p_size"), "(x) {\n  if (x && y || 'a && b') { // if so\n    for (;;) {}\n  }\n  return x ?? ", more, "\n}\nclass A {\n  if () {}\n}\n")
+    files = table(spark, d, "part").select(said("src/s", c("p_partkey"), ".ts").alias("path"), body.alias("text"))
+    return symbols.script_hotspots(files, 2, 3)

@@ -81,6 +81,23 @@ def extract_script(files: DataFrame) -> DataFrame:
     return found.withColumn("end_line", end).select("path", "name", "kind", "line", "end_line", (F.col("end_line") - F.col("line") + 1).alias("loc"))
 
 
+#: What makes a branch in a script: words, operators and arms.
+SCRIPT_BRANCH = r"\b(?:if|for|while|case|catch)\b|&&|\|\||\?\?|\?(?![.:?])"
+
+
+def script_hotspots(files: DataFrame, least_score: int, least_lines: int = 1) -> DataFrame:
+    """(path, name, line, end_line, branch_score) of a script's column-0 functions with at least that score and that many lines.
+
+    A score of text: comments to a line's end and quoted text don't count.
+    """
+    found = extract_script(files).filter(F.col("kind") == "function")
+    rows = found.join(files.select("path", F.split("text", "\n").alias("__lines")), "path")
+    body = F.array_join(F.slice("__lines", F.col("line"), F.col("loc")), "\n")
+    plain = F.regexp_replace(F.regexp_replace(body, r"\"[^\"\n]*\"|'[^'\n]*'|`[^`]*`", "''"), r"//[^\n]*", "")
+    rows = rows.withColumn("branch_score", F.regexp_count(plain, F.lit(SCRIPT_BRANCH)))
+    return rows.filter((F.col("branch_score") >= least_score) & (F.col("loc") >= least_lines)).select("path", "name", "line", "end_line", "branch_score")
+
+
 def name_audit(symbols: DataFrame, generic: tuple[str, ...] = ()) -> DataFrame:
     """(name, definitions, files, signatures, lines, verdict): names with two definitions or more in two files or more, duplicate if
     all have one signature, else shadow; and names of the ``generic`` verbs, however often defined, as rows of their own.  Properties are left out.
