@@ -13,7 +13,10 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 #: A registry of owners by path prefix, two of them nested.
-REGISTRY = [("english", "example.net/en", 1), ("net", "example.net", 2), ("org", "example.org", 3), ("french", "example.org/fr", 4), ("com", "example.com", 5)]
+REGISTRY = [
+    ("english", "example.net/en", 1), ("net", "example.net", 2), ("org", "example.org", 3),
+    ("french", "example.org/fr", 4), ("com", "example.com", 5)
+]
 TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -38,10 +41,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query("SELECT event_id, user_id, event_type, ts, n - 1 AS superseded FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id) AS k, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events) WHERE k = 1")
 def latest_per_key(spark, d):
-    return rel.latest(table(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id").select("event_id", "user_id", "event_type", "ts", "superseded")
+    return rel.latest(
+        table(spark, d, "events"), ["user_id", "event_type"], "ts", "event_id"
+    ).select("event_id", "user_id", "event_type", "ts", "superseded")
 
 
-@query("SELECT strftime(ts, '%Y-%m') AS month, " + ", ".join(f"count(*) FILTER (event_type = '{t}') AS {t}" for t in TYPES) + " FROM events GROUP BY 1")
+@query(
+    "SELECT strftime(ts, '%Y-%m') AS month, " + ", ".join(f"count(*) FILTER (event_type = '{t}') AS {t}" for t in TYPES)
+    + " FROM events GROUP BY 1"
+)
 def month_pivot(spark, d):
     return rel.month_pivot(table(spark, d, "events"), "ts", "event_type", TYPES)
 
@@ -76,7 +84,13 @@ def language_census(spark, d):
 def order_flags(spark, d):
     line = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
     debt = table(spark, d, "customer").filter("c_acctbal < 0").withColumnRenamed("c_custkey", "o_custkey")
-    return rel.flags(table(spark, d, "orders"), {"returned": (line.filter("l_returnflag = 'R'"), ["o_orderkey"]), "discounted": (line.filter("l_discount >= 0.08"), ["o_orderkey"]), "in_debt": (debt, ["o_custkey"])}).select("o_orderkey", "returned", "discounted", "in_debt")
+    return rel.flags(
+        table(spark, d, "orders"),
+        {
+            "returned": (line.filter("l_returnflag = 'R'"), ["o_orderkey"]),
+            "discounted": (line.filter("l_discount >= 0.08"), ["o_orderkey"]), "in_debt": (debt, ["o_custkey"])
+        }
+    ).select("o_orderkey", "returned", "discounted", "in_debt")
 
 
 @query(
@@ -112,13 +126,18 @@ def spans(spark, d):
 @query(f"WITH x AS (SELECT e.event_type, s.* FROM ({SPANS}) s JOIN events e USING (event_id)) SELECT event_id, user_id FROM x WHERE event_type <> 'purchase' AND EXISTS (SELECT 1 FROM x y WHERE y.event_type = 'purchase' AND y.user_id = x.user_id AND x.s <= y.e AND x.e >= y.s)")
 def near_purchase(spark, d):
     s = spans(spark, d)
-    return rel.overlapping(s.filter("event_type <> 'purchase'"), s.filter("event_type = 'purchase'"), ["user_id"]).select("event_id", "user_id")
+    return rel.overlapping(
+        s.filter("event_type <> 'purchase'"), s.filter("event_type = 'purchase'"), ["user_id"]
+    ).select("event_id", "user_id")
 
 
 @query("SELECT event_id, user_id, last_view FROM (SELECT *, last_value(CASE WHEN event_type = 'view' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_view FROM events) WHERE event_type = 'purchase'")
 def view_before_purchase(spark, d):
     is_ = lambda t: F.col("event_type") == t
-    return rel.last_before(table(spark, d, "events"), is_("purchase"), is_("view"), ["user_id"], ["ts", "event_id"], "event_id", "last_view").select("event_id", "user_id", "last_view")
+    return rel.last_before(
+        table(spark, d, "events"), is_("purchase"), is_("view"), ["user_id"], ["ts", "event_id"], "event_id",
+        "last_view"
+    ).select("event_id", "user_id", "last_view")
 
 
 PART_SUPPLIER = "SELECT DISTINCT l_partkey AS src, -l_suppkey AS dst FROM lineitem UNION SELECT DISTINCT -l_suppkey, l_partkey FROM lineitem"
@@ -132,13 +151,18 @@ def bounded_reach(spark, d):
     """Parts and (negative) suppliers within 8 steps of part 1, over all line items."""
     line = table(spark, d, "lineitem")
     down = line.select(F.col("l_partkey").alias("src"), (-F.col("l_suppkey")).alias("dst"))
-    return graph.shortest_depths(down.union(line.select(-F.col("l_suppkey"), "l_partkey")), spark.range(1, 2).select(F.col("id").alias("node")))
+    return graph.shortest_depths(
+        down.union(line.select(-F.col("l_suppkey"), "l_partkey")), spark.range(1, 2).select(F.col("id").alias("node"))
+    )
 
 
 @query("WITH a AS (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'), b AS (SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1994-01-01') SELECT o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'fixed' WHEN a.o_orderkey IS NULL THEN 'new' ELSE 'persisting' END AS state FROM a FULL JOIN b USING (o_orderkey)")
 def manifest_diff(spark, d):
     o = table(spark, d, "orders")
-    return rel.manifest_diff(o.filter("o_orderdate < TIMESTAMP '1997-01-01'"), o.filter("o_orderdate >= TIMESTAMP '1994-01-01'"), ["o_orderkey"])
+    return rel.manifest_diff(
+        o.filter("o_orderdate < TIMESTAMP '1997-01-01'"), o.filter("o_orderdate >= TIMESTAMP '1994-01-01'"),
+        ["o_orderkey"]
+    )
 
 
 @query("SELECT doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
@@ -166,7 +190,10 @@ def review_reasons(spark, d):
 
 @query("SELECT source, doc_id, substr(md5(text), 1, 12) AS digest, greatest(1, length(text) // 4) AS tokens FROM documents")
 def token_estimates(spark, d):
-    return table(spark, d, "documents").select("source", "doc_id", scalars.short_digest(F.col("text")).alias("digest"), scalars.token_estimate(F.col("text")).alias("tokens"))
+    return table(spark, d, "documents").select(
+        "source", "doc_id", scalars.short_digest(F.col("text")).alias("digest"),
+        scalars.token_estimate(F.col("text")).alias("tokens")
+    )
 
 
 @query(
@@ -175,8 +202,12 @@ def token_estimates(spark, d):
     "SELECT source AS root, c.lang AS language, loc, files, CASE WHEN covered_by IS NOT NULL THEN 'covered' WHEN source = 'src1' AND c.lang = 'fr' THEN 'accepted' WHEN loc >= 20000 THEN 'gap' ELSE 'small' END AS state FROM c LEFT JOIN k ON c.lang = k.lang"
 )
 def perimeter_cells(spark, d):
-    files = table(spark, d, "documents").select(F.col("source").alias("root"), F.col("lang").alias("language"), F.col("n_chars").alias("loc"))
-    covers = spark.createDataFrame([("en", "words"), ("en", "lines"), ("de", "words"), ("any", "bytes")], "language string, detector string")
+    files = table(spark, d, "documents").select(
+        F.col("source").alias("root"), F.col("lang").alias("language"), F.col("n_chars").alias("loc")
+    )
+    covers = spark.createDataFrame(
+        [("en", "words"), ("en", "lines"), ("de", "words"), ("any", "bytes")], "language string, detector string"
+    )
     accepted = spark.createDataFrame([("src1", "fr")], "root string, language string")
     return registries.perimeter(files, covers, accepted, 20000).drop("covered_by")
 
@@ -188,7 +219,10 @@ def perimeter_cells(spark, d):
 def order_ratchet(spark, d):
     o = table(spark, d, "orders").withColumnRenamed("o_custkey", "id")
     count = lambda rows: rows.groupBy("id").agg(F.count("*").alias("metric"))
-    return registries.ratchet(count(o.filter("o_orderdate >= TIMESTAMP '1996-01-01'")), count(o.filter("o_orderdate < TIMESTAMP '1996-01-01'")))
+    return registries.ratchet(
+        count(o.filter("o_orderdate >= TIMESTAMP '1996-01-01'")),
+        count(o.filter("o_orderdate < TIMESTAMP '1996-01-01'"))
+    )
 
 
 @query("SELECT p_partkey, p_size, p_size >= (SELECT min(p_size) FROM (SELECT p_size FROM part ORDER BY p_size DESC LIMIT 10)) AS selected FROM part")
@@ -199,7 +233,9 @@ def selection_with_omissions(spark, d):
 @query("SELECT o_custkey AS caller, count(*) FILTER (o_orderstatus <> 'O') AS resolved, count(*) FILTER (o_orderstatus = 'O') AS unresolved, CASE WHEN bool_and(o_orderstatus <> 'O') THEN 'complete' WHEN bool_and(o_orderstatus = 'O') THEN 'unresolved' ELSE 'partial' END AS state FROM orders GROUP BY o_custkey")
 def call_completeness(spark, d):
     o = table(spark, d, "orders")
-    return detectors.call_completeness(o.select(F.col("o_custkey").alias("caller"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderkey")).alias("callee")))
+    return detectors.call_completeness(
+        o.select(F.col("o_custkey").alias("caller"), F.when(F.col("o_orderstatus") != "O", F.col("o_orderkey")).alias("callee"))
+    )
 
 
 LAYERS = [("0-URGENT", "2-HIGH"), ("1-URGENT", "2-HIGH"), ("1-URGENT", "3-MEDIUM")]
@@ -213,21 +249,29 @@ LAYERS = [("0-URGENT", "2-HIGH"), ("1-URGENT", "2-HIGH"), ("1-URGENT", "3-MEDIUM
 )
 def layer_violations(spark, d):
     name = F.when(F.col("path") % 3 == 0, "URGENT").when(F.col("path") % 3 == 1, "HIGH").otherwise("MEDIUM")
-    layers = table(spark, d, "orders").select(F.col("o_orderkey").alias("path")).select("path", F.concat_ws("-", F.col("path") % 5, name).alias("layer"))
+    layers = table(spark, d, "orders").select(F.col("o_orderkey").alias("path")).select(
+        "path", F.concat_ws("-", F.col("path") % 5, name).alias("layer")
+    )
     edges = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("importer"), F.col("l_partkey").alias("imported"))
     return detectors.layer_violations(edges, layers, spark.createDataFrame(LAYERS, "from_layer string, to_layer string"))
 
 
 @query("SELECT u AS id, coalesce(last_type, 'new') AS state, n AS transitions FROM (SELECT c_custkey AS u FROM customer) LEFT JOIN (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_type, count(*) AS k FROM events GROUP BY user_id) ON u = user_id CROSS JOIN LATERAL (SELECT coalesce(k, 0) AS n)")
 def folded_states(spark, d):
-    e = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("ts").alias("at"), F.col("event_id").alias("ordinal"), F.col("event_type").alias("to_state"))
+    e = table(spark, d, "events").select(
+        F.col("user_id").alias("id"), F.col("ts").alias("at"), F.col("event_id").alias("ordinal"),
+        F.col("event_type").alias("to_state")
+    )
     return detectors.fold_states(e, table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("new").alias("state")))
 
 
 @query("SELECT event_id, EXISTS (SELECT 1 FROM events v WHERE v.event_type = 'view' AND v.user_id = e.user_id AND v.ts <= e.ts AND floor(epoch(e.ts)) - floor(epoch(v.ts)) <= 12 * 3600) AS backed FROM events e WHERE event_type = 'purchase'")
 def recent_evidence(spark, d):
     e = table(spark, d, "events").withColumn("at", F.col("ts"))
-    return detectors.recent_evidence(e.filter("event_type = 'purchase'").select("event_id", "user_id", "at"), e.filter("event_type = 'view'").select("user_id", "at"), ["user_id"]).select("event_id", "backed")
+    return detectors.recent_evidence(
+        e.filter("event_type = 'purchase'").select("event_id", "user_id", "at"),
+        e.filter("event_type = 'view'").select("user_id", "at"), ["user_id"]
+    ).select("event_id", "backed")
 
 
 @query("SELECT l_orderkey, 'C-' || lpad(CAST(k AS VARCHAR), 2, '0') AS chunk, CASE WHEN k = 1 THEN 1 ELSE l_linenumber END AS first, coalesce(nxt - 1, 9) AS last FROM (SELECT l_orderkey, l_linenumber, row_number() OVER w AS k, lead(l_linenumber) OVER w AS nxt FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber))")
@@ -248,16 +292,25 @@ def packed_with_breaks(spark, d):
 
 @query("SELECT l_returnflag, count(*) FILTER (l_discount > 0.08) AS failures, CASE WHEN bool_or(l_discount > 0.08 AND l_quantity >= 50 AND l_returnflag IN ('A', 'R')) THEN 'fail' WHEN bool_or(l_discount > 0.08) THEN 'pass-with-notes' ELSE 'pass' END AS verdict FROM lineitem GROUP BY l_returnflag")
 def mode_scorecard(spark, d):
-    checks = table(spark, d, "lineitem").select("l_returnflag", (F.col("l_discount") <= 0.08).alias("passed"), ((F.col("l_quantity") >= 50) & F.col("l_returnflag").isin("A", "R")).alias("consequential"))
+    checks = table(spark, d, "lineitem").select(
+        "l_returnflag", (F.col("l_discount") <= 0.08).alias("passed"),
+        ((F.col("l_quantity") >= 50) & F.col("l_returnflag").isin("A", "R")).alias("consequential")
+    )
     return matrix.scorecard(checks, ["l_returnflag"])
 
 
 DOMAINS = [("sized", "^(small|medium|large)$"), ("offer", "promo|economy")]
 
 
-@query("SELECT domain, list(p_partkey ORDER BY p_partkey) AS members FROM (SELECT p_partkey, CASE " + " ".join(f"WHEN regexp_matches(lower(p_type), '{p}') THEN '{n}'" for n, p in DOMAINS) + " ELSE 'utility' END AS domain FROM part) GROUP BY domain HAVING count(*) >= 2")
+@query(
+    "SELECT domain, list(p_partkey ORDER BY p_partkey) AS members FROM (SELECT p_partkey, CASE "
+    + " ".join(f"WHEN regexp_matches(lower(p_type), '{p}') THEN '{n}'" for n, p in DOMAINS)
+    + " ELSE 'utility' END AS domain FROM part) GROUP BY domain HAVING count(*) >= 2"
+)
 def domain_groups(spark, d):
-    return matrix.prompt_groups(table(spark, d, "part").select(matrix.domain_of(F.col("p_type"), DOMAINS).alias("domain"), F.col("p_partkey").alias("name")))
+    return matrix.prompt_groups(
+        table(spark, d, "part").select(matrix.domain_of(F.col("p_type"), DOMAINS).alias("domain"), F.col("p_partkey").alias("name"))
+    )
 
 
 @query("SELECT doc_id, concept, band, terms FROM (WITH g(concept, term, standing) AS (VALUES ('pair', 'the', 'canonical'), ('pair', 'and', 'competing'), ('pair', 'der', 'superseded'), ('out', 'license', 'avoid')), "
@@ -266,13 +319,20 @@ def domain_groups(spark, d):
        "SELECT doc_id, concept, 'avoid_term_hit' AS band, terms FROM s WHERE list_contains(st, 'avoid') UNION ALL SELECT doc_id, concept, 'competing_term_coexistence', terms FROM s WHERE list_contains(st, 'competing') AND len(terms) > 1 "
        "UNION ALL SELECT doc_id, concept, 'superseded_co_occurrence', terms FROM s WHERE list_contains(st, 'superseded') AND list_contains(st, 'canonical'))")
 def term_bands(spark, d):
-    glossary = spark.createDataFrame([("pair", "the", "canonical"), ("pair", "and", "competing"), ("pair", "der", "superseded"), ("out", "license", "avoid")], "concept string, term string, standing string")
+    glossary = spark.createDataFrame(
+        [("pair", "the", "canonical"), ("pair", "and", "competing"), ("pair", "der", "superseded"), ("out", "license", "avoid")],
+        "concept string, term string, standing string"
+    )
     return detectors.term_bands(table(spark, d, "documents").select("doc_id", "text"), glossary, "doc_id", "text")
 
 
 @query("SELECT 'orders' AS carrier_type, o_orderpriority AS field, count(*) AS operations, list(DISTINCT o_orderstatus ORDER BY o_orderstatus) AS literals, CASE WHEN count(DISTINCT o_orderstatus) >= 2 AND bool_or(o_totalprice > 100000) AND bool_or(o_totalprice <= 100000) THEN 'first_party_state_operation' ELSE 'insufficient_closed_state_evidence' END AS classification FROM orders GROUP BY o_orderpriority")
 def implicit_states(spark, d):
-    ops = table(spark, d, "orders").select(F.lit("orders").alias("carrier_type"), F.col("o_orderpriority").alias("field"), F.lit("string").alias("field_type"), F.col("o_orderstatus").alias("literal"), F.when(F.col("o_totalprice") > 100000, "comparison").otherwise("assignment").alias("operation"))
+    ops = table(spark, d, "orders").select(
+        F.lit("orders").alias("carrier_type"), F.col("o_orderpriority").alias("field"),
+        F.lit("string").alias("field_type"), F.col("o_orderstatus").alias("literal"),
+        F.when(F.col("o_totalprice") > 100000, "comparison").otherwise("assignment").alias("operation")
+    )
     return detectors.implicit_states(ops)
 
 
@@ -285,7 +345,12 @@ def url_families(spark, d):
 
 @query("SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49 AND l_discount > 0.09) ")
 def dormant_suppliers(spark, d):
-    defs = table(spark, d, "supplier").select(F.lit("s").alias("path"), F.lit(1).alias("line"), F.col("s_suppkey").alias("name"), F.array().cast("array<string>").alias("decorators"))
-    refs = table(spark, d, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 49 AND l_discount > 0.09").select(F.col("l_suppkey").alias("name"))
+    defs = table(spark, d, "supplier").select(
+        F.lit("s").alias("path"), F.lit(1).alias("line"), F.col("s_suppkey").alias("name"),
+        F.array().cast("array<string>").alias("decorators")
+    )
+    refs = table(spark, d, "lineitem").filter(
+        "l_returnflag = 'R' AND l_quantity > 49 AND l_discount > 0.09"
+    ).select(F.col("l_suppkey").alias("name"))
     free = detectors.dormant(defs, refs, refs).select(F.col("name").alias("s_suppkey"))
     return free.join(table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey")

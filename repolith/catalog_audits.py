@@ -25,7 +25,9 @@ NOW = "2024-01-20 00:00:00"
 def scan_rows(spark, d):
     e = table(spark, d, "events")
     return e.select(
-        c("event_type").alias("skill"), text("user_id").alias("target"), text("event_id").alias("scan_id"), (c("event_id") % 4).alias("findings_total"),
+        c("event_type").alias("skill"), text("user_id").alias("target"), text("event_id").alias("scan_id"), (
+            c("event_id") % 4
+        ).alias("findings_total"),
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), c("event_id").alias("ordinal"),
     )
 
@@ -45,7 +47,9 @@ def scan_triage(spark, d):
     findings = e.filter("value > 90").select(text("event_id").alias("source_scan"), none.alias("source_skill"), none.alias("created_at")).union(
         e.filter("value > 99").select(none, c("event_type"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
     )
-    dismissals = e.filter("value < 5").select(none.alias("source_scan"), text("event_id").alias("scan_id"), none.alias("skill"), none.alias("ts"))
+    dismissals = e.filter("value < 5").select(
+        none.alias("source_scan"), text("event_id").alias("scan_id"), none.alias("skill"), none.alias("ts")
+    )
     return audits.triage(scan_rows(spark, d), findings, dismissals, NOW)
 
 
@@ -61,10 +65,16 @@ def ledger_review(spark, d):
     k = c("s_suppkey")
     seen = F.when(k % 7 == 0, None).when(k % 11 == 0, "soon").otherwise(F.concat(F.lit("1998-0"), (1 + k % 9).cast("string"), F.lit("-15")))
     ledger = table(spark, d, "supplier").select(
-        c("s_name").alias("path"), (c("s_nationkey") * 10).cast("long").alias("loc"), seen.alias("last_reviewed"), F.when(k % 5 == 0, "planned").otherwise("keep").alias("decision"),
-        F.when(k % 3 != 0, "me").alias("action_owner"), F.lit(None).cast("int").alias("after_days"), F.lit(None).cast("int").alias("after_loc_delta"),
+        c("s_name").alias("path"), (
+            c("s_nationkey") * 10
+        ).cast("long").alias("loc"), seen.alias("last_reviewed"), F.when(k % 5 == 0, "planned").otherwise("keep").alias("decision"),
+        F.when(k % 3 != 0, "me").alias("action_owner"), F.lit(None).cast("int").alias("after_days"), F.lit(None).cast("int").alias(
+            "after_loc_delta"
+        ),
     )
-    n = table(spark, d, "lineitem").filter("l_quantity > 25").groupBy("l_suppkey").agg(F.count("*").alias("loc"), F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("last_commit"))
+    n = table(spark, d, "lineitem").filter("l_quantity > 25").groupBy("l_suppkey").agg(
+        F.count("*").alias("loc"), F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("last_commit")
+    )
     metrics = n.join(table(spark, d, "supplier"), c("l_suppkey") == c("s_suppkey")).select(c("s_name").alias("path"), "loc", "last_commit")
     return audits.needs_review(ledger, metrics, "1998-12-01")
 
@@ -80,7 +90,10 @@ WITH e AS (SELECT event_type AS decision, count(*) AS n, count(DISTINCT user_id)
 v AS (SELECT unnest(['click', 'ask', 'deny']) AS decision)
 SELECT coalesce(v.decision, e.decision) AS decision, coalesce(n, 0) AS n, coalesce(rules, 0) AS rules FROM v FULL JOIN e ON v.decision = e.decision""")
 def friction_counts(spark, d):
-    e = table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), c("event_type").alias("decision"), c("user_id").alias("rule_id"))
+    e = table(spark, d, "events").select(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), c("event_type").alias("decision"),
+        c("user_id").alias("rule_id")
+    )
     return audits.friction(e, NOW, 14, ("click", "ask", "deny"))
 
 
@@ -110,7 +123,10 @@ def line_compliance(spark, d):
 
 # policies
 
-RULES = [("no-view", "view.*[1-4]7", False, "a", "deny", 1), ("big", "[0-9]{2}", True, "a", "warn", 2), ("click", "^click", False, "b", "ask", 3), ("k", "k", True, "b", "allow", 4)]
+RULES = [
+    ("no-view", "view.*[1-4]7", False, "a", "deny", 1), ("big", "[0-9]{2}", True, "a", "warn", 2),
+    ("click", "^click", False, "b", "ask", 3), ("k", "k", True, "b", "allow", 4)
+]
 COMMAND = "event_type || ' ''' || props || ''' ' || (event_id % 50)"
 HITS = f"""
 WITH r(rule, pattern, raw, grp, decision, ordinal) AS (VALUES {", ".join(str(x) for x in RULES)}),
@@ -143,7 +159,10 @@ def command_decisions(spark, d):
     return best.select("id", "rule", policy.floor_irreversible(c("decision"), c("id") % 2 == 0).alias("decision"))
 
 
-GRANTS = [("g1", "click", None, "^click [0-9]", None), ("g2", "click", "s1", None, "^a/"), ("g3", "view", "s2", "view", "^(a|b)/"), ("g4", "purchase", None, None, None)]
+GRANTS = [
+    ("g1", "click", None, "^click [0-9]", None), ("g2", "click", "s1", None, "^a/"),
+    ("g3", "view", "s2", "view", "^(a|b)/"), ("g4", "purchase", None, None, None)
+]
 
 
 @query("""
@@ -154,10 +173,22 @@ SELECT request, g.g AS "grant" FROM q JOIN g ON q.rule = g.rule WHERE (g.session
   AND (paths_like IS NULL OR (len(paths) > 0 AND len(list_filter(paths, lambda p: NOT regexp_matches(p, paths_like))) = 0))""")
 def grants_that_apply(spark, d):
     k, empty = c("event_id") % 4, F.array().cast("array<string>")
-    paths = F.when(k == 0, empty).when(k == 1, F.array(F.lit("a/x"))).when(k == 2, F.array(F.lit("a/x"), F.lit("b/y"))).otherwise(F.array(F.lit("c/z")))
-    command = F.concat(c("event_type"), F.lit(" "), (c("event_id") % 9).cast("string"), F.when(c("event_id") % 5 == 0, "; ls").otherwise(""))
-    asks = table(spark, d, "events").select(c("event_id").alias("request"), c("event_type").alias("rule"), F.concat(F.lit("s"), (c("user_id") % 3).cast("string")).alias("session"), command.alias("command"), paths.alias("paths"))
-    return policy.grants_for(asks, spark.createDataFrame(GRANTS, "grant string, rule string, session string, pattern string, path_regex string"))
+    paths = F.when(k == 0, empty).when(k == 1, F.array(F.lit("a/x"))).when(
+        k == 2, F.array(F.lit("a/x"), F.lit("b/y"))
+    ).otherwise(F.array(F.lit("c/z")))
+    command = F.concat(
+        c("event_type"), F.lit(" "), (c("event_id") % 9).cast("string"),
+        F.when(c("event_id") % 5 == 0, "; ls").otherwise("")
+    )
+    asks = table(spark, d, "events").select(
+        c("event_id").alias("request"), c("event_type").alias("rule"),
+        F.concat(F.lit("s"), (c("user_id") % 3).cast("string")).alias("session"), command.alias("command"),
+        paths.alias("paths")
+    )
+    return policy.grants_for(
+        asks,
+        spark.createDataFrame(GRANTS, "grant string, rule string, session string, pattern string, path_regex string")
+    )
 
 
 PATCH = "CASE l_orderkey % 3 WHEN 0 THEN '+++ b/' WHEN 1 THEN '*** Update File: ' ELSE 'Index: ' END"
@@ -171,7 +202,9 @@ def patch_lines(spark, d):
     held = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("t"))))
     body = F.array_join(F.transform("held", lambda x: F.concat(F.lit("+"), x["t"])), "\n-gone\n")
     rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(held.alias("held"))
-    return policy.patch_additions(rows.select(c("l_orderkey").alias("id"), F.concat(kind, text("l_orderkey"), F.lit("\n"), body).alias("patch")))
+    return policy.patch_additions(
+        rows.select(c("l_orderkey").alias("id"), F.concat(kind, text("l_orderkey"), F.lit("\n"), body).alias("patch"))
+    )
 
 
 @query("""
@@ -180,7 +213,10 @@ s AS (SELECT capability, CASE WHEN version IS NULL THEN 'missing' WHEN CAST(spli
 SELECT capability, CASE WHEN count(DISTINCT s) = 1 THEN min(s) WHEN bool_or(s = 'missing') THEN 'partial' ELSE 'outdated' END AS status FROM s GROUP BY capability""")
 def tool_states(spark, d):
     version = F.when(c("p_size") % 13 != 0, F.concat(F.lit("3."), text("p_size"), F.lit(".1")))
-    tools = table(spark, d, "part").select(c("p_brand").alias("capability"), c("p_name").alias("tool"), version.alias("version"), F.lit("3.9").alias("least"))
+    tools = table(spark, d, "part").select(
+        c("p_brand").alias("capability"), c("p_name").alias("tool"), version.alias("version"),
+        F.lit("3.9").alias("least")
+    )
     return policy.tool_status(tools)
 
 
@@ -216,8 +252,13 @@ WITH f AS (SELECT l_orderkey AS path, l_returnflag AS rule, l_linenumber AS s, l
 SELECT path, rule, s AS start, e AS "end", l_partkey FROM f WHERE NOT EXISTS (SELECT 1 FROM lineitem m WHERE m.l_discount <= 0.02 AND m.l_orderkey = path AND m.l_returnflag = rule AND m.l_linenumber BETWEEN s AND e)""")
 def findings_not_allowed(spark, d):
     line = table(spark, d, "lineitem")
-    found = line.filter("l_discount > 0.04").select(c("l_orderkey").alias("path"), c("l_returnflag").alias("rule"), c("l_linenumber").alias("start"), (c("l_linenumber") + 1).alias("end"), "l_partkey")
-    marks = line.filter("l_discount <= 0.02").select(c("l_orderkey").alias("path"), c("l_returnflag").alias("rule"), c("l_linenumber").alias("line"))
+    found = line.filter("l_discount > 0.04").select(
+        c("l_orderkey").alias("path"), c("l_returnflag").alias("rule"), c("l_linenumber").alias("start"),
+        (c("l_linenumber") + 1).alias("end"), "l_partkey"
+    )
+    marks = line.filter("l_discount <= 0.02").select(
+        c("l_orderkey").alias("path"), c("l_returnflag").alias("rule"), c("l_linenumber").alias("line")
+    )
     return policy.suppress(found, marks)
 
 
@@ -245,7 +286,10 @@ def reviewed_states(spark, d):
     k = c("o_orderkey")
     seen = F.when(k % 5 != 0, (c("c_nationkey") + F.when(k % 3 == 0, 1).otherwise(0)).cast("string"))
     kind = F.when(k % 4 == 0, "fixed").when(k % 4 == 1, "dismissed").when(k % 4 == 2, "accepted").otherwise("later")
-    decided = table(spark, d, "orders").join(findings, c("o_custkey") == c("subject")).select("subject", seen.alias("fingerprint"), kind.alias("disposition"), F.date_format("o_orderdate", "yyyy-MM").alias("recorded_at"), k.alias("ordinal"))
+    decided = table(spark, d, "orders").join(findings, c("o_custkey") == c("subject")).select(
+        "subject", seen.alias("fingerprint"), kind.alias("disposition"),
+        F.date_format("o_orderdate", "yyyy-MM").alias("recorded_at"), k.alias("ordinal")
+    )
     return registries.reviewed(findings.drop("c_nationkey"), decided)
 
 
@@ -262,9 +306,15 @@ def decision_faults(spark, d):
     k = c("o_orderkey")
     empty = F.array().cast("array<long>")
     rows = table(spark, d, "orders").select(
-        k.alias("id"), F.when(k % 4 == 0, "proposed").when(k % 4 == 1, "accepted").when(k % 4 == 2, "rejected").otherwise("odd").alias("status"),
-        F.when(k % 9 == 0, "soon").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("date"), F.when(k % 8 == 0, "yes").alias("revisit"),
-        F.when((k % 2 == 1) & (k % 6 == 1), F.array(k)).otherwise(empty).alias("embodied_by"), F.when(k % 3 == 0, F.array(k + 1)).otherwise(empty).alias("supersedes"),
+        k.alias("id"), F.when(
+            k % 4 == 0, "proposed"
+        ).when(k % 4 == 1, "accepted").when(k % 4 == 2, "rejected").otherwise("odd").alias("status"),
+        F.when(k % 9 == 0, "soon").otherwise(
+            F.date_format("o_orderdate", "yyyy-MM-dd")
+        ).alias("date"), F.when(k % 8 == 0, "yes").alias("revisit"),
+        F.when(
+            (k % 2 == 1) & (k % 6 == 1), F.array(k)
+        ).otherwise(empty).alias("embodied_by"), F.when(k % 3 == 0, F.array(k + 1)).otherwise(empty).alias("supersedes"),
         F.when(k % 7 == 0, k - 1).alias("superseded_by"),
     )
     return registries.decision_drift(rows, "1996-01-01")
@@ -274,7 +324,9 @@ def decision_faults(spark, d):
        "UNION ALL SELECT p_partkey, 'unknown decision ' || (p_size * 3) FROM part WHERE p_size > 10 AND p_size * 3 NOT IN (SELECT s_suppkey FROM supplier)")
 def broken_registry_links(spark, d):
     plans = table(spark, d, "orders").select(c("o_orderkey").alias("id"), F.array(c("o_orderkey") % 40).alias("specs"))
-    specs = table(spark, d, "part").filter("p_size > 10").select(c("p_partkey").alias("id"), F.array((c("p_size") * 3).cast("long")).alias("decisions"))
+    specs = table(spark, d, "part").filter("p_size > 10").select(
+        c("p_partkey").alias("id"), F.array((c("p_size") * 3).cast("long")).alias("decisions")
+    )
     return registries.broken_links(plans, specs, table(spark, d, "supplier").select(c("s_suppkey").alias("id")))
 
 
@@ -284,9 +336,14 @@ m AS (SELECT CAST(s_nationkey AS VARCHAR) AS n, max(l_shipdate) AS ts FROM linei
 SELECT artifact, coalesce(m.ts > w, false) AS stale FROM a LEFT JOIN m ON a.n = m.n""")
 def artifact_freshness(spark, d):
     written = F.expr("timestamp '1997-01-01' + make_dt_interval(cast(c_custkey % 900 as int))")
-    made = table(spark, d, "customer").select(c("c_custkey").alias("artifact"), written.alias("written_at"), F.array(F.concat(F.lit("src/"), text("c_nationkey"))).alias("scope"))
+    made = table(spark, d, "customer").select(
+        c("c_custkey").alias("artifact"), written.alias("written_at"),
+        F.array(F.concat(F.lit("src/"), text("c_nationkey"))).alias("scope")
+    )
     path = F.concat(F.lit("src/"), text("s_nationkey"), F.lit("/"), text("l_partkey"))
-    commits = table(spark, d, "lineitem").filter("l_linenumber = 1").join(table(spark, d, "supplier"), c("l_suppkey") == c("s_suppkey")).select(path.alias("path"), c("l_shipdate").alias("ts"))
+    commits = table(spark, d, "lineitem").filter("l_linenumber = 1").join(
+        table(spark, d, "supplier"), c("l_suppkey") == c("s_suppkey")
+    ).select(path.alias("path"), c("l_shipdate").alias("ts"))
     return registries.freshness(made, commits)
 
 
@@ -295,7 +352,10 @@ def evidence_tokens(spark, d):
     part = table(spark, d, "part")
     path = F.when(c("p_size") % 3 == 1, text("p_partkey")).otherwise("nowhere")
     files = table(spark, d, "lineitem").filter("l_discount > 0.09").select(text("l_partkey").alias("path"))
-    return registries.tokens_present(part.select(text("p_partkey").alias("token")), part.filter("p_size % 3 <> 0").select(text("p_partkey").alias("token"), path.alias("path")), files)
+    return registries.tokens_present(
+        part.select(text("p_partkey").alias("token")),
+        part.filter("p_size % 3 <> 0").select(text("p_partkey").alias("token"), path.alias("path")), files
+    )
 
 
 CHAINS = "SELECT c_custkey AS a, c_custkey + 1 + c_custkey % 3 AS b FROM customer WHERE c_acctbal > 0"
@@ -315,17 +375,26 @@ SELECT path, CASE WHEN path LIKE 'lib/a/%' THEN ['alpha'] WHEN path LIKE 'lib/b/
   CASE WHEN path LIKE 'lib/a/%' THEN 'registered' WHEN path LIKE 'lib/b/%' THEN 'ambiguous' WHEN path LIKE 'app/%' AND CAST(substr(path, 5) AS BIGINT) % 2 = 0 THEN 'exempt' WHEN path = 'lib' THEN 'partial' ELSE 'uncovered' END AS state FROM p""")
 def candidate_dispositions(spark, d):
     k, p = c("p_size") % 5, text("p_partkey")
-    path = F.when(k == 0, "lib").when(k == 1, F.concat(F.lit("lib/a/"), p)).when(k == 2, F.concat(F.lit("lib/b/"), p)).when(k == 3, F.concat(F.lit("app/"), p)).otherwise(F.concat(F.lit("tmp/"), p))
+    path = F.when(k == 0, "lib").when(
+        k == 1, F.concat(F.lit("lib/a/"), p)
+    ).when(k == 2, F.concat(F.lit("lib/b/"), p)).when(k == 3, F.concat(F.lit("app/"), p)).otherwise(F.concat(F.lit("tmp/"), p))
     paths = table(spark, d, "part").select(path.alias("path")).distinct()
-    registry = spark.createDataFrame([("alpha", "lib/a", 1), ("beta", "lib/b", 2), ("gamma", "lib/b/", 3)], "owner string, prefix string, ordinal int")
+    registry = spark.createDataFrame(
+        [("alpha", "lib/a", 1), ("beta", "lib/b", 2), ("gamma", "lib/b/", 3)],
+        "owner string, prefix string, ordinal int"
+    )
     exempt = table(spark, d, "part").filter("p_partkey % 2 = 0").select(F.concat(F.lit("app/"), p).alias("path"))
     return registries.dispositions(paths, registry, exempt)
 
 
 @query("SELECT s_name AS path FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_discount > 0.09 AND l_tax > 0.07 AND l_quantity > 40)")
 def exemptions_without_candidate(spark, d):
-    used = table(spark, d, "lineitem").filter("l_discount > 0.09 AND l_tax > 0.07 AND l_quantity > 40").join(table(spark, d, "supplier"), c("l_suppkey") == c("s_suppkey"))
-    return registries.stale_exemptions(table(spark, d, "supplier").select(c("s_name").alias("path")), used.select(c("s_name").alias("path")))
+    used = table(spark, d, "lineitem").filter("l_discount > 0.09 AND l_tax > 0.07 AND l_quantity > 40").join(
+        table(spark, d, "supplier"), c("l_suppkey") == c("s_suppkey")
+    )
+    return registries.stale_exemptions(
+        table(spark, d, "supplier").select(c("s_name").alias("path")), used.select(c("s_name").alias("path"))
+    )
 
 
 # two-sided checks
@@ -335,7 +404,9 @@ def exemptions_without_candidate(spark, d):
        "UNION ALL SELECT p_partkey, 'stale' FROM part WHERE p_size < 25 AND p_partkey % 2 = 0 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_linenumber > 5)")
 def symbols_against_spec(spark, d):
     code = table(spark, d, "lineitem").filter("l_linenumber > 5").select(c("l_partkey").alias("name"))
-    return inventories.symbol_differences(code, table(spark, d, "part").filter("p_size < 25").select(c("p_partkey").alias("name")), c("name") % 2 == 0)
+    return inventories.symbol_differences(
+        code, table(spark, d, "part").filter("p_size < 25").select(c("p_partkey").alias("name")), c("name") % 2 == 0
+    )
 
 
 FILE = "'n' || {n} || '/f' || {k}"
@@ -349,12 +420,20 @@ n AS (SELECT path, list(importer ORDER BY importer) AS l FROM h WHERE path <> im
 SELECT f.path, CASE WHEN language = 'py' THEN CAST(coalesce(len(l), 0) AS INTEGER) END AS used_by, CASE WHEN language = 'py' THEN coalesce(l, []) END AS inbound_paths FROM f LEFT JOIN n USING (path)""")
 def inbound_importers(spark, d):
     s = table(spark, d, "supplier")
-    files = s.select(F.concat(F.lit("n"), text("s_nationkey"), F.lit("/f"), text("s_suppkey")).alias("path"), F.when(c("s_suppkey") % 5 == 0, "go").otherwise("py").alias("language"), "s_suppkey")
+    files = s.select(
+        F.concat(F.lit("n"), text("s_nationkey"), F.lit("/f"), text("s_suppkey")).alias("path"),
+        F.when(c("s_suppkey") % 5 == 0, "go").otherwise("py").alias("language"), "s_suppkey"
+    )
     n = s.agg(F.count("*").alias("n"))
-    x, y = files.select(c("path").alias("importer"), c("s_suppkey").alias("i")), files.select(c("path").alias("whole"), c("s_suppkey").alias("j"))
+    x, y = files.select(
+        c("path").alias("importer"), c("s_suppkey").alias("i")
+    ), files.select(c("path").alias("whole"), c("s_suppkey").alias("j"))
     o = table(spark, d, "orders").crossJoin(n).withColumn("j", c("o_orderkey") % c("n") + 1).join(x, c("o_custkey") == c("i")).join(y, "j")
     target = F.when(c("o_orderkey") % 50 == 0, F.regexp_replace("whole", "/.*", "")).otherwise(c("whole"))
-    return inventories.inbound(files.drop("s_suppkey"), o.select("importer", target.alias("target")), spark.createDataFrame([("py",)], "language string"))
+    return inventories.inbound(
+        files.drop("s_suppkey"), o.select("importer", target.alias("target")),
+        spark.createDataFrame([("py",)], "language string")
+    )
 
 
 @query("""
@@ -363,7 +442,9 @@ j AS (SELECT a.sub AS a, b.sub AS b, imported FROM e LEFT JOIN f a ON importer =
 x AS (SELECT a AS subsystem, 'inside' AS how, NULL AS door FROM j WHERE a = b UNION ALL SELECT b, 'inbound', imported FROM j WHERE a IS DISTINCT FROM b UNION ALL SELECT a, 'outbound', NULL FROM j WHERE a IS DISTINCT FROM b)
 SELECT subsystem, count(*) FILTER (how = 'inside') AS inside, count(*) FILTER (how = 'inbound') AS inbound, count(*) FILTER (how = 'outbound') AS outbound, count(DISTINCT door) = 1 AS barrel FROM x WHERE subsystem IS NOT NULL GROUP BY subsystem""")
 def subsystem_imports(spark, d):
-    owned = table(spark, d, "supplier").filter("s_acctbal > 0").select(text("s_suppkey").alias("path"), F.concat(F.lit("n"), text("s_nationkey")).alias("subsystem"))
+    owned = table(spark, d, "supplier").filter("s_acctbal > 0").select(
+        text("s_suppkey").alias("path"), F.concat(F.lit("n"), text("s_nationkey")).alias("subsystem")
+    )
     edges = table(spark, d, "orders").select(text("o_custkey").alias("importer"), (c("o_orderkey") % 97).cast("string").alias("imported"))
     return inventories.import_map(edges, owned)
 
@@ -372,7 +453,10 @@ def subsystem_imports(spark, d):
        "SELECT source || '/' || doc_id AS path, reference, starts_with(source, a) AS allowed FROM documents JOIN r ON contains(text, reference)")
 def legacy_mentions(spark, d):
     files = table(spark, d, "documents").select(F.concat_ws("/", "source", "doc_id").alias("path"), "text")
-    refs = spark.createDataFrame([("MIT License", ["src1"]), ("Apache License", ["src"]), ("GNU", ["none"])], "reference string, allowed array<string>")
+    refs = spark.createDataFrame(
+        [("MIT License", ["src1"]), ("Apache License", ["src"]), ("GNU", ["none"])],
+        "reference string, allowed array<string>"
+    )
     return inventories.legacy_references(files, refs)
 
 
@@ -383,7 +467,9 @@ SELECT name, 'undeclared' AS state FROM p WHERE name NOT IN (SELECT name FROM d)
 UNION ALL SELECT name, 'duplicate' FROM d GROUP BY name HAVING count(*) > 1 UNION ALL SELECT name, 'out_of_order' FROM l""")
 def contract_producers(spark, d):
     n = table(spark, d, "nation")
-    declared = n.filter("n_nationkey < 20").select(c("n_name").alias("name"), c("n_nationkey").alias("ordinal")).union(n.filter("n_nationkey = 3").select("n_name", F.lit(100)))
+    declared = n.filter("n_nationkey < 20").select(
+        c("n_name").alias("name"), c("n_nationkey").alias("ordinal")
+    ).union(n.filter("n_nationkey = 3").select("n_name", F.lit(100)))
     return inventories.producers(declared, n.filter("n_nationkey > 4").select(c("n_name").alias("name")))
 
 
@@ -397,10 +483,18 @@ UNION ALL SELECT surface, 'no_evidence' FROM s WHERE ev IS NOT NULL AND ev NOT I
 def surface_completeness(spark, d):
     k, none = c("c_custkey"), F.lit(None).cast("long")
     cust = table(spark, d, "customer")
-    said = cust.filter("c_acctbal >= 0").select(k.alias("surface"), F.when(k % 3 == 0, "deferred").otherwise("kept").alias("state"), (k % 60).alias("deferred_id"), (k % 90).alias("evidence"))
-    said = said.union(cust.filter("c_mktsegment = 'BUILDING'").select(k, F.lit("kept"), none, none)).union(cust.filter("c_custkey < 4").select(-k, F.lit("kept"), none, none))
+    said = cust.filter("c_acctbal >= 0").select(
+        k.alias("surface"), F.when(k % 3 == 0, "deferred").otherwise("kept").alias("state"),
+        (k % 60).alias("deferred_id"), (k % 90).alias("evidence")
+    )
+    said = said.union(
+        cust.filter("c_mktsegment = 'BUILDING'").select(k, F.lit("kept"), none, none)
+    ).union(cust.filter("c_custkey < 4").select(-k, F.lit("kept"), none, none))
     ids = table(spark, d, "supplier").filter("s_suppkey < 40").select(c("s_suppkey").alias("id"))
-    return inventories.closed_domain(cust.select(k.alias("surface")), said, ids, table(spark, d, "part").filter("p_partkey < 70").select(c("p_partkey").alias("path")))
+    return inventories.closed_domain(
+        cust.select(k.alias("surface")), said, ids,
+        table(spark, d, "part").filter("p_partkey < 70").select(c("p_partkey").alias("path"))
+    )
 
 
 @query("SELECT DISTINCT url AS path FROM pages WHERE regexp_matches(url, 'example') AND NOT regexp_matches(url, '/de/') AND url NOT IN (SELECT url FROM pages WHERE contains(url, '7'))")
@@ -418,7 +512,9 @@ def planted_recall(spark, d):
 @query("SELECT l_suppkey AS path, list(DISTINCT l_returnflag ORDER BY l_returnflag) AS covered_by, list(DISTINCT l_returnflag || '#' || l_linenumber ORDER BY l_returnflag || '#' || l_linenumber) AS ids FROM lineitem WHERE l_discount > 0.05 GROUP BY 1")
 def spec_index(spark, d):
     refs = table(spark, d, "lineitem").filter("l_discount > 0.05")
-    return inventories.reverse_index(refs.select(c("l_returnflag").alias("spec"), text("l_linenumber").alias("item"), c("l_suppkey").alias("path")))
+    return inventories.reverse_index(
+        refs.select(c("l_returnflag").alias("spec"), text("l_linenumber").alias("item"), c("l_suppkey").alias("path"))
+    )
 
 
 @query("SELECT p_brand AS spec, count(*) FILTER (p_size < 10) AS small, count(*) FILTER (p_size >= 10) AS large, 0::BIGINT AS none FROM part GROUP BY 1")
@@ -432,8 +528,13 @@ WITH r AS (SELECT l_partkey AS name, l_returnflag AS category, 'f' || l_suppkey
 n AS (SELECT name, count(*) AS total, list(DISTINCT path ORDER BY path) AS files, count(*) FILTER (category = 'A') AS a FROM r GROUP BY name)
 SELECT p_partkey AS name, coalesce(total, 0) AS total_refs, coalesce(files, []) AS ref_files, coalesce(a, 0) AS in_a FROM part LEFT JOIN n ON name = p_partkey""")
 def caller_counts(spark, d):
-    refs = table(spark, d, "lineitem").filter("l_discount > 0.05").select(c("l_partkey").alias("name"), F.concat(F.lit("f"), text("l_suppkey")).alias("path"), c("l_returnflag").alias("category"))
-    own = table(spark, d, "part").select(c("p_partkey").alias("name"), F.concat(F.lit("f"), (c("p_partkey") % 50).cast("string")).alias("path"))
+    refs = table(spark, d, "lineitem").filter("l_discount > 0.05").select(
+        c("l_partkey").alias("name"), F.concat(F.lit("f"), text("l_suppkey")).alias("path"),
+        c("l_returnflag").alias("category")
+    )
+    own = table(spark, d, "part").select(
+        c("p_partkey").alias("name"), F.concat(F.lit("f"), (c("p_partkey") % 50).cast("string")).alias("path")
+    )
     rows = inventories.caller_info(refs, own)
     return rows.select("name", "total_refs", "ref_files", F.coalesce(F.try_element_at("categorized", F.lit("A")), F.lit(0)).alias("in_a"))
 
@@ -446,7 +547,10 @@ WITH p AS (SELECT l_partkey AS file, l_linenumber AS line, row_number() OVER (PA
 f AS (SELECT l_partkey AS file, l_linenumber AS line, row_number() OVER (PARTITION BY l_partkey, l_linenumber ORDER BY l_orderkey) AS k, l_orderkey AS o FROM lineitem WHERE l_returnflag = 'A')
 SELECT CAST(p.file AS VARCHAR) AS file, CAST(f.o AS VARCHAR) AS finding, CAST(p.o AS VARCHAR) AS instance FROM p JOIN f USING (file, line, k)""")
 def planted_matches(spark, d):
-    rows = table(spark, d, "lineitem").select(c("l_orderkey").alias("id"), text("l_partkey").alias("file"), c("l_linenumber").alias("line"), c("l_orderkey").alias("ordinal"), "l_returnflag")
+    rows = table(spark, d, "lineitem").select(
+        c("l_orderkey").alias("id"), text("l_partkey").alias("file"), c("l_linenumber").alias("line"),
+        c("l_orderkey").alias("ordinal"), "l_returnflag"
+    )
     return rel.match_findings(rows.filter("l_returnflag = 'R'"), rows.filter("l_returnflag = 'A'"))
 
 
@@ -455,14 +559,20 @@ WITH p AS (SELECT l_partkey, l_linenumber, count(*) AS n FROM lineitem WHERE l_r
 t AS (SELECT CAST(sum(least(p.n, f.n)) AS BIGINT) AS tp FROM p JOIN f USING (l_partkey, l_linenumber)), a AS (SELECT (SELECT tp FROM t) AS tp, (SELECT CAST(sum(n) AS BIGINT) FROM p) AS pn, (SELECT CAST(sum(n) AS BIGINT) FROM f) AS fn_)
 SELECT tp, fn_ - tp AS fp, pn - tp AS fn, tp / fn_ AS precision, tp / pn AS recall, CASE WHEN fn_ = tp AND pn = tp THEN 'pass' ELSE 'fail' END AS verdict FROM a""")
 def planted_grade(spark, d):
-    rows = table(spark, d, "lineitem").select(c("l_orderkey").alias("id"), text("l_partkey").alias("file"), c("l_linenumber").alias("line"), c("l_orderkey").alias("ordinal"), "l_returnflag")
+    rows = table(spark, d, "lineitem").select(
+        c("l_orderkey").alias("id"), text("l_partkey").alias("file"), c("l_linenumber").alias("line"),
+        c("l_orderkey").alias("ordinal"), "l_returnflag"
+    )
     return rel.grade(rows.filter("l_returnflag = 'R'"), rows.filter("l_returnflag = 'A'"))
 
 
 @unchecked
 def planted_near(spark, d):
     """``planted_grade`` with a tolerance of one line; greedy in the order of arrival, so without SQL."""
-    rows = table(spark, d, "lineitem").select(c("l_orderkey").alias("id"), text("l_partkey").alias("file"), c("l_linenumber").alias("line"), c("l_orderkey").alias("ordinal"), "l_returnflag")
+    rows = table(spark, d, "lineitem").select(
+        c("l_orderkey").alias("id"), text("l_partkey").alias("file"), c("l_linenumber").alias("line"),
+        c("l_orderkey").alias("ordinal"), "l_returnflag"
+    )
     return rel.grade(rows.filter("l_returnflag = 'R'"), rows.filter("l_returnflag = 'A'"), 1)
 
 
@@ -473,7 +583,9 @@ SELECT f AS path, s AS start, e AS "end", l_partkey, owner, CASE WHEN owner IS N
 def clone_span_owners(spark, d):
     line, n = table(spark, d, "lineitem"), c("l_linenumber")
     items = line.filter("l_returnflag = 'N'").select(c("l_orderkey").alias("path"), n.alias("start"), (n + 1).alias("end"), "l_partkey")
-    spans = line.filter("l_returnflag <> 'N' AND l_linestatus = 'F'").select(c("l_orderkey").alias("path"), n.alias("start"), (n + 2).alias("end"), n.alias("name"))
+    spans = line.filter("l_returnflag <> 'N' AND l_linestatus = 'F'").select(
+        c("l_orderkey").alias("path"), n.alias("start"), (n + 2).alias("end"), n.alias("name")
+    )
     return rel.placed(items, spans, ["path"], "name").withColumnRenamed("name", "owner")
 
 
@@ -493,12 +605,17 @@ k AS (SELECT *, rank() OVER (PARTITION BY caller, callee, style, file, cls ORDER
 def resolved_calls(spark, d):
     part, k = table(spark, d, "part"), (c("p_partkey") % 40).cast("string")
     name = F.concat(F.lit("m"), k)
-    defs = part.select(F.concat_ws(".", "p_brand", name).alias("qualified_name"), name.alias("name"), text("p_size").alias("file"), c("p_brand").alias("parent_class"))
+    defs = part.select(
+        F.concat_ws(".", "p_brand", name).alias("qualified_name"), name.alias("name"), text("p_size").alias("file"),
+        c("p_brand").alias("parent_class")
+    )
     target = F.concat(F.lit("m"), (c("l_suppkey") % 40).cast("string"))
     n = c("l_linenumber")
     called = F.when(n % 3 == 0, F.concat(F.lit("x."), target)).when(n % 3 == 1, target).otherwise(F.concat_ws(".", "p_brand", target))
     edges = table(spark, d, "lineitem").filter("l_discount > 0.08").join(part, c("l_partkey") == c("p_partkey")).select(
-        F.concat_ws(".", "p_brand", name).alias("caller"), called.alias("callee_name"), F.when(n == 1, "self").otherwise("name").alias("call_style"), text("p_size").alias("caller_file"), c("p_brand").alias("caller_class")
+        F.concat_ws(
+            ".", "p_brand", name
+        ).alias("caller"), called.alias("callee_name"), F.when(n == 1, "self").otherwise("name").alias("call_style"), text("p_size").alias("caller_file"), c("p_brand").alias("caller_class")
     )
     return rel.resolve_calls(edges.distinct(), defs)
 
@@ -511,7 +628,10 @@ SELECT s.importer, s.spec, coalesce(direct, alias) AS target FROM s LEFT JOIN b
 def resolved_imports(spark, d):
     k = c("l_suppkey")
     cand = F.array(F.concat(F.lit("f"), (k * 2).cast("string")), F.concat(F.lit("f"), (k + 1).cast("string")))
-    specs = table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.concat(F.lit("f"), text("l_partkey")).alias("importer"), F.concat(F.lit("s"), text("l_suppkey")).alias("spec"), cand.alias("candidates")).distinct()
+    specs = table(spark, d, "lineitem").filter("l_linenumber = 1").select(
+        F.concat(F.lit("f"), text("l_partkey")).alias("importer"),
+        F.concat(F.lit("s"), text("l_suppkey")).alias("spec"), cand.alias("candidates")
+    ).distinct()
     files = table(spark, d, "part").filter("p_size < 30").select(F.concat(F.lit("f"), text("p_partkey")).alias("path"))
     s = table(spark, d, "supplier")
     alias = F.concat(F.lit("s"), text("s_suppkey"))

@@ -35,14 +35,19 @@ WITH f AS (SELECT 'n' || c_nationkey || '/' || c_mktsegment AS path, c_custkey A
 SELECT subsystem, count(*) AS n, list(id ORDER BY path, id) AS ids FROM f GROUP BY subsystem""")
 def findings_by_subsystem(spark, d):
     path = F.concat(F.lit("n"), text("c_nationkey"), F.lit("/"), c("c_mktsegment"))
-    registry = spark.createDataFrame([("few", "n1", 1), ("few", "n2", 2), ("few", "n3/", 3), ("three-building", "n3/BUILDING", 4)], "owner string, prefix string, ordinal int")
+    registry = spark.createDataFrame(
+        [("few", "n1", 1), ("few", "n2", 2), ("few", "n3/", 3), ("three-building", "n3/BUILDING", 4)],
+        "owner string, prefix string, ordinal int"
+    )
     found = reports.by_subsystem(table(spark, d, "customer").select(path.alias("path"), c("c_custkey").alias("id")), registry)
     return found.select("subsystem", "n", F.transform("findings", lambda x: x["id"]).alias("ids"))
 
 
 @query("SELECT user_id, count(*) AS \"rows\", CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total, CAST(min(ts) AS DATE) AS first_day, CAST(max(ts) AS DATE) AS last_day, bool_or(event_type = 'purchase') AS any_flag, count(DISTINCT event_type) AS places FROM events GROUP BY user_id HAVING count(*) > 60")
 def evidence_rollup(spark, d):
-    e = table(spark, d, "events").select("user_id", F.to_date("ts").alias("day"), F.from_json("props", "k long")["k"].alias("k"), "event_type")
+    e = table(spark, d, "events").select(
+        "user_id", F.to_date("ts").alias("day"), F.from_json("props", "k long")["k"].alias("k"), "event_type"
+    )
     return reports.evidence_rollup(e, "user_id", "day", "k", c("event_type") == "purchase", "event_type", 61)
 
 
@@ -57,7 +62,10 @@ SUFFIX = "CASE doc_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.md'
 def doc_paths(spark, d):
     k = c("doc_id") % 4
     suffix = F.when(k == 0, ".py").when(k == 1, ".ts").when(k == 2, ".md").otherwise("")
-    return table(spark, d, "documents").select(c("source").alias("root"), F.concat(c("source"), F.lit("/d"), text("doc_id"), suffix).alias("path"), "doc_id", "lang", "n_chars")
+    return table(spark, d, "documents").select(
+        c("source").alias("root"), F.concat(c("source"), F.lit("/d"), text("doc_id"), suffix).alias("path"), "doc_id",
+        "lang", "n_chars"
+    )
 
 
 @query(f"SELECT source AS root, count(*) FILTER ({SUFFIX} = '.py') AS python, count(*) FILTER ({SUFFIX} IN ('.ts', '.js')) AS script, count(*) AS files FROM documents GROUP BY 1")
@@ -82,7 +90,9 @@ def violation_tags(spark, d):
 
 @query("SELECT 'events' AS section, true AS present, (SELECT count(*) FROM events) AS \"rows\" UNION ALL SELECT 'none', false, NULL")
 def status_sections(spark, d):
-    return reports.sections(spark, {"events": lambda: table(spark, d, "events"), "none": lambda: table(spark, d, "no_such_table")}).drop("error")
+    return reports.sections(
+        spark, {"events": lambda: table(spark, d, "events"), "none": lambda: table(spark, d, "no_such_table")}
+    ).drop("error")
 
 
 @query("SELECT event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events) WHERE k <= 3")
@@ -114,7 +124,9 @@ SELECT l_returnflag, median(l_quantity - l_linenumber * 10) AS median_saving, me
   count(*) FILTER (l_quantity > l_linenumber * 10) AS wins, median(CASE WHEN l_quantity <> 0 THEN 100 * (l_quantity - l_linenumber * 10) / l_quantity END) >= -50 AND median(l_quantity - l_linenumber * 10) >= -10 AND count(*) FILTER (l_quantity > l_linenumber * 10) >= 5 AS passed
 FROM lineitem GROUP BY 1""")
 def paired_medians(spark, d):
-    trials = table(spark, d, "lineitem").select("l_returnflag", c("l_quantity").alias("before"), (c("l_linenumber") * 10).cast("double").alias("after"))
+    trials = table(spark, d, "lineitem").select(
+        "l_returnflag", c("l_quantity").alias("before"), (c("l_linenumber") * 10).cast("double").alias("after")
+    )
     return matrix.paired_trials(trials, ["l_returnflag"], -50, -10, 5)
 
 
@@ -122,7 +134,10 @@ def paired_medians(spark, d):
 WITH n AS (SELECT l_linestatus || l_returnflag AS condition, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS context, CAST(sum(l_linenumber) AS BIGINT) AS tokens FROM lineitem GROUP BY 1), r AS (SELECT context AS c, tokens AS t FROM n WHERE condition = 'ON')
 SELECT condition, context, tokens, context / c AS context_ratio, tokens / t AS token_ratio, context / c <= 0.7 AND tokens / t <= 1.1 AS passed FROM n, r""")
 def condition_ratios(spark, d):
-    runs = table(spark, d, "lineitem").select(F.concat("l_linestatus", "l_returnflag").alias("condition"), c("l_quantity").cast("long").alias("context"), c("l_linenumber").cast("long").alias("tokens"))
+    runs = table(spark, d, "lineitem").select(
+        F.concat("l_linestatus", "l_returnflag").alias("condition"), c("l_quantity").cast("long").alias("context"),
+        c("l_linenumber").cast("long").alias("tokens")
+    )
     return matrix.conditions(runs, "ON")
 
 
@@ -130,7 +145,10 @@ def condition_ratios(spark, d):
 def cross_domain_first(spark, d):
     tier = F.when(c("p_size") > 40, "large").when(c("p_size") > 20, "medium").otherwise("small")
     size = F.floor("p_retailprice").cast("long")
-    return matrix.cross_domain(table(spark, d, "part").select(c("p_partkey").alias("name"), tier.alias("tier"), size.alias("size")), ["large", "small"], 25)
+    return matrix.cross_domain(
+        table(spark, d, "part").select(c("p_partkey").alias("name"), tier.alias("tier"), size.alias("size")),
+        ["large", "small"], 25
+    )
 
 
 @query(f"""
@@ -139,7 +157,10 @@ SELECT path, suffix, CASE WHEN path LIKE '%7.py' THEN 'test' WHEN suffix = '.md'
 def source_inventory(spark, d):
     files = doc_paths(spark, d).select("path")
     roles = [("test", c("path").rlike(r"7\.py$")), ("docs", c("path").endswith(".md"))]
-    return matrix.inventory(files, roles, spark.createDataFrame([(".py", "python"), (".ts", "typescript")], "suffix string, language string"))
+    return matrix.inventory(
+        files, roles,
+        spark.createDataFrame([(".py", "python"), (".ts", "typescript")], "suffix string, language string")
+    )
 
 
 @query(f"""
@@ -178,13 +199,18 @@ def named_clones(spark, d):
        "(SELECT p_partkey AS ordinal, ['shadow', 'duplicate', 'generic'][1 + p_partkey % 3] AS verdict, p_size AS definitions, CAST(floor(p_retailprice) AS BIGINT) AS lines FROM part)) WHERE place <= 20")
 def first_name_groups(spark, d):
     verdict = F.element_at(F.array(*map(F.lit, ("shadow", "duplicate", "generic"))), (c("p_partkey") % 3 + 1).cast("int"))
-    rows = table(spark, d, "part").select(c("p_partkey").alias("ordinal"), verdict.alias("verdict"), c("p_size").alias("definitions"), F.floor("p_retailprice").cast("long").alias("lines"))
+    rows = table(spark, d, "part").select(
+        c("p_partkey").alias("ordinal"), verdict.alias("verdict"), c("p_size").alias("definitions"),
+        F.floor("p_retailprice").cast("long").alias("lines")
+    )
     return orders.name_groups(rows)
 
 
 @query("SELECT event_id, strftime(ts, '%d.%m.%Y') AS raw FROM events ORDER BY raw DESC, event_id LIMIT 5")
 def recent_by_text(spark, d):
-    return orders.most_recent(table(spark, d, "events").select("event_id", F.date_format("ts", "dd.MM.yyyy").alias("raw")), "raw", "event_id")
+    return orders.most_recent(
+        table(spark, d, "events").select("event_id", F.date_format("ts", "dd.MM.yyyy").alias("raw")), "raw", "event_id"
+    )
 
 
 AGE = "CASE WHEN event_id % 6 = 0 THEN NULL ELSE CAST(event_id % 90 AS INTEGER) END"
@@ -227,7 +253,9 @@ def explain_targets(spark, d):
 # ledgers
 
 
-@query("SELECT source || '/' || doc_id AS path, CASE WHEN source IN ('src1', 'src2') THEN 'focus' ELSE 'context' END AS scope FROM documents")
+@query(
+    "SELECT source || '/' || doc_id AS path, CASE WHEN source IN ('src1', 'src2') THEN 'focus' ELSE 'context' END AS scope FROM documents"
+)
 def scoped_files(spark, d):
     return ledgers.scope_tags(table(spark, d, "documents").select(F.concat_ws("/", "source", "doc_id").alias("path")), ["src1", "src2/"])
 
@@ -240,7 +268,9 @@ def scope_relations(spark, d):
 
 @query("SELECT p_partkey, p_brand AS decision, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_size END AS loc FROM part WHERE p_brand IN ('Brand#11', 'Brand#23') AND coalesce(CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_size END, 0) >= 10")
 def ledger_by_decision(spark, d):
-    rows = table(spark, d, "part").select("p_partkey", c("p_brand").alias("decision"), F.when(c("p_partkey") % 5 != 0, c("p_size")).alias("loc"))
+    rows = table(spark, d, "part").select(
+        "p_partkey", c("p_brand").alias("decision"), F.when(c("p_partkey") % 5 != 0, c("p_size")).alias("loc")
+    )
     return ledgers.ledger_entries(rows, "Brand#11, Brand#23", 10)
 
 
@@ -270,13 +300,18 @@ def scan_states(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, l_returnflag AS kind, CAST(l_quantity AS INTEGER) AS loc, CASE l_returnflag WHEN 'R' THEN 40 ELSE 45 END AS budget FROM lineitem WHERE (l_returnflag = 'R' AND l_quantity > 40) OR (l_returnflag = 'A' AND l_quantity > 45)")
 def lines_over_budget(spark, d):
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", c("l_returnflag").alias("kind"), c("l_quantity").cast("int").alias("loc"))
+    rows = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", c("l_returnflag").alias("kind"), c("l_quantity").cast("int").alias("loc")
+    )
     return ledgers.over_budget(rows, {"R": 40, "A": 45})
 
 
 @query("SELECT lpad(CAST(n_nationkey AS VARCHAR), 4, '0') AS id, n_name AS slug, CASE WHEN n_regionkey = 1 THEN 'Open' ELSE 'done' END AS status FROM nation WHERE n_nationkey = 17")
 def registry_lookup(spark, d):
-    rows = table(spark, d, "nation").select(F.lpad(text("n_nationkey"), 4, "0").alias("id"), c("n_name").alias("slug"), F.when(c("n_regionkey") == 1, "Open").otherwise("done").alias("status"))
+    rows = table(spark, d, "nation").select(
+        F.lpad(text("n_nationkey"), 4, "0").alias("id"), c("n_name").alias("slug"),
+        F.when(c("n_regionkey") == 1, "Open").otherwise("done").alias("status")
+    )
     return ledgers.lookup(rows, id_="017")
 
 
@@ -296,7 +331,10 @@ WITH f AS (SELECT 'd' || (p_size % 7) AS folder, 'd' || (p_size % 7) || '/' || r
 SELECT folder, 'Brand' AS prefix, count(DISTINCT path) AS n, min(path) AS first FROM f WHERE folder <> 'e' GROUP BY folder HAVING count(DISTINCT path) >= 3""")
 def flat_prefixes(spark, d):
     mark = F.when(c("p_size") % 2 == 0, "-").otherwise("_")
-    path = F.concat(F.lit("d"), (c("p_size") % 7).cast("string"), F.lit("/"), F.replace(c("p_brand"), F.lit("#"), mark), text("p_partkey"), F.lit(".py"))
+    path = F.concat(
+        F.lit("d"), (c("p_size") % 7).cast("string"), F.lit("/"), F.replace(c("p_brand"), F.lit("#"), mark),
+        text("p_partkey"), F.lit(".py")
+    )
     lone = table(spark, d, "nation").filter("n_nationkey < 2").select(F.concat(F.lit("e/lone-"), text("n_nationkey"), F.lit(".py")))
     found = detectors.prefix_clusters(table(spark, d, "part").select(path.alias("path")).union(lone))
     return found.select("folder", "prefix", F.size("files").cast("long").alias("n"), F.element_at("files", 1).alias("first"))
@@ -316,7 +354,9 @@ r AS (SELECT a, b, CASE WHEN x IS NOT NULL THEN 'caller_callee' WHEN similarity
 SELECT a, b, CASE WHEN reason IN ('caller_callee', 'token_similar') THEN 'rejected' WHEN reason IS NOT NULL THEN 'uncertain' ELSE 'confirmed' END AS verdict, reason FROM r""")
 def triaged_pairs(spark, d):
     line = table(spark, d, "lineitem")
-    pairs = line.groupBy(c("l_partkey").alias("a"), c("l_suppkey").alias("b")).agg(F.max("l_tax").alias("similarity"), F.count_if(c("l_returnflag") == "R").alias("unresolved"))
+    pairs = line.groupBy(c("l_partkey").alias("a"), c("l_suppkey").alias("b")).agg(
+        F.max("l_tax").alias("similarity"), F.count_if(c("l_returnflag") == "R").alias("unresolved")
+    )
     calls = line.filter("l_discount > 0.09").select(c("l_suppkey").alias("caller"), c("l_partkey").alias("callee"))
     return detectors.triage_pairs(pairs, calls, 0.07)
 
@@ -328,8 +368,14 @@ SELECT slug, status, modified_at FROM p WHERE status NOT IN ('promoted', 'abando
 def stale_plan_rows(spark, d):
     k = c("c_custkey")
     status = F.element_at(F.array(*map(F.lit, ("draft", "promoted", "rejected", "open"))), (k % 4 + 1).cast("int"))
-    plans = table(spark, d, "customer").select(k.alias("slug"), status.alias("status"), F.expr("timestamp '1998-01-01' + make_dt_interval(cast(c_custkey % 60 as int))").alias("modified_at"))
-    ledger = table(spark, d, "orders").select(c("o_custkey").alias("id"), c("o_orderkey").alias("ordinal"), F.when(c("o_orderstatus") == "O", "in-flight").otherwise("idle").alias("state"))
+    plans = table(spark, d, "customer").select(
+        k.alias("slug"), status.alias("status"),
+        F.expr("timestamp '1998-01-01' + make_dt_interval(cast(c_custkey % 60 as int))").alias("modified_at")
+    )
+    ledger = table(spark, d, "orders").select(
+        c("o_custkey").alias("id"), c("o_orderkey").alias("ordinal"),
+        F.when(c("o_orderstatus") == "O", "in-flight").otherwise("idle").alias("state")
+    )
     return detectors.stale_plans(plans, ledger, F.to_timestamp(F.lit("1998-03-01")))
 
 
@@ -340,7 +386,10 @@ SELECT request, CASE WHEN k.detector IS NULL THEN 'unknown_detector' WHEN NOT li
   CASE WHEN k.detector IS NOT NULL AND list_contains(modes, mode) AND list_contains(languages, language) THEN 'accepted' ELSE 'refused' END AS state FROM q LEFT JOIN k ON q.detector = k.detector""")
 def refused_requests(spark, d):
     pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (c("event_id") % n + 1).cast("int"))
-    asks = table(spark, d, "events").select(c("event_id").alias("request"), c("event_type").alias("detector"), pick(("fast", "deep"), 2).alias("mode"), pick(("py", "ts", "go"), 3).alias("language"))
+    asks = table(spark, d, "events").select(
+        c("event_id").alias("request"), c("event_type").alias("detector"), pick(("fast", "deep"), 2).alias("mode"),
+        pick(("py", "ts", "go"), 3).alias("language")
+    )
     known = [("click", ["fast", "deep"], ["py"]), ("view", ["fast"], ["py", "ts"]), ("purchase", ["deep"], ["go"])]
     return detectors.scan_requests(asks, spark.createDataFrame(known, "detector string, modes array<string>, languages array<string>"))
 
@@ -348,7 +397,9 @@ def refused_requests(spark, d):
 @query("SELECT l_orderkey, l_linenumber, coalesce(l_returnflag = 'R' AND l_linestatus = 'F', false) AS dismissible FROM lineitem")
 def dismissible_lines(spark, d):
     kind = F.when(c("l_linestatus") == "F", "line").when(c("l_quantity") > 10, "file")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", detectors.dismissible(c("l_returnflag") == "R", kind).alias("dismissible"))
+    return table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", detectors.dismissible(c("l_returnflag") == "R", kind).alias("dismissible")
+    )
 
 
 @query("""
@@ -366,7 +417,10 @@ def importance_ranks(spark, d):
 WITH r(rule, tier, covered) AS (VALUES ('click', 'recoverable', true), ('view', 'recoverable', false), ('error', 'irreversible', true)), o(rule, enabled) AS (VALUES ('click', false), ('view', false), ('error', false), ('signup', false))
 SELECT event_id, tier, covered, NOT coalesce(tier = 'recoverable' AND covered, false) OR coalesce(enabled, true) AS kept, event_type AS rule FROM events LEFT JOIN r ON event_type = r.rule LEFT JOIN o ON event_type = o.rule""")
 def rule_posture(spark, d):
-    known = spark.createDataFrame([("click", "recoverable", True), ("view", "recoverable", False), ("error", "irreversible", True)], "rule string, tier string, covered boolean")
+    known = spark.createDataFrame(
+        [("click", "recoverable", True), ("view", "recoverable", False), ("error", "irreversible", True)],
+        "rule string, tier string, covered boolean"
+    )
     said = spark.createDataFrame([("click", False), ("view", False), ("error", False), ("signup", False)], "rule string, enabled boolean")
     return detectors.posture(table(spark, d, "events").select("event_id", c("event_type").alias("rule")), known, said)
 
@@ -374,7 +428,9 @@ def rule_posture(spark, d):
 @query("SELECT page_id, CASE WHEN starts_with(path, '/en/') AND k = 0 THEN 'site_page' WHEN starts_with(path, '/de/') AND k = 1 THEN 'site_scoped_api' WHEN starts_with(path, '/de/') THEN 'global_api' ELSE 'other' END AS family FROM (SELECT page_id, page_id % 3 AS k, regexp_extract(url, '://[^/?#]*(/[a-z]+/)', 1) AS path FROM pages)")
 def route_families(spark, d):
     first, k = F.regexp_extract("url", r"://[^/?#]*(/[a-z]+/)", 1), c("page_id") % 3
-    route = F.when((first == "/en/") & (k == 0), "/en/<int:site>/x").when((first == "/de/") & (k == 1), "/de/<site>/x").otherwise(F.concat(first, F.lit("x")))
+    route = F.when(
+        (first == "/en/") & (k == 0), "/en/<int:site>/x"
+    ).when((first == "/de/") & (k == 1), "/de/<site>/x").otherwise(F.concat(first, F.lit("x")))
     family = detectors.route_family(route, "/en", "/de", "site")
     return table(spark, d, "pages").select("page_id", family.alias("family"))
 
@@ -403,7 +459,9 @@ SELECT s AS start, s IN (SELECT start FROM a WHERE node % 17 = 0) AS writes, s I
 @query(EFFECT)
 def gated_effects(spark, d):
     k, cust = c("c_custkey"), table(spark, d, "customer")
-    edges = cust.select(k.alias("src"), (k * 2 % 997).alias("dst"), (k % 3 == 0).alias("gated")).union(cust.select(k, k * 5 % 991, k % 4 == 0))
+    edges = cust.select(
+        k.alias("src"), (k * 2 % 997).alias("dst"), (k % 3 == 0).alias("gated")
+    ).union(cust.select(k, k * 5 % 991, k % 4 == 0))
     writers = cust.filter("c_custkey % 17 = 0").select(k.alias("node")).union(spark.range(1).select(F.lit(0).cast("long")))
     return chunks.effects(edges, writers, cust.select(k.alias("node")))
 
@@ -431,10 +489,18 @@ def scalar_values(spark, d):
     shown = F.concat(c("event_type"), F.lit(" of user "), text("user_id"))
     path = F.when(c("user_id") % 4 == 0, F.concat(F.lit("../"), c("event_type"))).otherwise(F.concat(F.lit("a/../b/./"), c("event_type")))
     return e.select(
-        "event_id", scalars.duration_seconds(lease).alias("lease"), scalars.date_prefix(F.lit("short"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss")).alias("day"),
-        scalars.nested(c("props"), "$.k", "none").alias("k"), scalars.canonical_json(F.concat(F.lit('{"b": '), text("user_id"), F.lit(', "a": "'), c("event_type"), F.lit('"}'))).alias("canonical"),
-        scalars.cell(F.concat(F.lit("x \n"), c("event_type"), F.lit(" | "), text("user_id"))).alias("cell"), scalars.column_of(two, F.length("event_type") + 3).alias("col"),
-        scalars.line_of(two, F.lit(4)).alias("line"), scalars.one_line(shown, 16).alias("short"), scalars.stable_id(F.lit("r"), c("event_type"), c("user_id")).alias("id"),
+        "event_id", scalars.duration_seconds(lease).alias("lease"), scalars.date_prefix(
+            F.lit("short"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+        ).alias("day"),
+        scalars.nested(c("props"), "$.k", "none").alias("k"), scalars.canonical_json(
+            F.concat(F.lit('{"b": '), text("user_id"), F.lit(', "a": "'), c("event_type"), F.lit('"}'))
+        ).alias("canonical"),
+        scalars.cell(
+            F.concat(F.lit("x \n"), c("event_type"), F.lit(" | "), text("user_id"))
+        ).alias("cell"), scalars.column_of(two, F.length("event_type") + 3).alias("col"),
+        scalars.line_of(two, F.lit(4)).alias("line"), scalars.one_line(shown, 16).alias("short"), scalars.stable_id(
+            F.lit("r"), c("event_type"), c("user_id")
+        ).alias("id"),
         scalars.normal_path(path).alias("path"), scalars.floored_days(c("ts"), F.to_timestamp(F.lit("2024-02-01"))).alias("age"),
     )
 
@@ -444,7 +510,17 @@ def scalar_values(spark, d):
 def version_and_digest_values(spark, d):
     part, key = table(spark, d, "part"), text("p_partkey")
     java = F.when(c("p_size") % 2 == 0, F.concat(F.lit("1.8."), text("p_size"))).otherwise(F.concat(text("p_size"), F.lit(".1.2")))
-    files = part.select("p_partkey", F.explode(F.array(F.struct(F.lit("b").alias("path"), F.lit("y").alias("text")), F.struct(F.lit("a").alias("path"), F.concat(F.lit("x"), key).alias("text")))).alias("f")).select("p_partkey", "f.*")
+    files = part.select(
+        "p_partkey",
+        F.explode(F.array(F.struct(F.lit("b").alias("path"), F.lit("y").alias("text")), F.struct(F.lit("a").alias("path"), F.concat(F.lit("x"), key).alias("text")))).alias(
+            "f"
+        )
+    ).select("p_partkey", "f.*")
     source = F.concat(F.lit('#!/usr/bin/env python\n"""Loads part '), key, F.lit('\n  from disk.\n\nMore."""\nimport os\n'))
-    rows = part.select("p_partkey", scalars.version_key(F.concat(F.lit("v1."), text("p_size"))).alias("plain"), scalars.java_version_key(java).alias("java"), scalars.redact(F.concat(F.lit("see  key="), key, F.lit("\nend")), ["key=\\d+"]).alias("told"), scalars.description(source).alias("about"))
+    rows = part.select(
+        "p_partkey", scalars.version_key(F.concat(F.lit("v1."), text("p_size"))).alias("plain"),
+        scalars.java_version_key(java).alias("java"),
+        scalars.redact(F.concat(F.lit("see  key="), key, F.lit("\nend")), ["key=\\d+"]).alias("told"),
+        scalars.description(source).alias("about")
+    )
     return rows.join(scalars.tree_digest(files, ["p_partkey"]).withColumnRenamed("digest", "tree"), "p_partkey")

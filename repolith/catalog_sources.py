@@ -27,11 +27,16 @@ def said(*parts):
 def cards(spark, d, faulty=True):
     """A Markdown document for each part: nested front matter, and (``faulty``) for some none, CRLF or an unreadable one."""
     p = table(spark, d, "part")
-    head = said("---\nid: ", c("p_partkey"), "\ntitle: \"Part: ", c("p_name"), "\"\nsize:\n  n: ", c("p_size"), "\n  tags: [a, '", c("p_type"), "']\nlinks:\n- one\n- two: ", c("p_partkey") + 1, "\n---\n")
+    head = said(
+        "---\nid: ", c("p_partkey"), "\ntitle: \"Part: ", c("p_name"), "\"\nsize:\n  n: ", c("p_size"),
+        "\n  tags: [a, '", c("p_type"), "']\nlinks:\n- one\n- two: ", c("p_partkey") + 1, "\n---\n"
+    )
     whole = said(head, "# About\n", c("p_brand"), "\n")
     k = c("p_partkey") % 10
     broken = said("---\nid: ", c("p_partkey"), "\n no mapping here\n---\nx")
-    shape = F.when(k == 0, said("# About\n", c("p_brand"))).when(k == 1, said("\ufeff", F.replace(whole, F.lit("\n"), F.lit("\r\n")))).when(k == 2, broken).otherwise(whole)
+    shape = F.when(k == 0, said("# About\n", c("p_brand"))).when(
+        k == 1, said("\ufeff", F.replace(whole, F.lit("\n"), F.lit("\r\n")))
+    ).when(k == 2, broken).otherwise(whole)
     shape = shape if faulty else whole
     return p.select(said("docs/", c("p_partkey"), ".md").alias("path"), shape.alias("text"))
 
@@ -43,7 +48,11 @@ SELECT 'docs/' || p_partkey || '.md' AS path, p_partkey % 10 NOT IN (0, 2) AS ha
 def front_matter(spark, d):
     get = lambda p: F.get_json_object("metadata", p)
     rows = registries.documents(cards(spark, d))
-    return rows.select("path", "has_frontmatter", get("$.size.n").cast("int").alias("n"), get("$.title").alias("title"), get("$.size.tags[1]").alias("kind"), get("$.links[1].two").alias("two"), c("error").isNotNull().alias("broken"), F.when(c("error").isNull(), c("body")).alias("body"))
+    return rows.select(
+        "path", "has_frontmatter", get("$.size.n").cast("int").alias("n"), get("$.title").alias("title"),
+        get("$.size.tags[1]").alias("kind"), get("$.links[1].two").alias("two"), c("error").isNotNull().alias("broken"),
+        F.when(c("error").isNull(), c("body")).alias("body")
+    )
 
 
 @query("SELECT 'docs/' || p_partkey || '.md' AS path, p_partkey AS id, p_size AS n, ['a', p_type] AS tags FROM part WHERE p_partkey % 10 NOT IN (0, 2)")
@@ -78,14 +87,19 @@ def profile_suffixes(spark, d):
 
 @query("SELECT '.x' || (p_partkey % 900) AS suffix, list(DISTINCT 'p' || (p_size % 3) ORDER BY 'p' || (p_size % 3)) AS languages FROM part GROUP BY 1 HAVING count(DISTINCT p_size % 3) > 1")
 def contested(spark, d):
-    return metadata.contested_suffixes(table(spark, d, "part").select(said("p", c("p_size") % 3).alias("language"), said(".x", c("p_partkey") % 900).alias("suffix")))
+    return metadata.contested_suffixes(
+        table(spark, d, "part").select(said("p", c("p_size") % 3).alias("language"), said(".x", c("p_partkey") % 900).alias("suffix"))
+    )
 
 
 @query("SELECT CAST(event_id AS VARCHAR) AS path, CASE WHEN event_id % 5 > 1 THEN event_type END AS recipe, CASE WHEN event_id % 5 > 1 THEN CAST(user_id AS INTEGER) END AS budget, CASE event_id % 5 WHEN 0 THEN 'unreadable' WHEN 1 THEN 'unreadable' WHEN 2 THEN 'unknown' ELSE 'staged' END AS status FROM events")
 def queue_rows(spark, d):
     k = c("event_id") % 5
     doc = said('{"recipe": "', c("event_type"), '", "budget": ', c("user_id"), F.when(k == 2, "").otherwise(', "status": "staged"'), "}")
-    files = table(spark, d, "events").select(text("event_id").alias("path"), F.when(k == 0, "[1, 2]").when(k == 1, '{"recipe": ').otherwise(doc).alias("text"))
+    files = table(spark, d, "events").select(
+        text("event_id").alias("path"),
+        F.when(k == 0, "[1, 2]").when(k == 1, '{"recipe": ').otherwise(doc).alias("text")
+    )
     return metadata.queue_items(files, "recipe string, budget int")
 
 
@@ -93,15 +107,23 @@ def queue_rows(spark, d):
 def project_files(spark, d):
     k = c("s_suppkey") % 3
     frames = F.when(k == 1, "<TargetFramework>net8.0</TargetFramework>").otherwise("<TargetFrameworks>net8.0;net9.0</TargetFrameworks>")
-    doc = said("<Project><PropertyGroup>", frames, '</PropertyGroup><ItemGroup><PackageReference Include="Lib" Version="', c("s_nationkey"), '"/></ItemGroup></Project>')
-    found = metadata.xml_projects(table(spark, d, "supplier").select(text("s_suppkey").alias("path"), F.when(k == 0, "<html>").otherwise(doc).alias("text")))
+    doc = said(
+        "<Project><PropertyGroup>", frames, '</PropertyGroup><ItemGroup><PackageReference Include="Lib" Version="',
+        c("s_nationkey"), '"/></ItemGroup></Project>'
+    )
+    found = metadata.xml_projects(
+        table(spark, d, "supplier").select(text("s_suppkey").alias("path"), F.when(k == 0, "<html>").otherwise(doc).alias("text"))
+    )
     return found.drop("references")
 
 
 @query("SELECT 'js' AS format, CAST(p_size AS INTEGER) AS lines, 'a' || least(p_partkey, p_size) AS first, 'a' || greatest(p_partkey, p_size) AS second FROM part WHERE length(CAST(p_partkey AS VARCHAR)) = length(CAST(p_size AS VARCHAR)) AND p_partkey <> p_size")
 def clone_pairs(spark, d):
     end = lambda k, n: said('{"name": "a', n, '", "start": 1, "end": 9}')
-    doc = said('{"duplicates": [{"format": "js", "lines": ', c("p_size"), ', "firstFile": ', end(1, c("p_partkey")), ', "secondFile": ', end(2, c("p_size")), "}]}")
+    doc = said(
+        '{"duplicates": [{"format": "js", "lines": ', c("p_size"), ', "firstFile": ', end(1, c("p_partkey")),
+        ', "secondFile": ', end(2, c("p_size")), "}]}"
+    )
     part = table(spark, d, "part").filter("length(p_partkey) = length(p_size) AND p_partkey <> p_size")
     found = registries.clone_report(part.select(text("p_partkey").alias("path"), doc.alias("text")))
     return found.select("format", "lines", c("first.name").alias("first"), c("second.name").alias("second"))
@@ -112,7 +134,9 @@ def clone_pairs(spark, d):
 def corpus_manifest_faults(spark, d):
     k = c("n_nationkey")
     rows = table(spark, d, "nation").select(
-        c("n_name").alias("name"), F.when(k % 7 == 0, "git@host").otherwise("https://host/x").alias("source"), F.when(k % 5 == 0, "main").otherwise(F.sha1(c("n_name"))).alias("revision"),
+        c("n_name").alias("name"), F.when(
+            k % 7 == 0, "git@host"
+        ).otherwise("https://host/x").alias("source"), F.when(k % 5 == 0, "main").otherwise(F.sha1(c("n_name"))).alias("revision"),
         F.when(c("n_regionkey") == 2, "cobol").otherwise("go").alias("language"), k.alias("slice"),
     )
     return registries.corpus_faults(rows.union(rows.filter("slice = 4")), ["go", "python"])
@@ -131,7 +155,9 @@ SELECT path, CASE WHEN path LIKE 'lib/%' THEN 'lib' ELSE 'app' END AS root FROM
 def scoped_search(spark, d):
     k = c("doc_id") % 5
     folder = F.when(k == 0, "lib/a").when(k == 1, "lib/a/.git").when(k == 2, "app").when(k == 3, "app/vendor").otherwise("other")
-    files = table(spark, d, "documents").select(said(folder, "/f", c("doc_id"), F.when(c("doc_id") % 2 == 0, ".py").otherwise(".md")).alias("path"))
+    files = table(spark, d, "documents").select(
+        said(folder, "/f", c("doc_id"), F.when(c("doc_id") % 2 == 0, ".py").otherwise(".md")).alias("path")
+    )
     return registries.search_roots(files.union(files), ["./lib/", "app", "lib"], [".py"], ["vendor"]).select("path", "root")
 
 
@@ -142,7 +168,10 @@ def scoped_search(spark, d):
 def typed_records(spark, d):
     k = c("event_id") % 3
     kind = F.when(k == 0, "def").when(k == 1, "edge").otherwise("other")
-    rows = table(spark, d, "events").select("event_id", said('{"type": "', kind, '", "name": "', c("event_type"), '", "n": ', c("user_id"), "}").alias("raw"))
+    rows = table(spark, d, "events").select(
+        "event_id",
+        said('{"type": "', kind, '", "name": "', c("event_type"), '", "n": ', c("user_id"), "}").alias("raw")
+    )
     found = registries.records(rows, {"def": "name string, n long", "edge": "name string"})
     a = found["def"].select("event_id", F.lit("def").alias("kind"), "name", "n")
     return a.union(found["edge"].select("event_id", F.lit("edge"), "name", F.lit(None).cast("long")))
@@ -176,7 +205,9 @@ def upserted(spark, d):
 
     day = F.date_format("o_orderdate", "yyyy-MM-dd")
     o = table(spark, d, "orders").select(c("o_custkey").alias("key"), day.alias("day"), c("o_orderkey").alias("n"), "o_orderstatus")
-    stored = o.filter("o_orderstatus = 'F'").drop("o_orderstatus").withColumn("ordinal", F.row_number().over(Window.partitionBy("key").orderBy("n")))
+    stored = o.filter("o_orderstatus = 'F'").drop("o_orderstatus").withColumn(
+        "ordinal", F.row_number().over(Window.partitionBy("key").orderBy("n"))
+    )
     new = o.filter("o_orderstatus <> 'F'").drop("o_orderstatus").withColumn("at", F.concat("day", F.lpad(text("n"), 12, "0")))
     new = new.withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("at")))).filter("k = 1").drop("k", "at")
     rows = sinks.latest_with_history(sinks.upsert(stored, new, ["key"], "day"), ["key"], "day")
@@ -203,7 +234,10 @@ def last_touched(spark, d):
 def changed_files(spark, d):
     kind = F.when(c("l_returnflag") == "R", "deleted").otherwise("modified")
     rows = table(spark, d, "lineitem").select(c("l_partkey").alias("path"), kind.alias("change_type"), "l_linenumber", "l_discount")
-    return metadata.changed_paths(rows.filter("l_linenumber = 1").select("path", "change_type"), rows.filter("l_discount > 0.05").select("path", "change_type"))
+    return metadata.changed_paths(
+        rows.filter("l_linenumber = 1").select("path", "change_type"),
+        rows.filter("l_discount > 0.05").select("path", "change_type")
+    )
 
 
 @query("SELECT user_id AS run, arg_max(props, event_id) FILTER (event_type = 'view') AS usage, coalesce(list(CAST(value AS VARCHAR) ORDER BY event_id) FILTER (event_type = 'click'), []) AS commands FROM (SELECT user_id, event_id, event_type, props, CAST(value AS BIGINT) AS value FROM (SELECT * REPLACE (floor(value) AS value) FROM events)) GROUP BY 1")
@@ -315,7 +349,11 @@ SELECT {SCRIPT} AS path, 'load' || p_partkey AS name, 'function' AS kind, 2 AS l
 UNION ALL SELECT {SCRIPT}, 'f' || p_size, 'function', 8, CASE WHEN p_size % 2 = 0 THEN 8 ELSE 10 END, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 3 END FROM part UNION ALL SELECT {SCRIPT}, 'Api', 'function', 9, 10, 2 FROM part WHERE p_size % 2 = 0""")
 def script_declarations(spark, d):
     last = F.when(c("p_size") % 2 == 0, "window.Api = {\n}\n").otherwise("const plain = 3\ntype T = number\n")
-    body = said("import x from 'y'\nasync function load", c("p_partkey"), "(a) {\n  function inner() {}\n}\nclass Box {\n  run() {}\n}\nconst f", c("p_size"), " = async (a, b) => a\n", last)
+    body = said(
+        "import x from 'y'\nasync function load", c("p_partkey"),
+        "(a) {\n  function inner() {}\n}\nclass Box {\n  run() {}\n}\nconst f", c("p_size"), " = async (a, b) => a\n",
+        last
+    )
     return symbols.extract_script(table(spark, d, "part").select(said("src/s", c("p_partkey"), ".ts").alias("path"), body.alias("text")))
 
 
@@ -326,7 +364,10 @@ SELECT *, CASE WHEN signatures = 1 THEN 'duplicate' ELSE 'shadow' END AS verdict
 def audited_names(spark, d):
     shape = F.when(c("p_size") % 2 == 0, "a").otherwise("a,b")
     marks = F.when(c("p_size") % 3 == 0, F.array(F.lit("property"))).otherwise(F.array().cast("array<string>"))
-    rows = table(spark, d, "part").select(c("p_name").alias("name"), c("p_brand").alias("path"), F.lit("function").alias("kind"), shape.alias("signature"), marks.alias("decorators"), F.lit(1).alias("line"), c("p_size").alias("end_line"))
+    rows = table(spark, d, "part").select(
+        c("p_name").alias("name"), c("p_brand").alias("path"), F.lit("function").alias("kind"),
+        shape.alias("signature"), marks.alias("decorators"), F.lit(1).alias("line"), c("p_size").alias("end_line")
+    )
     return symbols.name_audit(rows, ("blue rod", "small gear"))
 
 
@@ -347,14 +388,24 @@ def symbols_of_all_languages(spark, d):
 def patch_secrets(spark, d):
     n = c("l_linenumber")
     line = F.when(n == 1, "+import pdb").when(n == 2, '+token = "abcdef"').when(n == 3, "+ok").otherwise("+token = x")
-    rows = table(spark, d, "lineitem").select("l_orderkey", n, line.alias("t")).distinct().groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "t"))).alias("h"))
-    patches = rows.select(c("l_orderkey").alias("id"), said("+++ b/f", c("l_orderkey"), ".py\n", F.array_join(F.transform("h", lambda x: x["t"]), "\n")).alias("patch"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", n, line.alias("t")).distinct().groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_list(F.struct("l_linenumber", "t"))).alias("h")
+    )
+    patches = rows.select(
+        c("l_orderkey").alias("id"),
+        said("+++ b/f", c("l_orderkey"), ".py\n", F.array_join(F.transform("h", lambda x: x["t"]), "\n")).alias("patch")
+    )
     return policy.patch_findings(policy.patch_additions(patches))
 
 
-@query(f"SELECT {SCRIPT} AS path, 'go' || p_size AS name, 1 AS line, 6 AS end_line, CAST(5 + p_size % 2 AS INTEGER) AS branch_score FROM part")
+@query(
+    f"SELECT {SCRIPT} AS path, 'go' || p_size AS name, 1 AS line, 6 AS end_line, CAST(5 + p_size % 2 AS INTEGER) AS branch_score FROM part"
+)
 def script_hotspots(spark, d):
     more = F.when(c("p_size") % 2 == 1, "x ? 1 : 2").otherwise("x?.y")
-    body = said("function go", c("p_size"), "(x) {\n  if (x && y || 'a && b') { // if so\n    for (;;) {}\n  }\n  return x ?? ", more, "\n}\nclass A {\n  if () {}\n}\n")
+    body = said(
+        "function go", c("p_size"), "(x) {\n  if (x && y || 'a && b') { // if so\n    for (;;) {}\n  }\n  return x ?? ",
+        more, "\n}\nclass A {\n  if () {}\n}\n"
+    )
     files = table(spark, d, "part").select(said("src/s", c("p_partkey"), ".ts").alias("path"), body.alias("text"))
     return symbols.script_hotspots(files, 2, 3)

@@ -92,7 +92,9 @@ def one_line(text: Column, size: int) -> Column:
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
     head = F.substring(flat, 1, size - 2)
     words = F.regexp_extract(head, r"^(.*)\s\S*$", 1)
-    return F.when(F.length(flat) <= size, flat).otherwise(F.concat(F.when(words != "", words).otherwise(F.substring(flat, 1, size - 3)), F.lit("...")))
+    return F.when(F.length(flat) <= size, flat).otherwise(
+        F.concat(F.when(words != "", words).otherwise(F.substring(flat, 1, size - 3)), F.lit("..."))
+    )
 
 
 def date_prefix(*fields: Column) -> Column:

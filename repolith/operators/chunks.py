@@ -14,7 +14,10 @@ def tile(starts: DataFrame, by: list[str], start: str, total: Column) -> DataFra
     n = F.row_number().over(w)
     # longer numbers keep all their digits
     label = F.concat(F.lit("C-"), F.when(n < 100, F.lpad(n.cast("string"), 2, "0")).otherwise(n.cast("string")))
-    return starts.select(*by, label.alias("chunk"), F.when(n == 1, 1).otherwise(F.col(start)).alias("first"), F.coalesce(F.lead(start).over(w) - 1, total).alias("last"))
+    return starts.select(
+        *by, label.alias("chunk"), F.when(n == 1, 1).otherwise(F.col(start)).alias("first"),
+        F.coalesce(F.lead(start).over(w) - 1, total).alias("last")
+    )
 
 
 def pack_with_breaks(rows: DataFrame, by: list[str], order: str, tokens: str, forced: str, budget: int) -> DataFrame:
@@ -29,7 +32,10 @@ def pack_with_breaks(rows: DataFrame, by: list[str], order: str, tokens: str, fo
     def step(s, x):
         new = (s["chunk"] == 0) | x["forced"] | (s["held"] + x["n"] > budget)
         chunk = s["chunk"] + F.when(new, 1).otherwise(0)
-        return F.struct(chunk.alias("chunk"), F.when(new, x["n"]).otherwise(s["held"] + x["n"]).alias("held"), F.concat(s["out"], F.array(chunk)).alias("out"))
+        return F.struct(
+            chunk.alias("chunk"), F.when(new, x["n"]).otherwise(s["held"] + x["n"]).alias("held"),
+            F.concat(s["out"], F.array(chunk)).alias("out")
+        )
 
     chunks = F.aggregate("items", start, step, lambda s: s["out"])
     zipped = F.explode(F.arrays_zip(F.col("items.at").alias("at"), chunks.alias("chunk")))
@@ -57,6 +63,13 @@ def effects(edges: DataFrame, writers: DataFrame, entries: DataFrame, depth: int
     """
     w = writers.select("node").distinct()
     reach = shortest_depths(edges.select("src", "dst"), entries, depth).join(w, "node", "left_semi").select("start").distinct()
-    free = shortest_depths(edges.filter(~F.coalesce("gated", F.lit(False))).select("src", "dst"), entries, depth).join(w, "node", "left_semi").select("start").distinct()
-    rows = entries.select(F.col("node").alias("start")).distinct().join(reach.withColumn("w", F.lit(True)), "start", "left").join(free.withColumn("f", F.lit(True)), "start", "left")
-    return rows.select("start", F.coalesce("w", F.lit(False)).alias("writes"), (F.coalesce("w", F.lit(False)) & F.col("f").isNull()).alias("gated"))
+    free = shortest_depths(
+        edges.filter(~F.coalesce("gated", F.lit(False))).select("src", "dst"), entries, depth
+    ).join(w, "node", "left_semi").select("start").distinct()
+    rows = entries.select(F.col("node").alias("start")).distinct().join(
+        reach.withColumn("w", F.lit(True)), "start", "left"
+    ).join(free.withColumn("f", F.lit(True)), "start", "left")
+    return rows.select(
+        "start", F.coalesce("w", F.lit(False)).alias("writes"),
+        (F.coalesce("w", F.lit(False)) & F.col("f").isNull()).alias("gated")
+    )

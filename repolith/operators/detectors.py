@@ -24,7 +24,10 @@ def dormant(defs: DataFrame, refs: DataFrame, literals: DataFrame) -> DataFrame:
 def prefix_clusters(files: DataFrame, least: int = 3) -> DataFrame:
     """(folder, prefix, files) of ``least`` sibling files or more whose names share the part before the first ``-`` or ``_``."""
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    rows = files.select("path", F.regexp_replace("path", r"/?[^/]+$", "").alias("folder"), F.regexp_extract(name, r"^([^-_.]+)[-_]", 1).alias("prefix"))
+    rows = files.select(
+        "path", F.regexp_replace("path", r"/?[^/]+$", "").alias("folder"),
+        F.regexp_extract(name, r"^([^-_.]+)[-_]", 1).alias("prefix")
+    )
     out = rows.filter("prefix <> ''").groupBy("folder", "prefix").agg(F.array_sort(F.collect_set("path")).alias("files"))
     return out.filter(F.size("files") >= least)
 
@@ -53,7 +56,9 @@ def term_bands(texts: DataFrame, glossary: DataFrame, key: str, text: str) -> Da
     """
     words = texts.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(\w+)"), F.lit(1)))).alias("term"))
     hits = words.join(glossary.select("concept", F.lower("term").alias("term"), "standing"), "term")
-    seen = hits.groupBy(key, "concept").agg(F.array_sort(F.collect_set("term")).alias("terms"), F.collect_set("standing").alias("standings"))
+    seen = hits.groupBy(key, "concept").agg(
+        F.array_sort(F.collect_set("term")).alias("terms"), F.collect_set("standing").alias("standings")
+    )
     has = lambda s: F.array_contains("standings", s)
     bands = F.array(
         F.when(has("avoid"), "avoid_term_hit"),
@@ -77,14 +82,22 @@ def implicit_states(operations: DataFrame, least: int = 2) -> DataFrame:
         F.max(F.col("field_type") != "string").alias("typed"),
     )
     closed = (F.size("literals") >= least) & F.array_contains("kinds", "comparison") & F.array_contains("kinds", "assignment")
-    kind = F.when(F.col("typed"), "typed_state_authority").when(closed, "first_party_state_operation").otherwise("insufficient_closed_state_evidence")
+    kind = F.when(
+        F.col("typed"), "typed_state_authority"
+    ).when(closed, "first_party_state_operation").otherwise("insufficient_closed_state_evidence")
     return n.select("carrier_type", "field", "operations", "literals", kind.alias("classification"))
 
 
 def call_completeness(edges: DataFrame) -> DataFrame:
     """(caller, resolved, unresolved, state): complete if each of a caller's calls is resolved, unresolved if none is, else partial."""
-    n = edges.groupBy("caller").agg(F.count_if(F.col("callee").isNotNull()).alias("resolved"), F.count_if(F.col("callee").isNull()).alias("unresolved"))
-    return n.withColumn("state", F.when(F.col("unresolved") == 0, "complete").when(F.col("resolved") == 0, "unresolved").otherwise("partial"))
+    n = edges.groupBy("caller").agg(
+        F.count_if(F.col("callee").isNotNull()).alias("resolved"),
+        F.count_if(F.col("callee").isNull()).alias("unresolved")
+    )
+    return n.withColumn(
+        "state",
+        F.when(F.col("unresolved") == 0, "complete").when(F.col("resolved") == 0, "unresolved").otherwise("partial")
+    )
 
 
 def triage_pairs(pairs: DataFrame, calls: DataFrame, reject: float) -> DataFrame:
@@ -96,9 +109,13 @@ def triage_pairs(pairs: DataFrame, calls: DataFrame, reject: float) -> DataFrame
     """
     both = calls.select(F.col("caller").alias("a"), F.col("callee").alias("b")).union(calls.select("callee", "caller")).distinct()
     rows = pairs.join(both.withColumn("calls", F.lit(True)), ["a", "b"], "left")
-    reason = F.when(F.col("calls"), "caller_callee").when(F.col("similarity") >= reject, "token_similar").when(F.col("unresolved") > 0, "direct_call_unresolved_or_dynamic")
+    reason = F.when(F.col("calls"), "caller_callee").when(F.col("similarity") >= reject, "token_similar").when(
+        F.col("unresolved") > 0, "direct_call_unresolved_or_dynamic"
+    )
     rows = rows.withColumn("reason", reason)
-    verdict = F.when(F.col("reason").isin("caller_callee", "token_similar"), "rejected").when(F.col("reason").isNotNull(), "uncertain").otherwise("confirmed")
+    verdict = F.when(
+        F.col("reason").isin("caller_callee", "token_similar"), "rejected"
+    ).when(F.col("reason").isNotNull(), "uncertain").otherwise("confirmed")
     return rows.select("a", "b", verdict.alias("verdict"), "reason")
 
 
@@ -107,7 +124,9 @@ def select_with_omissions(rows: DataFrame, score: str, k: int) -> DataFrame:
     n = rows.groupBy(score).count()
     best = n.orderBy(F.desc(score)).limit(k)
     w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    kept = best.withColumn("before", F.coalesce(F.sum("count").over(w), F.lit(0))).filter(F.col("before") < k).select(score, F.lit(True).alias("selected"))
+    kept = best.withColumn(
+        "before", F.coalesce(F.sum("count").over(w), F.lit(0))
+    ).filter(F.col("before") < k).select(score, F.lit(True).alias("selected"))
     return rows.join(F.broadcast(kept), score, "left").withColumn("selected", F.coalesce("selected", F.lit(False)))  # at most k rows
 
 
@@ -150,7 +169,9 @@ def stale_plans(plans: DataFrame, ledger: DataFrame, now: Column, days: int = 30
 def fold_states(events: DataFrame, initial: DataFrame) -> DataFrame:
     """(id, state, transitions): the intake's state, or that of the last transition (id, at, ordinal, to_state)."""
     last = events.groupBy("id").agg(F.max_by("to_state", F.struct("at", "ordinal")).alias("to_state"), F.count("*").alias("transitions"))
-    return initial.join(last, "id", "left").select("id", F.coalesce("to_state", "state").alias("state"), F.coalesce("transitions", F.lit(0)).alias("transitions"))
+    return initial.join(last, "id", "left").select(
+        "id", F.coalesce("to_state", "state").alias("state"), F.coalesce("transitions", F.lit(0)).alias("transitions")
+    )
 
 
 def recent_evidence(claims: DataFrame, evidence: DataFrame, by: list[str], hours: int = 12) -> DataFrame:
@@ -158,7 +179,9 @@ def recent_evidence(claims: DataFrame, evidence: DataFrame, by: list[str], hours
 
     One window over both, so a hot key is sorted once and never paired.
     """
-    both = claims.select("*", F.lit(None).cast("timestamp").alias("seen")).unionByName(evidence.select(*by, "at", F.col("at").alias("seen")), allowMissingColumns=True)
+    both = claims.select("*", F.lit(None).cast("timestamp").alias("seen")).unionByName(
+        evidence.select(*by, "at", F.col("at").alias("seen")), allowMissingColumns=True
+    )
     w = Window.partitionBy(*by).orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     rows = both.withColumns({"is_claim": F.col("seen").isNull(), "last": F.max("seen").over(w)}).filter("is_claim")
     near = F.unix_timestamp("at") - F.unix_timestamp("last") <= hours * 3600
@@ -171,7 +194,9 @@ def scan_requests(requests: DataFrame, contracts: DataFrame) -> DataFrame:
     requests: request, detector, mode, language; contracts: detector, modes, languages.
     """
     rows = requests.join(contracts, "detector", "left")
-    reason = F.when(F.col("modes").isNull(), "unknown_detector").when(~F.array_contains("modes", F.col("mode")), "unsupported_mode").when(~F.array_contains("languages", F.col("language")), "unsupported_language")
+    reason = F.when(F.col("modes").isNull(), "unknown_detector").when(~F.array_contains("modes", F.col("mode")), "unsupported_mode").when(
+        ~F.array_contains("languages", F.col("language")), "unsupported_language"
+    )
     return rows.select("request", F.when(reason.isNull(), "accepted").otherwise("refused").alias("state"), reason.alias("reason"))
 
 

@@ -19,7 +19,10 @@ def scope_tags(files: DataFrame, focus: list[str]) -> DataFrame:
     if not focus:
         return files.withColumn("scope", F.lit("focus"))
     roots = [f.rstrip("/") for f in focus]
-    return files.withColumn("scope", F.when(F.arrays_overlap(ancestors(F.col("path")), F.array(*map(F.lit, roots))), "focus").otherwise("context"))
+    return files.withColumn(
+        "scope",
+        F.when(F.arrays_overlap(ancestors(F.col("path")), F.array(*map(F.lit, roots))), "focus").otherwise("context")
+    )
 
 
 def scope_relation(members: DataFrame, by: list[str]) -> DataFrame:
@@ -61,7 +64,9 @@ def scanned(files: DataFrame, suffixes: dict[str, list[str]], language: str | No
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     lang = classify([(k, suffix.isin(v)) for k, v in suffixes.items()], "")
     state = F.when(lang == "", "unsupported").when(F.lit(language is not None) & (lang != (language or "")), "other_language")
-    state = state.when(name.rlike(r"\.min\.[^.]+$"), "minified").when(name.rlike(r"^tests?_|[._]tests?\.[^.]+$|^tests?\.[^.]+$|^conftest\.py$"), "test").otherwise("scanned")
+    state = state.when(name.rlike(r"\.min\.[^.]+$"), "minified").when(
+        name.rlike(r"^tests?_|[._]tests?\.[^.]+$|^tests?\.[^.]+$|^conftest\.py$"), "test"
+    ).otherwise("scanned")
     return files.withColumns({"language": F.nullif(lang, F.lit("")), "state": state})
 
 

@@ -26,7 +26,9 @@ def evaluate(commands: DataFrame, rules: DataFrame, first_only: list[str]) -> Da
     subject = F.when(F.col("raw"), F.col("command")).otherwise(F.col("plain"))
     hits = seen.join(small(rules), F.regexp_like(subject, F.col("pattern")))
     nth = F.row_number().over(Window.partitionBy("id", "grp").orderBy("ordinal"))
-    return hits.withColumn("nth", nth).filter((F.col("nth") == 1) | ~F.col("grp").isin(first_only)).select("id", "rule", "decision", "ordinal")
+    return hits.withColumn("nth", nth).filter(
+        (F.col("nth") == 1) | ~F.col("grp").isin(first_only)
+    ).select("id", "rule", "decision", "ordinal")
 
 
 def strongest(hits: DataFrame, severity: tuple[str, ...] = ("allow", "warn", "ask", "deny")) -> DataFrame:
@@ -66,7 +68,9 @@ def patch_additions(patches: DataFrame) -> DataFrame:
     deleted = F.col("text").rlike(r"^\*\*\* Delete File: ")
     path = F.last(F.when(deleted, "/dev/null").when(header != "", header), ignorenulls=True).over(Window.partitionBy("id").orderBy("at"))
     added = F.col("text").startswith("+") & ~F.col("text").startswith("+++")
-    return rows.withColumn("path", path).filter(added & (F.col("path") != "/dev/null")).select("id", "path", (F.col("at") + 1).alias("line"), F.expr("substring(text, 2)").alias("text"))
+    return rows.withColumn("path", path).filter(added & (F.col("path") != "/dev/null")).select(
+        "id", "path", (F.col("at") + 1).alias("line"), F.expr("substring(text, 2)").alias("text")
+    )
 
 
 #: Predicates over added lines (columns path and text) by name; a caller may put others in their place.
@@ -86,14 +90,22 @@ def patch_findings(additions: DataFrame, predicates: dict | None = None) -> Data
 def suppress(findings: DataFrame, markers: DataFrame) -> DataFrame:
     """Findings without a marker of their rule on one of the lines [start, end] of the same path."""
     m = markers.select(F.col("path").alias("m_path"), F.col("rule").alias("m_rule"), F.col("line").alias("m_line"))
-    return findings.join(m, [F.col("path") == F.col("m_path"), F.col("rule") == F.col("m_rule"), F.col("m_line").between(F.col("start"), F.col("end"))], "left_anti")
+    return findings.join(
+        m,
+        [F.col("path") == F.col("m_path"), F.col("rule") == F.col("m_rule"), F.col("m_line").between(F.col("start"), F.col("end"))],
+        "left_anti"
+    )
 
 
 def tool_status(tools: DataFrame) -> DataFrame:
     """capability and status (ready, outdated, missing, partial) from tool, version (null: missing) and least version."""
-    state = F.when(F.col("version").isNull(), "missing").when(version_key(F.col("version")) < version_key(F.col("least")), "outdated").otherwise("ready")
+    state = F.when(F.col("version").isNull(), "missing").when(
+        version_key(F.col("version")) < version_key(F.col("least")), "outdated"
+    ).otherwise("ready")
     n = tools.groupBy("capability").agg(F.collect_set(state).alias("states"))
-    one = F.when(F.size("states") == 1, F.element_at("states", 1)).when(F.array_contains("states", "missing"), "partial").otherwise("outdated")
+    one = F.when(
+        F.size("states") == 1, F.element_at("states", 1)
+    ).when(F.array_contains("states", "missing"), "partial").otherwise("outdated")
     return n.select("capability", one.alias("status"))
 
 
@@ -101,7 +113,9 @@ def trajectory(before: DataFrame, after: DataFrame) -> DataFrame:
     """(callee, option, was, share, course) of two ``divergence`` results: spreading, receding, steady, new or closed."""
     a = before.select("callee", "option", F.col("share").alias("was"))
     rows = a.join(after.select("callee", "option", "share"), ["callee", "option"], "full_outer")
-    course = F.when(F.col("was").isNull(), "new").when(F.col("share").isNull(), "closed").when(F.col("share") > F.col("was"), "spreading").when(F.col("share") < F.col("was"), "receding").otherwise("steady")
+    course = F.when(F.col("was").isNull(), "new").when(F.col("share").isNull(), "closed").when(
+        F.col("share") > F.col("was"), "spreading"
+    ).when(F.col("share") < F.col("was"), "receding").otherwise("steady")
     return rows.select("callee", "option", "was", "share", course.alias("course"))
 
 
@@ -112,7 +126,9 @@ def divergence(calls: DataFrame, least_share: float = 0.8, least_size: int = 3)
     """
     size = calls.groupBy("callee").agg(F.countDistinct("site").alias("size"))
     used = calls.select("callee", "site", F.explode("options").alias("option")).distinct()
-    n = used.groupBy("callee", "option").agg(F.count("*").alias("present")).join(size, "callee").withColumn("share", F.col("present") / F.col("size"))
+    n = used.groupBy("callee", "option").agg(F.count("*").alias("present")).join(size, "callee").withColumn(
+        "share", F.col("present") / F.col("size")
+    )
     kept = n.filter((F.col("size") >= least_size) & (F.col("share") >= least_share) & (F.col("present") < F.col("size")))
     missing = kept.join(calls.select("callee", "site").distinct(), "callee").join(used, ["callee", "site", "option"], "left_anti")
     return missing.groupBy("callee", "option", "present", "size", "share").agg(F.array_sort(F.collect_set("site")).alias("stragglers"))

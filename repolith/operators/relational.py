@@ -67,29 +67,40 @@ def owner(items: DataFrame, registry: DataFrame, path: str = "path", ties: str =
     hits = paths.withColumn("prefix", F.explode(ancestors(F.col("__path")))).join(known, "prefix")
     w = Window.partitionBy("__path").orderBy(F.desc(F.length("prefix")))
     if ties == "first":
-        best = hits.withColumn("r", F.row_number().over(w.orderBy(F.desc(F.length("prefix")), "ordinal"))).filter("r = 1").select("__path", "owner")
+        best = hits.withColumn(
+            "r", F.row_number().over(w.orderBy(F.desc(F.length("prefix")), "ordinal"))
+        ).filter("r = 1").select("__path", "owner")
     else:
-        best = hits.withColumn("r", F.rank().over(w)).filter("r = 1").groupBy("__path").agg(F.array_sort(F.collect_set("owner")).alias("owner"))
+        best = hits.withColumn("r", F.rank().over(w)).filter("r = 1").groupBy("__path").agg(
+            F.array_sort(F.collect_set("owner")).alias("owner")
+        )
     return items.join(best, F.col(path) == F.col("__path"), "left").drop("__path")
 
 
 def flags(rows: DataFrame, sets: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
     """A boolean column for each key set that holds the row's key; staged semi-joins, no OR-join."""
     for name, (keys, on) in sets.items():
-        rows = rows.join(keys.select(*on).distinct().withColumn(name, F.lit(True)), on, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+        rows = rows.join(
+            keys.select(*on).distinct().withColumn(name, F.lit(True)), on, "left"
+        ).withColumn(name, F.coalesce(name, F.lit(False)))
     return rows
 
 
 def manifest_diff(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
     """Each key with fixed, new or persisting."""
     a, b = before.select(*key).distinct().withColumn("a", F.lit(1)), after.select(*key).distinct().withColumn("b", F.lit(1))
-    return a.join(b, key, "full_outer").select(*key, F.when(F.col("b").isNull(), "fixed").when(F.col("a").isNull(), "new").otherwise("persisting").alias("state"))
+    return a.join(b, key, "full_outer").select(
+        *key,
+        F.when(F.col("b").isNull(), "fixed").when(F.col("a").isNull(), "new").otherwise("persisting").alias("state")
+    )
 
 
 def compare_sides(left: DataFrame, right: DataFrame, key: str, digest: str) -> DataFrame:
     """missing-left, missing-right, content-drift or same for each key."""
     l, r = left.select(key, F.col(digest).alias("l")), right.select(key, F.col(digest).alias("r"))  # noqa: E741
-    state = F.when(F.col("l").isNull(), "missing-left").when(F.col("r").isNull(), "missing-right").when(F.col("l") != F.col("r"), "content-drift").otherwise("same")
+    state = F.when(F.col("l").isNull(), "missing-left").when(F.col("r").isNull(), "missing-right").when(
+        F.col("l") != F.col("r"), "content-drift"
+    ).otherwise("same")
     return l.join(r, key, "full_outer").select(key, state.alias("state"))
 
 
@@ -100,8 +111,14 @@ def overlapping(items: DataFrame, ranges: DataFrame, on: list[str]) -> DataFrame
     furthest end decides.  Nothing is paired, however many of both a key has.
     """
     held = F.struct(*[F.col(f"`{c}`") for c in items.columns])
-    a = items.select(*on, F.col("end").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("__reach"), held.alias("__item"))
-    b = ranges.select(*on, F.col("start").alias("__at"), F.lit(0).alias("__kind"), F.col("end").cast("long").alias("__reach"), F.lit(None).cast(a.schema["__item"].dataType).alias("__item"))
+    a = items.select(
+        *on, F.col("end").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("__reach"),
+        held.alias("__item")
+    )
+    b = ranges.select(
+        *on, F.col("start").alias("__at"), F.lit(0).alias("__kind"), F.col("end").cast("long").alias("__reach"),
+        F.lit(None).cast(a.schema["__item"].dataType).alias("__item")
+    )
     w = Window.partitionBy(*on).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = a.unionByName(b).withColumn("__furthest", F.max("__reach").over(w))
     return both.filter((F.col("__kind") == 1) & (F.col("__furthest") >= F.col("__item.start"))).select("__item.*")
@@ -110,7 +127,10 @@ def overlapping(items: DataFrame, ranges: DataFrame, on: list[str]) -> DataFrame
 def containing(items: DataFrame, spans: DataFrame, on: list[str], name: str) -> DataFrame:
     """The innermost span (latest start, then earliest end) that holds each item [start, end]; null where none.  Equal items stay apart."""
     n = items.groupBy(*items.columns).agg(F.count("*").alias("__n"))
-    s = spans.select(*[F.col(c).alias(f"__{c}") for c in on], F.col("start").alias("__s"), F.col("end").alias("__e"), F.col(name).alias("__name"))
+    s = spans.select(
+        *[F.col(c).alias(f"__{c}") for c in on], F.col("start").alias("__s"), F.col("end").alias("__e"),
+        F.col(name).alias("__name")
+    )
     hits = n.join(s, [F.col(c) == F.col(f"__{c}") for c in on] + [F.col("start") >= F.col("__s"), F.col("end") <= F.col("__e")], "left")
     best = hits.groupBy(*items.columns, "__n").agg(F.max_by("__name", F.struct("__s", -F.col("__e"))).alias(name))
     return best.withColumn("__each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).drop("__each", "__n")
@@ -140,7 +160,9 @@ def mentions(texts: DataFrame, terms: DataFrame, key: str, text: str, pattern: s
     """term, n (texts that mention it) and hits, by an inverted index; unmentioned terms keep 0."""
     words = texts.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit(f"({pattern})"), F.lit(1))).alias("term"))
     wanted = terms.select(F.lower("term").alias("term")).distinct()
-    found = words.join(wanted, "term", "left_semi").groupBy("term", key).count().groupBy("term").agg(F.count("*").alias("n"), F.sum("count").alias("hits"))
+    found = words.join(wanted, "term", "left_semi").groupBy("term", key).count().groupBy("term").agg(
+        F.count("*").alias("n"), F.sum("count").alias("hits")
+    )
     return wanted.join(found, "term", "left").na.fill(0, ["n", "hits"])
 
 
@@ -150,7 +172,10 @@ def resolve_calls(edges: DataFrame, defs: DataFrame) -> DataFrame:
     edges: caller, callee_name, call_style, caller_file, caller_class; defs: qualified_name, name, file, parent_class.
     """
     e = edges.withColumns({"edge": F.xxhash64(*edges.columns), "tail": F.substring_index("callee_name", ".", -1)})
-    d = defs.select(F.col("qualified_name").alias("callee"), F.col("name").alias("d_name"), F.col("file").alias("d_file"), F.col("parent_class").alias("d_class"))
+    d = defs.select(
+        F.col("qualified_name").alias("callee"), F.col("name").alias("d_name"), F.col("file").alias("d_file"),
+        F.col("parent_class").alias("d_class")
+    )
     own, plain = e.filter("call_style = 'self'"), e.filter("call_style IS NULL OR call_style <> 'self'")
     same = [F.col("tail") == F.col("d_name"), F.col("caller_class") == F.col("d_class")]
     tried = [
@@ -186,7 +211,9 @@ def latest(rows: DataFrame, key: list[str], ts: str, ordinal: str) -> DataFrame:
     rest = [c for c in rows.columns if c not in key]
     t = F.coalesce(F.col(ts), F.timestamp_seconds(F.lit(0)))
     best = F.max_by(F.struct(*rest), F.struct(t, -F.col(ordinal)))
-    return rows.groupBy(*key).agg(best.alias("__row"), (F.count("*") - 1).alias("superseded")).select(*key, "__row.*", "superseded").select(*rows.columns, "superseded")
+    return rows.groupBy(*key).agg(
+        best.alias("__row"), (F.count("*") - 1).alias("superseded")
+    ).select(*key, "__row.*", "superseded").select(*rows.columns, "superseded")
 
 
 def keep_first(rows: DataFrame, key: list[str], ordinal: str) -> DataFrame:
@@ -202,18 +229,25 @@ def gaps(spans: DataFrame, by: list[str]) -> DataFrame:
     """Uncovered [gap_start, gap_end] between spans of each key."""
     w = Window.partitionBy(*by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     reach = spans.withColumn("reach", F.max("end").over(w))
-    return reach.filter(F.col("start") > F.col("reach") + 1).select(*by, (F.col("reach") + 1).alias("gap_start"), (F.col("start") - 1).alias("gap_end"))
+    return reach.filter(F.col("start") > F.col("reach") + 1).select(
+        *by, (F.col("reach") + 1).alias("gap_start"), (F.col("start") - 1).alias("gap_end")
+    )
 
 
 def pack(rows: DataFrame, by: list[str], order: str, tokens: str, budget: int) -> DataFrame:
     """Greedy packing in order: ``chunk`` numbers from 1, a new chunk where the budget would be passed."""
-    items = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(tokens).cast("long").alias("n")))).alias("items"))
+    items = rows.groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(tokens).cast("long").alias("n")))).alias("items")
+    )
     start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("held"), F.array().cast("array<int>").alias("out"))
 
     def step(s, x):
         new = (s["chunk"] == 0) | (s["held"] + x["n"] > budget)
         chunk = F.when(new, s["chunk"] + 1).otherwise(s["chunk"])
-        return F.struct(chunk.alias("chunk"), F.when(new, x["n"]).otherwise(s["held"] + x["n"]).alias("held"), F.concat(s["out"], F.array(chunk)).alias("out"))
+        return F.struct(
+            chunk.alias("chunk"), F.when(new, x["n"]).otherwise(s["held"] + x["n"]).alias("held"),
+            F.concat(s["out"], F.array(chunk)).alias("out")
+        )
 
     packed = items.withColumn("chunks", F.aggregate("items", start, step)["out"])
     flat = packed.select(*by, F.explode(F.arrays_zip("items", "chunks")).alias("x"))
@@ -241,7 +275,9 @@ def census(rows: DataFrame, group: list[str], variant: str) -> DataFrame:
     """Count and share of classified rows for each variant, whether it is the majority (ties alphabetical); null is unclassified."""
     n = rows.filter(F.col(variant).isNotNull()).groupBy(*group, variant).agg(F.count("*").alias("n"))
     by = Window.partitionBy(*group)
-    return n.withColumns({"share": F.round(F.col("n") / F.sum("n").over(by), 6), "majority": F.row_number().over(by.orderBy(F.desc("n"), variant)) == 1})
+    return n.withColumns(
+        {"share": F.round(F.col("n") / F.sum("n").over(by), 6), "majority": F.row_number().over(by.orderBy(F.desc("n"), variant)) == 1}
+    )
 
 
 def month_pivot(rows: DataFrame, ts: str, column: str, values: list[str]) -> DataFrame:
@@ -296,7 +332,9 @@ def match_findings(planted: DataFrame, found: DataFrame, tolerance: int = 0) ->
         return pd.DataFrame(out, columns=["file", "finding", "instance"])
 
     kind = F.lit(0).alias("kind")
-    both = planted.select(F.col("id").cast("string"), "file", "line", "ordinal", kind).union(found.select(F.col("id").cast("string"), "file", "line", "ordinal", F.lit(1)))
+    both = planted.select(F.col("id").cast("string"), "file", "line", "ordinal", kind).union(
+        found.select(F.col("id").cast("string"), "file", "line", "ordinal", F.lit(1))
+    )
     return both.groupBy("file").applyInPandas(pair, MATCH)
 
 
@@ -305,5 +343,9 @@ def grade(planted: DataFrame, found: DataFrame, tolerance: int = 0) -> DataFrame
     n = match_findings(planted, found, tolerance).agg(F.count("*").alias("tp"))
     n = n.crossJoin(planted.agg(F.count("*").alias("planted"))).crossJoin(found.agg(F.count("*").alias("found")))  # one row each
     share = lambda of: F.when(F.col(of) == 0, 1.0).otherwise(F.col("tp") / F.col(of))
-    n = n.withColumns({"fp": F.col("found") - F.col("tp"), "fn": F.col("planted") - F.col("tp"), "precision": share("found"), "recall": share("planted")})
-    return n.withColumn("verdict", F.when((F.col("fp") == 0) & (F.col("fn") == 0), "pass").otherwise("fail")).select("tp", "fp", "fn", "precision", "recall", "verdict")
+    n = n.withColumns(
+        {"fp": F.col("found") - F.col("tp"), "fn": F.col("planted") - F.col("tp"), "precision": share("found"), "recall": share("planted")}
+    )
+    return n.withColumn(
+        "verdict", F.when((F.col("fp") == 0) & (F.col("fn") == 0), "pass").otherwise("fail")
+    ).select("tp", "fp", "fn", "precision", "recall", "verdict")

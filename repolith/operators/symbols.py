@@ -10,7 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "path string, name string, qualified_name string, kind string, line int, end_line int, arity int, has_self boolean, parent string, decorators array<string>, digest string, signature string"
-FIELDS = [("path", pa.string()), ("name", pa.string()), ("qualified_name", pa.string()), ("kind", pa.string()), ("line", pa.int32()), ("end_line", pa.int32()), ("arity", pa.int32()), ("has_self", pa.bool_()), ("parent", pa.string()), ("decorators", pa.list_(pa.string())), ("digest", pa.string()), ("signature", pa.string())]
+FIELDS = [
+    ("path", pa.string()), ("name", pa.string()), ("qualified_name", pa.string()), ("kind", pa.string()),
+    ("line", pa.int32()), ("end_line", pa.int32()), ("arity", pa.int32()), ("has_self", pa.bool_()),
+    ("parent", pa.string()), ("decorators", pa.list_(pa.string())), ("digest", pa.string()), ("signature", pa.string())
+]
 
 
 class _Blank(ast.NodeTransformer):
@@ -76,9 +80,13 @@ def extract_script(files: DataFrame) -> DataFrame:
     every = F.split(F.regexp_replace("text", "\n$", ""), "\n")
     lines = files.select("path", F.posexplode(every).alias("at", "held"), F.size(every).alias("total"))
     parts = [F.regexp_extract("held", SCRIPT, k) for k in range(1, 5)]
-    found = lines.withColumns({"name": F.concat(*parts), "kind": F.when(parts[2] != "", "class").otherwise("function"), "line": F.col("at") + 1}).filter("name <> ''")
+    found = lines.withColumns(
+        {"name": F.concat(*parts), "kind": F.when(parts[2] != "", "class").otherwise("function"), "line": F.col("at") + 1}
+    ).filter("name <> ''")
     end = F.coalesce(F.lead("line").over(Window.partitionBy("path").orderBy("line")) - 1, F.col("total"))
-    return found.withColumn("end_line", end).select("path", "name", "kind", "line", "end_line", (F.col("end_line") - F.col("line") + 1).alias("loc"))
+    return found.withColumn("end_line", end).select(
+        "path", "name", "kind", "line", "end_line", (F.col("end_line") - F.col("line") + 1).alias("loc")
+    )
 
 
 #: What makes a branch in a script: words, operators and arms.
@@ -95,7 +103,9 @@ def script_hotspots(files: DataFrame, least_score: int, least_lines: int = 1) ->
     body = F.array_join(F.slice("__lines", F.col("line"), F.col("loc")), "\n")
     plain = F.regexp_replace(F.regexp_replace(body, r"\"[^\"\n]*\"|'[^'\n]*'|`[^`]*`", "''"), r"//[^\n]*", "")
     rows = rows.withColumn("branch_score", F.regexp_count(plain, F.lit(SCRIPT_BRANCH)))
-    return rows.filter((F.col("branch_score") >= least_score) & (F.col("loc") >= least_lines)).select("path", "name", "line", "end_line", "branch_score")
+    return rows.filter(
+        (F.col("branch_score") >= least_score) & (F.col("loc") >= least_lines)
+    ).select("path", "name", "line", "end_line", "branch_score")
 
 
 def name_audit(symbols: DataFrame, generic: tuple[str, ...] = ()) -> DataFrame:
@@ -103,6 +113,12 @@ def name_audit(symbols: DataFrame, generic: tuple[str, ...] = ()) -> DataFrame:
     all have one signature, else shadow; and names of the ``generic`` verbs, however often defined, as rows of their own.  Properties are left out.
     """
     own = symbols.filter("kind IN ('function', 'method') AND NOT array_contains(decorators, 'property')")
-    n = own.groupBy("name").agg(F.count("*").alias("definitions"), F.countDistinct("path").alias("files"), F.countDistinct("signature").alias("signatures"), F.sum(F.col("end_line") - F.col("line") + 1).alias("lines"))
-    verdicts = F.array(F.when((F.col("definitions") >= 2) & (F.col("files") >= 2), F.when(F.col("signatures") == 1, "duplicate").otherwise("shadow")), F.when(F.col("name").isin(*generic), "generic"))
+    n = own.groupBy("name").agg(
+        F.count("*").alias("definitions"), F.countDistinct("path").alias("files"),
+        F.countDistinct("signature").alias("signatures"), F.sum(F.col("end_line") - F.col("line") + 1).alias("lines")
+    )
+    verdicts = F.array(
+        F.when((F.col("definitions") >= 2) & (F.col("files") >= 2), F.when(F.col("signatures") == 1, "duplicate").otherwise("shadow")),
+        F.when(F.col("name").isin(*generic), "generic")
+    )
     return n.select("*", F.explode(F.filter(verdicts, lambda v: v.isNotNull())).alias("verdict"))

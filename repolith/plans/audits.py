@@ -24,8 +24,16 @@ def triage(scans: DataFrame, findings: DataFrame, dismissals: DataFrame, now: st
     at = F.to_timestamp(F.lit(now))
     rows = scans.filter("coalesce(findings_total, 0) > 0").withColumn("at", iso_timestamp(F.col("ts")))
     rows = latest(rows, ["skill", "target"], "at", "ordinal").withColumn("at", F.coalesce("at", F.timestamp_seconds(F.lit(0))))
-    rows = flags(rows, {"by_finding": (findings.select(F.col("source_scan").alias("scan_id")), ["scan_id"]), "by_dismissal": (dismissals.select(F.coalesce("source_scan", "scan_id").alias("scan_id")), ["scan_id"])})
-    said = findings.select(F.col("source_skill").alias("skill"), iso_timestamp(F.col("created_at")).alias("t")).union(dismissals.select("skill", iso_timestamp(F.col("ts")).alias("t")))
+    rows = flags(
+        rows,
+        {
+            "by_finding": (findings.select(F.col("source_scan").alias("scan_id")), ["scan_id"]),
+            "by_dismissal": (dismissals.select(F.coalesce("source_scan", "scan_id").alias("scan_id")), ["scan_id"])
+        }
+    )
+    said = findings.select(
+        F.col("source_skill").alias("skill"), iso_timestamp(F.col("created_at")).alias("t")
+    ).union(dismissals.select("skill", iso_timestamp(F.col("ts")).alias("t")))
     rows = rows.join(said.groupBy("skill").agg(F.max("t").alias("last_said")), "skill", "left")
     age = elapsed_days(F.col("at"), at)
     known = F.col("by_finding") | F.col("by_dismissal") | F.coalesce(F.col("last_said") >= F.col("at"), F.lit(False))
@@ -71,7 +79,9 @@ def drift_scan(metrics: DataFrame, ledger: DataFrame, least: int) -> DataFrame:
 
 def friction(events: DataFrame, now: str, days: int = 14, vocabulary: tuple[str, ...] = ("allow", "ask", "deny")) -> DataFrame:
     """decision, n and rules within the horizon (inclusive), zero-filled to the vocabulary."""
-    inside = events.filter(F.unix_timestamp(F.to_timestamp(F.lit(now))) - F.unix_timestamp(iso_timestamp(F.col("timestamp"))) <= days * 86400)
+    inside = events.filter(
+        F.unix_timestamp(F.to_timestamp(F.lit(now))) - F.unix_timestamp(iso_timestamp(F.col("timestamp"))) <= days * 86400
+    )
     counted = inside.groupBy("decision").agg(F.count("*").alias("n"), F.countDistinct("rule_id").alias("rules"))
     words = events.sparkSession.createDataFrame([(v,) for v in vocabulary], "decision string")
     return words.join(counted, "decision", "full_outer").na.fill(0, ["n", "rules"])
@@ -84,10 +94,14 @@ def coverage(items: DataFrame, refs: DataFrame) -> DataFrame:
     is done is ``ahead``, and if its status is partial ``partial`` too.
     """
     n = refs.groupBy("spec", "item").agg(F.count("*").alias("refs"), F.countDistinct("path").alias("files"))
-    rows = items.join(n, ["spec", "item"], "full_outer").withColumn("refs", F.coalesce("refs", F.lit(0))).withColumn("files", F.coalesce("files", F.lit(0)))
+    rows = items.join(n, ["spec", "item"], "full_outer").withColumn("refs", F.coalesce("refs", F.lit(0))).withColumn(
+        "files", F.coalesce("files", F.lit(0))
+    )
     done, some, there = F.col("status") == "done", F.col("refs") > 0, F.col("status").isNotNull()
     buckets = F.array(
-        F.when(~there, "orphan"), F.when(done & ~some, "unproven"), F.when(done & some, "covered"), F.when(there & (F.col("status") == "partial"), "partial"),
+        F.when(~there, "orphan"), F.when(done & ~some, "unproven"), F.when(done & some, "covered"), F.when(
+            there & (F.col("status") == "partial"), "partial"
+        ),
         F.when(there & ~done & some, "ahead"), F.when(there & ~done & ~some & (F.col("status") != "partial"), "open"),
     )
     return rows.select("spec", "item", "status", "refs", "files", F.filter(buckets, lambda b: b.isNotNull()).alias("buckets"))

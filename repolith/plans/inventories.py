@@ -43,7 +43,10 @@ def import_map(edges: DataFrame, subsystems: DataFrame) -> DataFrame:
     same = F.col("a") == F.col("b")
     end = lambda sub, how, door=None: F.struct(sub.alias("subsystem"), F.lit(how).alias("how"), (F.lit(None).cast("string") if door is None else door).alias("door"))
     across = ~F.coalesce(same, F.lit(False))
-    ends = F.array(F.when(same, end(F.col("a"), "inside")), F.when(across, end(F.col("b"), "inbound", F.col("imported"))), F.when(across, end(F.col("a"), "outbound")))
+    ends = F.array(
+        F.when(same, end(F.col("a"), "inside")), F.when(across, end(F.col("b"), "inbound", F.col("imported"))),
+        F.when(across, end(F.col("a"), "outbound"))
+    )
     flat = rows.select(F.explode(F.filter(ends, lambda x: x.isNotNull())).alias("x")).select("x.*").filter("subsystem IS NOT NULL")
     kinds = [F.count_if(F.col("how") == k).alias(k) for k in ("inside", "inbound", "outbound")]
     return flat.groupBy("subsystem").agg(*kinds, (F.countDistinct("door") == 1).alias("barrel"))
@@ -72,7 +75,9 @@ def producers(declared: DataFrame, produced: DataFrame) -> DataFrame:
     late = larger.filter("before > name").select("name", F.lit(True).alias("late")).distinct()
     rows = both.join(late, "name", "left")
     faults = F.array(
-        F.when(F.col("n").isNull(), "undeclared"), F.when(F.col("made").isNull(), "unproduced"), F.when(F.col("n") > 1, "duplicate"), F.when(F.col("late"), "out_of_order")
+        F.when(F.col("n").isNull(), "undeclared"), F.when(
+            F.col("made").isNull(), "unproduced"
+        ), F.when(F.col("n") > 1, "duplicate"), F.when(F.col("late"), "out_of_order")
     )
     return rows.select("name", F.explode(F.filter(faults, lambda f: f.isNotNull())).alias("state"))
 
@@ -89,7 +94,9 @@ def closed_domain(domain: DataFrame, dispositions: DataFrame, ledger: DataFrame,
     deferred = dispositions.filter("state = 'deferred'").select("surface", F.col("deferred_id").alias("id"))
     out = out.union(deferred.join(ledger.select("id").distinct(), "id", "left_anti").select("surface", F.lit("unknown_id").alias("fault")))
     evidence = dispositions.filter("evidence IS NOT NULL").select("surface", F.col("evidence").alias("path"))
-    return out.union(evidence.join(files.select("path").distinct(), "path", "left_anti").select("surface", F.lit("no_evidence").alias("fault")))
+    return out.union(
+        evidence.join(files.select("path").distinct(), "path", "left_anti").select("surface", F.lit("no_evidence").alias("fault"))
+    )
 
 
 def stray_hits(hits: DataFrame, allowed: DataFrame, include: str, exclude: str | None = None) -> DataFrame:
@@ -132,4 +139,7 @@ def caller_info(refs: DataFrame, defined: DataFrame) -> DataFrame:
     )
     empty, none = F.array().cast("array<string>"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<bigint>"))
     out = own.select("name").distinct().join(rows, "name", "left")
-    return out.select("name", F.coalesce("total_refs", F.lit(0)).alias("total_refs"), F.coalesce("ref_files", empty).alias("ref_files"), F.coalesce("categorized", none).alias("categorized"))
+    return out.select(
+        "name", F.coalesce("total_refs", F.lit(0)).alias("total_refs"),
+        F.coalesce("ref_files", empty).alias("ref_files"), F.coalesce("categorized", none).alias("categorized")
+    )

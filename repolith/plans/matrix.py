@@ -60,7 +60,13 @@ def paired_trials(trials: DataFrame, by: list[str], least_pct: float, least_savi
         F.median(F.when(F.col("before") != 0, 100 * saving / F.col("before"))).alias("median_pct"),
         F.count_if(saving > 0).alias("wins"),
     )
-    return n.withColumn("passed", F.coalesce((F.col("median_pct") >= least_pct) & (F.col("median_saving") >= least_saving) & (F.col("wins") >= least_wins), F.lit(False)))
+    return n.withColumn(
+        "passed",
+        F.coalesce(
+            (F.col("median_pct") >= least_pct) & (F.col("median_saving") >= least_saving) & (F.col("wins") >= least_wins),
+            F.lit(False)
+        )
+    )
 
 
 def domain_of(text: Column, rules: list[tuple[str, str]], default: str = "utility") -> Column:
@@ -85,4 +91,7 @@ def conditions(runs: DataFrame, base: str, most_context: float = 0.7, most_token
     ref = n.filter(F.col("condition") == base).select(F.col("context").alias("c"), F.col("tokens").alias("t"))
     rows = n.crossJoin(ref)  # one row on the right
     a, b = F.when(F.col("c") != 0, F.col("context") / F.col("c")), F.when(F.col("t") != 0, F.col("tokens") / F.col("t"))
-    return rows.select("condition", "context", "tokens", a.alias("context_ratio"), b.alias("token_ratio"), F.coalesce((a <= most_context) & (b <= most_tokens), F.lit(False)).alias("passed"))
+    return rows.select(
+        "condition", "context", "tokens", a.alias("context_ratio"), b.alias("token_ratio"),
+        F.coalesce((a <= most_context) & (b <= most_tokens), F.lit(False)).alias("passed")
+    )

@@ -12,7 +12,9 @@ from repolith.operators.relational import owner
 
 def runs_and_findings(scans: DataFrame) -> DataFrame:
     """(skill, runs, findings): an unknown number of findings counts 0."""
-    return scans.groupBy("skill").agg(F.count("*").alias("runs"), F.sum(F.coalesce("findings_total", F.lit(0))).cast("long").alias("findings"))
+    return scans.groupBy("skill").agg(
+        F.count("*").alias("runs"), F.sum(F.coalesce("findings_total", F.lit(0))).cast("long").alias("findings")
+    )
 
 
 def counts_in(events: DataFrame, column: str, vocabulary: list[str]) -> DataFrame:
@@ -25,13 +27,17 @@ def counts_in(events: DataFrame, column: str, vocabulary: list[str]) -> DataFram
 def by_subsystem(findings: DataFrame, registry: DataFrame) -> DataFrame:
     """(subsystem, n, findings): the findings (path, id) below each subsystem as sorted structs; those of none under null."""
     rows = owner(findings, registry)
-    return rows.groupBy(F.col("owner").alias("subsystem")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("path", "id"))).alias("findings"))
+    return rows.groupBy(F.col("owner").alias("subsystem")).agg(
+        F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("path", "id"))).alias("findings")
+    )
 
 
 def evidence_rollup(rows: DataFrame, key: str, day: str, number: str, flag: Column, place: str, least: int = 1) -> DataFrame:
     """(key, rows, total, first_day, last_day, any_flag, places) of keys with ``least`` rows or more."""
     out = rows.groupBy(key).agg(
-        F.count("*").alias("rows"), F.coalesce(F.sum(number), F.lit(0)).alias("total"), F.min(day).alias("first_day"), F.max(day).alias("last_day"),
+        F.count("*").alias("rows"), F.coalesce(
+            F.sum(number), F.lit(0)
+        ).alias("total"), F.min(day).alias("first_day"), F.max(day).alias("last_day"),
         F.coalesce(F.bool_or(flag), F.lit(False)).alias("any_flag"), F.countDistinct(place).alias("places"),
     )
     return out.filter(F.col("rows") >= least)
@@ -60,10 +66,16 @@ def candidates(lanes: DataFrame) -> DataFrame:
 
 def tag_hits(violations: DataFrame, tags: list[str]) -> DataFrame:
     """(tag, hits, paths) of violation texts such as ``path: [tag] text``: a tag counts only if it is the whole of what stands in brackets."""
-    rows = violations.select(F.regexp_extract("text", r"\[([^\]]+)\]", 1).alias("tag"), F.regexp_extract("text", r"^([^:\s]+):", 1).alias("path"))
+    rows = violations.select(
+        F.regexp_extract("text", r"\[([^\]]+)\]", 1).alias("tag"),
+        F.regexp_extract("text", r"^([^:\s]+):", 1).alias("path")
+    )
     n = rows.groupBy("tag").agg(F.count("*").alias("hits"), F.array_sort(F.collect_set(F.nullif("path", F.lit("")))).alias("paths"))
     wanted = violations.sparkSession.createDataFrame([(t,) for t in tags], "tag string")
-    return wanted.join(n, "tag", "left").select("tag", F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("paths", F.array().cast("array<string>")).alias("paths"))
+    return wanted.join(n, "tag", "left").select(
+        "tag", F.coalesce("hits", F.lit(0)).alias("hits"),
+        F.coalesce("paths", F.array().cast("array<string>")).alias("paths")
+    )
 
 
 def sections(spark: SparkSession, builders: dict[str, Callable[[], DataFrame]]) -> DataFrame:

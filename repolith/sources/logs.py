@@ -16,14 +16,22 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     Blank lines are skipped; a line that is no JSON object is kept with ``bad`` true
     and null fields, so that callers count, warn or drop.
     """
-    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "raw"))
+    text = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_path").alias("source_file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "raw")
+    )
     kept = text.filter(F.trim("raw") != "").withColumn("ordinal", F.col("at") + 1)
     fields = T._parse_datatype_string(schema)
-    parsed = F.from_json("raw", T.StructType([*fields.fields, T.StructField("_corrupt", T.StringType())]), {"columnNameOfCorruptRecord": "_corrupt"})
+    parsed = F.from_json(
+        "raw", T.StructType([*fields.fields, T.StructField("_corrupt", T.StringType())]),
+        {"columnNameOfCorruptRecord": "_corrupt"}
+    )
     rows = kept.withColumn("row", parsed)
     bad = F.col("row").isNull() | F.col("row._corrupt").isNotNull() | ~F.trim("raw").startswith("{")
     rows = rows.withColumn("bad", bad)
-    return rows.select("source_file", "ordinal", "raw", "bad", *[F.when(~F.col("bad"), F.col(f"row.`{f.name}`")).alias(f.name) for f in fields.fields])
+    return rows.select(
+        "source_file", "ordinal", "raw", "bad",
+        *[F.when(~F.col("bad"), F.col(f"row.`{f.name}`")).alias(f.name) for f in fields.fields]
+    )
 
 
 def bad_rows(rows: DataFrame) -> DataFrame:
@@ -66,7 +74,10 @@ def front_matter(files: DataFrame) -> DataFrame:
     )
 
 
-def file_tree(spark: SparkSession, root: str, glob: str = "*", skipped: list[str] | None = None, text: bool = True, links: bool = False) -> DataFrame:
+def file_tree(
+    spark: SparkSession, root: str, glob: str = "*", skipped: list[str] | None = None, text: bool = True,
+    links: bool = False
+) -> DataFrame:
     """path below ``root``, suffix, size and text of its files, without folders named in ``skipped``; each path once.
 
     Names are listed and filtered before any contents are read; symbolic links, of
@@ -91,9 +102,13 @@ def file_tree(spark: SparkSession, root: str, glob: str = "*", skipped: list[str
                     todo.append((f.getPath(), path + "/"))
             elif fnmatch.fnmatchcase(name, glob):
                 out.append((path, f.getLen(), f"{home.rstrip('/')}/{path}"))
-    rows = spark.createDataFrame(out, "path string, size long, file string").withColumn("suffix", F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    rows = spark.createDataFrame(out, "path string, size long, file string").withColumn(
+        "suffix", F.regexp_extract("path", r"(\.[^./]+)$", 1)
+    )
     if text and out:
-        read = spark.read.text([r[2] for r in out], wholetext=True).select(F.col("_metadata.file_path").alias("read"), F.col("value").alias("text"))
+        read = spark.read.text([r[2] for r in out], wholetext=True).select(
+            F.col("_metadata.file_path").alias("read"), F.col("value").alias("text")
+        )
         plain = lambda c: F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
         rows = rows.join(read, F.regexp_replace("file", "^file:/+", "/") == plain(F.col("read")), "left").drop("read")
     elif text:
@@ -103,5 +118,10 @@ def file_tree(spark: SparkSession, root: str, glob: str = "*", skipped: list[str
 
 def validate(rows: DataFrame, rules: list[tuple[str, Column, str]], ordinal: str = "ordinal") -> DataFrame:
     """(ordinal, field, message) for each rule (field, condition that must hold, message) that a row breaks; null breaks it."""
-    broken = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.struct(F.lit(f).alias("field"), F.lit(m).alias("message"))) for f, ok, m in rules]), lambda x: x.isNotNull())
+    broken = F.filter(
+        F.array(
+            *[F.when(~F.coalesce(ok, F.lit(False)), F.struct(F.lit(f).alias("field"), F.lit(m).alias("message"))) for f, ok, m in rules]
+        ),
+        lambda x: x.isNotNull()
+    )
     return rows.select(ordinal, F.explode(broken).alias("error")).select(ordinal, "error.*")

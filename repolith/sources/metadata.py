@@ -30,17 +30,29 @@ def contested_suffixes(owned: DataFrame) -> DataFrame:
 def queue_items(files: DataFrame, entry: str) -> DataFrame:
     """One row for each (path, text): the fields of ``entry`` and ``status``; what can't be read stays, as ``unreadable``."""
     fields = entry if "status" in entry else entry + ", status string"
-    rows = files.select("path", F.from_json("text", fields).alias("item"), F.trim("text").startswith("{").alias("is_object"), F.try_parse_json("text").isNotNull().alias("is_json"))
+    rows = files.select(
+        "path", F.from_json("text", fields).alias("item"), F.trim("text").startswith("{").alias("is_object"),
+        F.try_parse_json("text").isNotNull().alias("is_json")
+    )
     ok = F.coalesce(F.col("is_object") & F.col("is_json"), F.lit(False))
     names = [c for c in rows.schema["item"].dataType.names if c != "status"]
-    return rows.select("path", *[F.when(ok, F.col(f"item.{c}")).alias(c) for c in names], F.when(ok, F.coalesce("item.status", F.lit("unknown"))).otherwise("unreadable").alias("status"))
+    return rows.select(
+        "path", *[F.when(ok, F.col(f"item.{c}")).alias(c) for c in names],
+        F.when(ok, F.coalesce("item.status", F.lit("unknown"))).otherwise("unreadable").alias("status")
+    )
 
 
 def artifacts(files: DataFrame, kinds: list[tuple[str, str]]) -> DataFrame:
     """(kind, path, summary): the first informative line of files whose path a kind's regex matches; one row for each kind."""
-    lines = F.filter(F.transform(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"^(---|#!|<!--|```)"))
+    lines = F.filter(
+        F.transform(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n"), lambda x: F.trim(x)),
+        lambda x: (x != "") & ~x.rlike(r"^(---|#!|<!--|```)")
+    )
     hit = F.filter(F.array(*[F.when(F.col("path").rlike(p), k) for k, p in kinds]), lambda k: k.isNotNull())
-    return files.select(F.explode(hit).alias("kind"), "path", F.regexp_replace(F.try_element_at(lines, F.lit(1)), r"^#+\s*", "").alias("summary"))
+    return files.select(
+        F.explode(hit).alias("kind"), "path",
+        F.regexp_replace(F.try_element_at(lines, F.lit(1)), r"^#+\s*", "").alias("summary")
+    )
 
 
 def last_commits(commits: DataFrame) -> DataFrame:
@@ -84,9 +96,14 @@ def xml_projects(files: DataFrame) -> DataFrame:
     targets = F.flatten(F.transform(F.coalesce("p.PropertyGroup", F.array()), lambda g: F.split(F.coalesce(g["TargetFrameworks"], g["TargetFramework"], F.lit("")), ";")))
     items = F.coalesce("p.ItemGroup", F.array())
     packages = F.flatten(F.filter(F.transform(items, lambda g: F.transform(g["PackageReference"], lambda r: F.concat_ws("@", r["_Include"], r["_Version"]))), lambda x: x.isNotNull()))
-    references = F.flatten(F.filter(F.transform(items, lambda g: F.transform(g["ProjectReference"], lambda r: r["_Include"])), lambda x: x.isNotNull()))
+    references = F.flatten(
+        F.filter(F.transform(items, lambda g: F.transform(g["ProjectReference"], lambda r: r["_Include"])), lambda x: x.isNotNull())
+    )
     readable = F.col("p.PropertyGroup").isNotNull() | F.col("p.ItemGroup").isNotNull()
-    return rows.select("path", flat(targets).alias("frameworks"), flat(packages).alias("packages"), flat(references).alias("references"), readable.alias("readable"))
+    return rows.select(
+        "path", flat(targets).alias("frameworks"), flat(packages).alias("packages"),
+        flat(references).alias("references"), readable.alias("readable")
+    )
 
 
 def compile_databases(databases: DataFrame, expected: DataFrame, inputs: DataFrame, standard: str = "c++20") -> DataFrame:
@@ -107,13 +124,20 @@ def compile_databases(databases: DataFrame, expected: DataFrame, inputs: DataFra
         .when(F.col("e")["directory"] != F.col("root"), "mismatched-directory")
         .when(~file.startswith("/") | args.isNull() | F.exists(args, lambda a: a.isNull() | (a == "")), "malformed")
         .when(~file.rlike(r"\.(cc|cpp|cxx)$"), "wrong-language")
-        .when((F.size(given) == 0) | (F.try_element_at(given, F.lit(-1)) != "-std=" + standard) | ~F.array_contains(args, "-c"), "wrong-mode")
+        .when(
+            (F.size(given) == 0) | (F.try_element_at(given, F.lit(-1)) != "-std=" + standard) | ~F.array_contains(args, "-c"),
+            "wrong-mode"
+        )
         .when(~F.array_contains(args, file), "malformed")
     )
     judged = e.select("root", "at", file.alias("file"), fault.alias("fault"))
     first = judged.groupBy("root").agg(F.min_by("fault", F.when(F.col("fault").isNotNull(), F.col("at"))).alias("fault"))
-    a, b = judged.select("root", "file").distinct().withColumn("there", F.lit(1)), expected.select("root", "file").distinct().withColumn("wanted", F.lit(1))
-    differ = a.join(b, ["root", "file"], "full_outer").filter("there IS NULL OR wanted IS NULL").select("root", F.lit(True).alias("differs")).distinct()
+    a, b = judged.select("root", "file").distinct().withColumn("there", F.lit(1)), expected.select("root", "file").distinct().withColumn(
+        "wanted", F.lit(1)
+    )
+    differ = a.join(b, ["root", "file"], "full_outer").filter("there IS NULL OR wanted IS NULL").select(
+        "root", F.lit(True).alias("differs")
+    ).distinct()
     newest = inputs.groupBy("root").agg(F.max("modified_at").alias("newest"))
     rows = parsed.join(first, "root", "left").join(differ, "root", "left").join(newest, "root", "left")
     state = (
@@ -153,7 +177,9 @@ def html_table(rows: DataFrame, title: str, limit: int = 1000) -> str:
 
 def write_scope(spark: SparkSession, path: str, scope: list[str], written_at: str) -> None:
     """A sidecar of the folders that an artifact was made from, beside it."""
-    spark.createDataFrame([(scope, written_at)], "scope array<string>, written_at string").coalesce(1).write.mode("overwrite").json(f"{path}.scope")
+    spark.createDataFrame(
+        [(scope, written_at)], "scope array<string>, written_at string"
+    ).coalesce(1).write.mode("overwrite").json(f"{path}.scope")
 
 
 def read_scope(spark: SparkSession, path: str) -> DataFrame:

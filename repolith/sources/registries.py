@@ -63,7 +63,9 @@ def below(lines: list[tuple[int, str]], at: int, indent: int, rest: str):
         return ("\n" if rest[0] == "|" else " ").join(held), at
     if rest:
         return scalar(rest), at
-    further = at < len(lines) and (lines[at][0] > indent or (lines[at][0] == indent and lines[at][1].startswith("- ") and not lines[at - 1][1].startswith("- ")))
+    further = at < len(lines) and (
+        lines[at][0] > indent or (lines[at][0] == indent and lines[at][1].startswith("- ") and not lines[at - 1][1].startswith("- "))
+    )
     return block(lines, at, lines[at][0]) if further else (None, at)
 
 
@@ -96,7 +98,10 @@ def documents(files: DataFrame) -> DataFrame:
                     rows.append((path, None, text, False, str(e) or type(e).__name__))
             cols = list(zip(*rows)) or [[]] * 5
             kinds = [pa.string(), pa.string(), pa.string(), pa.bool_(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["path", "metadata", "body", "has_frontmatter", "error"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(cols, kinds)],
+                names=["path", "metadata", "body", "has_frontmatter", "error"]
+            )
 
     return files.select("path", "text").mapInArrow(run, "path string, metadata string, body string, has_frontmatter boolean, error string")
 

@@ -59,7 +59,9 @@ def latest_with_history(versions: DataFrame, key: list[str], at: str) -> DataFra
     fields = [c for c in versions.columns if c not in key]
     packed = F.array_sort(F.collect_list(F.struct(at, "ordinal", *[f for f in fields if f not in (at, "ordinal")])))
     rows = versions.groupBy(*key).agg(packed.alias("all"))
-    return rows.select(*key, F.element_at("all", -1).alias("now"), F.slice("all", 1, F.size("all") - 1).alias("history")).select(*key, "now.*", "history")
+    return rows.select(
+        *key, F.element_at("all", -1).alias("now"), F.slice("all", 1, F.size("all") - 1).alias("history")
+    ).select(*key, "now.*", "history")
 
 
 def trim_log(rows: DataFrame, floor: int, keep: int) -> DataFrame:

@@ -73,4 +73,6 @@ def lease_stream(events: DataFrame) -> DataFrame:
     (expiry is inclusive), a session's end drops its grants, a grant without uses left
     goes, and a rule without grants leaves no state.
     """
-    return events.groupBy("rule_id").applyInPandasWithState(_consume, "rule_id string, ordinal long, grant_id string", STATE, "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("rule_id").applyInPandasWithState(
+        _consume, "rule_id string, ordinal long, grant_id string", STATE, "append", GroupStateTimeout.NoTimeout
+    )
