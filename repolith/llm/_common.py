@@ -154,7 +154,10 @@ BLOCKS = "part int, kind int, block binary"
 
 def block_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     part, kind, block = zip(*rows) if rows else ((), (), ())
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(block, pa.binary())], names=["part", "kind", "block"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(block, pa.binary())],
+        names=["part", "kind", "block"]
+    )
 
 
 def gather(blocks: DataFrame, reduce, schema: str) -> DataFrame:

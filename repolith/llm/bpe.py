@@ -67,7 +67,10 @@ class BytePairCodec:
         """The parts left when a token's bytes are merged by lower ranks only."""
         parts = [bytes([b]) for b in token]
         while len(parts) > 1:
-            best = min(((r, k) for k in range(len(parts) - 1) if (r := self.ranks.get(parts[k] + parts[k + 1])) is not None and r < below), default=None)
+            best = min(
+                ((r, k) for k in range(len(parts) - 1) if (r := self.ranks.get(parts[k] + parts[k + 1])) is not None and r < below),
+                default=None
+            )
             if best is None:
                 break
             k = best[1]
@@ -224,4 +227,6 @@ def encode_decode(docs: DataFrame, rank_path: str, pattern: str, ids: bool = Fal
             yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(cols, types)], names=names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, schema)
+    return docs.select(
+        F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    ).mapInArrow(run, schema)

@@ -82,7 +82,9 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before or state[0] == 0:
             return now
         before = state
-        both = now.select(F.col("node").alias("u"), F.col("root").alias("v")).union(now.select(F.col("root").alias("u"), F.col("node").alias("v")))
+        both = now.select(F.col("node").alias("u"), F.col("root").alias("v")).union(
+            now.select(F.col("root").alias("u"), F.col("node").alias("v"))
+        )
         least = both.groupBy("u", F.xxhash64("u")).agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         large = both.filter("v > u").join(least, "u").select("v", "m").distinct()
         smaller = large.groupBy("v", F.xxhash64("v")).agg(F.min("m").alias("least")).select("v", "least")

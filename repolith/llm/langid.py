@@ -113,7 +113,10 @@ class ByteGru:
                 dx[d, k] = np.bincount(flat, rows[k], 256)
         return loss, [dx, du, dv.astype(np.float32), dc.astype(np.float32)]
 
-    def fit(self, texts: list[bytes], labels: list[int], steps: int = 220, lanes: int = 256, length: int = 48, rate: float = 0.02, seed: int = 11) -> list[float]:
+    def fit(
+        self, texts: list[bytes], labels: list[int], steps: int = 220, lanes: int = 256, length: int = 48,
+        rate: float = 0.02, seed: int = 11
+    ) -> list[float]:
         """Adam on random stretches of the texts; languages are drawn equally often."""
         rnd = np.random.default_rng(seed)
         by = [np.flatnonzero(np.asarray(labels) == k) for k in range(len(self.languages))]
@@ -175,7 +178,9 @@ def train(docs: DataFrame, label: str = "lang", rows_per_language: int = 400, se
     distinct rows (within a few per cent), leaves about twice the sample to be
     sorted, so that a hot label or text costs one partial aggregation.
     """
-    known = docs.filter(F.col(label).isNotNull() & F.col("text").rlike(LETTER)).select(F.col(label).cast("string").alias("y"), "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"))
+    known = docs.filter(F.col(label).isNotNull() & F.col("text").rlike(LETTER)).select(
+        F.col(label).cast("string").alias("y"), "text", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h")
+    )
     counts = known.groupBy("y").agg(F.approx_count_distinct("h").alias("count"))
     some = counts.limit(LABELS + 1).collect()
     if len(some) <= LABELS:  # the text isn't shuffled where labels are few
@@ -220,11 +225,15 @@ def predict(docs: DataFrame, model: ByteGru | None, columns: list[str], names: t
                 for i, t in enumerate(texts):
                     if t:
                         found[i], scores[i] = model.languages[best[i]], min(1.0, max(0.0, p[i, best[i]]))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=out_names)
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=out_names
+            )
         release()
 
     (read,) = unused(out_names, "read")
-    return docs.select(*[F.col(f"`{c}`") for c in columns], F.when(text.rlike(LETTER), text).alias(read)).mapInArrow(run, T.StructType(fields))
+    return docs.select(
+        *[F.col(f"`{c}`") for c in columns], F.when(text.rlike(LETTER), text).alias(read)
+    ).mapInArrow(run, T.StructType(fields))
 
 
 def remainder():

@@ -66,7 +66,10 @@ class Scanner:
         self.length = [len(shingles(templates[n], width)) for n in self.names]
         #: Window length of each template, and the least Jaccard similarity of a match with a window that holds it.
         self.window = [2 if n <= 2 else 1 << math.ceil(math.log2(2 * (n - 1))) for n in self.length]
-        least = min((math.ceil(containment * len(s)) / (w + len(s) - math.ceil(containment * len(s))) for s, w in zip(self.sets, self.window)), default=1.0)
+        least = min(
+            (math.ceil(containment * len(s)) / (w + len(s) - math.ceil(containment * len(s))) for s, w in zip(self.sets, self.window)),
+            default=1.0
+        )
         #: Bands of one row each: a match is retrieved with probability 1 - miss at least.
         self.bands = max(1, math.ceil(math.log(miss) / math.log(1 - min(least, 0.999))))
         rnd = np.random.default_rng(seed)
@@ -128,7 +131,12 @@ def scan(docs: DataFrame, templates: dict[str, str] = NOTICES, width: int = 5, c
         for b in batches:
             rows = [(i, *r) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for r in scanner.scan(t)]
             cols = list(zip(*rows)) or [[]] * 5
-            kinds = [("doc_id", pa.int64()), ("license", pa.string()), ("containment", pa.float64()), ("matches", pa.int64()), ("first_word", pa.int64())]
+            kinds = [
+                ("doc_id", pa.int64()), ("license", pa.string()), ("containment", pa.float64()),
+                ("matches", pa.int64()), ("first_word", pa.int64())
+            ]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, kinds)], names=[n for n, _ in kinds])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, license string, containment double, matches long, first_word long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
+        run, "doc_id long, license string, containment double, matches long, first_word long"
+    )

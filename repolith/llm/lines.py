@@ -107,7 +107,10 @@ def _codes(text: str) -> np.ndarray:
 def _rows(what: int, cols) -> pa.RecordBatch:
     names, kinds = ["what", "doc", "tie", "line", "doc2", "tie2", "line2"], [pa.int64(), pa.int64(), pa.int32()] * 2
     cols = [*cols, *[np.zeros(len(cols[0]))] * (6 - len(cols))]
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), what, np.int32)), *[pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(cols, kinds)]], names=names)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(cols[0]), what, np.int32)), *[pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(cols, kinds)]],
+        names=names
+    )
 
 
 FOUND = "what int, doc long, tie long, line int, doc2 long, tie2 long, line2 int"
@@ -171,7 +174,10 @@ def find_lines(keyed: DataFrame, near: int, parts: int) -> DataFrame:
                 flag[at[several]] = 1
                 rows += [(p, 0, b) for p, b in deal((h1 % U64(parts)).astype(np.int64), [h1, h2, *place, flag])]
                 key, at, several = key[head], at[head], several[head]
-                rows += [(p, 2, b) for p, b in deal((key % U64(parts)).astype(np.int64), [key, h1[at], *[c[at] for c in place], several.astype("i1")])]
+                rows += [
+                    (p, 2, b) for p,
+                    b in deal((key % U64(parts)).astype(np.int64), [key, h1[at], *[c[at] for c in place], several.astype("i1")])
+                ]
             return block_batch(rows)
 
         for b in batches:
@@ -209,7 +215,9 @@ def find_lines(keyed: DataFrame, near: int, parts: int) -> DataFrame:
 
 def near_lines(keyed: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
     """(doc, tie, line) of the wanted lines that an earlier wanted line precedes within one edit."""
-    lines = wanted.groupBy("doc", "tie").agg(F.collect_set("line").alias("lines")).join(keyed.select("doc", "tie", "body").dropDuplicates(["doc", "tie"]), ["doc", "tie"])
+    lines = wanted.groupBy("doc", "tie").agg(F.collect_set("line").alias("lines")).join(
+        keyed.select("doc", "tie", "body").dropDuplicates(["doc", "tie"]), ["doc", "tie"]
+    )
 
     def pick(batches):
         for b in batches:
@@ -218,7 +226,10 @@ def near_lines(keyed: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
                 every = body.decode("utf-8", "replace").split("\n")
                 out += [(doc, tie, i, every[i]) for i in at]
             cols = list(zip(*out)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.string()])], names=["doc", "tie", "line", "text"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(cols, [pa.int64(), pa.int64(), pa.int32(), pa.string()])],
+                names=["doc", "tie", "line", "text"]
+            )
 
     texts = cut(lines.select("doc", "tie", "lines", "body").mapInArrow(pick, "doc long, tie long, line int, text string"))
 

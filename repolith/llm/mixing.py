@@ -125,15 +125,22 @@ def fly(units: DataFrame, level: int, seed: int, land: bool) -> DataFrame:
         if held:
             yield flown()
 
-    return units.repartition("source", "chunk").sortWithinPartitions("source", "chunk", F.desc("size"), "doc_id", "row").mapInArrow(run, FIELDS)
+    return units.repartition("source", "chunk").sortWithinPartitions(
+        "source", "chunk", F.desc("size"), "doc_id", "row"
+    ).mapInArrow(run, FIELDS)
 
 
 def row_hash(docs: DataFrame) -> Column:
     """64 bits of hash of all columns that can be hashed."""
-    return F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))])
+    return F.xxhash64(
+        *[F.col(f"`{f.name}`") for f in docs.schema.fields if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    )
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: float = 3.0, chunk: int = 2048, seed: int = 13) -> DataFrame:
+def mix(
+    docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float = 1.0, most: float = 3.0, chunk: int = 2048,
+    seed: int = 13
+) -> DataFrame:
     """doc_id, source, size, row, rows, source_size, target, base, extra: a unit for all rows that agree in every column (hash ``row``).
 
     ``rows`` counts these; each is taken ``base`` times, and ``extra`` of them once
@@ -143,7 +150,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float =
     empty table gives no rows.  Everything is seeded by values, so reruns agree.
     """
     prepare(docs.sparkSession)
-    units = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"), row_hash(docs).alias("row"))
+    units = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
+        words().alias("size"), row_hash(docs).alias("row")
+    )
     units = cut(units.groupBy("doc_id", "source", "size", "row").agg(F.count("*").alias("rows")))
     goal = cut(targets(units, weights, share, most).coalesce(1))
     factor = F.least(F.lit(float(most)), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
@@ -170,7 +180,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), share: float =
     out = done[0]
     for d in done[1:]:
         out = out.union(d)
-    return out.withColumn("extra", F.col("sure") + F.col("p").cast("long")).select("doc_id", "source", "size", "row", "rows", "source_size", "target", "base", "extra")
+    return out.withColumn("extra", F.col("sure") + F.col("p").cast("long")).select(
+        "doc_id", "source", "size", "row", "rows", "source_size", "target", "base", "extra"
+    )
 
 
 def each_row(units: DataFrame) -> DataFrame:
@@ -178,7 +190,9 @@ def each_row(units: DataFrame) -> DataFrame:
     per = 1 << 16
     some = units.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(per).cast("long"))))
     nth = F.explode(F.sequence(F.col("first") + 1, F.least(F.col("rows"), F.col("first") + per)))
-    return some.withColumn("nth", nth).withColumn("copies", F.col("base") + (F.col("nth") <= F.col("extra")).cast("long")).drop("first", "nth")
+    return some.withColumn("nth", nth).withColumn(
+        "copies", F.col("base") + (F.col("nth") <= F.col("extra")).cast("long")
+    ).drop("first", "nth")
 
 
 def apply(docs: DataFrame, **options) -> DataFrame:
@@ -192,10 +206,15 @@ def apply(docs: DataFrame, **options) -> DataFrame:
     units = cut(mix(docs, **options))
     one = F.when(F.col("rows") == 1, F.col("base") + F.col("extra")).otherwise(F.col("base"))
     plain = units.select("row", "doc_id", "source", "size", one.alias("copies")).filter("copies > 0")
-    keyed = docs.select(F.struct(*named).alias("doc"), row_hash(docs).alias("row"), F.col("doc_id").cast("long").alias("its"), F.col("source").cast("string").alias("from"), words().alias("words"))
+    keyed = docs.select(
+        F.struct(*named).alias("doc"), row_hash(docs).alias("row"), F.col("doc_id").cast("long").alias("its"),
+        F.col("source").cast("string").alias("from"), words().alias("words")
+    )
 
     def joined(taken: DataFrame) -> DataFrame:
-        same = (keyed["row"] == taken["row"]) & keyed["its"].eqNullSafe(taken["doc_id"]) & keyed["from"].eqNullSafe(taken["source"]) & (keyed["words"] == taken["size"])
+        same = (keyed["row"] == taken["row"]) & keyed["its"].eqNullSafe(taken["doc_id"]) & keyed["from"].eqNullSafe(taken["source"]) & (
+            keyed["words"] == taken["size"]
+        )
         return keyed.join(taken.hint("merge"), same).select(keyed["row"], "its", "from", "words", "doc", "copies")
 
     def copied(rows: DataFrame) -> DataFrame:

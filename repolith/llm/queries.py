@@ -61,10 +61,19 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode_decode(
+        _read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
+        public_tokenizers.PATTERN
+    )
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_simhash_dedup, op3_embedding_dedup, op4_url_filter, op5_license_scan, op6_source_mix, op7_nearest_vectors, op8_line_dedup, op9_language_id, op10_bpe_codec)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup, op2_simhash_dedup, op3_embedding_dedup, op4_url_filter, op5_license_scan, op6_source_mix,
+        op7_nearest_vectors, op8_line_dedup, op9_language_id, op10_bpe_codec
+    )
+}
 
 ORACLE: dict[str, str] = {}
 

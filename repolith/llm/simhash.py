@@ -131,7 +131,9 @@ def near_duplicates(docs: DataFrame, bits: int = 4, width: int = 4) -> DataFrame
     found = components(cut(links(nodes.select("fp"), bits, nodes.count())))
     member = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(member.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
+    return rows.join(
+        member.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp", "left"
+    ).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, bits: int = 4, width: int = 4) -> DataFrame:
@@ -148,7 +150,10 @@ def _with_row(docs: DataFrame) -> DataFrame:
     """The columns of ROW (whether doc_id is null, doc_id as a long, 128 bits of hash of the text), __text (null: empty) and __all, a struct of all columns."""
     doc, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
     row = [doc.isNull(), F.coalesce(doc, F.lit(0)), F.xxhash64(text), F.xxhash64(F.lit(1), text)]
-    return docs.select(*[c.alias(n) for c, n in zip(row, ROW)], text.cast("binary").alias("__text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__all"))
+    return docs.select(
+        *[c.alias(n) for c, n in zip(row, ROW)], text.cast("binary").alias("__text"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__all")
+    )
 
 
 def _firsts(rows: DataFrame, group: str) -> DataFrame:
@@ -247,7 +252,10 @@ def keep_one_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5, m
                     known[t] = xxhash.xxh64_intdigest(s.tobytes()), bands(s, number)
                 node.append(known[t][0])
                 keys.append(known[t][1])
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(ROW)], pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=[*ROW, "node", "keys"])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[: len(ROW)], pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
+                names=[*ROW, "node", "keys"]
+            )
         release()
 
     def sets(batches):

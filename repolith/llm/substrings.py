@@ -171,7 +171,10 @@ def window_classes(pieces: list[bytes], length: int) -> tuple[np.ndarray, np.nda
 
 def _rows(what: int, cols: list[np.ndarray]) -> pa.RecordBatch:
     kinds = [pa.int64()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[0]), what, np.int32)), *[pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(cols, kinds)]], names=["what", "doc", "tie", "start", "n"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(len(cols[0]), what, np.int32)), *[pa.array(c.astype(k.to_pandas_dtype()), k) for c, k in zip(cols, kinds)]],
+        names=["what", "doc", "tie", "start", "n"]
+    )
 
 
 def _spread(doc: np.ndarray, n: int) -> np.ndarray:
@@ -346,6 +349,9 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
                 kept.append(b"".join([*left, body[at:]]))
                 spans_.append(joined)
             sizes = pa.array([len(x) for x in b.column(1).to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), sizes, pa.array(spans_, out_type)], names=["doc_id", "kept", "n_bytes", "spans"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array(kept, pa.binary()), sizes, pa.array(spans_, out_type)],
+                names=["doc_id", "kept", "n_bytes", "spans"]
+            )
 
     return rows.mapInArrow(cut_out, "doc_id long, kept binary, n_bytes long, spans array<struct<start: long, end: long>>")

@@ -123,7 +123,9 @@ def fit(labelled: DataFrame, rows: int = 20_000, trees: int = 8, depth: int = 3,
         return UrlTrees(prior, {}, [])
     host, path = host_path("url")
     value = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("v")) for k, c in suffixes(F.col("url"), host, path).items()]))
-    seen = sample.coalesce(1).select("y", value.alias("x")).groupBy("x.kind", "x.v").agg(((F.sum("y") + 4 * prior) / (F.count("*") + 4)).alias("rate"))
+    seen = sample.coalesce(1).select("y", value.alias("x")).groupBy("x.kind", "x.v").agg(
+        ((F.sum("y") + 4 * prior) / (F.count("*") + 4)).alias("rate")
+    )
     seen = cut(seen)
     model = UrlTrees(prior, {k: seen.filter(F.col("kind") == k).select("v", "rate") for k in SUFFIXES}, [])
     table = cut(model.with_features(sample.coalesce(1)).drop("url"))
@@ -165,7 +167,10 @@ def _walk(node: int, splits: dict[int, tuple[int, int]], end) -> Column:
     return F.when(F.col(f"b{f}") <= b, _walk(2 * node, splits, end)).otherwise(_walk(2 * node + 1, splits, end))
 
 
-def _grow(rows: DataFrame, names: list[str], edges: dict[str, list[float]], depth: int, rate: float, ridge: float = 1.0, least: float = 5.0):
+def _grow(
+    rows: DataFrame, names: list[str], edges: dict[str, list[float]], depth: int, rate: float, ridge: float = 1.0,
+    least: float = 5.0
+):
     """One regression tree on gradients g and curvatures h, level by level: (feature, bin) of each split, and the nodes' values."""
     splits: dict[int, tuple[int, int]] = {}
     values: dict[int, float] = {}
@@ -211,7 +216,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], model: UrlTrees | None
     rule, says = matching_rule(rules, F.col("host"), F.col("path"))
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumns({"rule": rule, "says": says})
     if model is None:
-        model = fit(rows.filter(F.col("says").isNotNull()).select("url", (F.col("says") == "block").cast("int").alias("blocked")), **fit_options)
+        model = fit(
+            rows.filter(F.col("says").isNotNull()).select("url", (F.col("says") == "block").cast("int").alias("blocked")),
+            **fit_options
+        )
     scored = model.with_features(rows).withColumn("score", 1 / (1 + F.exp(-model.margin())))
     learned = F.when(F.col("score") > 0.5, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("says", learned).alias("verdict"), "score")

@@ -22,7 +22,9 @@ def compare(spark, name, folder):
     found = queries.QUERIES[name](spark, folder)
     con = duckdb.connect()
     for t in ("documents", "embeddings"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet{'/*.parquet' if folder != SF else ''}')") if t == "documents" or folder == SF else None
+        con.execute(
+            f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet{'/*.parquet' if folder != SF else ''}')"
+        ) if t == "documents" or folder == SF else None
     run = con.execute(queries.ORACLE[name])
     named = [c[0] for c in run.description]
     assert sorted(named) == sorted(found.columns)
@@ -118,7 +120,9 @@ def test_numbers_are_no_letters(spark):
 
 
 def test_held_out_accuracy(spark):
-    rows = queries.QUERIES["op9_language_id"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
+    rows = queries.QUERIES["op9_language_id"](spark, "/root/testdata/sf0.01").join(
+        spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id"
+    )
     held = [x for x in rows.filter("held_out AND lang IS NOT NULL AND lang_pred <> 'und'").collect()]
     assert len(held) > 100 and sum(x.lang == x.lang_pred for x in held) >= 0.97 * len(held)
 
@@ -140,5 +144,7 @@ def test_mix_query_adds_up(spark):
     for x in got:
         by.setdefault(docs[x.doc_id].source, []).append(x)
     for rows in by.values():
-        assert sum(x.size for x in rows) == rows[0].source_size and abs(sum(x.taken for x in rows) - rows[0].target) <= max(x.size for x in rows)
+        assert sum(x.size for x in rows) == rows[0].source_size and abs(
+            sum(x.taken for x in rows) - rows[0].target
+        ) <= max(x.size for x in rows)
     assert math.isclose(sum(r[0].target for r in by.values()), sum(r[0].source_size for r in by.values()), rel_tol=1e-9)

@@ -29,14 +29,21 @@ def prose(n, seed):
 
 LONG = prose(30_000, 1)
 EDGES = [
-    (1, None), (2, ""), (3, "  \t\n "), (4, "x"), (5, prose(80, 2)), (6, prose(80, 2)), (7, prose(80, 2) + " tail"), (8, "ab" * 300), (9, "Ab ab " * 90),
-    (10, LONG), (11, LONG[5000:9000] + prose(60, 3)), (12, prose(60, 3)[5:150]), (12, prose(60, 3)[5:150]), (13, "line one of the text here\nline one of the text hera\n\nx\nx"),
+    (1, None), (2, ""), (3, "  \t\n "), (4, "x"), (5, prose(80, 2)), (6, prose(80, 2)), (
+        7, prose(80, 2) + " tail"
+    ), (8, "ab" * 300), (9, "Ab ab " * 90),
+    (10, LONG), (11, LONG[5000:9000] + prose(60, 3)), (12, prose(60, 3)[5:150]), (12, prose(60, 3)[5:150]), (
+        13, "line one of the text here\nline one of the text hera\n\nx\nx"
+    ),
     (None, "null id " + prose(50, 4)), (14, "1234 5678"), (15, "日本語テキスト " * 40),
 ]
 
 
 def docs(spark, rows=EDGES):
-    rows = [(i, t, "en" if (i or 0) % 2 else "de", None if i == 5 else f"s{(i or 0) % 3}", len(t or ""), "a", "b", "c", "d", "e") for i, t in rows]
+    rows = [
+        (i, t, "en" if (i or 0) % 2 else "de", None if i == 5 else f"s{(i or 0) % 3}", len(t or ""), "a", "b", "c", "d", "e")
+        for i, t in rows
+    ]
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -101,7 +108,10 @@ def test_lines_that_polynomials_take_for_equal(spark):
 def test_lines_with_a_common_half(spark, monkeypatch):
     r = random.Random(12)
     start = "2024-01-01 00:00:00 request served by host one; "
-    rows = [(k, "\n".join(start + "".join(r.choice("0123456789abcdef") for _ in range(r.choice([2, 3, 12, 13]))) for _ in range(6))) for k in range(60)]
+    rows = [
+        (k, "\n".join(start + "".join(r.choice("0123456789abcdef") for _ in range(r.choice([2, 3, 12, 13]))) for _ in range(6)))
+        for k in range(60)
+    ]
     rows.append((61, "\n".join([rows[3][1].split("\n")[2], "", "short", rows[9][1].split("\n")[1] + "!", "short"])))
     monkeypatch.setattr(lines, "LINES", 50)
     got = {(x["doc_id"], x["text"]) for x in lines.dedup(docs(spark, rows).repartition(5)).collect()}
@@ -140,7 +150,9 @@ def test_simhash(spark, monkeypatch):
         monkeypatch.setattr(simhash, "TILE", tile)
         got = simhash.near_duplicates(docs(spark, rows)).collect()
         fps = {t: brute_fingerprint(t or "") for _, t in rows}
-        assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["fp"] % 2**64) for r in got) == sorted((i is None, i or 0, fps[t]) for i, t in rows)
+        assert sorted(
+            (r["doc_id"] is None, r["doc_id"] or 0, r["fp"] % 2**64) for r in got
+        ) == sorted((i is None, i or 0, fps[t]) for i, t in rows)
         values = sorted(set(fps.values()))
         label = {v: v for v in values}
         for _ in values:
@@ -188,8 +200,14 @@ def brute_lines(rows, near):
 
 def test_lines(spark):
     base = prose(12, 20)
-    variants = [base, base[:5] + "Z" + base[6:], base[:5] + base[6:], base + "q", "q" + base, base[:9] + "é" + base[9:], base[:1] + "yy" + base[1:], "z" * 30, "z" * 31, "z" * 33]
-    rows = EDGES + [(200, "\n".join(variants)), (201, "\n".join(reversed(variants))), (199, "short\n" + base[:5] + "Z" + base[6:]), (202, "shorT\nshort")]
+    variants = [
+        base, base[:5] + "Z" + base[6:], base[:5] + base[6:], base + "q", "q" + base, base[:9] + "é" + base[9:],
+        base[:1] + "yy" + base[1:], "z" * 30, "z" * 31, "z" * 33
+    ]
+    rows = EDGES + [
+        (200, "\n".join(variants)), (201, "\n".join(reversed(variants))), (199, "short\n" + base[:5] + "Z" + base[6:]),
+        (202, "shorT\nshort")
+    ]
     got = lines.dedup(docs(spark, rows)).collect()
     want = brute_lines(rows, 20)
     assert len(got) == len(rows)
@@ -217,12 +235,17 @@ def test_licenses(spark):
     rows = EDGES + [
         (300, prose(50, 31) + "\nLicensed under the Apache License, Version 2.0.\n" + prose(50, 32)),
         (301, "RELEASED under the  mit license! " + prose(9, 33) + " Released under the MIT License."),
-        (302, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without any restriction"),
+        (
+            302,
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without any restriction"
+        ),
         (303, "Permission is hereby granted, free of charge, to nobody"),
     ]
     got = {(r["doc_id"], r["license"]): r for r in licenses.scan(docs(spark, rows)).collect()}
     assert set(got) == {(300, "Apache-2.0"), (301, "MIT"), (302, "MIT text")}
-    assert got[301, "MIT"]["matches"] == 2 and got[300, "Apache-2.0"]["containment"] == 1.0 and 0.8 <= got[302, "MIT text"]["containment"] < 1
+    assert got[301, "MIT"]["matches"] == 2 and got[
+        300, "Apache-2.0"
+    ]["containment"] == 1.0 and 0.8 <= got[302, "MIT text"]["containment"] < 1
     # against containment over every window of the template's size
     scanner = licenses.Scanner(licenses.NOTICES)
     r = random.Random(8)
@@ -237,7 +260,10 @@ def test_licenses(spark):
 def test_mixing(spark):
     r = random.Random(3)
     rows = [(k, prose(r.randint(0, 300), k)) for k in range(900)] + [(5, "again and again"), (5, "again and again"), (901, None)]
-    frame = docs(spark, rows).withColumn("source", F.expr("CASE WHEN doc_id % 10 < 6 THEN 'a' WHEN doc_id % 10 < 8 THEN 'b' WHEN doc_id % 10 = 8 THEN 'c' ELSE NULL END"))
+    frame = docs(spark, rows).withColumn(
+        "source",
+        F.expr("CASE WHEN doc_id % 10 < 6 THEN 'a' WHEN doc_id % 10 < 8 THEN 'b' WHEN doc_id % 10 = 8 THEN 'c' ELSE NULL END")
+    )
     got = mixing.each_row(mixing.mix(frame, chunk=64)).collect()
     assert sorted((x.doc_id, x.size) for x in got) == sorted((i, len((t or "").split())) for i, t in rows)
     sizes = {}
@@ -268,8 +294,12 @@ def brute_targets(sizes, weights):
 
 def test_mixing_repeated_rows(spark):
     text = prose(53, 3)
-    rows = [(1, text)] * 400 + [(2, text)] * 3 + [(10 + k, prose(30, k)) for k in range(200)] + [(None, prose(20 + k, 300 + k)) for k in range(30)]
-    frame = docs(spark, rows).withColumns({"source": F.expr("CASE WHEN doc_id = 1 THEN 'a' WHEN doc_id <= 100 THEN 'b' END"), "copies": F.lit(9), "row": F.lit("mine"), "doc_id_": F.lit(0)})
+    rows = [(1, text)] * 400 + [(2, text)] * 3 + [(10 + k, prose(30, k)) for k in range(200)] + [
+        (None, prose(20 + k, 300 + k)) for k in range(30)
+    ]
+    frame = docs(
+        spark, rows
+    ).withColumns({"source": F.expr("CASE WHEN doc_id = 1 THEN 'a' WHEN doc_id <= 100 THEN 'b' END"), "copies": F.lit(9), "row": F.lit("mine"), "doc_id_": F.lit(0)})
     sizes = {"a": 400 * 53, "b": 3 * 53 + 91 * 30, None: 109 * 30 + sum(20 + k for k in range(30))}
     want = brute_targets(sizes, {"a": 1, "b": 2, None: 3})
     got = mixing.each_row(mixing.mix(frame)).collect()
@@ -288,7 +318,10 @@ def test_bpe(spark):
     c = bpe.BytePairCodec(bpe.read_ranks(path), public_tokenizers.PATTERN)
     e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
     r = random.Random(2)
-    texts = [t or "" for _, t in EDGES] + ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(161, 0x2FF), r.randrange(0x4E00, 0x9FFF)])) for _ in range(300)) for _ in range(50)] + ["a" * 3000, "<|endoftext|>"]
+    texts = [t or "" for _, t in EDGES] + [
+        "".join(chr(r.choice([r.randrange(32, 127), r.randrange(161, 0x2FF), r.randrange(0x4E00, 0x9FFF)])) for _ in range(300))
+        for _ in range(50)
+    ] + ["a" * 3000, "<|endoftext|>"]
     for t in texts:
         assert c.encode(t) == e.encode_ordinary(t)
     got = bpe.encode_decode(docs(spark), path, public_tokenizers.PATTERN, ids=True).collect()
@@ -302,7 +335,10 @@ def test_bpe(spark):
 def test_language(spark):
     r = random.Random(1)
     kinds = {"aa": "abcdef", "bb": "ghijkl", "cc": "éüßñöä"}
-    rows = [(k, " ".join("".join(r.choice(kinds[name]) for _ in range(5)) for _ in range(30)), name) for k in range(240) for name in [list(kinds)[k % 3]]]
+    rows = [
+        (k, " ".join("".join(r.choice(kinds[name]) for _ in range(5)) for _ in range(30)), name) for k in range(240)
+        for name in [list(kinds)[k % 3]]
+    ]
     rows += [(1000, None, "aa"), (1001, "", "aa"), (1002, "12 34 ...", "bb"), (1003, "abc def fed", None), (None, "ghi jkl ghi", None)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
     got = {x.doc_id: x for x in langid.identify(frame).collect()}
@@ -344,7 +380,10 @@ def test_keep_one(spark):
 @pytest.mark.parametrize("keep", [simhash.keep_one, simhash.keep_one_similar])
 def test_keep_one_with_null_and_repeated_ids(spark, keep):
     texts = [prose(80, 70 + k) for k in range(6)]
-    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (None, texts[4]), (9, texts[4]), (8, texts[5]), (8, texts[5]), (None, texts[5])]
+    rows = [
+        (None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (None, texts[4]), (9, texts[4]),
+        (8, texts[5]), (8, texts[5]), (None, texts[5])
+    ]
     got = sorted((r["doc_id"] or 0, r["text"]) for r in keep(docs(spark, rows)).collect())
     assert got == sorted([(0, texts[0]), (0, texts[1]), (7, texts[2]), (7, texts[3]), (9, texts[4]), (8, texts[5])])
 

@@ -22,8 +22,13 @@ def vectors(spark):
         rows.append((k, [float(np.float32(x)) for x in v], None if k == 7 else k % 3))
     same = [float(x) for x in np.float32(base[0])]
     rows += [(400 + k, same, 1) for k in range(60)]
-    rows += [(500, None, 1), (501, [0.0] * 16, 1), (502, [float("nan")] * 16, 1), (503, [1.0] * 15 + [None], 1), (504, [float("inf")] * 16, 1), (505, [], 1), (506, same[:8], 1), (450, same, 1)]
-    return rows, spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, label int, node string, weight int")
+    rows += [
+        (500, None, 1), (501, [0.0] * 16, 1), (502, [float("nan")] * 16, 1), (503, [1.0] * 15 + [None], 1),
+        (504, [float("inf")] * 16, 1), (505, [], 1), (506, same[:8], 1), (450, same, 1)
+    ]
+    return rows, spark.createDataFrame(
+        [(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, label int, node string, weight int"
+    )
 
 
 def good(e):
@@ -57,7 +62,10 @@ def test_embedding_dedup(spark, monkeypatch, tile):
     for i, (v, _, _) in enumerate(rows):
         least[root(i)] = min(v, least.get(root(i), v))
     want = sorted((v, links[i], least[root(i)], least[root(i)] == v) for i, (v, _, _) in enumerate(rows))
-    got = sorted(tuple(r) for r in embeddings.near_duplicates(frame, recall=0.999999).select("vec_id", "n_links", "component_id", "kept").collect())
+    got = sorted(
+        tuple(r)
+        for r in embeddings.near_duplicates(frame, recall=0.999999).select("vec_id", "n_links", "component_id", "kept").collect()
+    )
     assert got == want
 
 
@@ -106,8 +114,12 @@ def test_nearest_with_repeated_ids(spark, block):
     q = r.standard_normal(16)
     near = lambda k: [float(x) for x in np.float32(q + 0.01 * k * r.standard_normal(16))]
     own, other = near(0), near(4)
-    rows = [(50, own)] * 9 + [(i, own) for i in (70, 71)] + [(50, near(1)) for _ in range(8)] + [(7, other)] * 12 + [(7, near(2)) for _ in range(8)]
-    rows += [(200 + k, near(5 + k)) for k in range(6)] + [(300 + k, [float(x) for x in np.float32(r.standard_normal(16))]) for k in range(100) if (300 + k) % 50]
+    rows = [(50, own)] * 9 + [(i, own) for i in (70, 71)] + [
+        (50, near(1)) for _ in range(8)
+    ] + [(7, other)] * 12 + [(7, near(2)) for _ in range(8)]
+    rows += [(200 + k, near(5 + k)) for k in range(6)] + [
+        (300 + k, [float(x) for x in np.float32(r.standard_normal(16))]) for k in range(100) if (300 + k) % 50
+    ]
     got = embeddings.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=50, k=5, share=8.0, block=block)
     best = {}
     for v, e in rows:
@@ -155,8 +167,15 @@ def brute_rule(url):
 
 def test_urls(spark):
     r = random.Random(4)
-    urls_ = [None, "", "no scheme", "http://", "HTTP://WWW.Example.NET/EN/x", "https://a.net", "https://a.net/", "ftp://example.net/en/?q=1#f", "https://x.example.com/de/?a=1&b=2", "http://notexample.com/de/", "http://w.org/fr/x?u=http://q.net/", "x://é.net/p\nq", "https://org/fr/#/"]
-    urls_ += [f"http://h{r.randrange(9)}.example.{t}/{p}/{r.randrange(999)}" for t in ("net", "com", "org") for p in ("en", "de", "fr") for _ in range(30)]
+    urls_ = [
+        None, "", "no scheme", "http://", "HTTP://WWW.Example.NET/EN/x", "https://a.net", "https://a.net/",
+        "ftp://example.net/en/?q=1#f", "https://x.example.com/de/?a=1&b=2", "http://notexample.com/de/",
+        "http://w.org/fr/x?u=http://q.net/", "x://é.net/p\nq", "https://org/fr/#/"
+    ]
+    urls_ += [
+        f"http://h{r.randrange(9)}.example.{t}/{p}/{r.randrange(999)}" for t in ("net", "com", "org")
+        for p in ("en", "de", "fr") for _ in range(30)
+    ]
     frame = spark.createDataFrame([(k, u, "h", "p") for k, u in enumerate(urls_)], "page_id long, url string, host string, path string")
     got = {x.page_id: x for x in urls.judge(frame, URL_RULES).collect()}
     assert len(got) == len(urls_)
@@ -184,7 +203,10 @@ def test_trees_learn(spark):
     for x in scored:  # the columns and the trees once more, by plain loops
         host, path = brute_rule(x.url)[:2]
         want = brute_features(x.url, host, path)
-        want |= {f"{k}_rate": rates[k].get(v, model.prior) for k, v in (("top", host.split(".")[-1]), ("domain", ".".join(host.split(".")[-2:])), ("ending", ""))}
+        want |= {
+            f"{k}_rate": rates[k].get(v, model.prior) for k,
+            v in (("top", host.split(".")[-1]), ("domain", ".".join(host.split(".")[-2:])), ("ending", ""))
+        }
         assert all(math.isclose(x[n], v, abs_tol=1e-9) for n, v in want.items()), x
         m = math.log(model.prior / (1 - model.prior))
         for tree in model.trees:
@@ -198,8 +220,12 @@ def brute_features(url, host, path):
     n = len(url)
     query = url.split("#")[0].partition("?")[2]
     return {
-        "length": n, "host_length": len(host), "depth": path.count("/"), "labels": host.count("."), "digits": sum(c in "0123456789" for c in url) / max(n, 1),
-        "entropy": -sum(url.count(c) / n * math.log2(url.count(c) / n) for c in set(url)), "parameters": query.count("&") + 1 if query else 0,
+        "length": n, "host_length": len(host), "depth": path.count("/"), "labels": host.count("."), "digits": sum(
+            c in "0123456789" for c in url
+        ) / max(n, 1),
+        "entropy": -sum(
+            url.count(c) / n * math.log2(url.count(c) / n) for c in set(url)
+        ), "parameters": query.count("&") + 1 if query else 0,
         "hyphens": url.count("-") + url.count("_"), "secure": float(url.startswith("https")),
     }
 
@@ -235,13 +261,27 @@ def test_pipeline(spark):
 def odd_documents(spark):
     """Null, empty, repeated and very long texts, null and repeated ids, and names that the operators use themselves."""
     r = random.Random(5)
-    words = {"en": ["the", "house", "and", "river", "with", "old", "stone", "green"], "fr": ["été", "maison", "où", "rivière", "ça", "pierre", "verte", "être"]}
+    words = {
+        "en": ["the", "house", "and", "river", "with", "old", "stone", "green"],
+        "fr": ["été", "maison", "où", "rivière", "ça", "pierre", "verte", "être"]
+    }
     text = lambda k, n: " ".join(r.choice(words[k]) + str(r.randrange(99)) for _ in range(n))
     rows = [(k, text(("en", "fr")[k % 2], 40), ("en", "fr")[k % 2], ("a", "b", None)[k % 3]) for k in range(60)]
-    rows += [(70, rows[0][1], "en", "a"), (70, rows[0][1], "en", "a"), (None, rows[3][1], "fr", "b"), (None, text("en", 30), "en", "a"), (None, text("fr", 30), None, "b")]
-    rows += [(80, None, "en", "a"), (81, "", None, None), (82, " 12 34 ", "fr", "a"), (83, text("en", 20_000), "en", "b"), (84, "same line of some length\nsame line of some length", "en", "a")]
-    names = ["score", "lang_pred", "n_removed", "n_lines", "__doc", "__tie", "gone", "copies", "row", "fp", "node", "chunk", "ids", "__all", "its", "words", "base"]
-    frame = spark.createDataFrame([(*x, len(x[1] or "")) for x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    rows += [
+        (70, rows[0][1], "en", "a"), (70, rows[0][1], "en", "a"), (None, rows[3][1], "fr", "b"),
+        (None, text("en", 30), "en", "a"), (None, text("fr", 30), None, "b")
+    ]
+    rows += [
+        (80, None, "en", "a"), (81, "", None, None), (82, " 12 34 ", "fr", "a"), (83, text("en", 20_000), "en", "b"),
+        (84, "same line of some length\nsame line of some length", "en", "a")
+    ]
+    names = [
+        "score", "lang_pred", "n_removed", "n_lines", "__doc", "__tie", "gone", "copies", "row", "fp", "node", "chunk",
+        "ids", "__all", "its", "words", "base"
+    ]
+    frame = spark.createDataFrame(
+        [(*x, len(x[1] or "")) for x in rows], "doc_id long, text string, lang string, source string, n_chars long"
+    )
     return frame.withColumns({n: (frame.doc_id if k % 2 else frame.source) for k, n in enumerate(names)})
 
 
@@ -261,7 +301,9 @@ def test_stages_take_odd_documents(spark, name):
     if name == "language":
         assert not {None, "", " 12 34 "} & set(texts) and texts.count(before[0]) == 3 and len(got) >= 0.9 * frame.count()
     if name == "line_dedup":
-        assert texts.count(before[0]) == 1 and "same line of some length" in texts and None in texts and all(x.n_chars == len(x.text or "") for x in got if x.doc_id == 84)
+        assert texts.count(before[0]) == 1 and "same line of some length" in texts and None in texts and all(
+            x.n_chars == len(x.text or "") for x in got if x.doc_id == 84
+        )
     if name == "near_dedup":
         assert sorted(set(before) - {None, ""}) == sorted(t for t in texts if t) and texts.count(before[0]) == 1
     if name == "mix":
