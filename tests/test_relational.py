@@ -18,7 +18,9 @@ def one(spark, column):
 
 
 def test_scalars(spark):
-    assert one(spark, F.lit("a/b/c.py").rlike(scalars.glob_regex("a/*.py"))) and not one(spark, F.lit("A/b.py").rlike(scalars.glob_regex("a/*")))
+    assert one(
+        spark, F.lit("a/b/c.py").rlike(scalars.glob_regex("a/*.py"))
+    ) and not one(spark, F.lit("A/b.py").rlike(scalars.glob_regex("a/*")))
     assert one(spark, F.lit("src/x").rlike(scalars.glob_regex("src/")))
     assert one(spark, scalars.version_key(F.lit("3.11"))) == [3, 11, 0, 0]
     assert one(spark, scalars.version_key(F.lit("v3.9")) < scalars.version_key(F.lit("3.11.0")))
@@ -27,8 +29,12 @@ def test_scalars(spark):
     assert one(spark, scalars.elapsed_days(scalars.iso_timestamp(F.lit("2024-03-11T13:00:00Z")), now)) == -1
     assert one(spark, scalars.floored_days(scalars.iso_timestamp(F.lit("2024-03-11T13:00:00Z")), now)) == 0
     assert one(spark, scalars.iso_timestamp(F.lit("nonsense"))) is None
-    assert one(spark, scalars.calendar_days(F.lit(None).cast("string"), now)) == 10**6 and one(spark, scalars.calendar_days(F.lit("bad"), now)) == 0
-    assert [one(spark, scalars.duration_seconds(F.lit(x))) for x in ("14d", "12h", "30m", "0d", "5w", "99d")] == [14 * 86400, 43200, 1800, None, None, None]
+    assert one(
+        spark, scalars.calendar_days(F.lit(None).cast("string"), now)
+    ) == 10**6 and one(spark, scalars.calendar_days(F.lit("bad"), now)) == 0
+    assert [
+        one(spark, scalars.duration_seconds(F.lit(x))) for x in ("14d", "12h", "30m", "0d", "5w", "99d")
+    ] == [14 * 86400, 43200, 1800, None, None, None]
     assert one(spark, scalars.percentage(F.lit(1), F.lit(0))) is None
     assert one(spark, scalars.normal_path(F.lit("a/./b/../c"))) == "a/c" and one(spark, scalars.normal_path(F.lit("../x"))) is None
     assert one(spark, scalars.ancestors(F.lit("a/b/c"))) == ["a/b/c", "a/b", "a"]
@@ -39,7 +45,10 @@ def test_jsonl(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"id": 1, "ts": "x"}\n\nnot json\n[1]\n{"id": 2}\n')
     rows = logs.read_jsonl(spark, str(tmp_path), "id long, ts string").orderBy("ordinal").collect()
     assert [(r["ordinal"], r["bad"], r["id"]) for r in rows] == [(1, False, 1), (3, True, None), (4, True, None), (5, False, 2)]
-    copies = [spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "ordinal int, k string, v int"), spark.createDataFrame([(1, "a", 9)], "ordinal int, k string, v int")]
+    copies = [
+        spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "ordinal int, k string, v int"),
+        spark.createDataFrame([(1, "a", 9)], "ordinal int, k string, v int")
+    ]
     assert sorted((r["k"], r["v"]) for r in logs.union_copies(copies, ["k"]).collect()) == [("a", 1), ("b", 2)]
     errors = logs.validate(spark.createDataFrame([(1, None), (2, 5), (3, 50)], "ordinal int, n int"), [("n", F.col("n") < 10, "too large")])
     assert sorted(r["ordinal"] for r in errors.collect()) == [1, 3]
@@ -61,21 +70,28 @@ def test_front_matter_and_tree(spark, tmp_path):
 
 def test_owner_ties(spark):
     items = spark.createDataFrame([("a/b/c",), ("a/x",), ("ab",), ("z",)], "path string")
-    registry = spark.createDataFrame([("one", "a/", 1), ("two", "a/b", 2), ("three", "a/b/", 3)], "owner string, prefix string, ordinal int")
+    registry = spark.createDataFrame(
+        [("one", "a/", 1), ("two", "a/b", 2), ("three", "a/b/", 3)], "owner string, prefix string, ordinal int"
+    )
     assert {r["path"]: r["owner"] for r in rel.owner(items, registry).collect()} == {"a/b/c": "two", "a/x": "one", "ab": None, "z": None}
     assert {r["path"]: r["owner"] for r in rel.owner(items, registry, ties="all").collect()}["a/b/c"] == ["three", "two"]
 
 
 def test_latest_keeps_first_of_equal_times(spark):
     t = dt.datetime(2024, 1, 1)
-    rows = spark.createDataFrame([("k", t, 2, "b"), ("k", t, 1, "a"), ("k", None, 0, "n"), ("m", None, 3, "only")], "key string, ts timestamp, ordinal int, v string")
+    rows = spark.createDataFrame(
+        [("k", t, 2, "b"), ("k", t, 1, "a"), ("k", None, 0, "n"), ("m", None, 3, "only")],
+        "key string, ts timestamp, ordinal int, v string"
+    )
     assert sorted((r["v"], r["superseded"]) for r in rel.latest(rows, ["key"], "ts", "ordinal").collect()) == [("a", 2), ("only", 0)]
 
 
 def test_intervals(spark):
     spans = spark.createDataFrame([("f", 1, 10, "outer"), ("f", 4, 6, "inner")], "path string, start int, `end` int, owner string")
     hits = spark.createDataFrame([("f", 5, 5), ("f", 9, 9), ("f", 11, 11), ("g", 5, 5)], "path string, start int, `end` int")
-    assert {(r["path"], r["start"]): r["owner"] for r in rel.containing(hits, spans, ["path"], "owner").collect()} == {("f", 5): "inner", ("f", 9): "outer", ("f", 11): None, ("g", 5): None}
+    assert {
+        (r["path"], r["start"]): r["owner"] for r in rel.containing(hits, spans, ["path"], "owner").collect()
+    } == {("f", 5): "inner", ("f", 9): "outer", ("f", 11): None, ("g", 5): None}
     assert sorted(r["start"] for r in rel.overlapping(hits, spans, ["path"]).collect()) == [5, 9]
     parts = spark.createDataFrame([("f", 1, 3), ("f", 2, 2), ("f", 4, 5), ("f", 8, 9)], "path string, start int, `end` int")
     assert [(r["gap_start"], r["gap_end"]) for r in rel.gaps(parts, ["path"]).collect()] == [(6, 7)]
@@ -87,10 +103,24 @@ def test_packing(spark):
 
 
 def test_calls_and_imports(spark):
-    defs = spark.createDataFrame([("A.run", "run", "a.py", "A"), ("B.run", "run", "b.py", "B"), ("help", "help", "a.py", None)], "qualified_name string, name string, file string, parent_class string")
-    edges = spark.createDataFrame([("A.go", "self.run", "self", "a.py", "A"), ("main", "x.help", None, "a.py", None), ("help", "help", None, "a.py", None), ("main", "run", None, "c.py", None)], "caller string, callee_name string, call_style string, caller_file string, caller_class string")
-    assert sorted(tuple(r) for r in rel.resolve_calls(edges, defs).collect()) == [("A.go", "A.run"), ("main", "A.run"), ("main", "B.run"), ("main", "help")]
-    specs = spark.createDataFrame([("m.py", "x", ["x.py", "x/i.py"]), ("m.py", "y", ["no.py"]), ("m.py", "z", ["no.py"])], "importer string, spec string, candidates array<string>")
+    defs = spark.createDataFrame(
+        [("A.run", "run", "a.py", "A"), ("B.run", "run", "b.py", "B"), ("help", "help", "a.py", None)],
+        "qualified_name string, name string, file string, parent_class string"
+    )
+    edges = spark.createDataFrame(
+        [
+            ("A.go", "self.run", "self", "a.py", "A"), ("main", "x.help", None, "a.py", None),
+            ("help", "help", None, "a.py", None), ("main", "run", None, "c.py", None)
+        ],
+        "caller string, callee_name string, call_style string, caller_file string, caller_class string"
+    )
+    assert sorted(tuple(r) for r in rel.resolve_calls(edges, defs).collect()) == [
+        ("A.go", "A.run"), ("main", "A.run"), ("main", "B.run"), ("main", "help")
+    ]
+    specs = spark.createDataFrame(
+        [("m.py", "x", ["x.py", "x/i.py"]), ("m.py", "y", ["no.py"]), ("m.py", "z", ["no.py"])],
+        "importer string, spec string, candidates array<string>"
+    )
     files = spark.createDataFrame([("x/i.py",), ("x.py",)], "path string")
     aliases = spark.createDataFrame([("y", "y1.py"), ("z", "z1.py"), ("z", "z2.py")], "spec string, path string")
     assert sorted(tuple(r) for r in rel.resolve_imports(specs, files, aliases).collect()) == [("m.py", "x", "x.py"), ("m.py", "y", "y1.py")]
@@ -106,8 +136,12 @@ def test_diff_census_grade_ties(spark):
     a, b = spark.createDataFrame([("x",), ("y",)], "id string"), spark.createDataFrame([("y",), ("z",)], "id string")
     assert {r["id"]: r["state"] for r in rel.manifest_diff(a, b, ["id"]).collect()} == {"x": "fixed", "y": "persisting", "z": "new"}
     rows = spark.createDataFrame([("g", "b"), ("g", "a"), ("g", None)], "grp string, v string")
-    assert sorted((r["v"], r["share"], r["majority"]) for r in rel.census(rows, ["grp"], "v").collect()) == [("a", 0.5, True), ("b", 0.5, False)]
-    planted = spark.createDataFrame([("p1", "f", 1, 1), ("p2", "f", 1, 2), ("p3", "f", 3, 3)], "id string, file string, line int, ordinal int")
+    assert sorted(
+        (r["v"], r["share"], r["majority"]) for r in rel.census(rows, ["grp"], "v").collect()
+    ) == [("a", 0.5, True), ("b", 0.5, False)]
+    planted = spark.createDataFrame(
+        [("p1", "f", 1, 1), ("p2", "f", 1, 2), ("p3", "f", 3, 3)], "id string, file string, line int, ordinal int"
+    )
     found = spark.createDataFrame([("a", "f", 1, 1), ("b", "f", 4, 2)], "id string, file string, line int, ordinal int")
     r = rel.grade(planted, found).first()
     assert (r["tp"], r["fp"], r["fn"], r["precision"], r["verdict"]) == (1, 1, 2, 0.5, "fail")
@@ -130,32 +164,52 @@ def test_symbols(spark):
     text = "import a\nfunction f() {\n}\nclass C {}\nconst k = 3\nconst g = (a, b) => a\nlet h = async x => x\n  function no() {}\nwindow.N = {}\ntype T = 1\n"
     js = spark.createDataFrame([("x.ts", text)], "path string, text string")
     got = [(r["name"], r["kind"], r["line"], r["end_line"], r["loc"]) for r in symbols.extract_script(js).orderBy("line").collect()]
-    assert got == [("f", "function", 2, 3, 2), ("C", "class", 4, 5, 2), ("g", "function", 6, 6, 1), ("h", "function", 7, 8, 2), ("N", "function", 9, 10, 2)]
+    assert got == [
+        ("f", "function", 2, 3, 2), ("C", "class", 4, 5, 2), ("g", "function", 6, 6, 1), ("h", "function", 7, 8, 2),
+        ("N", "function", 9, 10, 2)
+    ]
 
 
 def test_triage(spark):
     scans = spark.createDataFrame(
-        [("s1", "i1", "2024-01-01T00:00:00Z", "t", 3, 1), ("s1", "i2", "2024-02-01T00:00:00Z", "t", 0, 2), ("s2", "i3", "2024-03-03T12:00:00Z", "t", 1, 3), ("s3", "i4", "bad", "t", 2, 4), ("s4", "i5", "2024-01-01T00:00:00Z", "t", 1, 5)],
+        [
+            ("s1", "i1", "2024-01-01T00:00:00Z", "t", 3, 1), ("s1", "i2", "2024-02-01T00:00:00Z", "t", 0, 2),
+            ("s2", "i3", "2024-03-03T12:00:00Z", "t", 1, 3), ("s3", "i4", "bad", "t", 2, 4),
+            ("s4", "i5", "2024-01-01T00:00:00Z", "t", 1, 5)
+        ],
         "skill string, scan_id string, ts string, target string, findings_total int, ordinal int",
     )
     findings = spark.createDataFrame([("i5", "s4", "2023-01-01T00:00:00Z")], "source_scan string, source_skill string, created_at string")
     dismissals = spark.createDataFrame([(None, None, "s9", None)], "source_scan string, scan_id string, skill string, ts string")
     got = audits.triage(scans, findings, dismissals, "2024-03-10 12:00:00")
-    assert {r["skill"]: r["state"] for r in got.collect()} == {"s1": "unaccounted", "s2": "grace", "s3": "unaccounted", "s4": "acknowledged"}
+    assert {r["skill"]: r["state"] for r in got.collect()} == {
+        "s1": "unaccounted", "s2": "grace", "s3": "unaccounted", "s4": "acknowledged"
+    }
     assert audits.gate(got) == 1 and audits.gate(got.filter("state = 'grace'")) == 0
 
 
 def test_ledger_and_coverage(spark):
     schema = "path string, last_reviewed string, loc int, decision string, action_owner string, after_days int, after_loc_delta int"
-    ledger = spark.createDataFrame([("a", "2024-01-01", 10, "keep", "me", None, None), ("b", "2024-03-01", 10, "keep", "me", None, 5), ("c", None, 1, "planned", None, None, None)], schema)
+    ledger = spark.createDataFrame(
+        [
+            ("a", "2024-01-01", 10, "keep", "me", None, None), ("b", "2024-03-01", 10, "keep", "me", None, 5),
+            ("c", None, 1, "planned", None, None, None)
+        ],
+        schema
+    )
     metrics = spark.createDataFrame([("b", 15, "2024-02-01"), ("d", 500, None)], "path string, loc int, last_commit string")
     got = {r["path"]: r["reasons"] for r in audits.needs_review(ledger, metrics, "2024-03-31").collect()}
     assert got == {"a": ["age"], "b": ["grown"]}
     assert [r["path"] for r in audits.drift_scan(metrics, ledger, 100).collect()] == ["d"]
     items = spark.createDataFrame([("s", "1", "done"), ("s", "2", "done"), ("s", "3", "open")], "spec string, item string, status string")
     refs = spark.createDataFrame([("s", "1", "x"), ("s", "3", "y"), ("s", "9", "z")], "spec string, item string, path string")
-    assert {r["item"]: r["buckets"] for r in audits.coverage(items, refs).collect()} == {"1": ["covered"], "2": ["unproven"], "3": ["ahead"], "9": ["orphan"]}
-    events = spark.createDataFrame([("2024-03-01T00:00:00Z", "r", "deny"), ("2023-03-01T00:00:00Z", "r", "allow")], "timestamp string, rule_id string, decision string")
+    assert {
+        r["item"]: r["buckets"] for r in audits.coverage(items, refs).collect()
+    } == {"1": ["covered"], "2": ["unproven"], "3": ["ahead"], "9": ["orphan"]}
+    events = spark.createDataFrame(
+        [("2024-03-01T00:00:00Z", "r", "deny"), ("2023-03-01T00:00:00Z", "r", "allow")],
+        "timestamp string, rule_id string, decision string"
+    )
     assert {r["decision"]: r["n"] for r in audits.friction(events, "2024-03-15 00:00:00").collect()} == {"allow": 0, "ask": 0, "deny": 1}
 
 
@@ -174,9 +228,15 @@ def test_sinks(spark, tmp_path):
 
 def test_leases(spark, tmp_path):
     rows = [
-        ("r", "grant", 1, 1, "g1", 100, "s", 1), ("r", "request", 2, 2, None, None, "s", None), ("r", "request", 3, 3, None, None, "s", None),
-        ("q", "grant", 1, 4, "g2", 5, None, None), ("q", "request", 5, 5, None, None, "t", None), ("q", "request", 6, 6, None, None, "t", None),
-        ("p", "grant", 1, 7, "g3", 100, "s", None), ("p", "end", 2, 8, None, None, "s", None), ("p", "request", 3, 9, None, None, "s", None),
+        ("r", "grant", 1, 1, "g1", 100, "s", 1), (
+            "r", "request", 2, 2, None, None, "s", None
+        ), ("r", "request", 3, 3, None, None, "s", None),
+        ("q", "grant", 1, 4, "g2", 5, None, None), (
+            "q", "request", 5, 5, None, None, "t", None
+        ), ("q", "request", 6, 6, None, None, "t", None),
+        ("p", "grant", 1, 7, "g3", 100, "s", None), ("p", "end", 2, 8, None, None, "s", None), (
+            "p", "request", 3, 9, None, None, "s", None
+        ),
     ]
     schema = "rule_id string, kind string, at long, ordinal long, grant_id string, expires_at long, session_id string, uses int"
     spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / "in"))

@@ -22,7 +22,9 @@ def test_file_tree_lists_before_it_reads(spark, tmp_path):
     os.symlink(tmp_path / "a" / "skip", tmp_path / "a" / "folder")
     got = {r.path: r.text for r in logs.file_tree(spark, str(tmp_path), "*.py", ["skip"]).collect()}
     assert got == {"a/x.py": "one\ntwo", "a/b c/z+1.py": "three"}
-    assert {r.path for r in logs.file_tree(spark, str(tmp_path), "*.py", ["skip"], text=False, links=True).collect()} == {*got, "a/link.py", "a/folder/y.py"}
+    assert {
+        r.path for r in logs.file_tree(spark, str(tmp_path), "*.py", ["skip"], text=False, links=True).collect()
+    } == {*got, "a/link.py", "a/folder/y.py"}
     assert logs.file_tree(spark, str(tmp_path), "*.none").count() == 0
 
 
@@ -39,7 +41,9 @@ def test_replace_json_and_write_valid(spark, tmp_path):
 
 def test_reports_say_what_they_leave_out(spark):
     rows = spark.range(7).withColumn("t", F.lit("a|<b>"))
-    assert sinks.markdown(rows, 5).endswith("\n\n2 more rows.\n") and "more" not in sinks.markdown(rows, 7) and "a\\|<b>" in sinks.markdown(rows)
+    assert sinks.markdown(rows, 5).endswith(
+        "\n\n2 more rows.\n"
+    ) and "more" not in sinks.markdown(rows, 7) and "a\\|<b>" in sinks.markdown(rows)
     assert "<p>2 more rows.</p>" in metadata.html_table(rows, "x", 5) and "more" not in metadata.html_table(rows, "x", 7)
     counts = metadata.attestation(rows.withColumn("k", F.col("id") % 3), ["k"])
     assert metadata.attestation_yaml(counts, "runs", 2) == "runs:\n  - k: 0\n    rows: 3\n  - k: 1\n    rows: 2\nomitted: 1\n"
@@ -79,8 +83,13 @@ def test_leases_look_at_commands_and_paths(spark, tmp_path):
 
 def test_equal_items_stay_apart(spark):
     items = spark.createDataFrame([("f", 2, 3)] * 2 + [("f", 9, 9)], "path string, start int, end int")
-    spans = spark.createDataFrame([("f", 1, 5, "outer"), ("f", 2, 4, "inner"), ("f", 9, 8, "none")], "path string, start int, end int, name string")
-    assert sorted((r.start, r.name) for r in rel.containing(items, spans, ["path"], "name").collect()) == sorted([(2, "inner")] * 2 + [(9, None)], key=str)
+    spans = spark.createDataFrame(
+        [("f", 1, 5, "outer"), ("f", 2, 4, "inner"), ("f", 9, 8, "none")],
+        "path string, start int, end int, name string"
+    )
+    assert sorted(
+        (r.start, r.name) for r in rel.containing(items, spans, ["path"], "name").collect()
+    ) == sorted([(2, "inner")] * 2 + [(9, None)], key=str)
 
 
 def test_rules_are_counted(spark):
@@ -91,7 +100,10 @@ def test_rules_are_counted(spark):
 
 
 def test_unreadable_documents(spark):
-    files = spark.createDataFrame([("a", "---\nx: 1\n---\n"), ("b", "---\n no\n---\n"), ("c", None), ("d", "---\n---\nbody")], "path string, text string")
+    files = spark.createDataFrame(
+        [("a", "---\nx: 1\n---\n"), ("b", "---\n no\n---\n"), ("c", None), ("d", "---\n---\nbody")],
+        "path string, text string"
+    )
     got = {r.path: (r.metadata, r.has_frontmatter, r.error is None) for r in registries.documents(files).collect()}
     assert got["a"] == ('{"x": 1}', True, True) and not got["b"][2] and got["c"] == ("{}", False, True)
     with pytest.raises(ValueError, match="unreadable: b, c"):
@@ -99,13 +111,21 @@ def test_unreadable_documents(spark):
 
 
 def test_facts_of_no_or_broken_source(spark):
-    files = spark.createDataFrame([("a.py", None), ("b.py", ""), ("c.py", "def ("), ("d.py", "class A:\n    def __init__(self): pass\n    def m(self): self.n()\n")], "path string, text string")
+    files = spark.createDataFrame(
+        [("a.py", None), ("b.py", ""), ("c.py", "def ("), ("d.py", "class A:\n    def __init__(self): pass\n    def m(self): self.n()\n")],
+        "path string, text string"
+    )
     assert [(r.path, r.qualified_name) for r in facts.definitions(files).orderBy("line").collect()] == [("d.py", "A"), ("d.py", "A.m")]
     assert [(r.caller, r.callee_name, r.call_style) for r in facts.call_edges(files).collect()] == [("A.m", "n", "self")]
     assert facts.handler_blocks(files).count() == facts.patterns(files).count() == 0
 
 
 def test_own_predicates_take_the_place_of_others(spark):
-    lines = spark.createDataFrame([("p", "a.py", 1, "breakpoint()"), ("p", "a.txt", 2, "x")], "id string, path string, line int, text string")
+    lines = spark.createDataFrame(
+        [("p", "a.py", 1, "breakpoint()"), ("p", "a.txt", 2, "x")], "id string, path string, line int, text string"
+    )
     assert [r.predicate for r in policy.patch_findings(lines).collect()] == ["debugger"]
-    assert [(r.line, r.predicate) for r in policy.patch_findings(lines, {"debugger": lambda: F.col("text") == "x"}).collect()] == [(2, "debugger")]
+    assert [
+        (r.line, r.predicate)
+        for r in policy.patch_findings(lines, {"debugger": lambda: F.col("text") == "x"}).collect()
+    ] == [(2, "debugger")]
