@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repolith.llm._common import cut, prepare
+from repolith.llm._common import cut, prepare, reducers
 
 
 def words(text: str = "text"):
@@ -73,25 +73,44 @@ def decide(x: np.ndarray, p: np.ndarray, rnd: random.Random, land: bool) -> np.n
         p[rest], p[head] = q[:-1], q[-1]
 
 
+def ranked(by: DataFrame, order: Column) -> DataFrame:
+    """The rows with ``rank`` from 1 in an order, ranged over many tasks; the driver gets a count for each of them."""
+    n = reducers(by.sparkSession)
+    within = F.row_number().over(Window.partitionBy("part").orderBy(order))
+    rows = cut(by.repartitionByRange(n, order).withColumn("part", F.spark_partition_id()))  # ranges are sampled, so they are kept
+    sizes = sorted(tuple(r) for r in rows.groupBy("part").count().collect())
+    before, total = [], 0
+    for part, count in sizes:
+        before.append((part, total))
+        total += count
+    known = by.sparkSession.createDataFrame(before, "part int, before long")
+    return rows.withColumn("within", within).join(F.broadcast(known), "part").withColumn("rank", F.col("within") + F.col("before")).drop("part", "within", "before")
+
+
 def targets(units: DataFrame, weights: tuple[float, ...], share: float, most: float) -> DataFrame:
-    """source, source_size, n, target.  Sources in code-point order (null last) weigh ``weights`` in turn.
+    """its_source, source_size, n, target.  Sources in code-point order (null last) weigh ``weights`` in turn.
 
-    A source is capped at ``most`` times its size; in the order of cap by weight a
-    source is capped if its part of what the capped ones before it leave is over
-    its cap, and the others share the rest by weight.
+    A source is capped at ``most`` times its size.  Sources whose part by weight is
+    over their cap are capped, round by round, and the others share what these leave,
+    until none is above; each round is one aggregation, so sources may be many.
     """
     by = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).cast("long").alias("source_size"), F.count("*").alias("n"))
-    ranked = by.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
+    rows = ranked(by, F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))
-    ranked = ranked.withColumn("weight", weight).withColumn("cap", most * F.col("source_size"))
-    everything = Window.partitionBy()
-    before = Window.orderBy(F.col("cap") / F.col("weight"), "rank").rowsBetween(Window.unboundedPreceding, -1)
-    left = ranked.withColumns({"total": share * F.sum("source_size").over(everything), "spent": F.coalesce(F.sum("cap").over(before), F.lit(0.0)), "gone": F.coalesce(F.sum("weight").over(before), F.lit(0.0)), "all": F.sum("weight").over(everything)})
-    capped = left.withColumn("capped", (F.col("total") - F.col("spent")) * F.col("weight") / (F.col("all") - F.col("gone")) >= F.col("cap"))
-    is_capped = F.when(F.col("capped"), 1).otherwise(0)
-    pool = capped.withColumns({"rest": F.col("total") - F.sum(is_capped * F.col("cap")).over(everything), "shared": F.sum((1 - is_capped) * F.col("weight")).over(everything)})
-    target = F.when(F.col("capped"), F.col("cap")).otherwise(F.col("rest") * F.col("weight") / F.col("shared"))
-    return pool.select(F.col("source").alias("its_source"), "source_size", "n", target.cast("double").alias("target"))
+    rows = cut(rows.withColumn("weight", weight).withColumn("cap", most * F.col("source_size")))
+    total = share * (rows.agg(F.sum("source_size")).first()[0] or 0)
+    each, open_ = math.inf, None
+    while True:  # ``each``: what a weight of 1 gets
+        over = F.col("cap") <= F.lit(each) * F.col("weight") if open_ is not None else F.lit(False)
+        free = F.when(over, 0).otherwise(1)
+        left, spent, shared = rows.agg(F.sum(free), F.sum((1 - free) * F.col("cap")), F.sum(free * F.col("weight"))).first()
+        if not left or left == open_:
+            break
+        open_, each, rest = left, (total - spent) / shared, (total - spent, shared)
+    if not left:  # every source is capped, or there is none
+        return rows.select(F.col("source").alias("its_source"), "source_size", "n", F.col("cap").alias("target"))
+    target = F.when(over, F.col("cap")).otherwise(rest[0] * F.col("weight") / rest[1])
+    return rows.select(F.col("source").alias("its_source"), "source_size", "n", target.cast("double").alias("target"))
 
 
 FIELDS = "source string, doc_id long, size long, row long, rows long, source_size long, target double, base long, sure long, p double"

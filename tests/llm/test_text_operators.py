@@ -292,6 +292,27 @@ def brute_targets(sizes, weights):
         open_ -= over
 
 
+@pytest.mark.parametrize("share", [0.3, 1.0, 2.5, 9.0])
+def test_targets_of_many_sources(spark, share):
+    r = random.Random(4)
+    names = sorted({"".join(r.choice("abcdeé") for _ in range(6)) for _ in range(300)})
+    sizes = {n: r.choice([0, 1, 5, 50, 5000]) for n in names} | {None: 77}
+    rows = [(k, n, s, 1) for k, (n, s) in enumerate(sizes.items())]
+    got = mixing.targets(spark.createDataFrame(rows, "doc_id long, source string, size long, rows long"), (1, 2, 3), share, 3.0).collect()
+    weights = {n: (1, 2, 3)[k % 3] for k, n in enumerate([*names, None])}
+    want, open_, total = {}, set(sizes), share * sum(sizes.values())
+    while open_:
+        left = total - sum(want.values())
+        over = {n for n in open_ if left * weights[n] / sum(weights[o] for o in open_) >= 3 * sizes[n]}
+        if not over:
+            want |= {n: left * weights[n] / sum(weights[o] for o in open_) for n in open_}
+            break
+        want |= {n: 3.0 * sizes[n] for n in over}
+        open_ -= over
+    assert {x.its_source for x in got} == set(sizes)
+    assert all(math.isclose(x.target, want[x.its_source], rel_tol=1e-9, abs_tol=1e-9) for x in got)
+
+
 def test_mixing_repeated_rows(spark):
     text = prose(53, 3)
     rows = [(1, text)] * 400 + [(2, text)] * 3 + [(10 + k, prose(30, k)) for k in range(200)] + [
