@@ -409,3 +409,71 @@ def script_hotspots(spark, d):
     )
     files = table(spark, d, "part").select(said("src/s", c("p_partkey"), ".ts").alias("path"), body.alias("text"))
     return symbols.script_hotspots(files, 2, 3)
+
+
+STATES = [
+    "valid", "missing", "malformed", "mismatched-root", "tool-mismatch", "incomplete", "stale", "wrong-command",
+    "missing-output", "output-mismatch", "native-check-failure"
+]
+
+
+@query("SELECT 'r' || s_suppkey AS root, " + repr(STATES) + "[1 + s_suppkey % 11] AS state FROM supplier")
+def build_evidence_states(spark, d):
+    s, k, key = table(spark, d, "supplier"), c("s_suppkey") % 11, text("s_suppkey")
+    root, hashed = said("r", key), F.sha2(key, 256)
+    pick = lambda n, odd, else_: F.when(k == n, odd).otherwise(else_)
+    doc = said(
+        '{"schema_version": 1, "status": "', pick(
+            2, "partial", F.lit("complete")
+        ), '", "target": "17", "project_root": "', pick(3, F.lit("elsewhere"), root), '", "tools": {"java": "/j", "kotlinc": "',
+        pick(4, "/other", F.lit("/k")), '"}, "inputs": [{"path": "a.kt", "role": "source", "sha256": "', pick(
+            6, F.sha2(said(key, "x"), 256), hashed
+        ), '"}',
+        pick(
+            5, "", said(', {"path": "t.kt", "role": "test", "sha256": "', hashed, '"}')
+        ), '], "commands": [["k", "', pick(7, "no", F.lit("go")), '"]], "outputs": [{"path": "o.jar", "sha256": "', hashed,
+        '"}], "checks": {"test": {"returncode": ', pick(
+            10, "1", F.lit("0")
+        ), ', "stdout": "", "stderr": ""}, "smoke": {"returncode": 0, "stdout": "hi", "stderr": ""}}}',
+    )
+    tools = F.create_map(F.lit("kotlinc"), F.lit("/k"), F.lit("java"), F.lit("/j"))
+    wanted = s.select(
+        root.alias("root"), F.lit(1).alias("version"), F.lit("17").alias("target"), tools.alias("tools"),
+        F.array(F.array(F.lit("k"), F.lit("go"))).alias("commands"), F.lit("hi").alias("smoke")
+    )
+    source, test = F.struct(
+        F.lit("a.kt").alias("path"), F.lit("source").alias("role")
+    ), F.struct(F.lit("t.kt").alias("path"), F.lit("test").alias("role"))
+    files = s.select(
+        root.alias("root"), hashed.alias("sha256"), F.explode(F.array(source, test)).alias("x")
+    ).select("root", "sha256", "x.*")
+    made = s.select(
+        root.alias("root"), F.lit("o.jar").alias("path"),
+        F.when(k == 8, None).when(k == 9, F.sha2(said(key, "y"), 256)).otherwise(hashed).alias("sha256")
+    )
+    return metadata.build_evidence(s.select(root.alias("root"), F.when(k != 1, doc).alias("text")), wanted, files, made)
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS path, CASE WHEN s_suppkey % 4 > 0 THEN 's' || s_suppkey END AS name, CASE WHEN s_suppkey % 4 = 0 THEN [] WHEN s_suppkey % 4 = 1 THEN ['a@^' || s_nationkey] ELSE ['a@^' || s_nationkey, 'b@2'] END AS packages, "
+       "CASE WHEN s_suppkey % 4 > 0 THEN ['build', 'test'] ELSE [] END AS scripts, s_suppkey % 4 > 0 AS readable FROM supplier")
+def json_project_files(spark, d):
+    k = c("s_suppkey") % 4
+    more = F.when(k == 1, "").otherwise(', "devDependencies": {"b": "2"}')
+    doc = said(
+        '{"name": "s', c("s_suppkey"), '", "dependencies": {"a": "^', c("s_nationkey"), '"}', more,
+        ', "scripts": {"test": "t", "build": "b"}}'
+    )
+    return metadata.json_projects(
+        table(spark, d, "supplier").select(text("s_suppkey").alias("path"), F.when(k == 0, "[1]").otherwise(doc).alias("text"))
+    )
+
+
+@query("SELECT path FROM (SELECT l_partkey AS path, arg_max(l_returnflag, l_orderkey * 10 + l_linenumber) AS last FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') GROUP BY 1) WHERE last <> 'R'")
+def changed_in_range(spark, d):
+    """Each line item is a commit that changes its part; the range are the items of finished orders."""
+    commit = (c("l_orderkey") * 10 + c("l_linenumber")).alias("id")
+    done = table(spark, d, "orders").filter("o_orderstatus = 'F'").select(c("o_orderkey").alias("l_orderkey"))
+    line = table(spark, d, "lineitem")
+    commits = line.join(done, "l_orderkey", "left_semi").select(commit).distinct().withColumn("ordinal", c("id"))
+    kind = F.when(c("l_returnflag") == "R", "deleted").otherwise("modified")
+    return metadata.changed_in_range(commits, line.select(commit, c("l_partkey").alias("path"), kind.alias("change_type")))

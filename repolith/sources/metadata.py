@@ -152,6 +152,112 @@ def compile_databases(databases: DataFrame, expected: DataFrame, inputs: DataFra
     return rows.select("root", state.alias("state"))
 
 
+#: A build's evidence: what was built, by which tools and commands, from and into which files, and how its checks ended.
+EVIDENCE = (
+    "schema_version int, status string, project_root string, target string, tools map<string, string>, "
+    "inputs array<struct<path: string, role: string, sha256: string>>, commands array<array<string>>, "
+    "outputs array<struct<path: string, sha256: string>>, checks map<string, struct<returncode: int, stdout: string, stderr: string>>"
+)
+EVIDENCE_KEYS = ["checks", "commands", "inputs", "outputs", "project_root", "schema_version", "status", "target", "tools"]
+
+
+def build_evidence(evidence: DataFrame, expected: DataFrame, inputs: DataFrame, outputs: DataFrame) -> DataFrame:
+    """(root, state) of each root's build evidence, the first fault of: missing, malformed, mismatched-root, tool-mismatch, incomplete, stale,
+    wrong-command, missing-output, output-mismatch, native-check-failure; else valid.
+
+    evidence: root, text (null: missing); expected: root, version, target, tools (map), commands (arrays), smoke;
+    inputs: root, path, role, sha256 (now; null: no such file); outputs: root, path, sha256 (now; null: no such file).
+    """
+    rows = evidence.select("root", "text", F.from_json("text", EVIDENCE).alias("e"), F.array_sort(F.json_object_keys("text")).alias("keys"))
+    digest = lambda x: x["sha256"].rlike("^[0-9a-f]{64}$")
+    safe = lambda x: x["path"].isNotNull() & ~x["path"].rlike(r"^/|(?:^|/)\.\.(?:/|$)|\\\\")
+    one = lambda a: F.size(F.array_distinct(F.transform(a, lambda x: x["path"]))) == F.size(a)
+    good_in = F.forall(
+        "e.inputs",
+        lambda x: F.coalesce(safe(x) & digest(x) & x["role"].isin("source", "test") & x["path"].endswith(".kt"), F.lit(False))
+    )
+    good_out = F.forall("e.outputs", lambda x: F.coalesce(safe(x) & digest(x), F.lit(False)))
+    checks = F.forall(F.map_values("e.checks"), lambda x: x["returncode"].isNotNull() & x["stdout"].isNotNull() & x["stderr"].isNotNull())
+    names = F.array_sort(F.map_keys("e.checks")) == F.array(F.lit("smoke"), F.lit("test"))
+    shape = (
+        F.col("keys") == F.array(*map(F.lit, EVIDENCE_KEYS))
+    ) & good_in & one(F.col("e.inputs")) & good_out & one(F.col("e.outputs")) & checks & names
+
+    def compared(table: DataFrame, column: str, key: list[str]) -> DataFrame:
+        """(root, differs, gone, changed) of the files that are named against those that are wanted."""
+        told = rows.select("root", F.explode(f"e.{column}").alias("x")).select(
+            "root", *[F.col(f"x.{k}") for k in key], F.col("x.sha256").alias("told"), F.lit(True).alias("there")
+        )
+        both = told.join(table.select("root", *key, "sha256", F.lit(True).alias("wanted")), ["root", *key], "full_outer")
+        return both.groupBy("root").agg(
+            F.bool_or(F.col("there").isNull() | F.col("wanted").isNull()).alias(f"{column}_differ"),
+            F.bool_or(F.col("wanted") & F.col("sha256").isNull()).alias(f"{column}_gone"),
+            F.bool_or(F.col("sha256") != F.col("told")).alias(f"{column}_changed"),
+        )
+
+    rows = rows.join(expected, "root", "left").join(
+        compared(inputs, "inputs", ["path", "role"]), "root", "left"
+    ).join(compared(outputs, "outputs", ["path"]), "root", "left")
+    same = lambda a, b: F.to_json(F.map_from_entries(F.array_sort(F.map_entries(a)))) == F.to_json(F.map_from_entries(F.array_sort(F.map_entries(b))))
+    holds = lambda x: F.coalesce(x, F.lit(False))
+    state = (
+        F.when(F.col("text").isNull(), "missing")
+        .when(~holds(shape), "malformed")
+        .when(
+            ~holds(
+                (F.col("e.schema_version") == F.col("version")) & (F.col("e.status") == "complete")
+                & (F.col("e.target") == F.col("target"))
+            ),
+            "malformed"
+        )
+        .when(~holds(F.col("e.project_root") == F.col("root")), "mismatched-root")
+        .when(~holds(same(F.col("e.tools"), F.col("tools"))), "tool-mismatch")
+        .when(holds(F.col("inputs_differ")), "incomplete")
+        .when(holds(F.col("inputs_gone")), "malformed")
+        .when(holds(F.col("inputs_changed")), "stale")
+        .when(~holds(F.col("e.commands") == F.col("commands")), "wrong-command")
+        .when(holds(F.col("outputs_differ")), "incomplete")
+        .when(holds(F.col("outputs_gone")), "missing-output")
+        .when(holds(F.col("outputs_changed")), "output-mismatch")
+        .when(F.exists(F.map_values("e.checks"), lambda x: x["returncode"] != 0), "native-check-failure")
+        .when(~holds(F.col("e.checks")["smoke"]["stdout"] == F.col("smoke")), "native-check-failure")
+        .otherwise("valid")
+    )
+    return rows.select("root", state.alias("state"))
+
+
+def json_projects(files: DataFrame) -> DataFrame:
+    """(path, name, packages, scripts, readable) of JSON project files (path, text), packages as ``name@range`` of all kinds; unreadable ones stay."""
+    kinds = ["dependencies", "devDependencies", "peerDependencies"]
+    fields = "name string, " + ", ".join(f"{k} map<string, string>" for k in kinds) + ", scripts map<string, string>"
+    rows = files.select(
+        "path", F.from_json("text", fields).alias("p"),
+        (F.trim("text").startswith("{") & F.try_parse_json("text").isNotNull()).alias("ok")
+    )
+    none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    listed = [
+        F.transform(F.map_entries(F.coalesce(F.col(f"p.{k}"), none)), lambda e: F.concat_ws("@", e["key"], e["value"]))
+        for k in kinds
+    ]
+    ok = F.coalesce("ok", F.lit(False))
+    packages = F.when(ok, F.array_sort(F.array_distinct(F.concat(*listed)))).otherwise(F.array().cast("array<string>"))
+    scripts = F.when(ok, F.array_sort(F.map_keys(F.coalesce("p.scripts", none)))).otherwise(F.array().cast("array<string>"))
+    return rows.select(
+        "path", F.when(ok, F.col("p.name")).alias("name"), packages.alias("packages"), scripts.alias("scripts"),
+        ok.alias("readable")
+    )
+
+
+def changed_in_range(commits: DataFrame, changes: DataFrame) -> DataFrame:
+    """Distinct paths that a ref range has changed and that its last change has left in place.
+
+    commits: id, ordinal, the exported commits of the range from the oldest; changes: id, path, change_type.
+    """
+    rows = changes.join(commits.select("id", "ordinal"), "id")
+    last = rows.groupBy("path").agg(F.max_by("change_type", "ordinal").alias("change_type"))
+    return last.filter("change_type <> 'deleted'").select("path")
+
+
 def attestation(rows: DataFrame, by: list[str]) -> DataFrame:
     """Counts only, nothing of the rows themselves."""
     return rows.groupBy(*by).agg(F.count("*").alias("rows"))
