@@ -234,7 +234,7 @@ def worst_offenders(spark, d):
     return orders.top_of_each(n, ["l_suppkey"], "n", "l_partkey")
 
 
-@query("SELECT s_suppkey, s_name, (SELECT count(*) FROM supplier) - 40 AS left_out FROM supplier ORDER BY s_name, s_suppkey LIMIT 40")
+@query("SELECT s_suppkey, s_name, greatest(0, (SELECT count(*) FROM supplier) - 40) AS left_out FROM supplier ORDER BY s_name, s_suppkey LIMIT 40")
 def bounded_list(spark, d):
     some, more = orders.bounded(table(spark, d, "supplier").select("s_suppkey", "s_name"), ["s_name", "s_suppkey"], 40)
     return some.withColumn("left_out", F.lit(more).cast("long"))
