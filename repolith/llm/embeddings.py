@@ -40,8 +40,8 @@ def planes(dim: int, number: int, seed: int) -> np.ndarray:
 
 
 def table_plan(largest: int, cosine: float, recall: float) -> tuple[int, int]:
-    """Bits of a table's hash, so that a bucket of unrelated vectors stays small, and tables, so that a pair at ``cosine`` is missed with probability 1 - recall."""
-    bits = max(8, math.ceil(math.log2(max(largest, 1) / 256 + 1)))
+    """Bits of a table's hash, so that a bucket of unrelated vectors has about 512 of them, and tables, so that a pair at ``cosine`` is missed with probability 1 - recall."""
+    bits = max(4, math.ceil(math.log2(max(largest, 1) / 512 + 1)))
     meet = (1 - math.acos(cosine) / math.pi) ** bits
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
