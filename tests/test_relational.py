@@ -256,17 +256,18 @@ def test_flags_and_mentions(spark, n):
     assert {r["term"]: (r["n"], r["hits"]) for r in rel.mentions(texts, terms, "id", "t").collect()} == {"aa": (2, 3), "zz": (0, 0)}
 
 
-def test_bounded_reach_over_all_orders(spark):
+def test_bounded_reach_over_all_line_items(spark):
     from repolith import catalog
 
-    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").select("o_custkey", "o_orderkey").collect()
-    steps, depth, front = {}, {0: 0}, [0]
-    for c, o in orders:
-        steps.setdefault(c % 500, set()).add((o * 7 + 3) % 500)
+    line = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_partkey", "l_suppkey").collect()
+    steps, depth, front = {}, {1: 0}, [1]
+    for p, s in line:
+        steps.setdefault(p, set()).add(-s)
+        steps.setdefault(-s, set()).add(p)
     for k in range(1, 9):
         front = sorted({y for x in front for y in steps.get(x, ())} - depth.keys())
         depth |= dict.fromkeys(front, k)
-    got = {(r["node"], r["depth"]) for r in catalog.QUERIES["bounded_reach_all"](spark, "/root/testdata/sf0.001").collect()}
+    got = {(r["node"], r["depth"]) for r in catalog.QUERIES["bounded_reach"](spark, "/root/testdata/sf0.001").collect()}
     assert got == set(depth.items())
 
 
@@ -284,5 +285,5 @@ def test_term_mentions_of_all_items(spark):
         words = find(r["text"])
         hits.update(words)
         n.update(set(words))
-    got = sorted(tuple(r) for r in catalog.QUERIES["term_mentions_all"](spark, d).collect())
+    got = sorted(tuple(r) for r in catalog.QUERIES["term_mentions"](spark, d).collect())
     assert got == sorted((t, n[t], hits[t]) for t in terms)
