@@ -71,9 +71,14 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/repolith/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    held_until(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def held_until(path: str) -> None:
+    """A table's files go with the innermost open ``scratch`` block, if there is one."""
     if _open:
         _open[-1].append(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm import bpe, embeddings, langid, licenses, lines, mixing, simhash, substrings, urls
+from repolith.llm import bpe, codes, embeddings, langid, licenses, lines, middle, mixing, simhash, substrings, urls
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -67,11 +67,22 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = middle.transform(_read(spark, sf_dir, "documents"))
+    back = middle.restored(F.col("output"), F.col("form"))
+    names = "doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256"
+    return found.select(*names, back.text_sha256.alias("restored_sha256"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(_read(spark, sf_dir, "embeddings"), parts=8, entries=16, number=6, scale=4096)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_simhash_dedup, op3_embedding_dedup, op4_url_filter, op5_license_scan, op6_source_mix,
-        op7_nearest_vectors, op8_line_dedup, op9_language_id, op10_bpe_codec
+        op7_nearest_vectors, op8_line_dedup, op9_language_id, op10_bpe_codec, op11_fill_in_middle, op12_vector_codes
     )
 }
 
@@ -128,6 +139,46 @@ m AS (SELECT *, p > coalesce(max(q) OVER (PARTITION BY doc_id, license ORDER BY
 SELECT doc_id, license, max(share) AS containment, count(*) FILTER (new) AS matches, min(p) AS first_word FROM m GROUP BY doc_id, license
 """
 
+ORACLE["op11_fill_in_middle"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS us, CAST('0x' || s[1:8] AS BIGINT) AS h1, CAST('0x' || s[9:16] AS BIGINT) AS h2,
+      CAST('0x' || s[17:24] AS BIGINT) AS h3, CAST('0x' || s[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, len(us) AS n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS lo, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS hi,
+      CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, coalesce(array_to_string(us[1:lo], ''), '') AS pre, coalesce(array_to_string(us[lo + 1:hi], ''), '') AS mid, coalesce(array_to_string(us[hi + 1:n], ''), '') AS suf FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+def _lloyd(number: int) -> str:
+    """Rounds written out: a{k} has the nearest entries by the books c{k}, c{k + 1} the floors of their means."""
+    steps = []
+    for k in range(number + 1):
+        steps.append(f"""
+d{k} AS (SELECT x.id, x.part, c.entry, sum((x.v - c.v) * (x.v - c.v)) AS d FROM x JOIN c{k} c ON x.part = c.part AND x.pos = c.pos GROUP BY ALL),
+a{k} AS MATERIALIZED (SELECT id, part, min((d, entry)) AS best FROM d{k} GROUP BY ALL),""")
+        if k < number:
+            steps.append(f"""
+m{k} AS (SELECT x.part, a.best[2] AS entry, x.pos, sum(x.v) AS s, count(*) AS n FROM x JOIN a{k} a ON x.id = a.id AND x.part = a.part GROUP BY ALL),
+c{k + 1} AS MATERIALIZED (SELECT c.part, c.entry, c.pos, CASE WHEN m.n IS NULL THEN c.v ELSE CAST((m.s - ((m.s % m.n) + m.n) % m.n) // m.n AS BIGINT) END AS v
+  FROM c{k} c LEFT JOIN m{k} m ON c.part = m.part AND c.entry = m.entry AND c.pos = m.pos),""")
+    return "".join(steps)
+
+
+ORACLE["op12_vector_codes"] = f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) - 1 AS id, vec_id, label, list_transform(embedding, lambda z: CAST(floor(4096 * CAST(z AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda z: z IS NULL OR NOT isfinite(z))) = 0),
+x AS MATERIALIZED (SELECT id, k * 8 // len(e) AS part, k % (len(e) // 8) AS pos, e[k + 1] AS v FROM (SELECT id, e, unnest(range(0, len(e))) AS k FROM v)),
+c0 AS (SELECT part, id AS entry, pos, v FROM x WHERE id < 16),{_lloyd(6)}
+b AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, pos)) AS h FROM c6),
+r AS (SELECT id, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM a6 GROUP BY id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM r JOIN v USING (id), b
+"""
+
 ORACLE["op8_line_dedup"] = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(range(0, len(ls))) AS i, unnest(ls) AS t FROM d WHERE text IS NOT NULL),
