@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.llm import bpe, codes, embeddings, langid, licenses, lines, middle, mixing, simhash, substrings, urls
+from repolith.llm import bpe, codes, embeddings, langid, licenses, lines, middle, mixing, simhash, sketches, substrings, urls
 
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
@@ -78,11 +78,16 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.compress(_read(spark, sf_dir, "embeddings"), parts=8, entries=16, number=6, scale=4096)
 
 
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketches.fingerprints(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_suffix_dedup, op2_simhash_dedup, op3_embedding_dedup, op4_url_filter, op5_license_scan, op6_source_mix,
-        op7_nearest_vectors, op8_line_dedup, op9_language_id, op10_bpe_codec, op11_fill_in_middle, op12_vector_codes
+        op7_nearest_vectors, op8_line_dedup, op9_language_id, op10_bpe_codec, op11_fill_in_middle, op12_vector_codes,
+        op13_document_fingerprints
     )
 }
 
