@@ -205,13 +205,14 @@ class Forest:
                 yield qid, i, s
 
     def best(self, qid: int, q: np.ndarray, size: float, found: np.ndarray, k: int) -> dict[int, float]:
-        """The k best vec_ids other than ``qid`` among the ``found`` vectors; more vectors are read as long as they hold fewer ids."""
+        """The k best vec_ids among the ``found`` vectors, without the query's own row; more vectors are read as long as they hold fewer ids."""
         score = self.vectors[found] @ q / (self.sizes[found] * size)
         order, take = np.argsort(-score, kind="stable"), k + 1
         while True:
             top = np.flatnonzero(score >= score[order[:take][-1]])
             best: dict[int, float] = {}
-            for s, i in sorted((-s, i) for s, f in zip(score[top].tolist(), found[top].tolist()) for i in self.ids[f].tolist() if i != qid):
+            near = ((-s, i, f) for s, f in zip(score[top].tolist(), found[top].tolist()) for i in self.ids[f].tolist())
+            for s, i, _ in sorted(x for x in near if x[1] != qid or (self.vectors[x[2]] != q).any()):
                 best.setdefault(i, -s)
             if len(best) >= k or take >= len(order):
                 return dict(list(best.items())[:k])
@@ -228,7 +229,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 32, sh
     to the smaller vec_id.  Blocks hold any mixture of rows, so hot vectors or
     labels make no block larger.  Unusable vectors and rows without a vec_id take
     no part; vectors are compared with those of their own length only; where rows
-    repeat a vec_id, its best score counts; an empty table gives no rows.
+    repeat a vec_id, its best score counts, and a query's own id is found if another
+    vector has it; other columns are ignored; an empty table gives no rows.
     """
     spark = prepare(vectors.sparkSession)
     rows = vectors.filter(usable() & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")

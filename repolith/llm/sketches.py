@@ -25,7 +25,7 @@ LOAD = 8
 #: Rounds of peeling; a sketch that needs more counts as failed.
 ROUNDS = 8
 #: Documents in the sample for each bucket whose border it sets.
-PER_BUCKET = 16
+PER_BUCKET = 64
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -147,13 +147,17 @@ def written(cells: Column) -> Column:
     return F.translate(F.base64(F.unhex(F.array_join(each, ""))), "\r\n", "")
 
 
-def _borders(keys: DataFrame, buckets: int, n: int, first) -> list[tuple[int, int]]:
-    """Keys that divide all rows in about even buckets, from a sample whose size goes by their number."""
+def _borders(keys: DataFrame, buckets: int, n: int, first) -> list[tuple]:
+    """Keys that divide all texts in buckets of about equal size, from a sample whose size goes by their number."""
     share = min(1.0, PER_BUCKET * buckets / n)
     drawn = F.pmod(F.xxhash64("id", "h1", "h2"), F.lit(1 << 30)) < int(share * (1 << 30))
-    sample = sorted((r.id, r.h1, r.h2) for r in keys.filter(drawn).select("id", "h1", "h2").collect())
-    step = max(1, len(sample) // buckets)
-    return [k for k in sample[step::step][: buckets - 1] if k != first]
+    sample = sorted((r.id, r.h1, r.h2, r.size) for r in keys.filter(drawn).select("id", "h1", "h2", "size").collect())
+    each, held, out = sum(r[3] for r in sample) / buckets, 0, []
+    for *key, size in sample:
+        if held >= each * (len(out) + 1) and tuple(key) != first:
+            out.append(tuple(key))
+        held += size
+    return out
 
 
 def followed(docs: DataFrame) -> DataFrame:
@@ -170,7 +174,8 @@ def followed(docs: DataFrame) -> DataFrame:
         F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"),
         F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text).alias("h2"), text.alias("text")
     )
-    keys = cut(rows.groupBy("id", "h1", "h2").agg(F.count("*").alias("copies")))
+    size = F.max(F.octet_length("text") + 200).alias("size")
+    keys = cut(rows.groupBy("id", "h1", "h2").agg(F.count("*").alias("copies"), size))
     n, most, first = keys.agg(F.count("*"), F.max("copies"), F.min(F.struct("id", "h1", "h2"))).first()
     if not n:
         empty = "array<bigint>"

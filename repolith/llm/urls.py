@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolith.llm._common import cut
@@ -37,11 +37,17 @@ def suffixes(url: Column, host: Column, path: Column) -> dict[str, Column]:
     }
 
 
+def runs(chars: Column) -> Column:
+    """The sum of c log2 c over the lengths c of runs of equal characters, read once."""
+    state = lambda last, c, total: F.struct(last.alias("last"), c.alias("c"), total.alias("total"))
+    closed = lambda s: s.total + F.when(s.c > 0, s.c * F.log2(s.c)).otherwise(0.0)
+    step = lambda s, x: F.when(x == s.last, state(s.last, s.c + 1, s.total)).otherwise(state(x, F.lit(1), closed(s)))
+    return F.aggregate(chars, state(F.lit(""), F.lit(0), F.lit(0.0)), step, closed)
+
+
 def lexical(url: Column, host: Column, path: Column) -> dict[str, Column]:
     n = F.length(url)
-    chars = F.split(url, "")
-    share = F.transform(F.array_distinct(chars), lambda c: (n - F.length(F.replace(url, c, F.lit("")))) / n)
-    entropy = F.aggregate(share, F.lit(0.0), lambda a, p: a - F.when(p > 0, p * F.log2(p)).otherwise(0.0))
+    entropy = F.log2(n) - runs(F.array_sort(F.filter(F.split(url, ""), lambda c: c != ""))) / n
     query = F.regexp_extract(url, r"(?s)\?([^#]*)", 1)
     return {
         "length": n,
@@ -66,16 +72,16 @@ class UrlTrees:
     def __init__(self, prior: float, rates: dict[str, DataFrame], trees: list):
         self.prior, self.rates, self.trees = prior, rates, trees
 
-    def with_features(self, rows: DataFrame, url: str = "url") -> DataFrame:
-        """The rows with a column for each feature, named as in ``names``."""
+    def with_features(self, rows: DataFrame, url: str = "url", by: tuple[str, ...] = ()) -> DataFrame:
+        """The rows with a column for each feature, named as in ``names``; ``by`` are further columns of the rates' tables."""
         u = F.coalesce(F.col(f"`{url}`"), F.lit(""))
         host, path = host_path(u)
         found = lexical(u, host, path)
         out = rows.withColumns({n: c.cast("double") for n, c in found.items()} | {f"{k}_of": c for k, c in suffixes(u, host, path).items()})
         for kind in SUFFIXES:
             if kind in self.rates:
-                known = self.rates[kind].select(F.col("v").alias(f"{kind}_of"), F.col("rate").alias(f"{kind}_known"))
-                out = out.join(F.broadcast(known), f"{kind}_of", "left")  # no more rows than the sample, which is bounded
+                known = self.rates[kind].select(*by, F.col("v").alias(f"{kind}_of"), F.col("rate").alias(f"{kind}_known"))
+                out = out.join(F.broadcast(known), [*by, f"{kind}_of"], "left")  # a few rows for each of the sample, which is bounded
                 out = out.withColumn(f"{kind}_rate", F.coalesce(f"{kind}_known", F.lit(self.prior))).drop(f"{kind}_known")
             else:
                 out = out.withColumn(f"{kind}_rate", F.lit(self.prior))
@@ -104,31 +110,67 @@ def _odds(p: float) -> float:
     return log(p / (1 - p))
 
 
+#: Parts of the sample; a row's own part doesn't count in the suffix statistics that it is learned with.
+FOLDS = 5
+
+
+def drawn(labelled: DataFrame, rows: int) -> DataFrame:
+    """(url, y) of at most ``rows`` distinct labelled urls, half of them of each label if there are as many, those of the least hashes.
+
+    Copies of a url count once, however many there are.  Estimates of how many distinct
+    urls a label has set a bound on the hash, so that few more rows than wanted are
+    made distinct and ordered.
+    """
+    every = labelled.select(F.coalesce("url", F.lit("")).alias("url"), F.col("blocked").cast("int").alias("y")).filter("y IS NOT NULL")
+    about = {r.y: r.n for r in every.groupBy("y").agg(F.approx_count_distinct("url", 0.02).alias("n")).collect()}
+    half = rows // 2
+    wanted = {y: max(half, rows - sum(min(half, n) for k, n in about.items() if k != y)) for y in about}
+    hash_ = F.xxhash64("url")
+    near = F.lit(False)
+    for y, n in about.items():
+        near = near | ((F.col("y") == y) & (F.shiftrightunsigned(hash_, 11) < int(min(1.0, 2 * wanted[y] / max(n, 1)) * (1 << 53))))
+    nth = F.row_number().over(Window.partitionBy("y").orderBy(hash_, "url"))  # of about twice the rows that are wanted
+    most = F.lit(0)
+    for y, n in wanted.items():
+        most = F.when(F.col("y") == y, n).otherwise(most)
+    return every.filter(near).distinct().withColumn("nth", nth).filter(F.col("nth") <= most).select("url", "y")
+
+
+def suffix_rates(sample: DataFrame, prior: float) -> tuple[DataFrame, DataFrame]:
+    """Smoothed block rates: (kind, v, rate) of every suffix of the sample, and (fold, kind, v, rate) of what the other folds say of it.
+
+    sample: url, y, fold.
+    """
+    host, path = host_path("url")
+    value = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("v")) for k, c in suffixes(F.col("url"), host, path).items()]))
+    each = sample.select("y", "fold", value.alias("x")).groupBy("x.kind", "x.v", "fold").agg(F.sum("y").alias("s"), F.count("*").alias("n"))
+    every = Window.partitionBy("kind", "v")
+    each = each.withColumns({"all_s": F.sum("s").over(every), "all_n": F.sum("n").over(every)})
+    rate = lambda s, n: ((s + 4 * prior) / (n + 4)).alias("rate")
+    rest = each.select("fold", "kind", "v", rate(F.col("all_s") - F.col("s"), F.col("all_n") - F.col("n")))
+    return each.select("kind", "v", rate(F.col("all_s"), F.col("all_n"))).distinct(), rest
+
+
 def fit(labelled: DataFrame, rows: int = 20_000, trees: int = 8, depth: int = 3, bins: int = 16, rate: float = 0.4) -> UrlTrees:
-    """Learn from (url, blocked 0/1): at most ``rows`` of them, those of the least url hashes.
-
-    Suffix statistics are smoothed block rates of every value in that sample.  The
-    sample's features are cut once as bin numbers; then each level of a tree is one
-    aggregation of gradients by node, feature and bin, of which the driver gets at
-    most nodes x features x bins rows, and each tree leaves its margins as a column.
-    The bounded sample is one partition, so no level shuffles.  Without labelled
-    rows everything is allowed.
+    """Learn from (url, blocked 0/1): at most ``rows`` distinct urls of them, see ``drawn``.
+
+    Suffix statistics are smoothed block rates of every value in that sample; the trees
+    are grown on what the other parts of the sample say, so they don't trust what they
+    have learned by heart.  The sample's features are cut once as bin numbers; then each
+    level of a tree is one aggregation of gradients by node, feature and bin, of which
+    the driver gets at most nodes x features x bins rows, and each tree leaves its
+    margins as a column.  The bounded sample is one partition, so no level shuffles.
+    Without labelled rows of both kinds all have the one verdict.
     """
-    url = F.coalesce("url", F.lit(""))
-    sample = labelled.select(url.alias("url"), F.col("blocked").cast("int").alias("y")).orderBy(F.xxhash64("url"), "url", "y").limit(rows)
-    sample = cut(sample.coalesce(1))
+    sample = cut(drawn(labelled, rows).withColumn("fold", F.pmod(F.xxhash64("url", F.lit(1)), F.lit(FOLDS))).coalesce(1))
     total, ones = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     prior = (ones + 0.5) / (total + 1) if total else 0.0
     if not 0 < ones < total:
         return UrlTrees(prior, {}, [])
-    host, path = host_path("url")
-    value = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("v")) for k, c in suffixes(F.col("url"), host, path).items()]))
-    seen = sample.coalesce(1).select("y", value.alias("x")).groupBy("x.kind", "x.v").agg(
-        ((F.sum("y") + 4 * prior) / (F.count("*") + 4)).alias("rate")
-    )
-    seen = cut(seen)
-    model = UrlTrees(prior, {k: seen.filter(F.col("kind") == k).select("v", "rate") for k in SUFFIXES}, [])
-    table = cut(model.with_features(sample.coalesce(1)).drop("url"))
+    seen, rest = (cut(t) for t in suffix_rates(sample.coalesce(1), prior))
+    of = lambda t, *more: {k: t.filter(F.col("kind") == k).select(*more, "v", "rate") for k in SUFFIXES}
+    model, learning = UrlTrees(prior, of(seen), []), UrlTrees(prior, of(rest, "fold"), [])
+    table = cut(learning.with_features(sample.coalesce(1), by=("fold",)).drop("url", "fold"))
     names = [c for c in table.columns if c != "y"]
     cuts_at = table.agg(*[F.percentile_approx(n, [i / bins for i in range(1, bins)], 2000).alias(n) for n in names]).first()
     edges = {n: sorted(set(cuts_at[n])) for n in names}
@@ -209,8 +251,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], model: UrlTrees | None
 
     The rules' verdicts hold where a rule fits, the trees' elsewhere.  Without a
     model, one is fitted on the rows that the rules label.  A null url has empty
-    host and path and fits no rule; repeated rows give repeated results; other
-    columns are ignored; an empty table gives no rows and fits nothing.
+    host and path and fits no rule; repeated rows give repeated results and count
+    once in the fit; other columns are ignored; an empty table gives no rows and
+    fits nothing.
     """
     host, path = host_path("url")
     rule, says = matching_rule(rules, F.col("host"), F.col("path"))
