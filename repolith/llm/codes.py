@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -108,22 +107,18 @@ def table_name() -> str:
     return f"codes_{uuid.uuid4().hex}"
 
 
-@contextmanager
-def bucketed(spark, buckets: int):
-    """A writer of tables in the shared folder, bucketed by ``block``; it gives (path, table).  Their names go when the block ends, their files stay."""
-    names = []
+def write_bucketed(df: DataFrame, buckets: int) -> tuple[str, DataFrame]:
+    """(path, table) in the shared folder, bucketed by ``block``; the table's name is the path's last part."""
+    name = table_name()
+    path = f"{shared_dir(df.sparkSession)}/repolith/{name}"
+    df.write.bucketBy(buckets, "block").sortBy("block").option("path", path).format("parquet").saveAsTable(name)
+    return path, df.sparkSession.table(name)
 
-    def write(df: DataFrame) -> tuple[str, DataFrame]:
-        names.append(table_name())
-        path = f"{shared_dir(spark)}/repolith/{names[-1]}"
-        df.write.bucketBy(buckets, "block").sortBy("block").option("path", path).format("parquet").saveAsTable(names[-1])
-        return path, spark.table(names[-1])
 
-    try:
-        yield write
-    finally:
-        for name in names:
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
+def drop_bucketed(spark, path: str) -> None:
+    """The table's name and its files."""
+    spark.sql(f"DROP TABLE IF EXISTS {path.rsplit('/', 1)[1]}")
+    remove(spark, [path])
 
 
 def rounds(blocks: DataFrame, books: np.ndarray, number: int, write) -> np.ndarray:
@@ -156,7 +151,8 @@ def rounds(blocks: DataFrame, books: np.ndarray, number: int, write) -> np.ndarr
             rows = blocks.select("block", "packed").join(last.select("block", "codes").hint("merge"), "block")
         before = path
         path, last = write(rows.select("block", "packed", "codes").mapInArrow(step, f"block long, codes binary, deltas {DELTAS}"))
-        remove(blocks.sparkSession, [before] * (before is not None))
+        if before is not None:
+            drop_bucketed(blocks.sparkSession, before)
         moved = last.select(F.explode("deltas").alias("d")).select("d.*")
         total = [F.sum(F.col("total")[k].cast("decimal(38,0)")).alias(f"t{k}") for k in range(width)]
         for d in moved.groupBy("part", "entry").agg(F.sum("n").alias("n"), *total).collect():  # one row for each entry at most
@@ -167,7 +163,8 @@ def rounds(blocks: DataFrame, books: np.ndarray, number: int, write) -> np.ndarr
             for e in range(entries):
                 if counts[p][e]:
                     books[p, e] = [s // counts[p][e] for s in sums[p][e]]
-    remove(blocks.sparkSession, [path] * (path is not None))
+    if path is not None:
+        drop_bucketed(blocks.sparkSession, path)
     return books
 
 
@@ -215,12 +212,13 @@ def compress(
             first = kept.orderBy(F.col("name").asc_nulls_last(), "vector").limit(entries).collect()
         start = integers(pa.array([r.vector for r in first], pa.list_(pa.float64())), scale)
         books = start.astype(np.int64).reshape(len(first), parts, length // parts).transpose(1, 0, 2)
-        buckets = parts_for(rows)
-        with bucketed(spark, buckets) as write:
-            with scratch(spark):  # block numbers must not change once rows are dealt by them
-                path, blocks = write(cut(pack(kept, "name", "label", scale)).repartition(buckets, "block"))
-            held_until(path)
-            books = rounds(blocks, np.ascontiguousarray(books), number, write)
+        with scratch(spark):  # the packed table goes once it is dealt; block numbers must not change before that
+            packed = cut(pack(kept, "name", "label", scale))
+            buckets = parts_for(packed)
+            path, blocks = write_bucketed(packed.repartition(buckets, "block"), buckets)
+        held_until(path)
+        books = rounds(blocks, np.ascontiguousarray(books), number, lambda df: write_bucketed(df, buckets))
+        spark.sql(f"DROP TABLE IF EXISTS {path.rsplit('/', 1)[1]}")
         digest = hashlib.sha256(",".join(map(str, books.ravel().tolist())).encode()).hexdigest()
 
         def last(batches, books=books, length=length):

@@ -10,12 +10,13 @@ won't peel gets wider tables, then all is divided further.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repolith.llm._common import cut, parts_for, prepare
+from repolith.llm._common import cut, prepare, reducers
 
 TABLES = 3
 #: The number of cells in a table is a power of two: of a fingerprint, and of the larger sketch of a part.
@@ -24,6 +25,8 @@ CELLS, WIDER = 3, 5
 LOAD = 8
 #: Rounds of peeling; a sketch that needs more counts as failed.
 ROUNDS = 8
+#: Bytes of text that a bucket of neighbours holds at most, about.
+BUCKET = 64 << 20
 #: Documents in the sample for each bucket whose border it sets.
 PER_BUCKET = 64
 
@@ -176,7 +179,7 @@ def followed(docs: DataFrame) -> DataFrame:
     )
     size = F.max(F.octet_length("text") + 200).alias("size")
     keys = cut(rows.groupBy("id", "h1", "h2").agg(F.count("*").alias("copies"), size))
-    n, most, first = keys.agg(F.count("*"), F.max("copies"), F.min(F.struct("id", "h1", "h2"))).first()
+    n, most, first, held = keys.agg(F.count("*"), F.max("copies"), F.min(F.struct("id", "h1", "h2")), F.sum("size")).first()
     if not n:
         empty = "array<bigint>"
         return rows.filter("false").select(
@@ -186,7 +189,9 @@ def followed(docs: DataFrame) -> DataFrame:
         rows = rows.groupBy("id", "h1", "h2").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("text").alias("text"), F.count("*").alias("copies"))
     else:
         rows = rows.withColumn("copies", F.lit(1).cast("long"))
-    borders = _borders(keys, min(n, parts_for(docs)), n, tuple(first))
+    tasks = reducers(docs.sparkSession)
+    buckets = tasks * math.ceil(held / BUCKET / tasks)
+    borders = _borders(keys, min(n, buckets), n, tuple(first))
     last = len(borders)
     heads = [[tuple(first), *borders][k] for k in range(last + 1)]
     lists = [F.split(F.lit(",".join(str(h[k]) for h in heads)), ",").cast("array<bigint>") for k in range(3)]
@@ -236,30 +241,30 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next", F.lit(1), half))
     rows = once(rows, edited=edited).drop("text", "next")
     rows = once(rows, edited_sha256=F.sha2("edited", 256), edited_found=digests(F.col("edited"))).drop("edited")
-    cells = {f"{k}cells": sketch(F.col(f"{k}found"), CELLS) for k in ("", "edited_", "next_")}
-    rows = once(rows, **cells)
-    own = F.col("cells")
-    rows = once(rows, **{f"{k}result": peel(minus(own, F.col(f"{k}_cells")), CELLS) for k in ("edited", "next")})
+    # the edited text and the next one, side by side from here on
+    rows = rows.withColumn("others", F.array("edited_found", "next_found")).drop("edited_found", "next_found")
+    own, a = F.col("cells"), F.col("found")
+    every = F.transform(F.concat(F.array(a), F.col("others")), lambda x: sketch(x, CELLS))
+    rows = once(rows, every=every).withColumn("cells", F.col("every")[0])
+    rows = once(rows, results=F.transform(F.slice("every", 2, 2), lambda x: peel(minus(own, x), CELLS)))
     rows = rows.select(
-        "doc_id", "n_chars", "edited_sha256", written(own).alias("fingerprint"), written(F.col("edited_cells")).alias("edited_fingerprint"),
-        *[likeness(F.col("found"), F.col(f"{k}_found"), F.col(f"{k}result")).alias(f"near_{k}") for k in ("edited", "next")],
-        "found", "edited_found", "next_found", "times"
+        "doc_id", "n_chars", "edited_sha256", written(own).alias("fingerprint"), written(F.col("every")[1]).alias("edited_fingerprint"),
+        F.zip_with("others", "results", lambda b, r: likeness(a, b, r)).alias("near"), "found", "others", "times"
     )
-    names, done, level = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"], [], 0
+    names, done, level = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint"], [], 0
     while True:
-        a = F.col("found")
-        others = {k: F.col(f"{k}_found") for k in ("edited", "next")}
-        tried = once(rows, **{f"{k}_again": F.when(F.col(f"near_{k}").isNull(), divided(a, b, level)) for k, b in others.items()})
-        near = {f"near_{k}": F.coalesce(f"near_{k}", likeness(a, b, F.col(f"{k}_again"))) for k, b in others.items()}
-        tried = tried.select(*[c for c in rows.columns if c not in near], *[v.alias(k) for k, v in near.items()])
-        whole = F.col("near_edited").isNotNull() & F.col("near_next").isNotNull()
-        kept = ("found", "edited_found", "next_found")
-        held = cut(tried.withColumns({c: F.when(~whole, F.col(c)) for c in kept}))
-        done.append(held.filter(whole).select(*names, "times"))
+        again = F.zip_with("near", "others", lambda n, b: F.when(n.isNull(), divided(a, b, level)))
+        tried = once(rows, again=again)
+        near = F.transform(F.arrays_zip("near", "others", "again"), lambda x: F.coalesce(x.near, likeness(a, x.others, x.again)))
+        tried = tried.withColumn("near", near).drop("again")
+        whole = ~F.exists("near", lambda x: x.isNull())
+        held = cut(tried.withColumns({c: F.when(~whole, F.col(c)) for c in ("found", "others")}))
+        done.append(held.filter(whole).select(*names, F.col("near")[0].alias("near_edited"), F.col("near")[1].alias("near_next"), "times"))
         rows = held.filter(~whole)
         if rows.isEmpty():
             break
         level += 1
+    names += ["near_edited", "near_next"]
     out = done[0]
     for d in done[1:]:
         out = out.union(d)

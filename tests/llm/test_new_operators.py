@@ -113,10 +113,11 @@ def test_codes_by_plain_loops(spark):
 
 def test_codes_of_few_large_or_no_vectors(spark):
     assert coded(spark, []) == [] and coded(spark, [(1, None, 1), (2, [math.nan] * 8, 1)]) == []
+    quick = {"number": 2}
     few = [(k, [float(k * j % 7) - 3 for j in range(8)], k % 2) for k in range(5)]
-    assert sorted(coded(spark, few)) == sorted(plain_codes(few))
+    assert sorted(coded(spark, few, **quick)) == sorted(plain_codes(few, **quick))
     large = [(k, [float(np.float32((-1) ** j * 3e37 / (k + 1))) if k % 3 else float(k * j) for j in range(8)], 0) for k in range(40)]
-    assert sorted(coded(spark, large)) == sorted(plain_codes(large))
+    assert sorted(coded(spark, large, **quick)) == sorted(plain_codes(large, **quick))
     with pytest.raises(ValueError):
         coded(spark, few, entries=256)
 
