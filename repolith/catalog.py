@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repolith.functions import scalars
-from repolith.operators import chunks, detectors, graph, relational as rel
+from repolith.operators import chunks, detectors, graph, intervals, relational as rel
 from repolith.plans import matrix, registries
 
 QUERIES: dict = {}
@@ -14,8 +14,8 @@ ORACLE: dict[str, str] = {}
 
 #: A registry of owners by path prefix, two of them nested.
 REGISTRY = [
-    ("english", "example.net/en", 1), ("net", "example.net", 2), ("org", "example.org", 3),
-    ("french", "example.org/fr", 4), ("com", "example.com", 5)
+    ("english", "./example.net/en/", 1), ("net", "example.net/", 2), ("org", "example.org/", 3),
+    ("french", "example.org/fr/", 4), ("nobody", "example.com/de", 5), ("com", "example.com/", 6)
 ]
 TYPES = ["click", "error", "purchase", "signup", "view"]
 
@@ -96,7 +96,7 @@ def order_flags(spark, d):
 @query(
     "WITH r(owner, prefix, o) AS (VALUES " + ", ".join(map(str, REGISTRY)) + "), "
     "p AS (SELECT page_id, regexp_extract(regexp_extract(url, '://([^?#]*)', 1), '(example\\.[a-z]+/.*)$', 1) AS path FROM pages), "
-    "h AS (SELECT page_id, owner, row_number() OVER (PARTITION BY page_id ORDER BY length(prefix) DESC, o) AS k FROM p JOIN r ON path = prefix OR starts_with(path, prefix || '/')) "
+    "h AS (SELECT page_id, owner, row_number() OVER (PARTITION BY page_id ORDER BY length(prefix) DESC, o) AS k FROM p JOIN r ON path = ltrim(prefix, './') OR (suffix(prefix, '/') AND starts_with(path, ltrim(prefix, './')))) "
     "SELECT p.page_id, h.owner FROM p LEFT JOIN h ON p.page_id = h.page_id AND k = 1"
 )
 def longest_prefix_owner(spark, d):
@@ -113,9 +113,13 @@ def next_line_start(spark, d):
 SPANS = "SELECT user_id, event_id, floor(epoch(ts))::BIGINT AS s, floor(epoch(ts))::BIGINT + 3600 AS e FROM events"
 
 
-@query(f"WITH x AS ({SPANS}), r AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x) SELECT user_id, reach + 1 AS gap_start, s - 1 AS gap_end FROM r WHERE s > reach + 1")
+@query(f"""
+WITH t AS (SELECT c_custkey AS user_id, CAST(1800000000 + c_custkey AS BIGINT) AS total FROM customer WHERE c_acctbal > 0), x AS (SELECT s.user_id, s.s, s.e FROM ({SPANS}) s UNION ALL SELECT user_id, 0, 0 FROM t UNION ALL SELECT user_id, total + 1, total + 1 FROM t),
+r AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM x) SELECT user_id, reach + 1 AS gap_start, s - 1 AS gap_end FROM r WHERE s > reach + 1""")
 def activity_gaps(spark, d):
-    return rel.gaps(spans(spark, d), ["user_id"])
+    k = F.col("c_custkey")
+    totals = table(spark, d, "customer").filter("c_acctbal > 0").select(k.alias("user_id"), (1800000000 + k).cast("long").alias("total"))
+    return intervals.gaps(spans(spark, d), ["user_id"], totals)
 
 
 def spans(spark, d):
@@ -126,7 +130,7 @@ def spans(spark, d):
 @query(f"WITH x AS (SELECT e.event_type, s.* FROM ({SPANS}) s JOIN events e USING (event_id)) SELECT event_id, user_id FROM x WHERE event_type <> 'purchase' AND EXISTS (SELECT 1 FROM x y WHERE y.event_type = 'purchase' AND y.user_id = x.user_id AND x.s <= y.e AND x.e >= y.s)")
 def near_purchase(spark, d):
     s = spans(spark, d)
-    return rel.overlapping(
+    return intervals.overlapping(
         s.filter("event_type <> 'purchase'"), s.filter("event_type = 'purchase'"), ["user_id"]
     ).select("event_id", "user_id")
 
@@ -279,15 +283,18 @@ def chunk_tiles(spark, d):
     return chunks.tile(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey"], "l_linenumber", F.lit(9))
 
 
-@query(
-    "WITH RECURSIVE i AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS n, l_returnflag = 'R' AS forced, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_quantity AS BIGINT), l_returnflag = 'R') AS k FROM lineitem), "
-    "p AS (SELECT l_orderkey, l_linenumber, k, 1 AS chunk, n AS held FROM i WHERE k = 1 UNION ALL "
-    "SELECT i.l_orderkey, i.l_linenumber, i.k, p.chunk + CASE WHEN i.forced OR p.held + i.n > 60 THEN 1 ELSE 0 END, CASE WHEN i.forced OR p.held + i.n > 60 THEN i.n ELSE p.held + i.n END "
-    "FROM p JOIN i ON i.l_orderkey = p.l_orderkey AND i.k = p.k + 1) SELECT l_orderkey, l_linenumber, chunk FROM p"
-)
+@query("""
+WITH RECURSIVE i AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS n, CAST(l_linenumber + l_suppkey % 20 AS BIGINT) AS m, l_returnflag = 'R' AS closes, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k FROM lineitem),
+p AS (SELECT l_orderkey, l_linenumber, k, 1 AS chunk, n, m, closes FROM i WHERE k = 1 UNION ALL
+  SELECT i.l_orderkey, i.l_linenumber, i.k, p.chunk + CASE WHEN p.closes OR p.n + i.n > 60 OR p.m + i.m > 30 THEN 1 ELSE 0 END, CASE WHEN p.closes OR p.n + i.n > 60 OR p.m + i.m > 30 THEN i.n ELSE p.n + i.n END,
+    CASE WHEN p.closes OR p.n + i.n > 60 OR p.m + i.m > 30 THEN i.m ELSE p.m + i.m END, i.closes
+  FROM p JOIN i ON i.l_orderkey = p.l_orderkey AND i.k = p.k + 1) SELECT l_orderkey, l_linenumber, chunk FROM p""")
 def packed_with_breaks(spark, d):
-    items = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", (F.col("l_returnflag") == "R").alias("forced"))
-    return chunks.pack_with_breaks(items, ["l_orderkey"], "l_linenumber", "l_quantity", "forced", 60)
+    loc = F.col("l_linenumber") + F.col("l_suppkey") % 20
+    at = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("at")
+    items = table(spark, d, "lineitem").select("l_orderkey", at, "l_quantity", loc.alias("loc"), "l_returnflag")
+    packed = chunks.pack(items, ["l_orderkey"], "at", "l_quantity", "loc", F.col("l_returnflag") == "R", 60, 30)
+    return packed.select("l_orderkey", "at.l_linenumber", "chunk")
 
 
 @query("SELECT l_returnflag, count(*) FILTER (l_discount > 0.08) AS failures, CASE WHEN bool_or(l_discount > 0.08 AND l_quantity >= 50 AND l_returnflag IN ('A', 'R')) THEN 'fail' WHEN bool_or(l_discount > 0.08) THEN 'pass-with-notes' ELSE 'pass' END AS verdict FROM lineitem GROUP BY l_returnflag")
@@ -303,7 +310,7 @@ DOMAINS = [("sized", "^(small|medium|large)$"), ("offer", "promo|economy")]
 
 
 @query(
-    "SELECT domain, list(p_partkey ORDER BY p_partkey) AS members FROM (SELECT p_partkey, CASE "
+    "SELECT domain, count(*) AS n, list(p_partkey ORDER BY p_partkey)[1:100] AS members, greatest(0, count(*) - 100) AS omitted FROM (SELECT p_partkey, CASE "
     + " ".join(f"WHEN regexp_matches(lower(p_type), '{p}') THEN '{n}'" for n, p in DOMAINS)
     + " ELSE 'utility' END AS domain FROM part) GROUP BY domain HAVING count(*) >= 2"
 )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from repolith.catalog import query, table, unchecked
-from repolith.operators import detectors, ledgers, policy
+from repolith.operators import calls, detectors, intervals, ledgers, matching, policy
 from repolith.operators import relational as rel
 from repolith.plans import audits, inventories, matrix, registries, reports
 
@@ -54,29 +54,25 @@ def scan_triage(spark, d):
 
 
 @query("""
-WITH m AS (SELECT l_suppkey AS k, count(*) AS loc, strftime(max(l_shipdate), '%Y-%m-%d') AS last FROM lineitem WHERE l_quantity > 25 GROUP BY 1),
-r AS (SELECT s_name AS path, coalesce(m.loc, s_nationkey * 10) AS loc_now, s_nationkey * 10 AS loc, m.last, CASE WHEN s_suppkey % 7 = 0 THEN NULL WHEN s_suppkey % 11 = 0 THEN 'soon' ELSE '1998-0' || (1 + s_suppkey % 9) || '-15' END AS seen,
-      CASE WHEN s_suppkey % 5 = 0 THEN 'planned' ELSE 'keep' END AS decision, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'me' END AS own FROM supplier LEFT JOIN m ON k = s_suppkey),
-a AS (SELECT *, CASE WHEN seen IS NULL THEN 1000000 WHEN seen = 'soon' THEN 0 ELSE date_diff('day', TRY_CAST(seen AS DATE), DATE '1998-12-01') END AS age FROM r WHERE decision <> 'planned')
-SELECT path, CAST(loc_now AS BIGINT) AS loc_now, CAST(age AS INTEGER) AS age_days, list_filter([CASE WHEN age >= 90 THEN 'age' END, CASE WHEN loc_now - loc >= 50 THEN 'grown' END,
-  CASE WHEN last > seen THEN 'changed' END, CASE WHEN own IS NULL THEN 'unowned' END, CASE WHEN loc_now = 0 THEN 'gone' END], lambda x: x IS NOT NULL) AS reasons
-FROM a WHERE len(reasons) > 0""")
+WITH m AS (SELECT l_suppkey AS k, count(*) AS loc FROM lineitem WHERE l_quantity > 25 GROUP BY 1),
+r AS (SELECT s_name AS path, CASE WHEN s_suppkey % 7 = 0 THEN NULL WHEN s_suppkey % 11 = 0 THEN 'soon' ELSE '1998-0' || (1 + s_suppkey % 9) || '-15' END AS last_reviewed, CASE WHEN s_suppkey % 5 = 0 THEN 'split_queued' ELSE 'keep' END AS decision,
+  CAST(coalesce(m.loc, CASE WHEN s_suppkey % 17 = 0 THEN 0 ELSE s_nationkey * 10 END) AS BIGINT) AS current_loc, CAST(CASE WHEN s_suppkey % 17 = 0 THEN 0 ELSE s_nationkey * 10 END AS BIGINT) AS prior_loc, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 200 END AS d, CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey % 90 END AS g FROM supplier LEFT JOIN m ON k = s_suppkey),
+a AS (SELECT *, current_loc - prior_loc AS loc_delta, CASE WHEN last_reviewed IS NULL THEN 1000000 WHEN last_reviewed = 'soon' THEN 0 ELSE date_diff('day', TRY_CAST(last_reviewed AS DATE), DATE '1998-12-01') END AS age FROM r WHERE decision <> 'split_queued'),
+t AS (SELECT *, list_filter([CASE WHEN age >= 120 THEN 'age=' || age || 'd>=120d' END, CASE WHEN age >= d THEN 'per-entry age=' || age || 'd>=' || d || 'd' END, CASE WHEN current_loc >= 200 THEN 'loc=' || current_loc || '>=200' END,
+  CASE WHEN loc_delta >= g THEN 'per-entry delta=' || loc_delta || '>=' || g END, CASE WHEN prior_loc <> 0 AND CAST(trunc(loc_delta / prior_loc * 100) AS INTEGER) >= 40 THEN 'growth=' || CAST(trunc(loc_delta / prior_loc * 100) AS INTEGER) || '%>=40%' END], lambda x: x IS NOT NULL) AS reasons FROM a)
+SELECT path, last_reviewed, decision, current_loc, prior_loc, loc_delta, reasons FROM t WHERE len(reasons) > 0""")
 def ledger_review(spark, d):
     k = c("s_suppkey")
     seen = F.when(k % 7 == 0, None).when(k % 11 == 0, "soon").otherwise(F.concat(F.lit("1998-0"), (1 + k % 9).cast("string"), F.lit("-15")))
     ledger = table(spark, d, "supplier").select(
-        c("s_name").alias("path"), (
-            c("s_nationkey") * 10
-        ).cast("long").alias("loc"), seen.alias("last_reviewed"), F.when(k % 5 == 0, "planned").otherwise("keep").alias("decision"),
-        F.when(k % 3 != 0, "me").alias("action_owner"), F.lit(None).cast("int").alias("after_days"), F.lit(None).cast("int").alias(
-            "after_loc_delta"
-        ),
+        c("s_name").alias("path"), F.when(k % 17 != 0, c("s_nationkey") * 10).cast("long").alias("loc"), seen.alias("last_reviewed"),
+        F.when(k % 5 == 0, "split_queued").otherwise("keep").alias("decision"),
+        F.when(k % 3 == 0, k % 200).cast("int").alias("after_days"), F.when(k % 4 == 0, k % 90).cast("int").alias("after_loc_delta"),
     )
-    n = table(spark, d, "lineitem").filter("l_quantity > 25").groupBy("l_suppkey").agg(
-        F.count("*").alias("loc"), F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("last_commit")
-    )
-    metrics = n.join(table(spark, d, "supplier"), c("l_suppkey") == c("s_suppkey")).select(c("s_name").alias("path"), "loc", "last_commit")
-    return audits.needs_review(ledger, metrics, "1998-12-01")
+    n = table(spark, d, "lineitem").filter("l_quantity > 25").groupBy("l_suppkey").agg(F.count("*").alias("loc"))
+    metrics = n.join(table(spark, d, "supplier"), c("l_suppkey") == k).select(c("s_name").alias("path"), "loc")
+    # a prior size that is unknown counts 0, and so does the present one where nothing is measured
+    return audits.needs_review(ledger, metrics, "1998-12-01", 120, 200, 40)
 
 
 @query("SELECT p_partkey AS path, p_size AS loc FROM part WHERE p_size >= 30 AND p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_discount > 0.09)")
@@ -208,16 +204,17 @@ def patch_lines(spark, d):
 
 
 @query("""
-WITH t AS (SELECT p_brand AS capability, CASE WHEN p_size % 13 = 0 THEN NULL ELSE '3.' || p_size || '.1' END AS version FROM part),
-s AS (SELECT capability, CASE WHEN version IS NULL THEN 'missing' WHEN CAST(split_part(version, '.', 2) AS INTEGER) < 9 THEN 'outdated' ELSE 'ready' END AS s FROM t)
-SELECT capability, CASE WHEN count(DISTINCT s) = 1 THEN min(s) WHEN bool_or(s = 'missing') THEN 'partial' ELSE 'outdated' END AS status FROM s GROUP BY capability""")
+WITH t AS (SELECT p_brand || '-' || p_type AS capability, CASE WHEN p_size % 5 = 0 THEN NULL ELSE '3.' || p_size || '.1' END AS version FROM part),
+s AS (SELECT capability, CASE WHEN version IS NULL THEN 'unavailable' WHEN CAST(split_part(version, '.', 2) AS INTEGER) < 25 THEN 'too-old' ELSE 'available' END AS s FROM t),
+p AS (SELECT DISTINCT p_brand || '-' || p_type AS capability FROM part WHERE p_size > 20 AND p_retailprice > 905),
+n AS (SELECT s.capability, CASE WHEN count(DISTINCT s) > 1 THEN 'limited' ELSE min(s) END AS st, bool_or(p.capability IS NOT NULL) AS there FROM s LEFT JOIN p ON s.capability = p.capability GROUP BY 1)
+SELECT capability, CASE WHEN st = 'available' AND NOT there THEN 'limited' ELSE st END AS status,
+  list_filter([CASE st WHEN 'limited' THEN 'partial-toolchain' WHEN 'too-old' THEN 'toolchain-too-old' WHEN 'unavailable' THEN 'toolchain-unavailable' END, CASE WHEN NOT there THEN 'project-metadata-unavailable' END], lambda x: x IS NOT NULL) AS reasons FROM n""")
 def tool_states(spark, d):
-    version = F.when(c("p_size") % 13 != 0, F.concat(F.lit("3."), text("p_size"), F.lit(".1")))
-    tools = table(spark, d, "part").select(
-        c("p_brand").alias("capability"), c("p_name").alias("tool"), version.alias("version"),
-        F.lit("3.9").alias("least")
-    )
-    return policy.tool_status(tools)
+    part, capability = table(spark, d, "part"), F.concat_ws("-", "p_brand", "p_type").alias("capability")
+    version = F.when(c("p_size") % 5 != 0, F.concat(F.lit("3."), text("p_size"), F.lit(".1")))
+    tools = part.select(capability, c("p_name").alias("tool"), version.alias("version"), F.lit("3.25").alias("least"))
+    return policy.tool_status(tools, part.filter("p_size > 20 AND p_retailprice > 905").select(capability))
 
 
 DIVERGENCE = """
@@ -358,7 +355,7 @@ def evidence_tokens(spark, d):
     )
 
 
-CHAINS = "SELECT c_custkey AS a, c_custkey + 1 + c_custkey % 3 AS b FROM customer WHERE c_acctbal > 0"
+CHAINS = "SELECT c_custkey AS a, c_custkey - c_custkey % 16 + (c_custkey * 3 + 1) % 16 AS b FROM customer"
 
 
 @query(f"""
@@ -366,7 +363,7 @@ WITH RECURSIVE p AS ({CHAINS}), e AS (SELECT a, b FROM p UNION SELECT b, a FROM
 l AS (SELECT x AS member, min(y) AS cluster FROM r GROUP BY x) SELECT member, cluster, count(*) OVER (PARTITION BY cluster) AS multiplicity FROM l""")
 def clone_components(spark, d):
     k = c("c_custkey")
-    return registries.clone_clusters(table(spark, d, "customer").filter("c_acctbal > 0").select(k.alias("a"), (k + 1 + k % 3).alias("b")))
+    return registries.clone_clusters(table(spark, d, "customer").select(k.alias("a"), (k - k % 16 + (k * 3 + 1) % 16).alias("b")))
 
 
 @query("""
@@ -380,7 +377,7 @@ def candidate_dispositions(spark, d):
     ).when(k == 2, F.concat(F.lit("lib/b/"), p)).when(k == 3, F.concat(F.lit("app/"), p)).otherwise(F.concat(F.lit("tmp/"), p))
     paths = table(spark, d, "part").select(path.alias("path")).distinct()
     registry = spark.createDataFrame(
-        [("alpha", "lib/a", 1), ("beta", "lib/b", 2), ("gamma", "lib/b/", 3)],
+        [("alpha", "lib/a/", 1), ("beta", "lib/b/", 2), ("gamma", "./lib/b/", 3)],
         "owner string, prefix string, ordinal int"
     )
     exempt = table(spark, d, "part").filter("p_partkey % 2 = 0").select(F.concat(F.lit("app/"), p).alias("path"))
@@ -551,7 +548,7 @@ def planted_matches(spark, d):
         c("l_orderkey").alias("id"), text("l_partkey").alias("file"), c("l_linenumber").alias("line"),
         c("l_orderkey").alias("ordinal"), "l_returnflag"
     )
-    return rel.match_findings(rows.filter("l_returnflag = 'R'"), rows.filter("l_returnflag = 'A'"))
+    return matching.match_findings(rows.filter("l_returnflag = 'R'"), rows.filter("l_returnflag = 'A'"))
 
 
 @query("""
@@ -563,17 +560,24 @@ def planted_grade(spark, d):
         c("l_orderkey").alias("id"), text("l_partkey").alias("file"), c("l_linenumber").alias("line"),
         c("l_orderkey").alias("ordinal"), "l_returnflag"
     )
-    return rel.grade(rows.filter("l_returnflag = 'R'"), rows.filter("l_returnflag = 'A'"))
+    return matching.grade(rows.filter("l_returnflag = 'R'"), rows.filter("l_returnflag = 'A'"))
 
 
-@unchecked
+@query("""
+WITH RECURSIVE p AS (SELECT l_partkey AS file, l_linenumber AS line, l_orderkey * 8 + l_linenumber AS o FROM lineitem WHERE l_returnflag = 'R'),
+f AS (SELECT l_partkey AS file, l_linenumber AS line, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 8 + l_linenumber) AS k FROM lineitem WHERE l_returnflag = 'A'),
+g(file, k, taken) AS (SELECT DISTINCT file, CAST(0 AS BIGINT), CAST([] AS BIGINT[]) FROM f
+  UNION ALL SELECT g.file, f.k, CASE WHEN min(p.o) IS NULL THEN g.taken ELSE list_append(g.taken, min(p.o)) END FROM g JOIN f ON f.file = g.file AND f.k = g.k + 1
+    LEFT JOIN p ON p.file = f.file AND abs(p.line - f.line) <= 1 AND NOT list_contains(g.taken, p.o) GROUP BY g.file, f.k, g.taken),
+n AS (SELECT CAST(sum(len(t)) AS BIGINT) AS tp FROM (SELECT file, max_by(taken, k) AS t FROM g GROUP BY file)), a AS (SELECT (SELECT tp FROM n) AS tp, (SELECT count(*) FROM p) AS pn, (SELECT count(*) FROM f) AS fn_)
+SELECT tp, fn_ - tp AS fp, pn - tp AS fn, tp / fn_ AS precision, tp / pn AS recall, CASE WHEN fn_ = tp AND pn = tp THEN 'pass' ELSE 'fail' END AS verdict FROM a""")
 def planted_near(spark, d):
-    """``planted_grade`` with a tolerance of one line; greedy in the order of arrival, so without SQL."""
+    """``planted_grade`` with a tolerance of one line, greedy in the order of arrival."""
     rows = table(spark, d, "lineitem").select(
         c("l_orderkey").alias("id"), text("l_partkey").alias("file"), c("l_linenumber").alias("line"),
-        c("l_orderkey").alias("ordinal"), "l_returnflag"
+        (c("l_orderkey") * 8 + c("l_linenumber")).alias("ordinal"), "l_returnflag"
     )
-    return rel.grade(rows.filter("l_returnflag = 'R'"), rows.filter("l_returnflag = 'A'"), 1)
+    return matching.grade(rows.filter("l_returnflag = 'R'"), rows.filter("l_returnflag = 'A'"), 1)
 
 
 @query("""
@@ -586,7 +590,7 @@ def clone_span_owners(spark, d):
     spans = line.filter("l_returnflag <> 'N' AND l_linestatus = 'F'").select(
         c("l_orderkey").alias("path"), n.alias("start"), (n + 2).alias("end"), n.alias("name")
     )
-    return rel.placed(items, spans, ["path"], "name").withColumnRenamed("name", "owner")
+    return intervals.placed(items, spans, ["path"], "name").withColumnRenamed("name", "owner")
 
 
 @query("SELECT event_id, user_id, handler FROM (SELECT *, first_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS handler FROM events) WHERE event_type = 'view'")
@@ -596,28 +600,28 @@ def next_purchase(spark, d):
 
 
 @query("""
-WITH d AS (SELECT 'm' || (p_partkey % 40) AS name, p_brand || '.m' || (p_partkey % 40) AS q, CAST(p_size AS VARCHAR) AS file, p_brand AS cls FROM part),
-e AS (SELECT DISTINCT p_brand || '.m' || (p_partkey % 40) AS caller, CASE l_linenumber % 3 WHEN 0 THEN 'x.m' || (l_suppkey % 40) WHEN 1 THEN 'm' || (l_suppkey % 40) ELSE p_brand || '.m' || (l_suppkey % 40) END AS callee,
-  CASE WHEN l_linenumber = 1 THEN 'self' ELSE 'name' END AS style, CAST(p_size AS VARCHAR) AS file, p_brand AS cls FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_discount > 0.08),
-t AS (SELECT e.*, q, CASE WHEN e.file = d.file THEN 1 ELSE 2 END AS r FROM e JOIN d ON split_part(callee, '.', -1) = d.name AND e.cls = d.cls WHERE style = 'self'
-  UNION ALL SELECT e.*, q, 3 FROM e JOIN d ON callee = q OR callee = name WHERE style <> 'self' UNION ALL SELECT e.*, q, 4 FROM e JOIN d ON split_part(callee, '.', -1) = d.name WHERE style <> 'self' AND contains(callee, '.')),
-k AS (SELECT *, rank() OVER (PARTITION BY caller, callee, style, file, cls ORDER BY r) AS n FROM t) SELECT DISTINCT caller, q AS callee FROM k WHERE n = 1 AND caller <> q""")
+WITH d AS (SELECT DISTINCT 'm' || (p_partkey // 4) AS name, p_brand || '.m' || (p_partkey // 4) AS q, 's' || p_size || '.py' AS file, p_brand AS cls FROM part),
+e AS (SELECT DISTINCT 's' || p_size || '.py' AS file, p_brand AS cls, p_brand || '.m' || (p_partkey // 4) AS q, l_linenumber % 3 = 1 AS own,
+  CASE l_linenumber % 3 WHEN 0 THEN 'x.m' || ((l_partkey + l_suppkey) // 4) WHEN 1 THEN 'm' || (l_partkey // 4) ELSE p_brand || '.m' || ((l_partkey + l_suppkey) // 4) END AS callee FROM lineitem JOIN part ON l_partkey = p_partkey),
+w AS (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM d WHERE d.file = e.file AND d.q = e.cls || '.' || e.callee) THEN 1 ELSE 2 END AS how FROM e WHERE own
+  UNION ALL SELECT *, CASE WHEN callee IN (SELECT name FROM d) OR callee IN (SELECT q FROM d) THEN 3 ELSE 4 END FROM e WHERE NOT own),
+t AS (SELECT w.file, w.q, d.file AS f2, d.q AS q2 FROM w JOIN d ON how = 1 AND d.file = w.file AND d.q = w.cls || '.' || w.callee
+  UNION SELECT w.file, w.q, d.file, d.q FROM w JOIN d ON how = 2 AND d.cls = w.cls AND d.name = w.callee
+  UNION SELECT w.file, w.q, d.file, d.q FROM w JOIN d ON how = 3 AND d.name = w.callee UNION SELECT w.file, w.q, d.file, d.q FROM w JOIN d ON how = 3 AND d.q = w.callee
+  UNION SELECT w.file, w.q, d.file, d.q FROM w JOIN d ON how = 4 AND contains(w.callee, '.') AND d.name = split_part(w.callee, '.', -1))
+SELECT DISTINCT file || '::' || q AS caller, f2 || '::' || q2 AS callee FROM t WHERE file <> f2 OR q <> q2""")
 def resolved_calls(spark, d):
-    part, k = table(spark, d, "part"), (c("p_partkey") % 40).cast("string")
-    name = F.concat(F.lit("m"), k)
-    defs = part.select(
-        F.concat_ws(".", "p_brand", name).alias("qualified_name"), name.alias("name"), text("p_size").alias("file"),
-        c("p_brand").alias("parent_class")
-    )
-    target = F.concat(F.lit("m"), (c("l_suppkey") % 40).cast("string"))
-    n = c("l_linenumber")
-    called = F.when(n % 3 == 0, F.concat(F.lit("x."), target)).when(n % 3 == 1, target).otherwise(F.concat_ws(".", "p_brand", target))
-    edges = table(spark, d, "lineitem").filter("l_discount > 0.08").join(part, c("l_partkey") == c("p_partkey")).select(
-        F.concat_ws(
-            ".", "p_brand", name
-        ).alias("caller"), called.alias("callee_name"), F.when(n == 1, "self").otherwise("name").alias("call_style"), text("p_size").alias("caller_file"), c("p_brand").alias("caller_class")
-    )
-    return rel.resolve_calls(edges.distinct(), defs)
+    part = table(spark, d, "part")
+    named = lambda k: F.concat(F.lit("m"), F.floor(k / 4).cast("string"))
+    name, file = named(c("p_partkey")), F.concat(F.lit("s"), text("p_size"), F.lit(".py"))
+    defs = part.select(F.concat_ws(".", "p_brand", name).alias("qualified_name"), name.alias("name"), file.alias("file"), c("p_brand").alias("parent_class"))
+    n, far = c("l_linenumber") % 3, named(c("l_partkey") + c("l_suppkey"))
+    called = F.when(n == 0, F.concat(F.lit("x."), far)).when(n == 1, named(c("l_partkey"))).otherwise(F.concat_ws(".", "p_brand", far))
+    edges = table(spark, d, "lineitem").join(part, c("l_partkey") == c("p_partkey")).select(
+        F.concat(file, F.lit("::"), F.concat_ws(".", "p_brand", name)).alias("caller"), called.alias("callee_name"),
+        F.when(n == 1, "self").otherwise("name").alias("call_style"), file.alias("caller_file"), c("p_brand").alias("caller_class")
+    )
+    return calls.resolve_calls(edges, defs)
 
 
 @query("""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from repolith.catalog import query, table
 from repolith.functions import scalars
-from repolith.operators import chunks, detectors, ledgers, orders
+from repolith.operators import calls, chunks, detectors, ledgers, orders
 from repolith.operators import relational as rel
 from repolith.plans import matrix, reports
 
@@ -31,16 +31,16 @@ def lifecycle_counts(spark, d):
 
 
 @query("""
-WITH f AS (SELECT 'n' || c_nationkey || '/' || c_mktsegment AS path, c_custkey AS id, CASE WHEN c_nationkey = 3 AND c_mktsegment = 'BUILDING' THEN 'three-building' WHEN c_nationkey IN (1, 2, 3) THEN 'few' END AS subsystem FROM customer)
-SELECT subsystem, count(*) AS n, list(id ORDER BY path, id) AS ids FROM f GROUP BY subsystem""")
+WITH f AS (SELECT 'n' || c_nationkey || '/' || c_mktsegment AS path, c_custkey AS id, CASE WHEN c_nationkey = 3 AND c_mktsegment = 'BUILDING' THEN 'three-building' WHEN c_nationkey IN (1, 3) THEN 'few' END AS subsystem FROM customer)
+SELECT subsystem, count(*) AS n, list(id ORDER BY path, id)[1:100] AS ids, greatest(0, count(*) - 100) AS omitted FROM f GROUP BY subsystem""")
 def findings_by_subsystem(spark, d):
     path = F.concat(F.lit("n"), text("c_nationkey"), F.lit("/"), c("c_mktsegment"))
     registry = spark.createDataFrame(
-        [("few", "n1", 1), ("few", "n2", 2), ("few", "n3/", 3), ("three-building", "n3/BUILDING", 4)],
+        [("few", "n1/", 1), ("none", "n2", 2), ("few", "n3/", 3), ("three-building", "n3/BUILDING", 4)],
         "owner string, prefix string, ordinal int"
     )
     found = reports.by_subsystem(table(spark, d, "customer").select(path.alias("path"), c("c_custkey").alias("id")), registry)
-    return found.select("subsystem", "n", F.transform("findings", lambda x: x["id"]).alias("ids"))
+    return found.select("subsystem", "n", F.transform("findings", lambda x: x["id"]).alias("ids"), "omitted")
 
 
 @query("SELECT user_id, count(*) AS \"rows\", CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total, CAST(min(ts) AS DATE) AS first_day, CAST(max(ts) AS DATE) AS last_day, bool_or(event_type = 'purchase') AS any_flag, count(DISTINCT event_type) AS places FROM events GROUP BY user_id HAVING count(*) > 60")
@@ -51,9 +51,11 @@ def evidence_rollup(spark, d):
     return reports.evidence_rollup(e, "user_id", "day", "k", c("event_type") == "purchase", "event_type", 61)
 
 
-@query("SELECT p_size % 4 AS severity, count(*) AS n, sha256(string_agg(DISTINCT CAST(p_partkey AS VARCHAR), chr(10) ORDER BY CAST(p_partkey AS VARCHAR))) AS ids_digest FROM part GROUP BY 1")
+@query("""
+WITH i AS (SELECT p_size % 4 AS severity, p_partkey // 2 AS id, count(*) AS n FROM part GROUP BY ALL), h AS (SELECT *, md5(CAST(id AS VARCHAR)) AS m FROM i)
+SELECT severity, CAST(sum(n) AS BIGINT) AS n, CAST(sum(CAST('0x' || m[1:15] AS BIGINT)) AS VARCHAR) || '-' || CAST(sum(CAST('0x' || m[16:30] AS BIGINT)) AS VARCHAR) AS ids_digest FROM h GROUP BY 1""")
 def severity_histogram(spark, d):
-    return reports.severities(table(spark, d, "part").select((c("p_size") % 4).alias("severity"), c("p_partkey").alias("id")))
+    return reports.severities(table(spark, d, "part").select((c("p_size") % 4).alias("severity"), F.floor(c("p_partkey") / 2).cast("long").alias("id")))
 
 
 SUFFIX = "CASE doc_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.md' ELSE '' END"
@@ -80,11 +82,13 @@ def lane_candidates(spark, d):
 
 
 @query("""
-WITH v AS (SELECT 'f' || (event_id % 20) AS path, CASE WHEN event_id % 7 = 0 THEN event_type || '-more' ELSE event_type END AS tag FROM events)
-SELECT t.tag, count(v.tag) AS hits, coalesce(list(DISTINCT path ORDER BY path) FILTER (path IS NOT NULL), []) AS paths FROM (SELECT unnest(['click', 'view', 'nothing']) AS tag) t LEFT JOIN v ON t.tag = v.tag GROUP BY t.tag""")
+WITH v AS (SELECT 'f' || (event_id % 20) AS path, event_type || CASE WHEN event_id % 7 = 0 THEN '-more' ELSE '' END AS tag FROM events WHERE event_id % 11 > 1)
+SELECT t.tag, count(v.tag) AS hits, count(DISTINCT path) AS files FROM (SELECT unnest(['click', 'view', 'nothing']) AS tag) t LEFT JOIN v ON t.tag = v.tag GROUP BY t.tag""")
 def violation_tags(spark, d):
-    tag = F.concat(c("event_type"), F.when(c("event_id") % 7 == 0, "-more").otherwise(""))
-    line = F.concat(F.lit("f"), (c("event_id") % 20).cast("string"), F.lit(": ["), tag, F.lit("] told"))
+    k = c("event_id")
+    tag = F.concat(c("event_type"), F.when(k % 7 == 0, "-more").otherwise(""))
+    place = F.when(k % 11 == 0, ":12").when(k % 11 == 1, ":1:2:3").otherwise(":12:4")  # only the last has two colons
+    line = F.concat(F.lit("f"), (k % 20).cast("string"), place, F.lit(": "), tag, F.lit(": see # noqa: view: told"))
     return reports.tag_hits(table(spark, d, "events").select(line.alias("text")), ["click", "view", "nothing"])
 
 
@@ -180,17 +184,17 @@ def top_first_seen(spark, d):
     return orders.most_common(table(spark, d, "part"), "p_brand", "p_partkey")
 
 
-@query("SELECT p_partkey, p_size FROM part ORDER BY p_size DESC, p_partkey")
+@query("SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS place FROM part")
 def parts_by_size(spark, d):
     return orders.by_size(table(spark, d, "part").select("p_partkey", "p_size"), "p_size", "p_partkey")
 
 
-@query("SELECT url AS path FROM pages ORDER BY url")
+@query("SELECT url AS path, row_number() OVER (ORDER BY url NULLS FIRST) AS place FROM pages")
 def pages_by_path(spark, d):
     return orders.by_path(table(spark, d, "pages").select(c("url").alias("path")))
 
 
-@query("SELECT p_name AS name, count(*) AS occurrences, count(DISTINCT p_brand) AS places FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) >= 2 ORDER BY 2 DESC, 1")
+@query("SELECT *, row_number() OVER (ORDER BY occurrences DESC, name) AS place FROM (SELECT p_name AS name, count(*) AS occurrences, count(DISTINCT p_brand) AS places FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) >= 2)")
 def named_clones(spark, d):
     return orders.by_occurrences(rel.clone_groups(table(spark, d, "part").withColumnRenamed("p_name", "name"), ["name"], "p_brand"))
 
@@ -216,16 +220,16 @@ def recent_by_text(spark, d):
 AGE = "CASE WHEN event_id % 6 = 0 THEN NULL ELSE CAST(event_id % 90 AS INTEGER) END"
 
 
-@query(f"SELECT event_id, age_days FROM (SELECT event_id, {AGE} AS age_days FROM events) ORDER BY age_days DESC NULLS LAST, event_id LIMIT 2000")
+@query(f"SELECT event_id, age_days, row_number() OVER (ORDER BY age_days DESC NULLS LAST, event_id) AS place FROM (SELECT event_id, {AGE} AS age_days FROM events)")
 def oldest_first(spark, d):
     rows = table(spark, d, "events").select("event_id", F.when(c("event_id") % 6 != 0, (c("event_id") % 90).cast("int")).alias("age_days"))
-    return orders.by_age(rows, ordinal="event_id").limit(2000)
+    return orders.by_age(rows, ordinal="event_id")
 
 
-@query(f"SELECT event_id, age_days FROM (SELECT event_id, {AGE} AS age_days FROM events) ORDER BY coalesce(age_days, 0) DESC, event_id LIMIT 9000")
+@query(f"SELECT event_id, age_days, row_number() OVER (ORDER BY coalesce(age_days, 0) DESC, event_id) AS place FROM (SELECT event_id, {AGE} AS age_days FROM events)")
 def oldest_or_zero_first(spark, d):
     rows = table(spark, d, "events").select("event_id", F.when(c("event_id") % 6 != 0, (c("event_id") % 90).cast("int")).alias("age_days"))
-    return orders.by_age_or_zero(rows, ordinal="event_id").limit(9000)
+    return orders.by_age_or_zero(rows, ordinal="event_id")
 
 
 @query("SELECT * FROM (SELECT l_suppkey, l_partkey, count(*) AS n, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY count(*) DESC, l_partkey) AS INTEGER) AS place FROM lineitem GROUP BY l_suppkey, l_partkey) WHERE place <= 5")
@@ -282,11 +286,12 @@ def open_users(spark, d):
     return ledgers.open_findings(found, said, ["error"], F.to_timestamp(F.lit("2024-02-01"))).select("id", "age_days")
 
 
-@query("SELECT event_id, CASE WHEN event_type = 'view' AND event_id % 5 > 0 THEN 'query' ELSE 'action' END AS kind FROM events")
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'action' WHEN event_id % 3 = 0 THEN 'action' WHEN event_id % 5 IN (1, 2) THEN 'query' WHEN event_id % 3 = 1 THEN 'query' ELSE 'unclassified' END AS kind FROM events""")
 def verb_kinds(spark, d):
-    flags = F.when(c("event_id") % 5 == 0, F.array(F.lit("--json"), F.lit("--apply"))).otherwise(F.array(F.lit("--json")))
-    kind = ledgers.verb_class(F.concat(c("event_type"), F.lit("-items")), flags)
-    return table(spark, d, "events").select("event_id", kind.alias("kind"))
+    k = c("event_id")
+    effect = F.when(k % 5 == 0, "yes").when(k % 5 == 1, "no").when(k % 5 == 2, "flag-gated").when(k % 5 == 3, "unknown")
+    name = F.concat(F.when(k % 3 == 0, "Prune").when(k % 3 == 1, "list").otherwise("mystery"), F.lit("-"), c("event_type"))
+    return table(spark, d, "events").select("event_id", ledgers.verb_class(name, effect).alias("kind"))
 
 
 @query("""
@@ -439,14 +444,16 @@ def route_families(spark, d):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, -l_suppkey AS dst FROM lineitem WHERE l_returnflag = 'R' UNION SELECT DISTINCT -l_suppkey, l_partkey + 1 FROM lineitem WHERE l_linenumber = 1 AND l_discount > 0.09),
-b(start, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_size = 50 UNION SELECT start, e.dst, depth + 1 FROM b JOIN e ON b.node = e.src WHERE depth < 3),
-m AS (SELECT start, node, min(depth) AS depth FROM b GROUP BY ALL) SELECT start, list(node ORDER BY depth, node) AS nodes, CAST(max(depth) AS INTEGER) AS depth FROM m GROUP BY start HAVING count(*) > 1""")
+WITH RECURSIVE e AS (SELECT c_custkey AS src, c_custkey + 1 + c_nationkey AS dst, CAST(9 AS BIGINT) AS o FROM customer UNION ALL SELECT c_custkey, c_custkey + 2 + 3 * c_nationkey, CAST(c_nationkey AS BIGINT) FROM customer WHERE c_acctbal > 5000 AND c_nationkey <> 9),
+f AS (SELECT src, dst, min(o) AS o FROM e GROUP BY ALL),
+b(start, node, depth, path) AS (SELECT c_custkey, c_custkey, 0, CAST([] AS BIGINT[]) FROM customer UNION ALL SELECT start, dst, depth + 1, min(list_append(path, o)) FROM b JOIN f ON node = src WHERE depth < 8 GROUP BY start, dst, depth),
+m AS (SELECT start, node, min((depth, path)) AS x FROM b GROUP BY ALL), r AS (SELECT start, node, x[1] AS depth, row_number() OVER (PARTITION BY start ORDER BY x) - 1 AS place, count(*) OVER (PARTITION BY start) AS nodes, max(x[1]) OVER (PARTITION BY start) AS deepest FROM m)
+SELECT start, CAST(place AS INTEGER) AS place, node, depth, nodes, deepest FROM r WHERE nodes > 1""")
 def call_chains(spark, d):
-    line = table(spark, d, "lineitem")
-    down = line.filter("l_returnflag = 'R'").select(c("l_partkey").alias("src"), (-c("l_suppkey")).alias("dst"))
-    up = line.filter("l_linenumber = 1 AND l_discount > 0.09").select(-c("l_suppkey"), c("l_partkey") + 1)
-    return chunks.chains(down.union(up), table(spark, d, "part").filter("p_size = 50").select(c("p_partkey").alias("node")), 3)
+    cust, k, nation = table(spark, d, "customer"), c("c_custkey"), c("c_nationkey").cast("long")
+    near = cust.select(k.alias("src"), (k + 1 + nation).alias("dst"), F.lit(9).cast("long").alias("ordinal"))
+    far = cust.filter("c_acctbal > 5000 AND c_nationkey <> 9").select(k, k + 2 + 3 * nation, nation)
+    return calls.chains(near.union(far), cust.select(k.alias("node")), 8)
 
 
 EFFECT = """

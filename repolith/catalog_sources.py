@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from repolith import session
 from repolith.catalog import query, table
 from repolith.operators import checks, facts, policy, symbols
 from repolith.operators import relational as rel
@@ -189,9 +193,59 @@ def schema_errors(spark, d):
     return logs.validate(rows, [("value", c("value") <= 90, "out of range"), ("type", c("event_type").isin("click", "view"), "unknown")])
 
 
-@query("WITH r AS (SELECT event_type AS source_file, event_id, count(*) OVER (PARTITION BY event_type) AS n, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS back FROM events) SELECT source_file, event_id AS ordinal FROM r WHERE n <= 1990 OR back <= 500")
+@query("WITH r AS (SELECT event_type AS source_file, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS ordinal, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT source_file, ordinal FROM r WHERE n <= 1990 OR ordinal > n - 500")
 def trimmed_logs(spark, d):
-    return sinks.trim_log(table(spark, d, "events").select(c("event_type").alias("source_file"), c("event_id").alias("ordinal")), 1990, 500)
+    line = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id"))  # a log's lines are numbered where it is read
+    return sinks.trim_log(table(spark, d, "events").select(c("event_type").alias("source_file"), line.cast("long").alias("ordinal")), 1990, 500)
+
+
+def written_log(spark, d):
+    """A log of all events as JSON lines in files of ascending ids: after every fifth event a blank line, after every seventh a broken one."""
+    k = c("event_id")
+    line = F.to_json(F.struct("event_id", "event_type"))
+    line = F.concat(line, F.when(k % 5 == 0, "\n  ").otherwise(""), F.when(k % 7 == 0, "\n{broken").otherwise(""))
+    path = f"{session.shared_dir(spark)}/repolith/{uuid.uuid4().hex}"
+    table(spark, d, "events").repartitionByRange(8, "event_id").sortWithinPartitions("event_id").select(line.alias("value")).write.text(path)
+    return path
+
+
+@query("SELECT event_id, event_type, CAST(sum(1 + (event_id % 5 = 0)::INT + (event_id % 7 = 0)::INT) OVER (ORDER BY event_id) - (event_id % 5 = 0)::INT - (event_id % 7 = 0)::INT AS BIGINT) AS line FROM events")
+def json_log_rows(spark, d):
+    """The line of each event, over all files: a file's own line numbers, after the lines of the files before it."""
+    path = written_log(spark, d)
+    rows = logs.read_jsonl(spark, path, "event_id long, event_type string").filter("NOT bad")
+    each = logs.numbered_lines(spark, path).groupBy("source_file").agg(F.max("ordinal").alias("n"))
+    first = rows.groupBy("source_file").agg(F.min("event_id").alias("first"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # of 8 files
+    files = each.join(first, "source_file").withColumn("before", before)
+    return rows.join(F.broadcast(files), "source_file").select("event_id", "event_type", (c("ordinal") + c("before")).alias("line"))
+
+
+@query("SELECT CAST(sum((event_id % 7 = 0)::INT) AS BIGINT) AS bad, CAST(sum(1 + (event_id % 7 = 0)::INT) AS BIGINT) AS lines FROM events")
+def json_log_faults(spark, d):
+    found = logs.bad_rows(logs.read_jsonl(spark, written_log(spark, d), "event_id long, event_type string"))
+    return found.agg(F.sum("bad").alias("bad"), F.sum("lines").alias("lines"))
+
+
+@query("SELECT c_custkey AS id, c_nationkey AS nation FROM customer")
+def keyed_entries(spark, d):
+    """A JSON document for each nation, ``{"entries": {key: entry}}``, and an empty file."""
+    entry = F.map_from_entries(F.collect_list(F.struct(text("c_custkey"), F.struct("c_custkey", "c_nationkey"))))
+    docs = table(spark, d, "customer").groupBy("c_nationkey").agg(F.to_json(F.struct(entry.alias("entries"))).alias("value"))
+    path = f"{session.shared_dir(spark)}/repolith/{uuid.uuid4().hex}"
+    docs.write.partitionBy("c_nationkey").text(path)
+    rows = logs.read_keyed(spark, path, "c_custkey long, c_nationkey int")
+    return rows.select(c("key").cast("long").alias("id"), c("c_nationkey").alias("nation"))
+
+
+@query("SELECT s_suppkey, s_name FROM supplier WHERE s_acctbal > 0")
+def replaced_rows(spark, d):
+    """What is read after two versions were published one after the other."""
+    path = f"{session.shared_dir(spark)}/repolith/{uuid.uuid4().hex}"
+    rows = table(spark, d, "supplier").select("s_suppkey", "s_name")
+    sinks.replace_json(rows, path)
+    sinks.replace_json(table(spark, d, "supplier").filter("s_acctbal > 0").select("s_suppkey", "s_name"), path)
+    return sinks.read_current(spark, path, "s_suppkey long, s_name string")
 
 
 @query("""
@@ -279,10 +333,10 @@ def source_definitions(spark, d):
 
 
 @query(f"""
-SELECT {PATH} AS path, 'Part' || p_partkey || '.first' AS caller, 'other' AS callee_name, 'name' AS call_style, 8 AS line {GOOD}
-UNION ALL SELECT {PATH}, 'Part' || p_partkey || '.third', 'first', 'self', 13 {GOOD} AND p_partkey % 2 = 0
-UNION ALL SELECT {PATH}, 'load_' || p_size, unnest(['first', 'Part' || p_partkey, 'int', 'get']), unnest(['attribute', 'name', 'name', 'attribute']), 15 + {EXTRA} {GOOD}
-UNION ALL SELECT {PATH}, '_call_llm', 'json.loads', 'attribute', 20 + {EXTRA} {GOOD}""")
+SELECT {PATH} AS path, {PATH} || '::Part' || p_partkey || '.first' AS caller, 'other' AS callee_name, 'name' AS call_style, 8 AS line {GOOD}
+UNION ALL SELECT {PATH}, {PATH} || '::Part' || p_partkey || '.third', 'first', 'self', 13 {GOOD} AND p_partkey % 2 = 0
+UNION ALL SELECT {PATH}, {PATH} || '::load_' || p_size, unnest(['first', 'Part' || p_partkey, 'int', 'get']), unnest(['attribute', 'name', 'name', 'attribute']), 15 + {EXTRA} {GOOD}
+UNION ALL SELECT {PATH}, {PATH} || '::_call_llm', 'json.loads', 'attribute', 20 + {EXTRA} {GOOD}""")
 def source_calls(spark, d):
     return facts.call_edges(modules(spark, d)).drop("caller_class")
 

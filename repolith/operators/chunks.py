@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repolith.operators.graph import shortest_depths
+from repolith.session import cut
 
 
 def tile(starts: DataFrame, by: list[str], start: str, total: Column) -> DataFrame:
@@ -20,26 +21,48 @@ def tile(starts: DataFrame, by: list[str], start: str, total: Column) -> DataFra
     )
 
 
-def pack_with_breaks(rows: DataFrame, by: list[str], order: str, tokens: str, forced: str, budget: int) -> DataFrame:
-    """(by, order, chunk): greedy packing; a new chunk where the budget would be passed or ``forced`` holds.
+def pack(rows: DataFrame, by: list[str], order: str, tokens: str, lines: str, closes: Column, token_budget: int, line_budget: int) -> DataFrame:
+    """(by, order, chunk): greedy packing in order, chunks from 1.
 
-    A key's items (a file's symbols) are folded in one row.
+    A chunk closes before the item that would take it over either budget, and after an
+    item for which ``closes`` holds; an item that is over a budget by itself has a chunk
+    of its own.  For each item, the start of the chunk after one that begins with it is
+    looked up in running sums; which items do begin chunks is settled by doubling these
+    jumps, so the work grows with the items, not with the length of a chunk.  ``order``
+    differs within a key, counts aren't negative (null: 0), keys aren't null.
     """
-    item = F.struct(F.col(order).alias("at"), F.col(tokens).cast("long").alias("n"), F.coalesce(forced, F.lit(False)).alias("forced"))
-    items = rows.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("held"), F.array().cast("array<int>").alias("out"))
-
-    def step(s, x):
-        new = (s["chunk"] == 0) | x["forced"] | (s["held"] + x["n"] > budget)
-        chunk = s["chunk"] + F.when(new, 1).otherwise(0)
-        return F.struct(
-            chunk.alias("chunk"), F.when(new, x["n"]).otherwise(s["held"] + x["n"]).alias("held"),
-            F.concat(s["out"], F.array(chunk)).alias("out")
-        )
-
-    chunks = F.aggregate("items", start, step, lambda s: s["out"])
-    zipped = F.explode(F.arrays_zip(F.col("items.at").alias("at"), chunks.alias("chunk")))
-    return items.select(*by, zipped.alias("x")).select(*by, F.col("x.at").alias(order), F.col("x.chunk").alias("chunk"))
+    n = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
+    items = rows.select(*by, order, n(tokens).alias("__n"), n(lines).alias("__m"), F.coalesce(closes, F.lit(False)).alias("__close"))
+    items = items.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
+    until = Window.partitionBy(*by).orderBy("__k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    items = cut(items.withColumns({"__t": F.sum("__n").over(until), "__l": F.sum("__m").over(until)}))
+
+    def over(total: str, own: str, budget: int, name: str) -> DataFrame:
+        """(by, __k, name): the first item whose running sum is above what the chunk that begins at __k can hold."""
+        none = F.lit(None).cast("int")
+        asks = items.select(*by, (F.col(total) - F.col(own) + budget).alias("at"), F.lit(1).alias("kind"), F.col("__k").alias("ask"), none.alias("k"))
+        marks = items.select(*by, F.col(total).alias("at"), F.lit(0), none, F.col("__k"))
+        above = Window.partitionBy(*by).orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
+        return asks.union(marks).withColumn(name, F.min("k").over(above)).filter("kind = 1").select(*by, F.col("ask").alias("__k"), name)
+
+    since = Window.partitionBy(*by).orderBy(F.desc("__k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    forced = F.min(F.when(F.col("__close"), F.col("__k") + 1)).over(since)
+    jumps = items.select(*by, order, "__k", forced.alias("__f"))
+    for part in (over("__t", "__n", token_budget, "__a"), over("__l", "__m", line_budget, "__b")):
+        jumps = jumps.join(part, [*by, "__k"])
+    end = F.lit((1 << 31) - 1)
+    jumps = jumps.select(*by, order, "__k", F.greatest(F.col("__k") + 1, F.least("__a", "__b", "__f", end)).alias("__to"))
+    jumps = cut(jumps.withColumn("__to", F.when(F.col("__to") < end, F.col("__to"))))
+    most = jumps.agg(F.max("__k")).first()[0] or 1
+    starts, step = jumps.filter("__k = 1").select(*by, "__k"), jumps.filter("__to IS NOT NULL").select(*by, "__k", "__to")
+    for _ in range((most - 1).bit_length()):
+        starts = starts.union(starts.join(step, [*by, "__k"]).select(*by, F.col("__to").alias("__k")))
+        onward = step.select(*by, F.col("__k").alias("__to"), F.col("__to").alias("__then"))
+        step = cut(step.join(onward, [*by, "__to"]).select(*by, "__k", F.col("__then").alias("__to")))
+        starts = cut(starts)
+    new = starts.withColumn("__new", F.lit(1))
+    count = F.sum(F.coalesce("__new", F.lit(0))).over(Window.partitionBy(*by).orderBy("__k"))
+    return jumps.join(new, [*by, "__k"], "left").withColumn("chunk", count).select(*by, order, F.col("chunk").cast("int"))
 
 
 def entry_kind(task: Column, view: Column, method: Column, command: Column) -> Column:
@@ -47,14 +70,6 @@ def entry_kind(task: Column, view: Column, method: Column, command: Column) -> C
     return F.when(task, "task").when(view, "view").when(method, "http_method").when(command, "command")
 
 
-def chains(edges: DataFrame, entries: DataFrame, depth: int = 8) -> DataFrame:
-    """(start, nodes, depth) of entry points that reach anything within ``depth`` calls: members in order of depth, then name."""
-    found = shortest_depths(edges, entries, depth)
-    packed = F.array_sort(F.collect_list(F.struct("depth", "node")))
-    out = found.groupBy("start").agg(packed.alias("x"), F.max("depth").cast("int").alias("depth"))
-    return out.filter(F.size("x") > 1).select("start", F.transform("x", lambda m: m["node"]).alias("nodes"), "depth")
-
-
 def effects(edges: DataFrame, writers: DataFrame, entries: DataFrame, depth: int = 3) -> DataFrame:
     """(start, writes, gated): whether an entry reaches a writer within ``depth`` calls, and whether only through gated ones.
 

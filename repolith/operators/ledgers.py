@@ -10,8 +10,16 @@ from pyspark.sql import functions as F
 from repolith.functions.scalars import ancestors
 from repolith.operators.relational import classify
 
-#: Words that begin the name of a command which only asks.
-ASKING = ("check", "find", "get", "list", "query", "scan", "show", "status", "validate", "view")
+# Verbs that begin the name of a command which asks, and of one which acts.
+ASKING = (
+    "list", "show", "check", "audit", "validate", "lint", "report", "status", "summary", "summarize", "coverage",
+    "history", "verify", "diff", "find", "get", "print", "describe", "inspect", "count", "for", "search",
+)
+ACTING = (
+    "init", "add", "append", "update", "rebuild", "promote", "create", "delete", "remove", "clear", "prune", "apply",
+    "install", "uninstall", "set", "write", "record", "import", "export", "run", "build", "generate", "sync", "migrate",
+    "revoke", "grant", "withdraw", "renew", "collect", "stage",
+)
 
 
 def scope_tags(files: DataFrame, focus: list[str]) -> DataFrame:
@@ -51,11 +59,18 @@ def open_findings(findings: DataFrame, events: DataFrame, closing: Iterable[str]
     return findings.join(done, "id", "left_anti").withColumn("age_days", age)
 
 
-def verb_class(name: Column, flags: Column, asking: Iterable[str] = ASKING) -> Column:
-    """``query`` for a command whose first word only asks, unless a flag writes; else ``action``."""
-    first = F.regexp_extract(F.lower(name), r"^([a-z]+)", 1)
-    writes = F.exists(F.coalesce(flags, F.array().cast("array<string>")), lambda f: f.rlike(r"^--(?:write|apply|fix|force|yes)\b"))
-    return F.when(first.isin(*asking) & ~writes, "query").otherwise("action")
+def verb_class(name: Column, effect: Column, asking: Iterable[str] = ASKING, acting: Iterable[str] = ACTING) -> Column:
+    """``action``, ``query`` or ``unclassified`` for a command, by what it was found to write and by its verb.
+
+    ``effect`` is yes, no, flag-gated, or anything else (null too) for what couldn't be
+    told.  A verb can make an action of a command, never a query of one that writes;
+    it counts as a query's only where the effect is unknown.
+    """
+    verb = F.lower(F.substring_index(name, "-", 1))
+    told = F.coalesce(effect, F.lit("unknown"))
+    return F.when((told == "yes") | verb.isin(*acting), "action").when(told.isin("no", "flag-gated") | verb.isin(*asking), "query").otherwise(
+        "unclassified"
+    )
 
 
 def scanned(files: DataFrame, suffixes: dict[str, list[str]], language: str | None = None) -> DataFrame:

@@ -1,27 +1,44 @@
 """Reports in a stated order: what comes first, how ties go, and what is left out.
 
-Only the rows shown are sorted in one place; counts come from partial aggregations.
+Where all rows are wanted, they carry their place; only the rows shown are sorted in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from repolith.session import cut
+
+
+def placed(rows: DataFrame, *order: Column | str, name: str = "place") -> DataFrame:
+    """All rows with their place in an order, from 1; rows that tie share out places anyhow.
+
+    Rows are dealt by ranges of the order and numbered within each; what the ranges
+    before hold is a sum over one row for each range.  No task has all rows.
+    """
+    spark = rows.sparkSession
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = cut(rows.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # of one row for each range
+    sums = dealt.groupBy("__range").agg(F.count("*").alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    nth = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return dealt.withColumn("__nth", nth).join(F.broadcast(sums), "__range").select(*rows.columns, (F.col("__before") + F.col("__nth")).alias(name))
+
 
 def by_size(rows: DataFrame, size: str = "loc", path: str = "path") -> DataFrame:
-    """The largest first, ties by path."""
-    return rows.orderBy(F.desc(size), path)
+    """With ``place``: the largest first, ties by path."""
+    return placed(rows, F.desc(size), F.col(path))
 
 
 def by_path(rows: DataFrame, path: str = "path") -> DataFrame:
-    """By code point, which UTF-8's byte order is."""
-    return rows.orderBy(path)
+    """With ``place``: by code point, which UTF-8's byte order is."""
+    return placed(rows, F.col(path))
 
 
 def by_occurrences(groups: DataFrame) -> DataFrame:
-    """Clone groups: most occurrences first, ties by name."""
-    return groups.orderBy(F.desc("occurrences"), "name")
+    """Clone groups with ``place``: most occurrences first, ties by name."""
+    return placed(groups, F.desc("occurrences"), F.col("name"))
 
 
 def name_groups(groups: DataFrame, n: int = 20) -> DataFrame:
@@ -42,13 +59,13 @@ def most_recent(rows: DataFrame, ts: str, ordinal: str, n: int = 5) -> DataFrame
 
 
 def by_age(rows: DataFrame, age: str = "age_days", ordinal: str = "ordinal") -> DataFrame:
-    """The oldest first, an unknown age last, ties as they came."""
-    return rows.orderBy(F.desc_nulls_last(age), ordinal)
+    """With ``place``: the oldest first, an unknown age last, ties as they came."""
+    return placed(rows, F.desc_nulls_last(age), F.col(ordinal))
 
 
 def by_age_or_zero(rows: DataFrame, age: str = "age_days", ordinal: str = "ordinal") -> DataFrame:
-    """The oldest first; an unknown age ties with 0, ties as they came."""
-    return rows.orderBy(F.coalesce(age, F.lit(0)).desc(), ordinal)
+    """With ``place``: the oldest first; an unknown age ties with 0, ties as they came."""
+    return placed(rows, F.coalesce(age, F.lit(0)).desc(), F.col(ordinal))
 
 
 def top_of_each(rows: DataFrame, by: list[str], count: str, path: str, n: int = 5) -> DataFrame:

@@ -97,16 +97,22 @@ def suppress(findings: DataFrame, markers: DataFrame) -> DataFrame:
     )
 
 
-def tool_status(tools: DataFrame) -> DataFrame:
-    """capability and status (ready, outdated, missing, partial) from tool, version (null: missing) and least version."""
-    state = F.when(F.col("version").isNull(), "missing").when(
-        version_key(F.col("version")) < version_key(F.col("least")), "outdated"
-    ).otherwise("ready")
-    n = tools.groupBy("capability").agg(F.collect_set(state).alias("states"))
-    one = F.when(
-        F.size("states") == 1, F.element_at("states", 1)
-    ).when(F.array_contains("states", "missing"), "partial").otherwise("outdated")
-    return n.select("capability", one.alias("status"))
+def tool_status(tools: DataFrame, projects: DataFrame) -> DataFrame:
+    """(capability, status, reasons): available, too-old or unavailable if all its tools are so, else limited.
+
+    tools: capability, tool, version (null: not there), least; projects: capability of
+    those that have project metadata.  Without it, available is only limited.
+    """
+    old = version_key(F.col("version")) < version_key(F.col("least"))
+    state = F.when(F.col("version").isNull(), "unavailable").when(F.coalesce(old, F.lit(False)), "too-old").otherwise("available")
+    n = tools.groupBy("capability").agg(F.min(state).alias("a"), F.max(state).alias("z"))
+    there = projects.select("capability", F.lit(True).alias("project")).distinct()
+    n = n.join(there, "capability", "left").withColumn("project", F.coalesce("project", F.lit(False)))
+    status = F.when(F.col("a") != F.col("z"), "limited").otherwise(F.col("a"))
+    why = F.when(status == "limited", "partial-toolchain").when(status != "available", F.concat(F.lit("toolchain-"), status))
+    reasons = F.array_compact(F.array(why, F.when(~F.col("project"), "project-metadata-unavailable")))
+    lowered = F.when((status == "available") & ~F.col("project"), "limited").otherwise(status)
+    return n.select("capability", lowered.alias("status"), reasons.alias("reasons"))
 
 
 def trajectory(before: DataFrame, after: DataFrame) -> DataFrame:

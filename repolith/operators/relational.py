@@ -57,23 +57,24 @@ def route(items: DataFrame, rules: DataFrame, text: str) -> DataFrame:
 
 
 def owner(items: DataFrame, registry: DataFrame, path: str = "path", ties: str = "first") -> DataFrame:
-    """Longest-prefix owner of each path, by an equi-join of its parent folders; ``owner`` null where none.
+    """Longest-prefix owner of each path, by an equi-join of the names it can be known by; ``owner`` null where none.
 
-    registry: owner, prefix, ordinal.  ``ties`` first: the first registered of
-    equally long prefixes; all: an array of all of them (more than one is ambiguous).
+    registry: owner, prefix, ordinal.  A prefix that ends in ``/`` owns all below that
+    folder, any other one file.  A leading ``./`` doesn't count on either side.
+    ``ties`` first: the first registered of equally long prefixes; all: an array of all
+    of them (more than one is ambiguous).
     """
-    known = registry.withColumn("prefix", F.regexp_replace("prefix", "/+$", ""))
+    plain = lambda c: F.regexp_replace(F.trim(c), r"^\./", "")
+    known = registry.withColumn("prefix", plain(F.col("prefix")))
     paths = items.select(F.col(path).alias("__path")).distinct()
-    hits = paths.withColumn("prefix", F.explode(ancestors(F.col("__path")))).join(known, "prefix")
-    w = Window.partitionBy("__path").orderBy(F.desc(F.length("prefix")))
+    own = plain(F.col("__path"))
+    folders = F.transform(F.slice(ancestors(own), 2, 1 << 30), lambda f: F.concat(f, F.lit("/")))
+    hits = paths.withColumn("prefix", F.explode(F.array_distinct(F.concat(F.array(own), folders)))).join(known, "prefix")
     if ties == "first":
-        best = hits.withColumn(
-            "r", F.row_number().over(w.orderBy(F.desc(F.length("prefix")), "ordinal"))
-        ).filter("r = 1").select("__path", "owner")
+        best = hits.groupBy("__path").agg(F.max_by("owner", F.struct(F.length("prefix"), -F.col("ordinal"))).alias("owner"))
     else:
-        best = hits.withColumn("r", F.rank().over(w)).filter("r = 1").groupBy("__path").agg(
-            F.array_sort(F.collect_set("owner")).alias("owner")
-        )
+        longest = F.rank().over(Window.partitionBy("__path").orderBy(F.desc(F.length("prefix"))))
+        best = hits.withColumn("r", longest).filter("r = 1").groupBy("__path").agg(F.array_sort(F.collect_set("owner")).alias("owner"))
     return items.join(best, F.col(path) == F.col("__path"), "left").drop("__path")
 
 
@@ -104,47 +105,6 @@ def compare_sides(left: DataFrame, right: DataFrame, key: str, digest: str) -> D
     return l.join(r, key, "full_outer").select(key, state.alias("state"))
 
 
-def overlapping(items: DataFrame, ranges: DataFrame, on: list[str]) -> DataFrame:
-    """Items [start, end] that meet a range of the same key, inclusive.
-
-    One window over both: of the ranges that start no later than an item ends, the
-    furthest end decides.  Nothing is paired, however many of both a key has.
-    """
-    held = F.struct(*[F.col(f"`{c}`") for c in items.columns])
-    a = items.select(
-        *on, F.col("end").alias("__at"), F.lit(1).alias("__kind"), F.lit(None).cast("long").alias("__reach"),
-        held.alias("__item")
-    )
-    b = ranges.select(
-        *on, F.col("start").alias("__at"), F.lit(0).alias("__kind"), F.col("end").cast("long").alias("__reach"),
-        F.lit(None).cast(a.schema["__item"].dataType).alias("__item")
-    )
-    w = Window.partitionBy(*on).orderBy("__at", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = a.unionByName(b).withColumn("__furthest", F.max("__reach").over(w))
-    return both.filter((F.col("__kind") == 1) & (F.col("__furthest") >= F.col("__item.start"))).select("__item.*")
-
-
-def containing(items: DataFrame, spans: DataFrame, on: list[str], name: str) -> DataFrame:
-    """The innermost span (latest start, then earliest end) that holds each item [start, end]; null where none.  Equal items stay apart."""
-    n = items.groupBy(*items.columns).agg(F.count("*").alias("__n"))
-    s = spans.select(
-        *[F.col(c).alias(f"__{c}") for c in on], F.col("start").alias("__s"), F.col("end").alias("__e"),
-        F.col(name).alias("__name")
-    )
-    hits = n.join(s, [F.col(c) == F.col(f"__{c}") for c in on] + [F.col("start") >= F.col("__s"), F.col("end") <= F.col("__e")], "left")
-    best = hits.groupBy(*items.columns, "__n").agg(F.max_by("__name", F.struct("__s", -F.col("__e"))).alias(name))
-    return best.withColumn("__each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).drop("__each", "__n")
-
-
-def placed(items: DataFrame, spans: DataFrame, on: list[str], name: str) -> DataFrame:
-    """``containing`` with ``reason``: null where a span holds the item, ``crosses`` where one only meets it, else ``outside``."""
-    held = containing(items, spans, on, name)
-    met = overlapping(held, spans, on).select(*held.columns, F.lit(True).alias("met")).distinct()
-    same = [held[c].eqNullSafe(met[c]) for c in held.columns]
-    rows = held.join(met, same, "left").select(*[held[c] for c in held.columns], "met")
-    return rows.withColumn("reason", F.when(F.col(name).isNull(), F.when(F.col("met"), "crosses").otherwise("outside"))).drop("met")
-
-
 def last_before(events: DataFrame, probe: Column, other: Column, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """As-of: for each row where ``probe`` holds, ``value`` of the last row before it where ``other`` holds; one window, no join."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
@@ -152,8 +112,9 @@ def last_before(events: DataFrame, probe: Column, other: Column, by: list[str],
 
 
 def first_after(events: DataFrame, other: Column, by: list[str], order: list[str], value: str, name: str) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    return events.withColumn(name, F.first(F.when(other, F.col(value)), ignorenulls=True).over(w))
+    """``value`` of the first row after each where ``other`` holds: the last one before it in the opposite order, which takes one pass."""
+    w = Window.partitionBy(*by).orderBy(*[F.desc_nulls_last(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    return events.withColumn(name, F.last(F.when(other, F.col(value)), ignorenulls=True).over(w))
 
 
 def mentions(texts: DataFrame, terms: DataFrame, key: str, text: str, pattern: str = r"\w+") -> DataFrame:
@@ -166,31 +127,6 @@ def mentions(texts: DataFrame, terms: DataFrame, key: str, text: str, pattern: s
     return wanted.join(found, "term", "left").na.fill(0, ["n", "hits"])
 
 
-def resolve_calls(edges: DataFrame, defs: DataFrame) -> DataFrame:
-    """(caller, callee) by the first strategy that finds anything: same class and file, same class, whole name, last part; self-loops go.
-
-    edges: caller, callee_name, call_style, caller_file, caller_class; defs: qualified_name, name, file, parent_class.
-    """
-    e = edges.withColumns({"edge": F.xxhash64(*edges.columns), "tail": F.substring_index("callee_name", ".", -1)})
-    d = defs.select(
-        F.col("qualified_name").alias("callee"), F.col("name").alias("d_name"), F.col("file").alias("d_file"),
-        F.col("parent_class").alias("d_class")
-    )
-    own, plain = e.filter("call_style = 'self'"), e.filter("call_style IS NULL OR call_style <> 'self'")
-    same = [F.col("tail") == F.col("d_name"), F.col("caller_class") == F.col("d_class")]
-    tried = [
-        own.join(d, same).withColumn("rank", F.when(F.col("caller_file") == F.col("d_file"), 1).otherwise(2)),
-        plain.join(d, F.col("callee_name") == F.col("callee")).withColumn("rank", F.lit(3)),
-        plain.join(d, F.col("callee_name") == F.col("d_name")).withColumn("rank", F.lit(3)),
-        plain.filter("tail <> callee_name").join(d, F.col("tail") == F.col("d_name")).withColumn("rank", F.lit(4)),
-    ]
-    out = tried[0]
-    for t in tried[1:]:
-        out = out.unionByName(t)
-    w = Window.partitionBy("edge").orderBy("rank")
-    return out.withColumn("r", F.rank().over(w)).filter("r = 1 AND caller <> callee").select("caller", "callee").distinct()
-
-
 def resolve_imports(specs: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
     """(importer, spec, target): the first of the ordered candidate paths that exists, else an alias that names exactly one file."""
     cand = specs.select("importer", "spec", F.posexplode("candidates").alias("at", "path")).join(files.select("path").distinct(), "path")
@@ -225,35 +161,6 @@ def next_start(rows: DataFrame, by: list[str], start: str, total: Column) -> Dat
     return rows.withColumn("end", F.coalesce(F.lead(start).over(Window.partitionBy(*by).orderBy(start)) - 1, total))
 
 
-def gaps(spans: DataFrame, by: list[str]) -> DataFrame:
-    """Uncovered [gap_start, gap_end] between spans of each key."""
-    w = Window.partitionBy(*by).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    reach = spans.withColumn("reach", F.max("end").over(w))
-    return reach.filter(F.col("start") > F.col("reach") + 1).select(
-        *by, (F.col("reach") + 1).alias("gap_start"), (F.col("start") - 1).alias("gap_end")
-    )
-
-
-def pack(rows: DataFrame, by: list[str], order: str, tokens: str, budget: int) -> DataFrame:
-    """Greedy packing in order: ``chunk`` numbers from 1, a new chunk where the budget would be passed."""
-    items = rows.groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col(tokens).cast("long").alias("n")))).alias("items")
-    )
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("held"), F.array().cast("array<int>").alias("out"))
-
-    def step(s, x):
-        new = (s["chunk"] == 0) | (s["held"] + x["n"] > budget)
-        chunk = F.when(new, s["chunk"] + 1).otherwise(s["chunk"])
-        return F.struct(
-            chunk.alias("chunk"), F.when(new, x["n"]).otherwise(s["held"] + x["n"]).alias("held"),
-            F.concat(s["out"], F.array(chunk)).alias("out")
-        )
-
-    packed = items.withColumn("chunks", F.aggregate("items", start, step)["out"])
-    flat = packed.select(*by, F.explode(F.arrays_zip("items", "chunks")).alias("x"))
-    return flat.select(*by, F.col("x.items.at").alias(order), F.col("x.items.n").alias(tokens), F.col("x.chunks").alias("chunk"))
-
-
 # aggregates
 
 
@@ -299,53 +206,21 @@ def first_n(rows: DataFrame, key: list[str], ordinal: str, n: int = 3) -> DataFr
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(ordinal))).filter(F.col("nth") <= n).drop("nth")
 
 
-def stragglers(rows: DataFrame, group: list[str], variant: str, site: str) -> DataFrame:
-    """(group, variant, sites) of the classified rows that don't follow the majority of their group."""
-    less = census(rows, group, variant).filter("NOT majority").select(*group, variant)
-    return rows.join(less, [*group, variant], "left_semi").groupBy(*group, variant).agg(F.array_sort(F.collect_set(site)).alias("sites"))
-
+def listed(rows: DataFrame, by: list[str], columns: list[str], name: str, most: int) -> DataFrame:
+    """(by, name): the first ``most`` of a key's rows in the order of ``columns``, as an array of bounded size (structs, if several columns)."""
+    w = Window.partitionBy(*by).orderBy(*columns)
+    first = rows.select(*by, *columns).withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= most)
+    held = F.transform(F.array_sort(F.collect_list(F.struct("__r", *columns))), lambda x: x[columns[0]] if len(columns) == 1 else F.struct(*[x[c].alias(c) for c in columns]))
+    return first.groupBy(*by).agg(held.alias(name))
 
-MATCH = "file string, finding string, instance string"
 
+def set_digest(value: Column) -> Column:
+    """An aggregate: a digest of distinct values, whatever their order, as sums of 60 and 60 bits of each one's MD5; partial sums merge."""
+    half = lambda at: F.sum(F.conv(F.substring(F.md5(value.cast("string").cast("binary")), at, 15), 16, 10).cast("decimal(38,0)"))
+    return F.concat_ws("-", half(1).cast("string"), half(16).cast("string"))
 
-def match_findings(planted: DataFrame, found: DataFrame, tolerance: int = 0) -> DataFrame:
-    """(file, finding, instance): each finding takes the first instance of its file that is left within ``tolerance`` lines, in the order they came.
 
-    planted: id, file, line, ordinal; found: id, file, line, ordinal.  Without a
-    tolerance, equal lines are paired by rank; with one, each file is matched in one go.
-    """
-    if tolerance == 0:
-        w = Window.partitionBy("file", "line").orderBy("ordinal")
-        a = planted.select("file", "line", F.col("id").alias("instance"), F.row_number().over(w).alias("nth"))
-        b = found.select("file", "line", F.col("id").alias("finding"), F.row_number().over(w).alias("nth"))
-        return a.join(b, ["file", "line", "nth"]).select("file", F.col("finding").cast("string"), F.col("instance").cast("string"))
-
-    def pair(key, rows):
-        import pandas as pd
-
-        rows = list(rows.sort_values("ordinal", kind="stable").itertuples())
-        free, out = [r for r in rows if r.kind == 0], []
-        for f in (r for r in rows if r.kind == 1):
-            at = next((i for i, p in enumerate(free) if abs(p.line - f.line) <= tolerance), None)
-            if at is not None:
-                out.append((key[0], f.id, free.pop(at).id))
-        return pd.DataFrame(out, columns=["file", "finding", "instance"])
-
-    kind = F.lit(0).alias("kind")
-    both = planted.select(F.col("id").cast("string"), "file", "line", "ordinal", kind).union(
-        found.select(F.col("id").cast("string"), "file", "line", "ordinal", F.lit(1))
-    )
-    return both.groupBy("file").applyInPandas(pair, MATCH)
-
-
-def grade(planted: DataFrame, found: DataFrame, tolerance: int = 0) -> DataFrame:
-    """tp, fp, fn, precision, recall (empty denominators are 1) and verdict (pass without misses and false positives) of findings on planted lines."""
-    n = match_findings(planted, found, tolerance).agg(F.count("*").alias("tp"))
-    n = n.crossJoin(planted.agg(F.count("*").alias("planted"))).crossJoin(found.agg(F.count("*").alias("found")))  # one row each
-    share = lambda of: F.when(F.col(of) == 0, 1.0).otherwise(F.col("tp") / F.col(of))
-    n = n.withColumns(
-        {"fp": F.col("found") - F.col("tp"), "fn": F.col("planted") - F.col("tp"), "precision": share("found"), "recall": share("planted")}
-    )
-    return n.withColumn(
-        "verdict", F.when((F.col("fp") == 0) & (F.col("fn") == 0), "pass").otherwise("fail")
-    ).select("tp", "fp", "fn", "precision", "recall", "verdict")
+def stragglers(rows: DataFrame, group: list[str], variant: str, site: str) -> DataFrame:
+    """(group, variant, sites) of the classified rows that don't follow the majority of their group."""
+    less = census(rows, group, variant).filter("NOT majority").select(*group, variant)
+    return rows.join(less, [*group, variant], "left_semi").groupBy(*group, variant).agg(F.array_sort(F.collect_set(site)).alias("sites"))

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repolith.functions.scalars import calendar_days, elapsed_days, iso_timestamp, percentage
-from repolith.operators.relational import flags, latest, reasons
+from repolith.operators.relational import flags, latest
 from repolith.sources.sinks import shown
 
 
+# Decisions whose work is queued or under way.
+QUEUED = ("split_queued", "split_in_progress", "consolidate_queued", "consolidate_in_progress")
+
+
 def triage(scans: DataFrame, findings: DataFrame, dismissals: DataFrame, now: str, grace_days: int = 7) -> DataFrame:
     """Scans with findings, the latest of each (skill, target), as grace, acknowledged or unaccounted, with age_days.
 
@@ -62,14 +66,35 @@ def report(build: Callable[[], DataFrame], state: str = "unaccounted", form: str
     return status, "\n".join([", ".join(f"{k}={v}" for k, v in r.asDict().items()) for r in some] + [f"{len(some) + more} {state}"])
 
 
-def needs_review(ledger: DataFrame, metrics: DataFrame, today: str, days: int = 90, loc_delta: int = 50) -> DataFrame:
-    """Entries with their reasons; planned decisions are passed over, and a file without metrics keeps its prior size."""
-    rows = ledger.join(metrics.select("path", F.col("loc").alias("loc_now"), F.col("last_commit").alias("commit_now")), "path", "left")
-    rows = rows.withColumn("loc_now", F.coalesce("loc_now", "loc"))
-    age = calendar_days(F.col("last_reviewed"), F.to_date(F.lit(today)))
-    why = reasons([("age", age >= F.coalesce(F.col("after_days"), F.lit(days))), ("grown", F.col("loc_now") - F.col("loc") >= F.coalesce(F.col("after_loc_delta"), F.lit(loc_delta))), ("changed", F.col("commit_now") > F.col("last_reviewed")), ("unowned", F.col("action_owner").isNull()), ("gone", F.col("loc_now") == 0)])
-    rows = rows.filter("decision <> 'planned'").withColumns({"age_days": age, "reasons": why})
-    return rows.filter(F.size("reasons") > 0).select("path", "loc_now", "age_days", "reasons")
+def needs_review(
+    ledger: DataFrame, metrics: DataFrame, today: str, days: int | None = None, least: int | None = None,
+    growth: int | None = None, skipped: Iterable[str] = QUEUED
+) -> DataFrame:
+    """(path, last_reviewed, decision, current_loc, prior_loc, loc_delta, reasons) of entries to be looked at again, largest first.
+
+    Bounds of the caller: ``days`` of age, ``least`` lines, ``growth`` in per cent since
+    the review (only from a prior size that is known and not 0); bounds of the entry:
+    after_days and after_loc_delta.  All are inclusive, and without a bound there is no
+    trigger.  An entry never reviewed is a million days old, one with an unreadable date
+    0; a file without metrics keeps its prior size.  Decisions in ``skipped`` wait already.
+    """
+    rows = ledger.filter(~F.coalesce(F.col("decision").isin(*skipped), F.lit(False)))
+    rows = rows.join(metrics.select("path", F.col("loc").alias("__now")), "path", "left")
+    prior = F.coalesce("loc", F.lit(0)).cast("long")
+    rows = rows.withColumns({"prior_loc": prior, "current_loc": F.coalesce(F.col("__now").cast("long"), prior)})
+    age, delta = calendar_days(F.col("last_reviewed"), F.to_date(F.lit(today))), F.col("current_loc") - F.col("prior_loc")
+    percent = F.when(F.col("prior_loc") != 0, (delta / F.col("prior_loc") * 100).cast("int"))
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    bound = lambda n: F.lit(n).cast("int")
+    fired = [
+        F.when(age >= bound(days), text("age=", age, "d>=", bound(days), "d")),
+        F.when(age >= F.col("after_days"), text("per-entry age=", age, "d>=", F.col("after_days"), "d")),
+        F.when(F.col("current_loc") >= bound(least), text("loc=", F.col("current_loc"), ">=", bound(least))),
+        F.when(delta >= F.col("after_loc_delta"), text("per-entry delta=", delta, ">=", F.col("after_loc_delta"))),
+        F.when(percent >= bound(growth), text("growth=", percent, "%>=", bound(growth), "%")),
+    ]
+    rows = rows.withColumns({"loc_delta": delta, "reasons": F.array_compact(F.array(*fired))}).filter(F.size("reasons") > 0)
+    return rows.select("path", "last_reviewed", "decision", "current_loc", "prior_loc", "loc_delta", "reasons").orderBy(F.desc("current_loc"), "path")
 
 
 def drift_scan(metrics: DataFrame, ledger: DataFrame, least: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repolith.operators.relational import classify, histograms
+from repolith.operators.relational import classify, listed, size_tier
 
 
 def inventory(files: DataFrame, rules: list[tuple[str, Column]], suffixes: DataFrame) -> DataFrame:
@@ -74,9 +74,19 @@ def domain_of(text: Column, rules: list[tuple[str, str]], default: str = "utilit
     return classify([(name, F.lower(text).rlike(p)) for name, p in rules], default)
 
 
-def prompt_groups(symbols: DataFrame, least: int = 2) -> DataFrame:
-    """(domain, members) of domains with ``least`` symbols or more, members by name; symbols: domain, name."""
-    return symbols.groupBy("domain").agg(F.array_sort(F.collect_list("name")).alias("members")).filter(F.size("members") >= least)
+def prompt_groups(symbols: DataFrame, least: int = 2, most: int = 100) -> DataFrame:
+    """(domain, n, members, omitted) of domains with ``least`` symbols or more: the first ``most`` by name, and how many more there are.
+
+    symbols: domain, name.
+    """
+    n = symbols.groupBy("domain").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return n.join(listed(symbols, ["domain"], ["name"], "members", most), "domain").select("domain", "n", "members", (F.col("n") - F.size("members")).alias("omitted"))
+
+
+def with_domains(definitions: DataFrame, rules: list[tuple[str, str]], tiers: list[tuple[int, str]], rest: str) -> DataFrame:
+    """Collected definitions with the ``domain`` of their file and name, and the ``tier`` of their size, as prompts are made of."""
+    where = F.concat_ws(" ", "path", "qualified_name", "parent_class")
+    return definitions.withColumns({"domain": domain_of(where, rules), "tier": size_tier(F.col("size"), tiers, rest)})
 
 
 def cross_domain(symbols: DataFrame, tiers: list[str], n: int) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repolith.operators.relational import owner
+from repolith.operators.relational import listed, owner, set_digest
 
 
 def runs_and_findings(scans: DataFrame) -> DataFrame:
@@ -24,12 +24,13 @@ def counts_in(events: DataFrame, column: str, vocabulary: list[str]) -> DataFram
     return words.join(n, "value", "full_outer").na.fill(0, ["n"])
 
 
-def by_subsystem(findings: DataFrame, registry: DataFrame) -> DataFrame:
-    """(subsystem, n, findings): the findings (path, id) below each subsystem as sorted structs; those of none under null."""
-    rows = owner(findings, registry)
-    return rows.groupBy(F.col("owner").alias("subsystem")).agg(
-        F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("path", "id"))).alias("findings")
-    )
+def by_subsystem(findings: DataFrame, registry: DataFrame, most: int = 100) -> DataFrame:
+    """(subsystem, n, findings, omitted): the first ``most`` findings (path, id) below each subsystem and how many more; those of none under null."""
+    rows = owner(findings, registry).withColumnRenamed("owner", "subsystem")
+    n = rows.groupBy("subsystem").agg(F.count("*").alias("n"))
+    first = listed(rows, ["subsystem"], ["path", "id"], "findings", most).withColumnRenamed("subsystem", "__of")
+    out = n.join(first, F.col("subsystem").eqNullSafe(F.col("__of")))
+    return out.select("subsystem", "n", "findings", (F.col("n") - F.size("findings")).alias("omitted"))
 
 
 def evidence_rollup(rows: DataFrame, key: str, day: str, number: str, flag: Column, place: str, least: int = 1) -> DataFrame:
@@ -44,9 +45,9 @@ def evidence_rollup(rows: DataFrame, key: str, day: str, number: str, flag: Colu
 
 
 def severities(findings: DataFrame) -> DataFrame:
-    """(severity, n, ids_digest): a histogram, with a digest of the sorted distinct ids, so that two manifests can be compared."""
-    ids = F.array_join(F.array_sort(F.collect_set(F.col("id").cast("string"))), "\n")
-    return findings.groupBy("severity").agg(F.count("*").alias("n"), F.sha2(ids, 256).alias("ids_digest"))
+    """(severity, n, ids_digest): a histogram, with a digest of the distinct ids that doesn't depend on their order, so that two manifests can be compared."""
+    each = findings.groupBy("severity", "id").agg(F.count("*").alias("n"))
+    return each.groupBy("severity").agg(F.sum("n").alias("n"), set_digest(F.col("id")).alias("ids_digest"))
 
 
 def type_counts(files: DataFrame, kinds: dict[str, list[str]]) -> DataFrame:
@@ -64,18 +65,22 @@ def candidates(lanes: DataFrame) -> DataFrame:
     return lanes.groupBy("lane").agg(F.bool_and("complete").alias("complete"), F.array_sort(F.collect_set(pair)).alias("found"))
 
 
-def tag_hits(violations: DataFrame, tags: list[str]) -> DataFrame:
-    """(tag, hits, paths) of violation texts such as ``path: [tag] text``: a tag counts only if it is the whole of what stands in brackets."""
-    rows = violations.select(
-        F.regexp_extract("text", r"\[([^\]]+)\]", 1).alias("tag"),
-        F.regexp_extract("text", r"^([^:\s]+):", 1).alias("path")
-    )
-    n = rows.groupBy("tag").agg(F.count("*").alias("hits"), F.array_sort(F.collect_set(F.nullif("path", F.lit("")))).alias("paths"))
-    wanted = violations.sparkSession.createDataFrame([(t,) for t in tags], "tag string")
-    return wanted.join(n, "tag", "left").select(
-        "tag", F.coalesce("hits", F.lit(0)).alias("hits"),
-        F.coalesce("paths", F.array().cast("array<string>")).alias("paths")
-    )
+def violations(texts: DataFrame) -> DataFrame:
+    """(path, tag) of lines such as ``path:line:col: tag: text``; other lines give none.
+
+    What stands before the first ``: `` must hold exactly two colons, so a text that
+    itself holds ``: name: `` isn't taken for a tag.
+    """
+    parts = F.split("text", ": ", 3)
+    rows = texts.select(parts.alias("p")).filter((F.size("p") > 1) & (F.regexp_count(F.col("p")[0], F.lit(":")) == 2))
+    return rows.select(F.substring_index(F.col("p")[0], ":", 1).alias("path"), F.col("p")[1].alias("tag"))
+
+
+def tag_hits(texts: DataFrame, tags: list[str]) -> DataFrame:
+    """(tag, hits, files): how many violations have exactly that tag, and in how many files; tags without any keep 0."""
+    n = violations(texts).groupBy("tag").agg(F.count("*").alias("hits"), F.countDistinct("path").alias("files"))
+    wanted = texts.sparkSession.createDataFrame([(t,) for t in tags], "tag string")
+    return wanted.join(n, "tag", "left").na.fill(0, ["hits", "files"])
 
 
 def sections(spark: SparkSession, builders: dict[str, Callable[[], DataFrame]]) -> DataFrame:

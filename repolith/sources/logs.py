@@ -2,13 +2,39 @@
 
 from __future__ import annotations
 
-import fnmatch
 import os
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from repolith.session import cut
+
+
+#: Splits whose offsets may be broadcast: a row of a path and three numbers each.
+MOST_SPLITS = 50_000
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(source_file, ordinal, raw) of the lines of text files, blank ones too; ordinals from 1.
+
+    Files are read in pieces, however large they are.  The lines of a piece come in
+    order, so their running number less the least of the piece is their place in it, and
+    what the pieces before it hold is a sum over one row for each piece.  Text isn't
+    shuffled unless there are very many pieces.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("__start"), F.col("value").alias("raw")
+    ).withColumn("__at", F.monotonically_increasing_id())
+    pieces = cut(lines.groupBy("source_file", "__start").agg(F.min("__at").alias("__first"), F.count("*").alias("__n")))
+    before = Window.partitionBy("source_file").orderBy("__start").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    if pieces.limit(MOST_SPLITS + 1).count() <= MOST_SPLITS:
+        pieces = F.broadcast(pieces)
+    place = (F.col("__before") + F.col("__at") - F.col("__first") + 1).alias("ordinal")
+    return lines.join(pieces, ["source_file", "__start"]).select("source_file", place, "raw")
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of JSON-lines files with ``source_file``, ``ordinal`` (line number from 1), ``raw`` and ``bad``.
@@ -16,10 +42,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     Blank lines are skipped; a line that is no JSON object is kept with ``bad`` true
     and null fields, so that callers count, warn or drop.
     """
-    text = spark.read.text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("source_file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "raw")
-    )
-    kept = text.filter(F.trim("raw") != "").withColumn("ordinal", F.col("at") + 1)
+    kept = numbered_lines(spark, path).filter(F.trim("raw") != "")
     fields = T._parse_datatype_string(schema)
     parsed = F.from_json(
         "raw", T.StructType([*fields.fields, T.StructField("_corrupt", T.StringType())]),
@@ -74,46 +97,35 @@ def front_matter(files: DataFrame) -> DataFrame:
     )
 
 
-def file_tree(
-    spark: SparkSession, root: str, glob: str = "*", skipped: list[str] | None = None, text: bool = True,
-    links: bool = False
-) -> DataFrame:
-    """path below ``root``, suffix, size and text of its files, without folders named in ``skipped``; each path once.
+def file_tree(spark: SparkSession, root: str, glob: str = "*", skipped: list[str] | None = None, text: bool = True) -> DataFrame:
+    """path below ``root``, suffix, size and text (null: not UTF-8) of its files, without those below folders named in ``skipped``; each path once.
 
-    Names are listed and filtered before any contents are read; symbolic links, of
-    files and of folders, are passed over unless ``links`` is set.
+    Spark lists the tree, in tasks where it is large, and the listing stays with it: no
+    folder is walked here and no file is read before its path is chosen.  Symbolic links
+    are followed as the file system follows them; ``linked`` finds them on a local one.
     """
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path
-    base = at(root)
-    fs = base.getFileSystem(conf)
-    home, out, todo = fs.resolvePath(base).toString(), [], [(base, "")]
-    local = fs.getUri().getScheme() == "file"
-    while todo:
-        folder, below = todo.pop()
-        for f in fs.listStatus(folder):
-            name = f.getPath().getName()
-            path = f"{below}{name}"
-            linked = f.isSymlink() or (local and os.path.islink(f.getPath().toUri().getPath()))
-            if linked and not links:
-                continue
-            if f.isDirectory():
-                if name not in (skipped or ()):
-                    todo.append((f.getPath(), path + "/"))
-            elif fnmatch.fnmatchcase(name, glob):
-                out.append((path, f.getLen(), f"{home.rstrip('/')}/{path}"))
-    rows = spark.createDataFrame(out, "path string, size long, file string").withColumn(
-        "suffix", F.regexp_extract("path", r"(\.[^./]+)$", 1)
-    )
-    if text and out:
-        read = spark.read.text([r[2] for r in out], wholetext=True).select(
-            F.col("_metadata.file_path").alias("read"), F.col("value").alias("text")
-        )
-        plain = lambda c: F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^file:/+", "/")
-        rows = rows.join(read, F.regexp_replace("file", "^file:/+", "/") == plain(F.col("read")), "left").drop("read")
-    elif text:
-        rows = rows.withColumn("text", F.lit(None).cast("string"))
-    return rows.drop("file")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    home = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    top = home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).resolvePath(home).toUri().getPath().rstrip("/")
+    plain = F.regexp_replace("path", "^[a-z]+:(//[^/]*)?/*", "/")
+    below = F.substring(plain, F.lit(len(top) + 2), F.length(plain))
+    rows = files.select(below.alias("path"), F.col("length").alias("size"), *[F.col("content")] * text)
+    if skipped:
+        folders = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
+        rows = rows.filter(~F.arrays_overlap(folders, F.array(*map(F.lit, skipped))))
+    rows = rows.withColumn("suffix", F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    return rows.withColumn("text", F.try_validate_utf8(F.col("content").cast("string"))).drop("content") if text else rows
+
+
+def linked(paths: DataFrame, root: str) -> DataFrame:
+    """The rows (path, ...) that are symbolic links below a local ``root``, or lie in a linked folder; looked at where the rows are."""
+
+    def run(batches):
+        for b in batches:
+            at = [os.path.join(root, p) for p in b.column("path").to_pylist()]
+            yield b.filter(pa.array([os.path.realpath(a) != os.path.join(os.path.realpath(root), os.path.relpath(a, root)) for a in at], pa.bool_()))
+
+    return paths.mapInArrow(run, paths.schema)
 
 
 def validate(rows: DataFrame, rules: list[tuple[str, Column, str]], ordinal: str = "ordinal") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -20,18 +21,49 @@ def write_valid(rows: DataFrame, rules: list[tuple[str, Column, str]], path: str
     return validate(rows, rules, ordinal)
 
 
-def replace_json(rows: DataFrame, path: str) -> None:
-    """Put the rows as JSON in place of what is at ``path``: written beside it first, so that readers see the old or the new rows, and a failed write leaves the old."""
+#: A published version's folder; the greatest number is the one that counts.
+VERSION = re.compile(r"^v(\d{12})$")
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The published versions below ``path``, the oldest first."""
+    fs, at = _file_system(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(at(path))] if fs.exists(at(path)) else []
+    return sorted(n for n in names if VERSION.match(n))
+
+
+def replace_json(rows: DataFrame, path: str, keep: int = 2) -> str:
+    """Publish the rows as JSON in place of those at ``path``; returns the new version's name.  ``read_current`` reads what counts.
+
+    The rows are written aside and become a version by one rename to a name that isn't
+    there yet.  Whenever a write fails, the version before it counts; at any moment a
+    reader finds all of the old rows or all of the new ones.  If two writers come to the
+    same number, one of them fails.  The last ``keep`` versions stay, for those who read them still.
+    """
     spark = rows.sparkSession
-    staged, old = f"{path}.{uuid.uuid4().hex}.new", f"{path}.{uuid.uuid4().hex}.old"
-    rows.write.json(staged)
     fs, at = _file_system(spark, path)
-    if fs.exists(at(path)) and not fs.rename(at(path), at(old)):
-        raise OSError(f"{path} can't be moved")
-    if not fs.rename(at(staged), at(path)):
-        fs.rename(at(old), at(path))
-        raise OSError(f"{path} can't be replaced")
-    fs.delete(at(old), True)
+    staged = f"{path}/.{uuid.uuid4().hex}"
+    rows.write.json(staged)
+    before = versions(spark, path)
+    name = f"v{int(before[-1][1:]) + 1 if before else 1:012d}"
+    publish(spark, staged, f"{path}/{name}")
+    for old in [*before, name][:-keep]:
+        fs.delete(at(f"{path}/{old}"), True)
+    return name
+
+
+def publish(spark: SparkSession, staged: str, path: str) -> None:
+    """One rename, which fails if there is something at ``path`` already."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(at(path).toUri(), conf).rename(at(staged), at(path), options)
+
+
+def read_current(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of the greatest version; none if nothing was published."""
+    found = versions(spark, path)
+    return spark.read.schema(schema).json(f"{path}/{found[-1]}") if found else spark.createDataFrame([], schema)
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -65,10 +97,14 @@ def latest_with_history(versions: DataFrame, key: list[str], at: str) -> DataFra
 
 
 def trim_log(rows: DataFrame, floor: int, keep: int) -> DataFrame:
-    """The last ``keep`` lines of each log that has over ``floor`` lines, all lines of the others."""
-    by = Window.partitionBy("source_file")
-    ranked = rows.withColumns({"lines": F.count("*").over(by), "back": F.row_number().over(by.orderBy(F.desc("ordinal")))})
-    return ranked.filter((F.col("lines") <= floor) | (F.col("back") <= keep)).drop("lines", "back")
+    """The last ``keep`` lines of each log that has over ``floor`` lines, all lines of the others.
+
+    ``ordinal`` is the line number, so a log's last one says how long it is and where to
+    cut: one partial aggregation, and no log is sorted.
+    """
+    last = rows.groupBy(F.col("source_file").alias("__of"), F.xxhash64("source_file")).agg(F.max("ordinal").alias("__last"))
+    both = rows.join(last, F.col("source_file").eqNullSafe(F.col("__of")))
+    return both.filter((F.col("__last") <= floor) | (F.col("ordinal") > F.col("__last") - keep)).select(*rows.columns)
 
 
 def drift(now: DataFrame, stored: DataFrame) -> DataFrame:

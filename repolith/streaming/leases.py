@@ -1,78 +1,144 @@
-"""Append-only logs as streams: latest state of each entity, and leases that are used up."""
+"""Leases on rules: granted, looked up, used up, expired and ended, as two keyed states with timers."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming.state import GroupStateTimeout
-
-
-def log_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.readStream.schema(schema).json(path)
-
-
-def each_batch(stream: DataFrame, fold: Callable[[DataFrame, int], None], checkpoint: str):
-    """Run ``fold`` on every micro-batch that is there, then stop."""
-    return stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from repolith.session import prepare
 
 #: A compound command, which no grant covers.
 COMPOUND = re.compile(r"[;&|`\n]|\$\(")
+#: What events may hold, in the order in which rows go from one state to the next.
+EVENT = {
+    "rule_id": "string", "kind": "string", "at": "long", "ordinal": "long", "grant_id": "string", "expires_at": "long", "session_id": "string",
+    "uses": "int", "command_pattern": "string", "path_regex": "string", "command": "string", "paths": "array<string>", "event_time": "timestamp",
+}
+GRANT = "grant_id string, expires_at long, session_id string, uses int, command_pattern string, path_regex string"
 
 
-def covers(grant: dict, request) -> bool:
+def covers(grant: Row, request: Row) -> bool:
     """Whether a grant fits a request: its session, its command and all its paths; compound commands and, where a glob is set, empty path lists never fit."""
-    if grant["session"] not in ("", request.session_id):
+    if grant.session_id is not None and grant.session_id != request.session_id:
         return False
-    command = getattr(request, "command", None) or ""
-    if grant["command"] and (COMPOUND.search(command) or not re.search(grant["command"], command)):
+    command, paths = request.command or "", list(request.paths or [])
+    if grant.command_pattern and (COMPOUND.search(command) or not re.search(grant.command_pattern, command)):
         return False
-    paths = getattr(request, "paths", None)
-    paths = [] if paths is None else list(paths)
-    return not grant["paths"] or (bool(paths) and all(re.search(grant["paths"], p) for p in paths))
-
-
-def _consume(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """State of a rule: its live grants as parallel lists; a rule without any has no state."""
-    names = ["id", "expiry", "session", "uses", "command", "paths"]
-    grants = [dict(zip(names, g)) for g in zip(*state.get)] if state.exists else []
-    rows = pd.concat(list(frames)).sort_values(["at", "ordinal"])
-    out = []
-    for r in rows.itertuples():
-        grants = [g for g in grants if g["expiry"] >= r.at]
-        if r.kind == "grant":
-            uses = int(r.uses) if r.uses == r.uses and r.uses is not None else -1
-            grants.append(dict(zip(names, (r.grant_id, int(r.expires_at), r.session_id or "", uses, getattr(r, "command_pattern", None) or "", getattr(r, "path_regex", None) or ""))))
-        elif r.kind == "end":
-            grants = [g for g in grants if g["session"] != r.session_id]
-        else:
-            hit = next((g for g in grants if covers(g, r)), None)
-            out.append((key[0], r.ordinal, hit and hit["id"]))
-            if hit and hit["uses"] > 0:
-                hit["uses"] -= 1
-                grants = [g for g in grants if g is not hit or g["uses"]]
-    if grants:
-        state.update(tuple([g[n] for g in grants] for n in names))
-    elif state.exists:
-        state.remove()
-    yield pd.DataFrame(out, columns=["rule_id", "ordinal", "grant_id"])
+    return not grant.path_regex or (bool(paths) and all(re.search(grant.path_regex, p) for p in paths))
+
+
+def in_order(rows: Iterator[Row]) -> list[Row]:
+    return sorted(rows, key=lambda r: (r.at, r.ordinal))
 
 
-STATE = "ids array<string>, expiry array<long>, session array<string>, uses array<int>, command array<string>, paths array<string>"
+class Sessions(StatefulProcessor):
+    """By session: the rules that have had a grant in it and when the last of each expires.  An end becomes one end for each of them; all else goes on."""
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rules = handle.getMapState("rules", "rule_id string", "expires_at long")
 
-def lease_stream(events: DataFrame) -> DataFrame:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        for r in in_order(rows):
+            if r.kind == "end":
+                for rule in [k[0] for k in self.rules.keys()]:
+                    yield Row(*[rule if n == "rule_id" else r[n] for n in EVENT])
+                self.rules.clear()
+                continue
+            if r.kind == "grant" and r.session_id is not None:
+                held = self.rules.getValue((r.rule_id,)) if self.rules.containsKey((r.rule_id,)) else None
+                last = max(r.expires_at, held[0] if held else r.expires_at)
+                self.rules.updateValue((r.rule_id,), (last,))
+                self.handle.registerTimer((last + 1) * 1000)
+            yield Row(*[r[n] for n in EVENT])
+
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        for rule in [k for k, v in self.rules.iterator() if (v[0] + 1) * 1000 <= now]:
+            self.rules.removeKey(rule)
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class Leases(StatefulProcessor):
+    """By rule: its live grants in the order they came."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.grants = handle.getListState("grants", GRANT)
+
+    def keep(self, grants: list[Row]) -> None:
+        if grants:
+            self.grants.put([tuple(g) for g in grants])
+        else:
+            self.grants.clear()
+
+    def held(self) -> list[Row]:
+        named = Row(*[f.split()[0] for f in GRANT.split(", ")])
+        return [named(*g) for g in self.grants.get()]
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        named = Row(*[f.split()[0] for f in GRANT.split(", ")])
+        grants = self.held()
+        for r in in_order(rows):
+            grants = [g for g in grants if g.expires_at >= r.at]
+            if r.kind == "grant":
+                grants.append(named(r.grant_id, r.expires_at, r.session_id, r.uses, r.command_pattern, r.path_regex))
+                self.handle.registerTimer((r.expires_at + 1) * 1000)
+            elif r.kind == "end":
+                grants = [g for g in grants if g.session_id != r.session_id]
+            else:
+                nth = next((k for k, g in enumerate(grants) if covers(g, r)), None)
+                yield Row(key[0], r.ordinal, None if nth is None else grants[nth].grant_id)
+                if nth is not None and grants[nth].uses is not None:
+                    left = grants[nth].uses - 1
+                    grants[nth : nth + 1] = [named(*[left if n == "uses" else grants[nth][n] for n in grants[nth].__fields__])] if left > 0 else []
+        self.keep(grants)
+
+    def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        self.keep([g for g in self.held() if (g.expires_at + 1) * 1000 > now])
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+#: The state store that keyed states with timers need.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keyed_states(df: DataFrame) -> DataFrame:
+    """The stream, in a session whose state store can keep lists, maps and timers."""
+    prepare(df.sparkSession).conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    return df
+
+
+def lease_stream(events: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """(rule_id, ordinal, grant_id or null) for each request, in (at, ordinal) order within a micro-batch.
 
     events: rule_id, kind (grant, request, end), at and expires_at (long seconds),
     ordinal, grant_id, session_id, uses, and if they matter command_pattern and
-    path_regex of grants, command and paths of requests.  Expired grants are pruned
-    (expiry is inclusive), a session's end drops its grants, a grant without uses left
-    goes, and a rule without grants leaves no state.
+    path_regex of grants, command and paths of requests.  Expiry is inclusive.  A grant
+    without uses left goes, and so does one whose expiry the watermark has passed
+    (``delay`` behind the latest event), though its rule stays silent.  A session's end
+    takes its grants from all rules, whatever rule the event names.  Events behind the
+    watermark are dropped.
     """
-    return events.groupBy("rule_id").applyInPandasWithState(
-        _consume, "rule_id string, ordinal long, grant_id string", STATE, "append", GroupStateTimeout.NoTimeout
+    there = set(events.columns)
+    rows = keyed_states(events).select(
+        *[(F.col(c) if c in there else F.lit(None)).cast(t).alias(c) for c, t in EVENT.items() if c != "event_time"],
+        F.timestamp_seconds("at").alias("event_time")
+    ).withWatermark("event_time", delay)
+    schema = ", ".join(f"{c} {t}" for c, t in EVENT.items())
+    told = rows.withColumn("session", F.coalesce("session_id", F.lit(""))).groupBy("session").transformWithState(
+        Sessions(), schema, "Append", "EventTime", eventTimeColumnName="event_time"
     )
+    return told.groupBy("rule_id").transformWithState(Leases(), "rule_id string, ordinal long, grant_id string", "Append", "EventTime")

@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from repolith.functions import scalars
-from repolith.operators import graph, relational as rel, symbols
+from repolith.operators import calls, graph, intervals, matching, relational as rel, symbols
 from repolith.plans import audits
 from repolith.sources import logs, sinks
-from repolith.streaming import leases
+from repolith.streaming import folds, leases
 
 
 def one(spark, column):
@@ -90,16 +90,11 @@ def test_intervals(spark):
     spans = spark.createDataFrame([("f", 1, 10, "outer"), ("f", 4, 6, "inner")], "path string, start int, `end` int, owner string")
     hits = spark.createDataFrame([("f", 5, 5), ("f", 9, 9), ("f", 11, 11), ("g", 5, 5)], "path string, start int, `end` int")
     assert {
-        (r["path"], r["start"]): r["owner"] for r in rel.containing(hits, spans, ["path"], "owner").collect()
+        (r["path"], r["start"]): r["owner"] for r in intervals.containing(hits, spans, ["path"], "owner").collect()
     } == {("f", 5): "inner", ("f", 9): "outer", ("f", 11): None, ("g", 5): None}
-    assert sorted(r["start"] for r in rel.overlapping(hits, spans, ["path"]).collect()) == [5, 9]
+    assert sorted(r["start"] for r in intervals.overlapping(hits, spans, ["path"]).collect()) == [5, 9]
     parts = spark.createDataFrame([("f", 1, 3), ("f", 2, 2), ("f", 4, 5), ("f", 8, 9)], "path string, start int, `end` int")
-    assert [(r["gap_start"], r["gap_end"]) for r in rel.gaps(parts, ["path"]).collect()] == [(6, 7)]
-
-
-def test_packing(spark):
-    rows = spark.createDataFrame([("f", k, n) for k, n in enumerate([5, 5, 1, 20, 3, 7])], "path string, at int, tokens int")
-    assert [r["chunk"] for r in rel.pack(rows, ["path"], "at", "tokens", 10).orderBy("at").collect()] == [1, 1, 2, 3, 4, 4]
+    assert [(r["gap_start"], r["gap_end"]) for r in intervals.gaps(parts, ["path"]).collect()] == [(6, 7)]
 
 
 def test_calls_and_imports(spark):
@@ -109,13 +104,13 @@ def test_calls_and_imports(spark):
     )
     edges = spark.createDataFrame(
         [
-            ("A.go", "self.run", "self", "a.py", "A"), ("main", "x.help", None, "a.py", None),
-            ("help", "help", None, "a.py", None), ("main", "run", None, "c.py", None)
+            ("a.py::A.go", "run", "self", "a.py", "A"), ("a.py::main", "x.help", None, "a.py", None),
+            ("a.py::help", "help", None, "a.py", None), ("c.py::main", "run", None, "c.py", None)
         ],
         "caller string, callee_name string, call_style string, caller_file string, caller_class string"
     )
-    assert sorted(tuple(r) for r in rel.resolve_calls(edges, defs).collect()) == [
-        ("A.go", "A.run"), ("main", "A.run"), ("main", "B.run"), ("main", "help")
+    assert sorted(tuple(r) for r in calls.resolve_calls(edges, defs).collect()) == [
+        ("a.py::A.go", "a.py::A.run"), ("a.py::main", "a.py::help"), ("c.py::main", "a.py::A.run"), ("c.py::main", "b.py::B.run")
     ]
     specs = spark.createDataFrame(
         [("m.py", "x", ["x.py", "x/i.py"]), ("m.py", "y", ["no.py"]), ("m.py", "z", ["no.py"])],
@@ -143,11 +138,11 @@ def test_diff_census_grade_ties(spark):
         [("p1", "f", 1, 1), ("p2", "f", 1, 2), ("p3", "f", 3, 3)], "id string, file string, line int, ordinal int"
     )
     found = spark.createDataFrame([("a", "f", 1, 1), ("b", "f", 4, 2)], "id string, file string, line int, ordinal int")
-    r = rel.grade(planted, found).first()
+    r = matching.grade(planted, found).first()
     assert (r["tp"], r["fp"], r["fn"], r["precision"], r["verdict"]) == (1, 1, 2, 0.5, "fail")
-    assert {(r["finding"], r["instance"]) for r in rel.match_findings(planted, found, 3).collect()} == {("a", "p1"), ("b", "p2")}
-    assert rel.grade(planted, found, 3).first()["recall"] == 2 / 3
-    assert rel.grade(planted.limit(0), found.limit(0)).first()["recall"] == 1.0
+    assert {(r["finding"], r["instance"]) for r in matching.match_findings(planted, found, 3).collect()} == {("a", "p1"), ("b", "p2")}
+    assert matching.grade(planted, found, 3).first()["recall"] == 2 / 3
+    assert matching.grade(planted.limit(0), found.limit(0)).first()["recall"] == 1.0
     s = spark.createDataFrame([(1,), (2,), (2,), (3,)], "n int")
     assert sorted(r["n"] for r in rel.top_ties(s, "n", 2).collect()) == [2, 2, 3]
 
@@ -189,17 +184,9 @@ def test_triage(spark):
 
 
 def test_ledger_and_coverage(spark):
-    schema = "path string, last_reviewed string, loc int, decision string, action_owner string, after_days int, after_loc_delta int"
-    ledger = spark.createDataFrame(
-        [
-            ("a", "2024-01-01", 10, "keep", "me", None, None), ("b", "2024-03-01", 10, "keep", "me", None, 5),
-            ("c", None, 1, "planned", None, None, None)
-        ],
-        schema
-    )
-    metrics = spark.createDataFrame([("b", 15, "2024-02-01"), ("d", 500, None)], "path string, loc int, last_commit string")
-    got = {r["path"]: r["reasons"] for r in audits.needs_review(ledger, metrics, "2024-03-31").collect()}
-    assert got == {"a": ["age"], "b": ["grown"]}
+    schema = "path string, last_reviewed string, loc int, decision string, after_days int, after_loc_delta int"
+    ledger = spark.createDataFrame([("a", "2024-01-01", 10, "keep", None, None), ("b", "2024-03-01", 10, "keep", None, 5)], schema)
+    metrics = spark.createDataFrame([("b", 15), ("d", 500)], "path string, loc int")
     assert [r["path"] for r in audits.drift_scan(metrics, ledger, 100).collect()] == ["d"]
     items = spark.createDataFrame([("s", "1", "done"), ("s", "2", "done"), ("s", "3", "open")], "spec string, item string, status string")
     refs = spark.createDataFrame([("s", "1", "x"), ("s", "3", "y"), ("s", "9", "z")], "spec string, item string, path string")
@@ -240,9 +227,9 @@ def test_leases(spark, tmp_path):
     ]
     schema = "rule_id string, kind string, at long, ordinal long, grant_id string, expires_at long, session_id string, uses int"
     spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / "in"))
-    out = leases.lease_stream(leases.log_stream(spark, str(tmp_path / "in"), schema))
+    out = leases.lease_stream(folds.log_stream(spark, str(tmp_path / "in"), schema))
     got = []
-    leases.each_batch(out, lambda b, _: got.extend(map(tuple, b.collect())), str(tmp_path / "cp")).awaitTermination()
+    folds.each_batch(out, lambda b, _: got.extend(map(tuple, b.collect())), str(tmp_path / "cp")).awaitTermination()
     assert sorted(got, key=lambda r: r[1]) == [("r", 2, "g1"), ("r", 3, None), ("q", 5, "g2"), ("q", 6, None), ("p", 9, None)]
 
 

@@ -6,11 +6,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from repolith.operators import facts, policy
+from repolith.operators import facts, intervals, policy
 from repolith.operators import relational as rel
 from repolith.plans import audits, reports
 from repolith.sources import logs, metadata, registries, sinks
-from repolith.streaming import leases
+from repolith.streaming import folds, leases
 
 
 def test_file_tree_lists_before_it_reads(spark, tmp_path):
@@ -76,8 +76,8 @@ def test_leases_look_at_commands_and_paths(spark, tmp_path):
     ]
     spark.createDataFrame(rows, schema).coalesce(1).write.json(str(tmp_path / "in"))
     got = []
-    out = leases.lease_stream(leases.log_stream(spark, str(tmp_path / "in"), schema))
-    leases.each_batch(out, lambda b, _: got.extend(map(tuple, b.collect())), str(tmp_path / "cp")).awaitTermination()
+    out = leases.lease_stream(folds.log_stream(spark, str(tmp_path / "in"), schema))
+    folds.each_batch(out, lambda b, _: got.extend(map(tuple, b.collect())), str(tmp_path / "cp")).awaitTermination()
     assert sorted((o, g) for _, o, g in got) == [(2, None), (3, None), (4, None), (5, None), (6, "g"), (7, None)]
 
 
@@ -88,7 +88,7 @@ def test_equal_items_stay_apart(spark):
         "path string, start int, end int, name string"
     )
     assert sorted(
-        (r.start, r.name) for r in rel.containing(items, spans, ["path"], "name").collect()
+        (r.start, r.name) for r in intervals.containing(items, spans, ["path"], "name").collect()
     ) == sorted([(2, "inner")] * 2 + [(9, None)], key=str)
 
 
