@@ -116,6 +116,10 @@ def reducers(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Bytes that Spark takes rows to have whose size it doesn't know, or more.
+UNKNOWN = 2.0**60
+
+
 def parts_for(rows: DataFrame) -> int:
     """Parts that keys are dealt to: as many for each reducer as its share of the input has slices.
 
@@ -124,7 +128,8 @@ def parts_for(rows: DataFrame) -> int:
     """
     n = reducers(rows.sparkSession)
     size = float(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return n * max(1, min(256, math.ceil(size / SLICE / n)))
+    slices = math.ceil(size / SLICE / n) if size < UNKNOWN else 16
+    return n * max(1, slices)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

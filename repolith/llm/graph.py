@@ -19,7 +19,8 @@ def tiles(rows: DataFrame, keys: list[str], node: str, most: int) -> DataFrame:
     size, and every pair of a bucket still meets in exactly one tile.  Column
     ``chunk`` is the row's own chunk.  Buckets are sized by a partial aggregation.
     """
-    sizes = rows.groupBy(*keys).count().filter("count > 1")
+    # grouped by a further hash, so that the join has exchanges of its own, which adaptive execution can split
+    sizes = rows.groupBy(*keys, F.xxhash64(*keys)).agg(F.count("*").alias("count")).filter("count > 1").select(*keys, "count")
     chunks = F.ceil(F.col("count") / F.lit(float(most))).cast("int")
     dealt = rows.join(sizes, keys).withColumn("chunks", chunks)
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64(node), F.col("chunks")).cast("int"))

@@ -275,7 +275,8 @@ def keep_one_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5, m
     kinds = "__none boolean, __doc long, __h1 long, __h2 long"
     rows = cut(_with_row(docs).select(*ROW, "__text").mapInArrow(sketch, f"{kinds}, node long, keys array<long>"))
     keyed = rows.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least != most")
+    shared = keyed.groupBy("key", F.xxhash64("key")).agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    shared = shared.filter("least != most").select("key", "least", "most")
     stars = keyed.join(shared, "key").filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     near = components(cut(stars)).withColumnRenamed("root", "near")
     near = near.union(near.select(F.col("near").alias("node"), "near").distinct())
