@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repolith import session
 from repolith.functions import scalars
 from repolith.operators import chunks, detectors, graph, intervals, relational as rel
 from repolith.plans import matrix, registries
+from repolith.streaming import folds
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -260,13 +264,33 @@ def layer_violations(spark, d):
     return detectors.layer_violations(edges, layers, spark.createDataFrame(LAYERS, "from_layer string, to_layer string"))
 
 
-@query("SELECT u AS id, coalesce(last_type, 'new') AS state, n AS transitions FROM (SELECT c_custkey AS u FROM customer) LEFT JOIN (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_type, count(*) AS k FROM events GROUP BY user_id) ON u = user_id CROSS JOIN LATERAL (SELECT coalesce(k, 0) AS n)")
-def folded_states(spark, d):
-    e = table(spark, d, "events").select(
+FOLDED = "SELECT u AS id, coalesce(last_type, 'new') AS state, n AS transitions FROM (SELECT c_custkey AS u FROM customer) LEFT JOIN (SELECT user_id, arg_max(event_type, (ts, event_id)) AS last_type, count(*) AS k FROM events GROUP BY user_id) ON u = user_id CROSS JOIN LATERAL (SELECT coalesce(k, 0) AS n)"
+
+
+def transitions(spark, d):
+    return table(spark, d, "events").select(
         F.col("user_id").alias("id"), F.col("ts").alias("at"), F.col("event_id").alias("ordinal"),
         F.col("event_type").alias("to_state")
     )
-    return detectors.fold_states(e, table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("new").alias("state")))
+
+
+def entities(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.lit("new").alias("state"))
+
+
+@query(FOLDED)
+def folded_states(spark, d):
+    return detectors.fold_states(transitions(spark, d), entities(spark, d))
+
+
+@query(FOLDED)
+def folded_stream(spark, d):
+    """The same from a log that comes as a stream, its state beginning with the intake."""
+    base = f"{session.shared_dir(spark)}/repolith/{uuid.uuid4().hex}"
+    transitions(spark, d).write.json(f"{base}/in")
+    stream = folds.fold_stream(folds.log_stream(spark, f"{base}/in", "id long, at timestamp, ordinal long, to_state string"), entities(spark, d))
+    folds.each_batch(stream, folds.keep_batch(f"{base}/out"), f"{base}/checkpoint", "update").awaitTermination()
+    return folds.kept_states(spark, f"{base}/out", entities(spark, d))
 
 
 @query("SELECT event_id, EXISTS (SELECT 1 FROM events v WHERE v.event_type = 'view' AND v.user_id = e.user_id AND v.ts <= e.ts AND floor(epoch(e.ts)) - floor(epoch(v.ts)) <= 12 * 3600) AS backed FROM events e WHERE event_type = 'purchase'")

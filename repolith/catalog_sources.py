@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from repolith import session
 from repolith.catalog import query, table
-from repolith.operators import checks, facts, policy, symbols
+from repolith.operators import checks, clones, facts, policy, symbols
 from repolith.operators import relational as rel
 from repolith.sources import logs, metadata, registries, sinks
 
@@ -531,3 +531,16 @@ def changed_in_range(spark, d):
     commits = line.join(done, "l_orderkey", "left_semi").select(commit).distinct().withColumn("ordinal", c("id"))
     kind = F.when(c("l_returnflag") == "R", "deleted").otherwise("modified")
     return metadata.changed_in_range(commits, line.select(commit, c("l_partkey").alias("path"), kind.alias("change_type")))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS t FROM d),
+k AS (SELECT doc_id, line, regexp_extract_all(t, '[A-Za-z0-9_]+|[^ \t-\rA-Za-z0-9_]') AS ts FROM l), t AS (SELECT doc_id, line, unnest(range(0, len(ts))) AS k, unnest(ts) AS tok FROM k),
+o AS (SELECT doc_id, line, tok, row_number() OVER (PARTITION BY doc_id ORDER BY line, k) - 1 AS at_ FROM t),
+g AS (SELECT doc_id, at_, line, lead(line, 39) OVER w AS last, md5(string_agg(tok, ' ') OVER (PARTITION BY doc_id ORDER BY at_ ROWS BETWEEN CURRENT ROW AND 39 FOLLOWING)) AS h FROM o WINDOW w AS (PARTITION BY doc_id ORDER BY at_)),
+f AS (SELECT *, min((doc_id, at_, line, last)) OVER (PARTITION BY h) AS a FROM g WHERE last IS NOT NULL),
+s AS (SELECT doc_id AS b, at_, line, last, a[1] AS a, a[3] AS a_line, a[4] AS a_last, at_ - a[2] AS shift FROM f WHERE (doc_id, at_) > (a[1], a[2])),
+i AS (SELECT *, at_ - row_number() OVER (PARTITION BY b, a, shift ORDER BY at_) AS island FROM s)
+SELECT a, min(a_line) AS a_start, max(a_last) AS a_end, b, min(line) AS b_start, max(last) AS b_end, count(*) + 39 AS tokens FROM i GROUP BY a, b, shift, island""")
+def source_clone_pairs(spark, d):
+    return clones.clone_pairs(table(spark, d, "documents").select(c("doc_id").alias("path"), "text"), 40)

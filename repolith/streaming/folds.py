@@ -26,7 +26,7 @@ class LastState(StatefulProcessor):
     """By entity: the intake's state, or that of the last transition by (at, ordinal), and how many there were."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at timestamp, ordinal long, state string, transitions long")
+        self.last = handle.getValueState("last", "at long, ordinal long, state string, transitions long")
 
     def handleInitialState(self, key: Any, initialState: Row, timerValues) -> None:
         self.last.update((None, None, initialState.state, 0))
@@ -40,7 +40,7 @@ class LastState(StatefulProcessor):
             if at is None or (r.at, r.ordinal) >= (at, ordinal):
                 at, ordinal, state = r.at, r.ordinal, r.to_state
         self.last.update((at, ordinal, state, n))
-        yield Row(key[0], state, n)
+        yield Row(id=key[0], state=state, transitions=n)
 
     def close(self) -> None:
         pass
@@ -50,9 +50,9 @@ def fold_stream(events: DataFrame, intake: DataFrame) -> DataFrame:
     """(id, state, transitions) of every entity that a micro-batch has moved; the state begins with the rows of ``intake``.
 
     events: id, at, ordinal, to_state; intake: id, state.  As ``detectors.fold_states``
-    over all events so far; events of unknown entities are passed over.
+    over all events so far; events of unknown entities are passed over, those without a time come first.
     """
-    rows = keyed_states(events).select("id", "at", F.col("ordinal").cast("long").alias("ordinal"), "to_state")
+    rows = keyed_states(events).select("id", F.coalesce(F.unix_micros("at"), F.lit(-(2**63))).alias("at"), F.col("ordinal").cast("long").alias("ordinal"), "to_state")
     kind = rows.schema["id"].dataType.simpleString()
     known = intake.select("id", "state").groupBy("id")
     return rows.groupBy("id").transformWithState(LastState(), f"id {kind}, state string, transitions long", "Update", "None", known)

@@ -47,7 +47,7 @@ class Sessions(StatefulProcessor):
         for r in in_order(rows):
             if r.kind == "end":
                 for rule in [k[0] for k in self.rules.keys()]:
-                    yield Row(*[rule if n == "rule_id" else r[n] for n in EVENT])
+                    yield Row(**{n: rule if n == "rule_id" else r[n] for n in EVENT})
                 self.rules.clear()
                 continue
             if r.kind == "grant" and r.session_id is not None:
@@ -55,7 +55,7 @@ class Sessions(StatefulProcessor):
                 last = max(r.expires_at, held[0] if held else r.expires_at)
                 self.rules.updateValue((r.rule_id,), (last,))
                 self.handle.registerTimer((last + 1) * 1000)
-            yield Row(*[r[n] for n in EVENT])
+            yield Row(**{n: r[n] for n in EVENT})
 
     def handleExpiredTimer(self, key: Any, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = expiredTimerInfo.getExpiryTimeInMs()
@@ -96,7 +96,7 @@ class Leases(StatefulProcessor):
                 grants = [g for g in grants if g.session_id != r.session_id]
             else:
                 nth = next((k for k, g in enumerate(grants) if covers(g, r)), None)
-                yield Row(key[0], r.ordinal, None if nth is None else grants[nth].grant_id)
+                yield Row(rule_id=key[0], ordinal=r.ordinal, grant_id=None if nth is None else grants[nth].grant_id)
                 if nth is not None and grants[nth].uses is not None:
                     left = grants[nth].uses - 1
                     grants[nth : nth + 1] = [named(*[left if n == "uses" else grants[nth][n] for n in grants[nth].__fields__])] if left > 0 else []
