@@ -349,11 +349,14 @@ def adapter_symbols(spark, d):
     return facts.module_symbols(modules(spark, d)).select("path", "name", "kind", "line", "loc")
 
 
-@query(f"SELECT {PATH} AS path, 'Part' || p_partkey AS name, 'task' AS kind {GOOD} UNION ALL SELECT {PATH}, 'Part' || p_partkey, 'view' {GOOD} UNION ALL SELECT {PATH}, 'load_' || p_size, 'function' {GOOD}")
+@query(f"SELECT {PATH} AS path, 4 AS line, 'Part' || p_partkey AS name, 'services' AS kind {GOOD} UNION ALL SELECT {PATH}, 4, 'Part' || p_partkey, 'views' {GOOD} AND p_partkey % 10 = 7 "
+       f"UNION ALL SELECT {PATH}, 13 + {EXTRA}, 'load_' || p_size, 'functions' {GOOD} UNION ALL SELECT {PATH}, 19 + {EXTRA}, '_call_llm', 'functions' {GOOD}")
 def symbols_by_kind(spark, d):
     m = modules(spark, d)
-    out = facts.symbols_of_kind(m, "task", decorators=["it"])
-    return out.union(facts.symbols_of_kind(m, "view", bases=["Base"])).union(facts.symbols_of_kind(m, "function"))
+    out = facts.symbols_of_kind(m, "tasks", ["it"])  # only the class is decorated so
+    for kind in ("views", "services", "functions"):
+        out = out.union(facts.symbols_of_kind(m, kind, ending="7"))
+    return out
 
 
 @query(f"""
@@ -369,6 +372,24 @@ def silent_handlers(spark, d):
     return found.drop("col")
 
 
+@query("""
+WITH f AS (SELECT p_partkey AS k, CASE WHEN p_size % 2 = 0 THEN 'app/services/extraction/extraction_compiler/m' ELSE 'app/m' END || p_partkey || '.py' AS path FROM part)
+SELECT path, 'query-mutation' AS rule, 4 AS line, 4 AS col, 'get_' || k || ' reads by its name and calls create, save' AS message FROM f WHERE k % 3 <> 0
+UNION ALL SELECT path, 'safe-dispatch', 6, 4, 'bare dispatch by delay' FROM f WHERE k % 4 <> 0
+UNION ALL SELECT path, 'codegen-emits-new-paths', 8, 11, 'emitted text holds from core.services' FROM f WHERE path LIKE '%compiler%' AND k % 5 <> 0""")
+def source_lint(spark, d):
+    k, s = c("p_partkey"), c("p_size")
+    mark = lambda n, text: F.when(k % n == 0, text).otherwise("")
+    body = said(
+        "def get_", k, "(a):\n    def inner():\n        a.delete()\n    a.create()\n    a.save(1)", mark(3, "  # hidden-mutation: told"),
+        "\n    go.delay(a)", mark(4, "  # noqa: safe-dispatch: told"), "\ndef get_or_create(a):\n    return 'from core.services.x import y', a.create()",
+        mark(5, "  # noqa: codegen-emits-new-paths: told"), "\n",
+    )
+    path = said(F.when(s % 2 == 0, "app/services/extraction/extraction_compiler/m").otherwise("app/m"), k, ".py")
+    files = table(spark, d, "part").select(path.alias("path"), body.alias("text"))
+    return checks.run_checks(files, ["query-mutation", "safe-dispatch", "codegen-emits-new-paths"])
+
+
 @query(f"SELECT {PATH} AS path, '_call_llm' AS name, 19 + {EXTRA} AS line, 3 AS branch_score {GOOD}")
 def branch_hotspots(spark, d):
     return checks.hotspots(modules(spark, d), 2).select("path", "name", "line", "branch_score")
