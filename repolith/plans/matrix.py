@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repolith.operators.relational import classify, listed, size_tier
+from repolith.operators.relational import classify, histograms, listed, size_tier
 
 
 def inventory(files: DataFrame, rules: list[tuple[str, Column]], suffixes: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,19 +97,21 @@ def front_matter(files: DataFrame) -> DataFrame:
     )
 
 
-def file_tree(spark: SparkSession, root: str, glob: str = "*", skipped: list[str] | None = None, text: bool = True) -> DataFrame:
+def file_tree(spark: SparkSession, root: str, glob: str = "*", skipped: list[str] | None = None, text: bool = True, links: bool = False) -> DataFrame:
     """path below ``root``, suffix, size and text (null: not UTF-8) of its files, without those below folders named in ``skipped``; each path once.
 
     Spark lists the tree, in tasks where it is large, and the listing stays with it: no
     folder is walked here and no file is read before its path is chosen.  Symbolic links
-    are followed as the file system follows them; ``linked`` finds them on a local one.
+    of a local tree, and what lies below linked folders, are passed over unless ``links`` is set.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     home = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    top = home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).resolvePath(home).toUri().getPath().rstrip("/")
+    fs = home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    top = fs.resolvePath(home).toUri().getPath().rstrip("/")
     plain = F.regexp_replace("path", "^[a-z]+:(//[^/]*)?/*", "/")
     below = F.substring(plain, F.lit(len(top) + 2), F.length(plain))
-    rows = files.select(below.alias("path"), F.col("length").alias("size"), *[F.col("content")] * text)
+    own = F.lit(True) if links or fs.getUri().getScheme() != "file" else unlinked(top)(below)
+    rows = files.filter(own).select(below.alias("path"), F.col("length").alias("size"), *[F.col("content")] * text)
     if skipped:
         folders = F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1)
         rows = rows.filter(~F.arrays_overlap(folders, F.array(*map(F.lit, skipped))))
@@ -117,15 +119,15 @@ def file_tree(spark: SparkSession, root: str, glob: str = "*", skipped: list[str
     return rows.withColumn("text", F.try_validate_utf8(F.col("content").cast("string"))).drop("content") if text else rows
 
 
-def linked(paths: DataFrame, root: str) -> DataFrame:
-    """The rows (path, ...) that are symbolic links below a local ``root``, or lie in a linked folder; looked at where the rows are."""
+def unlinked(root: str):
+    """A pandas UDF: whether a path below a local ``root`` neither is a symbolic link nor goes through one; looked at where the rows are."""
+    base = os.path.realpath(root)
 
-    def run(batches):
-        for b in batches:
-            at = [os.path.join(root, p) for p in b.column("path").to_pylist()]
-            yield b.filter(pa.array([os.path.realpath(a) != os.path.join(os.path.realpath(root), os.path.relpath(a, root)) for a in at], pa.bool_()))
+    @F.pandas_udf("boolean")
+    def run(paths: pd.Series) -> pd.Series:
+        return paths.map(lambda p: os.path.realpath(os.path.join(base, p)) == os.path.join(base, p))
 
-    return paths.mapInArrow(run, paths.schema)
+    return run
 
 
 def validate(rows: DataFrame, rules: list[tuple[str, Column, str]], ordinal: str = "ordinal") -> DataFrame:

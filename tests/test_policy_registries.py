@@ -68,7 +68,7 @@ def test_tools_and_divergence(spark):
 
 def test_registries(spark):
     paths = spark.createDataFrame([("a/b",), ("c",), ("d",), ("e/f",)], "path string")
-    registry = spark.createDataFrame([("one", "a", 1), ("two", "e", 2), ("three", "e/", 3)], "owner string, prefix string, ordinal int")
+    registry = spark.createDataFrame([("one", "a/", 1), ("two", "e/", 2), ("three", "e/", 3)], "owner string, prefix string, ordinal int")
     exempt = spark.createDataFrame([("c",), ("gone",)], "path string")
     assert {
         r["path"]: r["state"] for r in registries.dispositions(paths, registry, exempt).collect()

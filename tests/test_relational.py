@@ -73,8 +73,9 @@ def test_owner_ties(spark):
     registry = spark.createDataFrame(
         [("one", "a/", 1), ("two", "a/b", 2), ("three", "a/b/", 3)], "owner string, prefix string, ordinal int"
     )
-    assert {r["path"]: r["owner"] for r in rel.owner(items, registry).collect()} == {"a/b/c": "two", "a/x": "one", "ab": None, "z": None}
-    assert {r["path"]: r["owner"] for r in rel.owner(items, registry, ties="all").collect()}["a/b/c"] == ["three", "two"]
+    assert {r["path"]: r["owner"] for r in rel.owner(items, registry).collect()} == {"a/b/c": "three", "a/x": "one", "ab": None, "z": None}
+    again = registry.union(spark.createDataFrame([("four", "./a/b/", 4)], registry.schema))
+    assert {r["path"]: r["owner"] for r in rel.owner(items, again, ties="all").collect()}["a/b/c"] == ["four", "three"]
 
 
 def test_latest_keeps_first_of_equal_times(spark):

@@ -32,8 +32,16 @@ def test_replace_json_and_write_valid(spark, tmp_path):
     path = str(tmp_path / "doc")
     for n in (1, 2):
         sinks.replace_json(spark.range(n), path)
-        assert spark.read.json(path).count() == n
-    assert [p for p in os.listdir(tmp_path) if not p.startswith(".")] == ["doc"]
+        assert sinks.read_current(spark, path, "id long").count() == n
+    assert sinks.read_current(spark, str(tmp_path / "none"), "id long").count() == 0
+    # a write that fails before its rename, or comes to a number that is there, changes nothing for readers
+    spark.range(9).write.json(f"{path}/.staged")
+    assert sinks.read_current(spark, path, "id long").count() == 2
+    with pytest.raises(Exception, match="(?i)exist"):
+        sinks.publish(spark, f"{path}/.staged", f"{path}/{sinks.versions(spark, path)[-1]}")
+    assert sinks.read_current(spark, path, "id long").count() == 2
+    sinks.replace_json(spark.range(3), path)
+    assert sinks.versions(spark, path) == ["v000000000002", "v000000000003"] and sinks.read_current(spark, path, "id long").count() == 3
     rows = spark.createDataFrame([(1, "a"), (2, None)], "ordinal int, name string")
     errors = sinks.write_valid(rows, [("name", F.col("name").isNotNull(), "missing")], str(tmp_path / "log"))
     assert [tuple(r) for r in errors.collect()] == [(2, "name", "missing")] and spark.read.json(str(tmp_path / "log")).count() == 2
@@ -116,7 +124,7 @@ def test_facts_of_no_or_broken_source(spark):
         "path string, text string"
     )
     assert [(r.path, r.qualified_name) for r in facts.definitions(files).orderBy("line").collect()] == [("d.py", "A"), ("d.py", "A.m")]
-    assert [(r.caller, r.callee_name, r.call_style) for r in facts.call_edges(files).collect()] == [("A.m", "n", "self")]
+    assert [(r.caller, r.callee_name, r.call_style) for r in facts.call_edges(files).collect()] == [("d.py::A.m", "n", "self")]
     assert facts.handler_blocks(files).count() == facts.patterns(files).count() == 0
 
 
