@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from repolith.catalog import query, table, unchecked
-from repolith.operators import calls, detectors, intervals, ledgers, matching, policy
+from repolith.catalog import query, table
+from repolith.operators import calls, intervals, matching, policy
 from repolith.operators import relational as rel
-from repolith.plans import audits, inventories, matrix, registries, reports
+from repolith.plans import audits, inventories, registries
 
 c = F.col
 
