@@ -133,7 +133,8 @@ def drawn(labelled: DataFrame, rows: int) -> DataFrame:
     most = F.lit(0)
     for y, n in wanted.items():
         most = F.when(F.col("y") == y, n).otherwise(most)
-    return every.filter(near).distinct().withColumn("nth", nth).filter(F.col("nth") <= most).select("url", "y")
+    chosen = every.filter(near).distinct().withColumn("nth", nth).filter(F.col("nth") <= most)
+    return chosen.orderBy("nth", "y").limit(rows).select("url", "y")
 
 
 def suffix_rates(sample: DataFrame, prior: float) -> tuple[DataFrame, DataFrame]:

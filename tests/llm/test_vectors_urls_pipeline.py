@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from repolith.llm import embeddings, urls
@@ -123,8 +124,8 @@ def test_nearest_with_repeated_ids(spark, block):
     got = embeddings.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), every=50, k=5, share=8.0, block=block)
     best = {}
     for v, e in rows:
-        if v != 50:
-            best[v] = max([round(cosine(x, e), 12) for i, x in rows if i == 50] + [best.get(v, -2)])
+        asked = [x for i, x in rows if i == 50 and not (v == 50 and x == e)]  # the query's own row only is left out
+        best[v] = max([round(cosine(x, e), 12) for x in asked] + [best.get(v, -2)])
     want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:5]
     assert [(x["vec_id"], round(x["score"], 12)) for x in sorted(got.collect(), key=lambda x: x["rank"]) if x["query_id"] == 50] == want
 
@@ -187,6 +188,37 @@ def test_urls(spark):
     assert {x.verdict for x in urls.judge(frame.filter("page_id < 4"), URL_RULES).collect()} == {"allow"}
 
 
+def test_copies_of_a_page_change_no_other_verdict(spark):
+    r = random.Random(9)
+    ruled = [f"http://h{r.randrange(40)}.{r.choice(['net', 'example.com/de', 'org/fr'])}/{r.randrange(10**6)}" for _ in range(600)]
+    free = [f"http://w{r.randrange(200)}.org/{r.choice(['a', 'b'])}/{r.randrange(10**6)}" for _ in range(400)]
+    pages = spark.createDataFrame(list(enumerate(ruled + free)), "page_id long, url string")
+    copies = spark.range(10**6, 10**6 + 30_000).select(F.col("id").alias("page_id"), F.lit("http://h.net/x").alias("url"))
+    once = copies.limit(1)
+    judged = lambda frame: {x.page_id: (x.verdict, round(x.score, 9)) for x in urls.judge(frame, URL_RULES, rows=700).filter("page_id < 1000000").collect()}
+    assert judged(pages.union(copies)) == judged(pages.union(once))
+
+
+def test_sample_of_urls(spark):
+    rows = [(f"http://a{k}.net/", 1) for k in range(3000)] + [(f"http://b{k}.org/", 0) for k in range(40)] + [(None, 0), ("x", None)] + [("http://a1.net/", 1)] * 500
+    got = urls.drawn(spark.createDataFrame(rows, "url string, blocked int").repartition(7), 400).collect()
+    assert len({x.url for x in got}) == len(got) == 400 and sum(x.y == 0 for x in got) == 41
+
+
+def test_held_out_urls(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("url").distinct()
+    host, path = urls.host_path("url")
+    rule, says = urls.matching_rule(URL_RULES, F.col("host"), F.col("path"))
+    known = pages.select("url", host.alias("host"), path.alias("path")).withColumn("says", says).filter("says IS NOT NULL")
+    rows = known.select("url", (F.col("says") == "block").cast("int").alias("blocked"), (F.pmod(F.xxhash64("url", F.lit(3)), F.lit(3)) == 0).alias("held"))
+    model = urls.fit(rows.filter("NOT held"))
+    scored = model.with_features(rows.filter("held")).select("blocked", (model.margin() > 0).cast("int").alias("said")).collect()
+    share = sum(x.said == x.blocked for x in scored) / len(scored)
+    most = max(sum(x.blocked for x in scored), sum(1 - x.blocked for x in scored)) / len(scored)
+    print(f"held out: {share:.3f} of {len(scored)} right, the commoner verdict alone {most:.3f}")
+    assert len(scored) > 100 and share >= most + 0.1  # the rules also look at paths, which no feature holds word by word
+
+
 def test_trees_learn(spark):
     r = random.Random(6)
     rows = []
