@@ -187,20 +187,23 @@ def grants_that_apply(spark, d):
     )
 
 
-PATCH = "CASE l_orderkey % 3 WHEN 0 THEN '+++ b/' WHEN 1 THEN '*** Update File: ' ELSE 'Index: ' END"
-
-
-@query("SELECT l_orderkey AS id, 'f' || l_orderkey AS path, CAST(2 * k AS INTEGER) AS line, 'line ' || l_linenumber || ' of ' || l_partkey AS text "
-       "FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS k FROM lineitem)")
+@query("""
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS k, 'line ' || l_linenumber || ' of ' || l_partkey AS t FROM lineitem)
+SELECT l_orderkey AS id, CASE l_orderkey % 4 WHEN 3 THEN 'given' ELSE 'a b' || l_orderkey END AS path, CAST(2 * k - CASE WHEN l_orderkey % 4 = 3 THEN 1 ELSE 0 END AS INTEGER) AS line, t AS text FROM r
+UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'given' END, unnest([1, 2]), unnest(['put', 'in']) FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) AND o_orderkey % 5 = 0
+UNION ALL SELECT o_orderkey, 'given', 1, 'whole' FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) AND o_orderkey % 2 = 1""")
 def patch_lines(spark, d):
-    kind = F.when(c("l_orderkey") % 3 == 0, "+++ b/f").when(c("l_orderkey") % 3 == 1, "*** Update File: f").otherwise("Index: f")
+    k = c("l_orderkey")
+    kind = F.when(k % 4 == 0, "+++ b/a b").when(k % 4 == 1, "*** Update File: a b").when(k % 4 == 2, "+++ a b")
     line = F.concat_ws(" ", F.lit("line"), c("l_linenumber"), F.lit("of"), c("l_partkey"))
     held = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("t"))))
     body = F.array_join(F.transform("held", lambda x: F.concat(F.lit("+"), x["t"])), "\n-gone\n")
     rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(held.alias("held"))
-    return policy.patch_additions(
-        rows.select(c("l_orderkey").alias("id"), F.concat(kind, text("l_orderkey"), F.lit("\n"), body).alias("patch"))
-    )
+    head = F.when(kind.isNotNull(), F.concat(kind, text("l_orderkey"), F.lit("\n"))).otherwise("")
+    return policy.patch_additions(rows.select(
+        k.alias("id"), F.concat(head, body).alias("patch"), F.when(k % 2 == 1, "given").alias("path"),
+        F.when(k % 5 == 0, "put\nin\n").alias("new_string"), F.lit("whole").alias("content"),
+    ))
 
 
 @query("""

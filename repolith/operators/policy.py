@@ -57,20 +57,30 @@ def grants_for(requests: DataFrame, grants: DataFrame) -> DataFrame:
     return rows.filter(session & command & paths).select("request", "grant")
 
 
-#: How a patch names the file whose lines follow: unified diffs, ``*** Add File:`` blocks and ``Index:`` headers.
-HEADERS = (r"^\+\+\+ (?:b/)?(\S+)", r"^\*\*\* (?:Add|Update) File: (\S+)", r"^Index: (\S+)")
+#: How a patch names the file whose lines follow: blocks of ``***``, and unified diffs; what follows is a path, blanks and all.
+HEADERS = ("*** Update File: ", "*** Add File: ", "+++ b/", "+++ ")
 
 
 def patch_additions(patches: DataFrame) -> DataFrame:
-    """(id, path, line, text) of added lines of patches in three dialects; the file is carried down from its header."""
-    rows = patches.select("id", F.posexplode(F.split("patch", "\n")).alias("at", "text"))
-    header = F.concat(*[F.regexp_extract("text", h, 1) for h in HEADERS])
-    deleted = F.col("text").rlike(r"^\*\*\* Delete File: ")
-    path = F.last(F.when(deleted, "/dev/null").when(header != "", header), ignorenulls=True).over(Window.partitionBy("id").orderBy("at"))
+    """(id, path, line, text) of added lines, the file carried down from its header.
+
+    patches: id, patch, and if there are any path (the file where no header names one),
+    new_string (text put in) and content (a whole file, only with a path), whose lines
+    all count as added.  ``line`` is the line within what holds it.
+    """
+    given = F.coalesce(F.col("path"), F.lit("")) if "path" in patches.columns else F.lit("")
+    split = lambda c: F.posexplode(F.split(F.regexp_replace(c, r"\r?\n$", ""), "\r?\n")).alias("at", "text")
+    rows = patches.select("id", given.alias("given"), split("patch"))
+    named = [F.when(F.startswith("text", F.lit(h)), F.trim(F.substr("text", F.lit(len(h) + 1)))) for h in HEADERS]
+    header = F.last(F.coalesce(*named), ignorenulls=True).over(Window.partitionBy("id").orderBy("at"))
     added = F.col("text").startswith("+") & ~F.col("text").startswith("+++")
-    return rows.withColumn("path", path).filter(added & (F.col("path") != "/dev/null")).select(
-        "id", "path", (F.col("at") + 1).alias("line"), F.expr("substring(text, 2)").alias("text")
-    )
+    line = (F.col("at") + 1).alias("line")
+    out = rows.withColumn("path", F.coalesce(header, "given")).filter(added).select("id", "path", line, F.substr("text", F.lit(2)).alias("text"))
+    for c in ("new_string", "content"):
+        if c in patches.columns:
+            whole = patches.filter((F.col(c) != "") & ((given != "") | F.lit(c == "new_string"))).select("id", given.alias("path"), split(c))
+            out = out.union(whole.select("id", "path", line, "text"))
+    return out
 
 
 #: Predicates over added lines (columns path and text) by name; a caller may put others in their place.

@@ -46,6 +46,15 @@ def test_patches_and_markers(spark):
     patch = "--- a/x.py\n+++ b/x.py\n@@\n+one\n-two\n+++ b/y.py\n+three"
     rows = policy.patch_additions(spark.createDataFrame([(1, patch)], "id int, patch string")).collect()
     assert [(r["path"], r["text"]) for r in rows] == [("x.py", "one"), ("y.py", "three")]
+    told = [
+        (1, "+before\n*** Add File: a b.py \n+in\n+++ c d.py\n+++ b/e\n++plus\nIndex: q\n+e", None, None, None), (2, "", "p.py", "x\ny\n", "whole"),
+        (3, None, None, "n", "no path"), (4, "+only", "g.py", "", None),
+    ]
+    got = policy.patch_additions(spark.createDataFrame(told, "id int, patch string, path string, new_string string, content string"))
+    assert sorted((r.id, r.path, r.text) for r in got.collect()) == [
+        (1, "", "before"), (1, "a b.py", "in"), (1, "e", "+plus"), (1, "e", "e"), (2, "p.py", "whole"), (2, "p.py", "x"), (2, "p.py", "y"), (3, "", "n"),
+        (4, "g.py", "only"),
+    ]
     findings = spark.createDataFrame(
         [("x", "r", 1, 3), ("x", "r", 5, 5), ("y", "r", 1, 3)], "path string, rule string, start int, `end` int"
     )
