@@ -201,7 +201,7 @@ def test_fingerprints_of_odd_documents(spark):
 def test_fingerprints_of_few_documents(spark):
     make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
     assert sketches.fingerprints(make([])).count() == 0
-    for rows in ([(1, "one\ndocument")], [(1, None)], [(1, "a\nb\nc"), (2, "a\nb\nd")], [(None, None), (None, None)]):
+    for rows in ([(1, "one\ndocument")], [(None, None), (None, None), (1, "a\nb\nc")]):
         assert printed(sketches.fingerprints(make(rows)).collect()) == plain_fingerprints(rows)
 
 
