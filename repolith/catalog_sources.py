@@ -400,11 +400,11 @@ def fat_functions(spark, d):
     return facts.size_budgets(modules(spark, d), 4, 1, ["Base"], ["third"])
 
 
-@query(f"SELECT name, arity, has_self, count(*) AS occurrences, count(DISTINCT path) AS places FROM (SELECT {PATH} AS path, unnest(['first', 'second', 'load_' || p_size]) AS name, unnest([2, 1, 2]) AS arity, unnest([true, true, false]) AS has_self {GOOD} "
+@query(f"SELECT name, arity, has_self, count(*) AS occurrences, count(DISTINCT path) AS places, name = 'second' AS protocol_name FROM (SELECT {PATH} AS path, unnest(['first', 'second', 'load_' || p_size]) AS name, unnest([2, 1, 2]) AS arity, unnest([true, true, false]) AS has_self {GOOD} "
        f"UNION ALL SELECT {PATH}, 'third', 3, true {GOOD} AND p_partkey % 2 = 0) GROUP BY ALL HAVING count(DISTINCT path) >= 2")
 def fingerprint_clones(spark, d):
     found = facts.fingerprints(modules(spark, d), ["_call_llm"])
-    return rel.clone_groups(found, ["name", "arity", "has_self"], "path")
+    return rel.clone_groups(found, ["name", "arity", "has_self"], "path", protocol=("second", "close"))
 
 
 @query("SELECT 'src/h' || p_partkey || '.py' AS path, 2 AS blocks, [4, 10] AS lines FROM part WHERE p_size % 2 = 0")

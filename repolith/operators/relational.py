@@ -170,12 +170,17 @@ def histograms(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(pairs.alias("x")).groupBy("x.facet", "x.value").agg(F.count("*").alias("n"))
 
 
-def clone_groups(rows: DataFrame, key: list[str], place: str, least: int = 2, hooks: tuple[str, ...] = ()) -> DataFrame:
-    """Keys in ``least`` distinct places or more: occurrences counts rows.  Rows whose ``name`` is dunder or one of the ``hooks`` are left out."""
+def clone_groups(
+    rows: DataFrame, key: list[str], place: str, least: int = 2, hooks: tuple[str, ...] = (), protocol: tuple[str, ...] | None = None
+) -> DataFrame:
+    """Keys in ``least`` distinct places or more: occurrences counts rows.  Rows whose ``name`` is dunder or one of the ``hooks`` are left out.
+
+    With ``protocol``, names that many adapters must have alike, a column ``protocol_name`` says whether a group has one of them.
+    """
     if "name" in rows.columns:
         rows = rows.filter(~F.col("name").rlike("^__.*__$") & ~F.col("name").isin(*hooks))
-    out = rows.groupBy(*key).agg(F.count("*").alias("occurrences"), F.countDistinct(place).alias("places"))
-    return out.filter(F.col("places") >= least)
+    out = rows.groupBy(*key).agg(F.count("*").alias("occurrences"), F.countDistinct(place).alias("places")).filter(F.col("places") >= least)
+    return out if protocol is None else out.withColumn("protocol_name", F.coalesce(F.col("name").isin(*protocol), F.lit(False)))
 
 
 def census(rows: DataFrame, group: list[str], variant: str) -> DataFrame:
