@@ -74,11 +74,14 @@ def domain_of(text: Column, rules: list[tuple[str, str]], default: str = "utilit
     return classify([(name, F.lower(text).rlike(p)) for name, p in rules], default)
 
 
-def prompt_groups(symbols: DataFrame, least: int = 2, most: int = 100) -> DataFrame:
-    """(domain, n, members, omitted) of domains with ``least`` symbols or more: the first ``most`` by name, and how many more there are.
+def prompt_groups(symbols: DataFrame, least: int = 2, most: int | None = None) -> DataFrame:
+    """(domain, n, members, omitted) of domains with ``least`` symbols or more: all by name, or with ``most`` the first of them, and how many more there are.
 
     symbols: domain, name.
     """
+    if most is None:
+        out = symbols.groupBy("domain").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("name")))["name"].alias("members"))
+        return out.filter(F.col("n") >= least).withColumn("omitted", F.col("n") - F.size("members"))
     n = symbols.groupBy("domain").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     return n.join(listed(symbols, ["domain"], ["name"], "members", most), "domain").select("domain", "n", "members", (F.col("n") - F.size("members")).alias("omitted"))
 

@@ -55,3 +55,10 @@ def test_no_cartesian_product_in_rule_joins(spark):
     for name in ("routed_urls", "command_hits"):
         plan = entry.queries()[name](spark, SF)._jdf.queryExecution().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" in plan
+
+
+def test_prompt_groups_name_every_symbol(spark):
+    d = SF.replace("0.001", "0.01")
+    rows = entry.queries()["domain_groups"](spark, d).collect()
+    assert all(len(x.members) == x.n for x in rows) and max(x.n for x in rows) > 100
+    assert sum(len(x.members) for x in rows) == spark.read.parquet(f"{d}/part.parquet").count()
