@@ -225,6 +225,14 @@ def test_matching_by_the_plain_loop(spark, tolerance):
     assert got(matching.match_findings(frame(planted), frame(found), tolerance), "file", "finding", "instance") == plain_match(planted, found, tolerance)
 
 
+def test_repeated_instances_count_once(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "id string, file string, line int, ordinal int")
+    planted = frame([("p1", "f", 5, 1), ("p1", "f", 5, 1), ("p2", "f", 6, 2)])
+    found = frame([("a", "f", 5, 1), ("b", "f", 6, 2), ("c", "f", 5, 3)])
+    assert got(matching.match_findings(planted, found, 1), "file", "finding", "instance") == [("f", "a", "p1"), ("f", "b", "p2")]
+    assert matching.grade(planted, found, 1).first()["fn"] == 1  # a row is missed, though its instance is met
+
+
 def test_files_are_cut_into_runs(spark):
     rows = spark.createDataFrame([("f", k) for k in (1, 2, 4, 9, 9, 12)] + [("g", 3)], "file string, line int")
     assert got(matching.runs(rows, 2), "file", "line", "run") == [("f", 1, 1), ("f", 12, 3), ("f", 2, 1), ("f", 4, 1), ("f", 9, 2), ("f", 9, 2), ("g", 3, 1)]
