@@ -161,4 +161,4 @@ def clone_clusters(pairs: DataFrame) -> DataFrame:
         label = step.select("member", F.col("further").alias("cluster"))
         if not step.filter("further <> was").limit(1).count():
             break
-    return label.withColumn("multiplicity", F.count("*").over(Window.partitionBy("cluster")))
+    return label.join(label.groupBy("cluster").agg(F.count("*").alias("multiplicity")), "cluster").select("member", "cluster", "multiplicity")

@@ -62,3 +62,9 @@ def test_prompt_groups_name_every_symbol(spark):
     rows = entry.queries()["domain_groups"](spark, d).collect()
     assert all(len(x.members) == x.n for x in rows) and max(x.n for x in rows) > 100
     assert sum(len(x.members) for x in rows) == spark.read.parquet(f"{d}/part.parquet").count()
+
+
+def test_clone_chains_are_not_cut(spark):
+    rows = entry.queries()["clone_components"](spark, SF).collect()
+    keys = {x.c_custkey for x in spark.read.parquet(f"{SF}/customer.parquet").collect()}
+    assert keys <= {x.member for x in rows} and max(x.multiplicity for x in rows) > 16
