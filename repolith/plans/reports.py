@@ -24,9 +24,14 @@ def counts_in(events: DataFrame, column: str, vocabulary: list[str]) -> DataFram
     return words.join(n, "value", "full_outer").na.fill(0, ["n"])
 
 
-def by_subsystem(findings: DataFrame, registry: DataFrame, most: int = 100) -> DataFrame:
-    """(subsystem, n, findings, omitted): the first ``most`` findings (path, id) below each subsystem and how many more; those of none under null."""
+def by_subsystem(findings: DataFrame, registry: DataFrame, most: int | None = None) -> DataFrame:
+    """(subsystem, n, findings, omitted): all findings (path, id) below each subsystem in order, or with ``most`` the first of them and how many more; those of none under null."""
     rows = owner(findings, registry).withColumnRenamed("owner", "subsystem")
+    if most is None:
+        by_path = rows.groupBy("subsystem", "path").agg(F.array_sort(F.collect_list(F.struct("path", "id"))).alias("found"))
+        paths = F.array_sort(F.collect_list(F.struct("path", "found")))
+        whole = by_path.groupBy("subsystem").agg(F.sum(F.size("found").cast("long")).alias("n"), paths.alias("paths"))
+        return whole.select("subsystem", "n", F.flatten("paths.found").alias("findings"), F.lit(0).cast("long").alias("omitted"))
     n = rows.groupBy("subsystem").agg(F.count("*").alias("n"))
     first = listed(rows, ["subsystem"], ["path", "id"], "findings", most).withColumnRenamed("subsystem", "__of")
     out = n.join(first, F.col("subsystem").eqNullSafe(F.col("__of")))

@@ -68,3 +68,10 @@ def test_clone_chains_are_not_cut(spark):
     rows = entry.queries()["clone_components"](spark, SF).collect()
     keys = {x.c_custkey for x in spark.read.parquet(f"{SF}/customer.parquet").collect()}
     assert keys <= {x.member for x in rows} and max(x.multiplicity for x in rows) > 16
+
+
+def test_subsystems_hold_every_finding(spark):
+    d = SF.replace("0.001", "0.01")
+    rows = entry.queries()["findings_by_subsystem"](spark, d).collect()
+    assert all(len(x.ids) == x.n for x in rows) and max(x.n for x in rows) > 100
+    assert sum(len(x.ids) for x in rows) == spark.read.parquet(f"{d}/customer.parquet").count()
