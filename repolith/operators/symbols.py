@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repolith.session import prepare
+from repolith.session import prepare, spread
 
 SCHEMA = "path string, name string, qualified_name string, kind string, line int, end_line int, arity int, has_self boolean, parent string, decorators array<string>, digest string, signature string"
 FIELDS = [
@@ -66,7 +66,7 @@ def extract_python(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(cols, FIELDS)], names=[n for n, _ in FIELDS])
 
     prepare(files.sparkSession)
-    return files.select("path", "text").mapInArrow(run, SCHEMA)
+    return spread(files.select("path", "text")).mapInArrow(run, SCHEMA)
 
 
 #: A script's line in tokens: names, arrows, and any other sign by itself.
@@ -102,7 +102,7 @@ def declared(line: Column) -> Column:
 def extract_script(files: DataFrame) -> DataFrame:
     """name, kind (function or class), line, end_line (before the next declaration) and loc of column-0 declarations."""
     every = F.split(F.regexp_replace("text", "\n$", ""), "\n")
-    lines = files.select("path", F.posexplode(every).alias("at", "held"), F.size(every).alias("total"))
+    lines = spread(files.select("path", "text")).select("path", F.posexplode(every).alias("at", "held"), F.size(every).alias("total"))
     likely = lines.filter(F.col("held").rlike(r"^(async|function|const|let|var|class|window)\b"))
     found = likely.select("path", "total", (F.col("at") + 1).alias("line"), declared(F.col("held")).alias("x")).filter("x IS NOT NULL")
     end = F.coalesce(F.lead("line").over(Window.partitionBy("path").orderBy("line")) - 1, F.col("total"))

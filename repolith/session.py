@@ -34,3 +34,10 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/repolith/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """Files dealt by path to a few tasks for each core: many short files can lie in one part of a table, whose work would be one task's."""
+    spark = files.sparkSession
+    parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return files.repartition(parts, "path")

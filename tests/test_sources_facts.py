@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from repolith.operators import facts, intervals, policy
+from repolith.operators import facts, intervals, policy, symbols
 from repolith.operators import relational as rel
 from repolith.plans import audits, reports
 from repolith.sources import logs, metadata, registries, sinks
@@ -137,3 +137,11 @@ def test_own_predicates_take_the_place_of_others(spark):
         (r.line, r.predicate)
         for r in policy.patch_findings(lines, {"debugger": lambda: F.col("text") == "x"}).collect()
     ] == [(2, "debugger")]
+
+
+def test_sources_of_one_part_come_to_many_tasks(spark):
+    files = spark.range(200).selectExpr("concat('m', id, '.py') AS path", "concat('def f', id, '(): pass') AS text").coalesce(1)
+    plan = facts.definitions(files)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    script = symbols.extract_script(files)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in script and facts.definitions(files).count() == 200
