@@ -8,6 +8,7 @@ from repolith.catalog import query, table
 from repolith.operators import calls, intervals, matching, policy
 from repolith.operators import relational as rel
 from repolith.plans import audits, inventories, registries
+from repolith.session import dealt
 
 c = F.col
 
@@ -230,7 +231,8 @@ d{q} AS (SELECT callee, option, present, size, present / size AS share FROM f WH
 
 def option_calls(spark, d, q):
     used = F.array_compact(F.array(F.when(F.bool_or(c("l_quantity") > q), "a"), F.when(F.bool_or(c("l_tax") >= 0.02), "b")))
-    return table(spark, d, "lineitem").groupBy(c("l_suppkey").alias("callee"), c("l_orderkey").alias("site")).agg(used.alias("options"))
+    line = dealt(table(spark, d, "lineitem").select("l_suppkey", "l_orderkey", "l_quantity", "l_tax"), "l_suppkey")
+    return line.groupBy(c("l_suppkey").alias("callee"), c("l_orderkey").alias("site")).agg(used.alias("options"))
 
 
 @query(DIVERGENCE.format(q=15) + "SELECT x.callee, option, present, size, round(share, 9) AS share, list(site ORDER BY site) AS stragglers "

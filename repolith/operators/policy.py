@@ -138,7 +138,8 @@ def trajectory(before: DataFrame, after: DataFrame) -> DataFrame:
 def divergence(calls: DataFrame, least_share: float = 0.8, least_size: int = 3) -> DataFrame:
     """(callee, option, present, size, share, stragglers) for options that most call sites of a callee pass and some don't.
 
-    calls: callee, site, options.
+    calls: callee, site, options.  All is grouped by callee or more, so calls that are
+    dealt by callee beforehand (``session.dealt``) aren't shuffled again.
     """
     size = calls.groupBy("callee").agg(F.countDistinct("site").alias("size"))
     used = calls.select("callee", "site", F.explode("options").alias("option")).distinct()
@@ -146,5 +147,7 @@ def divergence(calls: DataFrame, least_share: float = 0.8, least_size: int = 3)
         "share", F.col("present") / F.col("size")
     )
     kept = n.filter((F.col("size") >= least_size) & (F.col("share") >= least_share) & (F.col("present") < F.col("size")))
-    missing = kept.join(calls.select("callee", "site").distinct(), "callee").join(used, ["callee", "site", "option"], "left_anti")
-    return missing.groupBy("callee", "option", "present", "size", "share").agg(F.array_sort(F.collect_set("site")).alias("stragglers"))
+    group = ["callee", "option", "present", "size", "share"]
+    passed = F.coalesce(F.bool_or(F.array_contains("options", F.col("option"))), F.lit(False))
+    missing = calls.join(kept, "callee").groupBy(*group, "site").agg(passed.alias("passed")).filter("NOT passed")
+    return missing.groupBy(*group).agg(F.array_sort(F.collect_list("site")).alias("stragglers"))

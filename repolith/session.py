@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -41,3 +42,14 @@ def spread(files: DataFrame) -> DataFrame:
     spark = files.sparkSession
     parts = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     return files.repartition(parts, "path")
+
+
+#: Bytes of input, as Spark estimates it, for each part that keys are dealt to, and the most bytes it is taken for.
+PART_BYTES, UNKNOWN = 2 << 20, 1 << 34
+
+
+def dealt(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt by key to parts whose number grows with the input, so that what groups them by these keys or more holds no more at a larger size."""
+    size = min(float(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), UNKNOWN)
+    parts = max(math.ceil(size / PART_BYTES), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts, *by)

@@ -157,3 +157,18 @@ def test_clone_clusters_of_a_long_chain(spark):
     pairs = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(500, 501)], "a long, b long")
     got = registries.clone_clusters(pairs).collect()
     assert {(r["cluster"], r["multiplicity"]) for r in got} == {(0, 201), (500, 2)} and len(got) == 203
+
+
+def test_dealt_parts_grow_with_the_input(spark, tmp_path):
+    from repolith.session import PART_BYTES, dealt
+
+    few = spark.range(10).withColumn("k", F.col("id") % 3)
+    assert dealt(few, "k").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    many = spark.range(40 * PART_BYTES // 8)
+    assert dealt(many, "id").rdd.getNumPartitions() >= 40
+
+
+def test_divergence_of_calls_in_several_rows(spark):
+    rows = [("f", 1, ["a"]), ("f", 1, ["b"]), ("f", 2, ["a"]), ("f", 3, None), ("f", 3, []), ("g", 1, ["a"]), ("g", 2, ["a"])]
+    got = policy.divergence(spark.createDataFrame(rows, "callee string, site int, options array<string>"), 0.5).collect()
+    assert [(x.callee, x.option, x.present, x.size, x.stragglers) for x in got] == [("f", "a", 2, 3, [3])]
