@@ -17,11 +17,13 @@ def tiles(rows: DataFrame, keys: list[str], node: str, most: int) -> DataFrame:
     chunk meets itself in tile (i, i) and each other chunk in tile (i, j), so that
     no task holds more than about 2 x ``most`` rows at once, whatever the bucket's
     size, and every pair of a bucket still meets in exactly one tile.  Column
-    ``chunk`` is the row's own chunk.  Buckets are sized by a partial aggregation.
+    ``chunk`` is the row's own chunk.  Buckets are sized by a partial aggregation and
+    met by a sort-merge join: Spark takes exploded rows for as small as the table they
+    come from, and would gather them all in the driver to broadcast them.
     """
     sizes = rows.groupBy(*keys).count().filter("count > 1")
     chunks = F.ceil(F.col("count") / F.lit(float(most))).cast("int")
-    dealt = rows.join(sizes, keys).withColumn("chunks", chunks)
+    dealt = rows.join(sizes.hint("merge"), keys).withColumn("chunks", chunks)
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64(node), F.col("chunks")).cast("int"))
     other = F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("*", other.alias("other")).withColumns({"t0": F.least("chunk", "other"), "t1": F.greatest("chunk", "other")})
@@ -72,7 +74,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges is aggregated partially and its join is split by adaptive execution: the
     aggregates are grouped by a further hash of the node, so that both sides of the
     join have exchanges of their own, which that takes.  Nothing but two numbers for
-    each round comes to the driver.
+    each round comes to the driver, no table to broadcast either.
     """
     lo, hi = F.least("a", "b").alias("root"), F.greatest("a", "b").alias("node")
     now = cut(edges.select(hi, lo).filter("node != root").distinct())
@@ -86,7 +88,7 @@ def components(edges: DataFrame) -> DataFrame:
             now.select(F.col("root").alias("u"), F.col("node").alias("v"))
         )
         least = both.groupBy("u", F.xxhash64("u")).agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = both.filter("v > u").join(least, "u").select("v", "m").distinct()
+        large = both.filter("v > u").join(least.hint("merge"), "u").select("v", "m").distinct()
         smaller = large.groupBy("v", F.xxhash64("v")).agg(F.min("m").alias("least")).select("v", "least")
-        small = large.join(smaller, "v").filter("m != least").select(F.col("m").alias("node"), F.col("least").alias("root"))
+        small = large.join(smaller.hint("merge"), "v").filter("m != least").select(F.col("m").alias("node"), F.col("least").alias("root"))
         now = cut(small.union(smaller.select(F.col("v").alias("node"), F.col("least").alias("root"))).distinct())

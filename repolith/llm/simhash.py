@@ -124,15 +124,16 @@ def near_duplicates(docs: DataFrame, bits: int = 4, width: int = 4) -> DataFrame
     Equal fingerprints are one node, so copies cost nothing; texts without words
     have fingerprint zero and are linked like any other.  Null texts count as
     empty; a null doc_id is never a component's id unless the component has no
-    other; repeated rows give repeated results; an empty table gives no rows.
+    other; repeated rows give repeated results; an empty table gives no rows.  All
+    joins are sort-merge joins, so the driver holds no table that grows with the input.
     """
     rows = cut(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), width))
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(cut(links(nodes.select("fp"), bits, nodes.count())))
-    member = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    member = nodes.join(found.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.join(
-        member.select("fp", "root").join(ids, "root").select("fp", "component_id"), "fp", "left"
+        member.select("fp", "root").join(ids.hint("merge"), "root").select("fp", "component_id").hint("merge"), "fp", "left"
     ).select("doc_id", "fp", "component_id")
 
 
@@ -142,7 +143,7 @@ def keep_one(docs: DataFrame, bits: int = 4, width: int = 4) -> DataFrame:
     rows = cut(fingerprints(_with_row(docs).withColumnRenamed("__text", "text"), width, tuple(ROW)))
     nodes = cut(rows.select("fp").distinct())
     found = components(cut(links(nodes, bits, nodes.count()))).withColumnRenamed("node", "fp")
-    groups = rows.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    groups = rows.join(found.hint("merge"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     return _take(docs, _firsts(groups.select(*ROW, "root"), "root"))
 
 
@@ -276,13 +277,13 @@ def keep_one_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5, m
     rows = cut(_with_row(docs).select(*ROW, "__text").mapInArrow(sketch, f"{kinds}, node long, keys array<long>"))
     keyed = rows.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least != most")
-    stars = keyed.join(shared, "key").filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    stars = keyed.join(shared.hint("merge"), "key").filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
     near = components(cut(stars)).withColumnRenamed("root", "near")
     near = near.union(near.select(F.col("near").alias("node"), "near").distinct())
-    ones = cut(_firsts(rows.join(near, "node", "left_semi"), "node").join(near, "node"))
+    ones = cut(_firsts(rows.join(near.hint("merge"), "node", "left_semi"), "node").join(near.hint("merge"), "node"))
     texts = _with_row(docs).select(*ROW, "__text").join(ones.hint("merge"), ROW).dropDuplicates(ROW).select("node", "near", "__text")
     held = cut(texts.mapInArrow(sets, "node long, near long, shingles array<long>"))
     tiled = tiles(held, ["near"], "node", SETS).select("near", "t0", "t1", "node", "shingles")
     linked = components(cut(tiled.mapInArrow(verify, "a long, b long")))
-    groups = rows.join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = rows.join(linked.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     return _take(docs, _firsts(groups.select(*ROW, "root"), "root"))

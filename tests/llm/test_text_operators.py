@@ -465,3 +465,18 @@ def test_bands_miss_few_pairs():
 
 def test_queries_are_named():
     assert len(queries.QUERIES) == 10 and all(re.match(r"op\d+_", n) for n in queries.QUERIES)
+
+
+def test_no_join_gathers_a_growing_table_in_the_driver(spark, monkeypatch):
+    """Exploded keys count as small as the table they come from, so Spark would broadcast them."""
+    plans, cut = [], simhash.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString() + df._jdf.queryExecution().sparkPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(simhash, "cut", seen)
+    monkeypatch.setattr("repolith.llm.graph.cut", seen)
+    found = simhash.near_duplicates(docs(spark, near_copies()))
+    plans.append(found._jdf.queryExecution().sparkPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("BroadcastHashJoin" in p for p in plans)
