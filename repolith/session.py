@@ -48,8 +48,17 @@ def spread(files: DataFrame) -> DataFrame:
 PART_BYTES, UNKNOWN = 2 << 20, 1 << 34
 
 
+def _size(rows: DataFrame) -> float:
+    return float(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def parts_of(*tables: DataFrame) -> int:
+    """Parts for a shuffle of what comes from these tables: one for each PART_BYTES of them, as many as the session has at least, 16 times that if their size isn't known."""
+    size, least = sum(map(_size, tables)), int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(math.ceil(size / PART_BYTES), least) if size < 1 << 60 else 16 * least
+
+
 def dealt(rows: DataFrame, *by: str) -> DataFrame:
     """Rows dealt by key to parts whose number grows with the input, so that what groups them by these keys or more holds no more at a larger size."""
-    size = min(float(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), UNKNOWN)
-    parts = max(math.ceil(size / PART_BYTES), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(math.ceil(min(_size(rows), UNKNOWN) / PART_BYTES), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return rows.repartition(parts, *by)

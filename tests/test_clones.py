@@ -59,3 +59,23 @@ def test_clones_lie_in_spans(spark):
     spans = spark.createDataFrame([("m.py", 1, 3, "one"), ("m.py", 5, 7, "two")], "path string, start int, end int, name string")
     got = clones.duplication(files, spans, 12).collect()
     assert [(x.a_start, x.a_end, x.b_start, x.b_end, x.tokens, x.owner, x.reason) for x in got] == [(1, 3, 5, 7, 19, "two", None)]
+
+
+def test_runs_are_shuffled_once_in_stretches(spark):
+    """Few rows for many runs, batches of two stretches, and stretches longer than one holds."""
+    r = random.Random(6)
+    common = " ".join(r.choice("abcdefgh") + str(r.randrange(50)) for _ in range(60))
+    files = [(k, f"{' '.join(str(r.randrange(10**6)) for _ in range(40))}\n{common}\n" * (k % 3 + 1)) for k in range(30)]
+    files += [(50, "u v\n" * 900), (51, "u v " * 700)]
+    frame = spark.createDataFrame(files, "path long, text string").repartition(3)
+    stretches = clones.token_runs(frame, 12)
+    runs = sum(max(0, len(clones.TOKEN.findall(t)) - 11) for _, t in files)
+    assert stretches.selectExpr("sum(length(hashes)) / 8").first()[0] == runs and stretches.count() < runs / 2
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    try:
+        pairs = clones.clone_pairs(frame, 12)
+        assert pairs._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 2
+        assert sorted(tuple(x) for x in pairs.collect()) == plain_pairs(files, 12)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
