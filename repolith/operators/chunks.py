@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from repolith.operators.graph import shortest_depths
-from repolith.session import cut
+from repolith.session import parts_of
 
 
 def tile(starts: DataFrame, by: list[str], start: str, total: Column) -> DataFrame:
@@ -26,43 +28,32 @@ def pack(rows: DataFrame, by: list[str], order: str, tokens: str, lines: str, cl
 
     A chunk closes before the item that would take it over either budget, and after an
     item for which ``closes`` holds; an item that is over a budget by itself has a chunk
-    of its own.  For each item, the start of the chunk after one that begins with it is
-    looked up in running sums; which items do begin chunks is settled by doubling these
-    jumps, so the work grows with the items, not with the length of a chunk.  ``order``
-    differs within a key, counts aren't negative (null: 0), keys aren't null.
+    of its own.  One shuffle deals the keys to parts whose number grows with the input;
+    each part is then packed row by row in sorted order, so a task holds three numbers,
+    however long a key or a chunk is.  ``order`` differs within a key, counts aren't
+    negative (null: 0), keys aren't null.
     """
     n = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0))
     items = rows.select(*by, order, n(tokens).alias("__n"), n(lines).alias("__m"), F.coalesce(closes, F.lit(False)).alias("__close"))
-    items = items.withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
-    until = Window.partitionBy(*by).orderBy("__k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    items = cut(items.withColumns({"__t": F.sum("__n").over(until), "__l": F.sum("__m").over(until)}))
+    items = items.repartition(parts_of(rows), *by).withColumn("__k", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
 
-    def over(total: str, own: str, budget: int, name: str) -> DataFrame:
-        """(by, __k, name): the first item whose running sum is above what the chunk that begins at __k can hold."""
-        none = F.lit(None).cast("int")
-        asks = items.select(*by, (F.col(total) - F.col(own) + budget).alias("at"), F.lit(1).alias("kind"), F.col("__k").alias("ask"), none.alias("k"))
-        marks = items.select(*by, F.col(total).alias("at"), F.lit(0), none, F.col("__k"))
-        above = Window.partitionBy(*by).orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, -1)
-        return asks.union(marks).withColumn(name, F.min("k").over(above)).filter("kind = 1").select(*by, F.col("ask").alias("__k"), name)
+    def run(batches):
+        chunk = size = length = 0
+        shut = False
+        for b in batches:
+            out, at = [], b.num_columns - 4
+            for x, y, close, k in zip(*(b.column(i).to_pylist() for i in range(at, at + 4))):
+                size, length = size + x, length + y
+                if k == 1:
+                    chunk, size, length = 1, x, y
+                elif shut or size > token_budget or length > line_budget:
+                    chunk, size, length = chunk + 1, x, y
+                shut = close
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([*b.columns[:at], pa.array(out, pa.int32())], names=[*b.schema.names[:at], "chunk"])
 
-    since = Window.partitionBy(*by).orderBy(F.desc("__k")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    forced = F.min(F.when(F.col("__close"), F.col("__k") + 1)).over(since)
-    jumps = items.select(*by, order, "__k", forced.alias("__f"))
-    for part in (over("__t", "__n", token_budget, "__a"), over("__l", "__m", line_budget, "__b")):
-        jumps = jumps.join(part, [*by, "__k"])
-    end = F.lit((1 << 31) - 1)
-    jumps = jumps.select(*by, order, "__k", F.greatest(F.col("__k") + 1, F.least("__a", "__b", "__f", end)).alias("__to"))
-    jumps = cut(jumps.withColumn("__to", F.when(F.col("__to") < end, F.col("__to"))))
-    most = jumps.agg(F.max("__k")).first()[0] or 1
-    starts, step = jumps.filter("__k = 1").select(*by, "__k"), jumps.filter("__to IS NOT NULL").select(*by, "__k", "__to")
-    for _ in range((most - 1).bit_length()):
-        starts = starts.union(starts.join(step, [*by, "__k"]).select(*by, F.col("__to").alias("__k")))
-        onward = step.select(*by, F.col("__k").alias("__to"), F.col("__to").alias("__then"))
-        step = cut(step.join(onward, [*by, "__to"]).select(*by, "__k", F.col("__then").alias("__to")))
-        starts = cut(starts)
-    new = starts.withColumn("__new", F.lit(1))
-    count = F.sum(F.coalesce("__new", F.lit(0))).over(Window.partitionBy(*by).orderBy("__k"))
-    return jumps.join(new, [*by, "__k"], "left").withColumn("chunk", count).select(*by, order, F.col("chunk").cast("int"))
+    schema = T.StructType([*items.select(*by, order).schema.fields, T.StructField("chunk", T.IntegerType())])
+    return items.mapInArrow(run, schema)
 
 
 def entry_kind(task: Column, view: Column, method: Column, command: Column) -> Column:

@@ -270,6 +270,20 @@ def test_packing_closes_after_a_hint_and_before_a_budget(spark):
     assert got(packed, "at", "chunk") == [(1, 1), (2, 1), (3, 2), (4, 3), (5, 4), (6, 5), (7, 5), (8, 6)]
 
 
+def test_packing_shuffles_once(spark):
+    rows = [("f", k, k % 7, 1, k % 50 == 9) for k in range(3000)] + [("g", 1, 3, 1, False)]
+    frame = spark.createDataFrame(rows, "path string, at int, n int, m int, brk boolean")
+    packed = chunks.pack(frame, ["path"], "at", "n", "m", F.col("brk"), 200, 90)
+    assert packed._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+    want = [("f", k, c) for k, c in enumerate(plain_pack([x[2:] for x in rows[:-1]], 200, 90))] + [("g", 1, 1)]
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")  # a key over many batches
+    try:
+        assert got(packed, "path", "at", "chunk") == sorted(want, key=repr)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+
+
 # the session
 
 
