@@ -5,10 +5,15 @@ Starts and ends are whole numbers, inclusive.  Rows whose key or bounds are null
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from repolith.session import parts_of
 
 #: Places of a chunk, as a power of two: a window within a chunk, then one over the chunks of a key.
 CHUNK = 12
@@ -51,60 +56,68 @@ def overlapping(items: DataFrame, ranges: DataFrame, on: list[str]) -> DataFrame
     return items.join(_meets(items, ranges, on), [*on, "start", "end"], "left_semi")
 
 
-def levels(*frames: DataFrame) -> int:
-    """Bits of the greatest end, one number from each of the tables."""
-    most = [f.agg(F.max(F.col("end").cast("long"))).first()[0] or 0 for f in frames]
-    return max(1, max(0, *most).bit_length())
-
-
-def _from(place: Column, bits: int) -> Column:
-    """Dyadic blocks (level, index) that together are all places from this one on: itself, and each right sibling of an ancestor."""
-    block = lambda k, i: F.struct(F.lit(k).alias("level"), i.alias("block"))
-    siblings = [F.when(F.shiftright(place, k).bitwiseAND(F.lit(1)) == 0, block(k, F.shiftright(place, k) + 1)) for k in range(bits)]
-    return F.array_compact(F.array(block(-1, place), *siblings))
-
-
-def _within(place: Column, bits: int) -> Column:
-    """The blocks of ``_from`` that can hold a place: itself, and each ancestor that is a right sibling."""
-    block = lambda k, i: F.struct(F.lit(k).alias("level"), i.alias("block"))
-    own = [F.when(F.shiftright(place, k).bitwiseAND(F.lit(1)) == 1, block(k, F.shiftright(place, k))) for k in range(bits)]
-    return F.array_compact(F.array(block(-1, place), *own))
+def _swept(items: DataFrame, spans: DataFrame, on: list[str], name: str) -> DataFrame:
+    """Items with the name of the innermost span that holds them, and ``reason`` as ``placed`` has it, by one shuffle and one sweep of each key.
 
-
-def _holders(asked: DataFrame, spans: DataFrame, on: list[str], name: str) -> DataFrame:
-    """(on, start, end, held by): a span holds an item if it starts no later and its end lies in one of the blocks from the item's end on."""
-    a = _known(asked, [*on, "start", "end"]).select(*on, F.col("start").cast("long"), F.col("end").cast("long")).distinct()
-    s = _known(spans, [*on, "start", "end"]).filter("start >= 0 AND end >= start")
-    bits = levels(a, s)
-    best = F.struct(F.col("start").cast("long").alias("s"), (-F.col("end").cast("long")).alias("e"), F.col(name).alias("name"))
-    marks = s.select(*on, F.col("start").cast("long").alias("at"), best.alias("value"), F.explode(_within(F.col("end").cast("long"), bits)).alias("x"))
-    asks = a.select(*on, "start", "end", F.explode(_from(F.col("end"), bits)).alias("x")).select(*on, "start", "end", "x.*")
-    keys = [*on, "level", "block"]
-    there = asks.join(marks.select(*on, "x.*").distinct(), keys, "left_semi")
-    found = highest_until(there.select(*keys, F.col("start").alias("at")), marks.select(*on, "x.*", "at", "value"), keys)
-    found = there.join(found.withColumnRenamed("at", "start"), [*keys, "start"])
-    return found.groupBy(*on, "start", "end").agg(F.max("best").alias("best")).filter("best IS NOT NULL").select(
-        *on, "start", "end", F.col("best.name").alias("__name"), F.lit(True).alias("__held")
-    )
+    Spans are taken by their start.  Of those met so far, only the ones that a later
+    span doesn't outlast can hold anything better: they lie within each other, the last
+    that reaches an item's end is its innermost, and a task holds no more than these.
+    What starts after an item, but not after its end, is found from the other side.
+    """
+    first, last = F.col("start").cast("long"), F.col("end").cast("long")
+    kind = spans.select(name).schema[0].dataType
+    ranges = _known(spans, [*on, "start", "end"]).select(
+        *on, F.least(first, last).alias("__at"), F.lit(0).alias("__kind"), (-last).alias("__far"), F.col(name).alias("__name"),
+        first.alias("__start"), last.alias("__end"), F.lit(None).cast(items.schema).alias("__item")
+    )
+    asks = items.select(
+        *on, first.alias("__at"), F.lit(1).alias("__kind"), last.alias("__far"), F.lit(None).cast(kind).alias("__name"),
+        first.alias("__start"), last.alias("__end"), F.struct(*[F.col(c) for c in items.columns]).alias("__item")
+    )
+    key = Window.partitionBy(*on)
+    back = key.orderBy(F.desc("__at"), "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = ranges.union(asks).repartition(parts_of(items, spans), *on)
+    rows = rows.withColumn("__next", F.min(F.when(F.col("__kind") == 0, F.col("__start"))).over(back))
+    rows = rows.withColumn("__k", F.row_number().over(key.orderBy("__at", "__kind", "__far", "__name")))
+
+    def run(batches):
+        ends, names, furthest = [], [], None  # ends: negative, so that they ascend
+        for b in batches:
+            took, owners, reasons = [], [], []
+            column = lambda c: b.column(b.schema.get_field_index(c)).to_pylist()  # noqa: B023, E731
+            known = b.column(b.schema.get_field_index("__name"))
+            for i, (k, span, s, e, after) in enumerate(zip(*map(column, ("__k", "__kind", "__start", "__end", "__next")))):
+                if k == 1:
+                    ends, names, furthest = [], [], None
+                if span == 0:
+                    if e >= s:
+                        at = bisect_left(ends, -e)
+                        del ends[at:], names[at:]
+                        ends.append(-e)
+                        names.append(known[i])
+                        furthest = e if furthest is None else max(furthest, e)
+                    continue
+                took.append(i)
+                unknown = s is None or e is None
+                at = 0 if unknown else bisect_right(ends, -e)
+                owners.append(names[at - 1].as_py() if at else None)
+                meets = not unknown and (furthest is not None and furthest >= s or after is not None and after <= e)
+                reasons.append(None if at else "crosses" if meets else "outside")
+            there = pa.Table.from_batches([b]).select(["__item"]).combine_chunks().column(0).combine_chunks().take(pa.array(took, pa.int64()))
+            yield pa.RecordBatch.from_arrays([there, pa.array(owners, known.type), pa.array(reasons, pa.string())], names=["item", "owner", "reason"])
+
+    schema = T.StructType([T.StructField("item", items.schema), T.StructField("owner", kind), T.StructField("reason", T.StringType())])
+    return rows.mapInArrow(run, schema).select("item.*", F.col("owner").alias(name), "reason")
 
 
 def containing(items: DataFrame, spans: DataFrame, on: list[str], name: str) -> DataFrame:
-    """The innermost span (latest start, then earliest end, then greatest name) that holds each item [start, end]; null where none.
-
-    Every end stands for the dyadic blocks around it, every item for those from its end
-    on: a logarithmic number of rows for each, however many spans lie over each other.
-    """
-    found = _holders(items, spans, on, name).withColumnRenamed("__name", name).drop("__held")
-    return items.join(found, [*on, "start", "end"], "left").select(*items.columns, name)
+    """The innermost span (latest start, then earliest end, then greatest name) that holds each item [start, end]; null where none."""
+    return _swept(items, spans, on, name).drop("reason")
 
 
 def placed(items: DataFrame, spans: DataFrame, on: list[str], name: str) -> DataFrame:
     """``containing`` with ``reason``: null where a span holds the item, ``crosses`` where one only meets it, else ``outside``."""
-    held = _holders(items, spans, on, name).withColumnRenamed("__name", name)
-    met = _meets(items, spans, on).withColumn("__met", F.lit(True))
-    rows = items.join(held, [*on, "start", "end"], "left").join(met, [*on, "start", "end"], "left")
-    reason = F.when(F.col("__held").isNull(), F.when(F.col("__met"), "crosses").otherwise("outside"))
-    return rows.select(*items.columns, name, reason.alias("reason"))
+    return _swept(items, spans, on, name)
 
 
 def gaps(spans: DataFrame, by: list[str], totals: DataFrame | None = None, total: str = "total") -> DataFrame:

@@ -194,6 +194,17 @@ def test_many_spans_of_one_file_are_not_paired(spark):
     assert intervals.containing(items, spans, ["path"], "name").filter("name = start").count() == n
 
 
+def test_spans_and_items_are_shuffled_once(spark):
+    spans = spark.createDataFrame([("f", 1, 9, "a"), ("f", 4, 5, "b"), ("f", 7, 6, "empty"), ("g", 3, 3, None)], "path string, start int, end int, name string")
+    items = spark.createDataFrame([("f", 4, 5), ("f", 4, 6), ("f", 0, 1), ("f", 10, 12), ("g", 3, 3), ("g", 2, 4), ("h", 1, 1)], "path string, start int, end int")
+    placed = intervals.placed(items, spans, ["path"], "name")
+    assert placed._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+    assert got(placed, "path", "start", "end", "name", "reason") == sorted([
+        ("f", 4, 5, "b", None), ("f", 4, 6, "a", None), ("f", 0, 1, None, "crosses"), ("f", 10, 12, None, "outside"),
+        ("g", 3, 3, None, None), ("g", 2, 4, None, "crosses"), ("h", 1, 1, None, "outside"),
+    ], key=repr)
+
+
 def test_gaps_and_edges(spark):
     spans = spark.createDataFrame([("f", 3, 5), ("f", 4, 9), ("f", 12, 12), ("g", 1, 20), ("i", 2, 30)], "path string, start int, end int")
     totals = spark.createDataFrame([("f", 15), ("g", 20), ("h", 4), ("e", 0), ("i", 7)], "path string, total int")
