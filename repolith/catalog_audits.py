@@ -622,7 +622,7 @@ def resolved_calls(spark, d):
     defs = part.select(F.concat_ws(".", "p_brand", name).alias("qualified_name"), name.alias("name"), file.alias("file"), c("p_brand").alias("parent_class"))
     n, far = c("l_linenumber") % 3, named(c("l_partkey") + c("l_suppkey"))
     called = F.when(n == 0, F.concat(F.lit("x."), far)).when(n == 1, named(c("l_partkey"))).otherwise(F.concat_ws(".", "p_brand", far))
-    edges = table(spark, d, "lineitem").join(part, c("l_partkey") == c("p_partkey")).select(
+    edges = dealt(table(spark, d, "lineitem"), "l_partkey").join(part, c("l_partkey") == c("p_partkey")).select(
         F.concat(file, F.lit("::"), F.concat_ws(".", "p_brand", name)).alias("caller"), called.alias("callee_name"),
         F.when(n == 1, "self").otherwise("name").alias("call_style"), file.alias("caller_file"), c("p_brand").alias("caller_class")
     )

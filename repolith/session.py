@@ -52,10 +52,16 @@ def _size(rows: DataFrame) -> float:
     return float(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def parts_of(*tables: DataFrame) -> int:
-    """Parts for a shuffle of what comes from these tables: one for each PART_BYTES of them, as many as the session has at least, 16 times that if their size isn't known."""
-    size, least = sum(map(_size, tables)), int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(math.ceil(size / PART_BYTES), least) if size < 1 << 60 else 16 * least
+def parts_of(*tables: DataFrame, each: int = PART_BYTES) -> int:
+    """Parts for a shuffle of what comes from these tables: one for each ``each`` bytes that they read, as many as the session has at least.
+
+    What is read counts, not what Spark takes a join to give, which is the product of both
+    sides.  If that size isn't known, there are 16 times as many as the session has.
+    """
+    leaves = [t._jdf.queryExecution().optimizedPlan().collectLeaves() for t in tables]
+    size = sum(float(str(x.apply(k).stats().sizeInBytes())) for x in leaves for k in range(x.size()))
+    least = int(tables[0].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(math.ceil(size / each), least) if size < 1 << 60 else 16 * least
 
 
 def dealt(rows: DataFrame, *by: str) -> DataFrame:

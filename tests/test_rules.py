@@ -2,12 +2,14 @@
 
 import os
 import random
+import re
 import subprocess
 import sys
 
 import pytest
 from pyspark.sql import functions as F
 
+from repolith import session
 from repolith.operators import calls, chunks, facts, intervals, ledgers, matching, policy
 from repolith.operators import relational as rel
 from repolith.plans import audits, reports
@@ -311,3 +313,31 @@ assert facts.definitions(files).count() == 1 and symbols.extract_python(files).c
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120, stderr=subprocess.DEVNULL)
+
+
+# parts that grow with the input
+
+
+def widths(df):
+    """Parts of the shuffles that the plan asks for by number."""
+    return [int(n) for n in re.findall(r"hashpartitioning\([^()]*, (\d+)\), REPARTITION_BY_NUM", df._jdf.queryExecution().executedPlan().toString())]
+
+
+def test_calls_and_chains_are_dealt_by_input_size(spark, tmp_path, monkeypatch):
+    edges = [(f"f{k % 5}.py::C.m{k}", f"m{k % 9}", "self" if k % 3 else "name", f"f{k % 5}.py", "C") for k in range(40)]
+    defs = [(f"C.m{k}", f"m{k}", f"f{k % 5}.py", "C") for k in range(12)]
+    frames = {
+        "edges": spark.createDataFrame(edges, "caller string, callee_name string, call_style string, caller_file string, caller_class string"),
+        "defs": spark.createDataFrame(defs, "qualified_name string, name string, file string, parent_class string"),
+        "steps": spark.createDataFrame([(k, k + 1 + k % 3, k % 2) for k in range(30)], "src long, dst long, ordinal long"),
+        "starts": spark.range(30).withColumnRenamed("id", "node"),
+    }
+    for name, frame in frames.items():
+        frame.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+    t = {name: spark.read.parquet(f"{tmp_path}/{name}") for name in frames}
+    few = sorted(map(tuple, calls.resolve_calls(t["edges"], t["defs"]).collect())), sorted(map(tuple, calls.chains(t["steps"], t["starts"], 3).collect()))
+    monkeypatch.setattr(session.parts_of, "__kwdefaults__", {"each": 128})
+    monkeypatch.setattr(calls, "PART_BYTES", 128 * 16)
+    found, chained = calls.resolve_calls(t["edges"], t["defs"]), calls.chains(t["steps"], t["starts"], 3)
+    assert len(widths(found)) >= 3 and min(widths(found)) > 10 and len(widths(chained)) >= 4 and min(widths(chained)) > 10
+    assert (sorted(map(tuple, found.collect())), sorted(map(tuple, chained.collect()))) == few and all(few)
