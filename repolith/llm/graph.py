@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +35,14 @@ def tiles(rows: DataFrame, keys: list[str], node: str, most: int) -> DataFrame:
 
 def runs(batches, keys: list[str]):
     """Yield a table for each run of rows with equal keys, over batch borders."""
+    for t, _ in pieces(batches, keys, math.inf):
+        yield t
+
+
+def pieces(batches, keys: list[str], most: float):
+    """(table, large) for each run of rows with equal keys; one of over ``most`` rows is large and comes in pieces, so that it is never held whole."""
     held: list[pa.RecordBatch] = []
+    last, n, large = None, 0, False
     for b in batches:
         if not b.num_rows:
             continue
@@ -42,16 +51,22 @@ def runs(batches, keys: list[str]):
             at = b.schema.get_field_index(k)
             c = b.column(at).to_numpy(zero_copy_only=False)
             new[1:] |= c[1:] != c[:-1]
-            if held:
-                new[0] |= held[-1].column(at)[held[-1].num_rows - 1].as_py() != c[0].item()
+            if last is not None:
+                new[0] |= last.column(at)[last.num_rows - 1].as_py() != c[0].item()
+        last = b
         borders = sorted({0, b.num_rows, *np.flatnonzero(new).tolist()})
         for s, e in zip(borders, borders[1:]):
-            if new[s] and held:
-                yield pa.Table.from_batches(held)
-                held = []
+            if new[s]:
+                if held:
+                    yield pa.Table.from_batches(held), large
+                held, n, large = [], 0, False
             held.append(b.slice(s, e - s))
+            n += e - s
+            if n > most:
+                yield pa.Table.from_batches(held), True
+                held, n, large = [], 0, True
     if held:
-        yield pa.Table.from_batches(held)
+        yield pa.Table.from_batches(held), large
 
 
 def least_labels(linked: np.ndarray) -> np.ndarray:

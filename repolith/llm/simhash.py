@@ -1,4 +1,4 @@
-"""Near-duplicates: SimHash with pigeonhole blocks and Hamming verification, and shingle similarity by MinHash bands and exact verification."""
+"""Near-duplicates by SimHash, blocks of fingerprints and Hamming verification; for shingle similarity the fingerprints are wider, and exact verification follows."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repolith.llm._common import cut, prepare, release
-from repolith.llm.graph import components, least_labels, runs, tiles
+from repolith.llm._common import U64, cut, mix, prepare, release
+from repolith.llm.graph import components, least_labels, pieces, runs, tiles
 
 #: Rows of a bucket that one tile's side holds; larger buckets are split.
 TILE = 2048
@@ -20,6 +20,8 @@ TILE = 2048
 BLOCK = 1 << 21
 #: Documents that one side of a tile holds where shingle sets are compared.
 SETS = 1024
+#: Bits of a wide fingerprint by which two documents are compared, and documents of unrelated texts that one block's bucket is meant to hold.
+SKETCH, BUCKET = 192, 1024
 #: What tells rows apart whose doc_id repeats or is null; rows that agree in these are copies of each other.
 ROW = ["__none", "__doc", "__h1", "__h2"]
 
@@ -185,22 +187,69 @@ def shingle_set(text: bytes, width: int, seed: int = 42) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]
 
 
-def band_plan(similarity: float, miss: float, hashes: int = 6) -> int:
-    """Bands of ``hashes`` MinHashes each, so that a pair at ``similarity`` shares none with probability ``miss`` at most."""
-    return math.ceil(math.log(miss) / math.log1p(-(similarity**hashes))) if similarity < 1 else 1
+def differing(similarity: float) -> float:
+    """The probability, at most, that a SimHash bit differs between two shingle sets at ``similarity`` or more.
+
+    The cosine of such sets is 2s / (1 + s) at least, which gives the angle by pi for
+    long sums of signs.  In short ones the middle weighs more: n against n + 1
+    shingles differ up to sqrt(pi / 2) times as often.
+    """
+    return min(0.5, math.sqrt(math.pi / 2) * math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi)
+
+
+def band_bits(count: int) -> int:
+    """Bits of a block, so that a bucket of ``count`` unrelated documents has about BUCKET of them."""
+    return max(4, math.ceil(math.log2(count / BUCKET + 1)))
+
+
+def band_plan(similarity: float, miss: float, bits: int = 6) -> int:
+    """Blocks of ``bits`` bits each, so that a pair at ``similarity`` agrees on none with probability ``miss`` at most."""
+    return math.ceil(math.log(miss) / math.log1p(-((1 - differing(similarity)) ** bits))) if similarity < 1 else 1
+
+
+def hamming_bound(similarity: float, miss: float) -> int:
+    """Differing bits of SKETCH that a pair at ``similarity`` passes with probability ``miss`` at most."""
+    p, left = differing(similarity), 1.0
+    for d in range(SKETCH + 1):
+        left -= math.comb(SKETCH, d) * p**d * (1 - p) ** (SKETCH - d)
+        if left <= miss:
+            return d
+    return SKETCH
 
 
-def bands(shingles: np.ndarray, number: int, hashes: int = 6, seed: int = 3) -> np.ndarray:
-    """A key for each band: the MinHashes of its ``hashes`` functions, and its number, hashed together."""
-    rnd = np.random.default_rng(seed)
-    odd, salt = (rnd.integers(0, 1 << 63, number * hashes, np.uint64) for _ in (0, 1))
-    odd = odd * np.uint64(2) + np.uint64(1)
-    least = np.full(number * hashes, np.uint64((1 << 64) - 1))
-    for at in range(0, len(shingles), 1024):
-        x = (shingles[at : at + 1024, None] ^ salt) * odd
-        np.minimum(least, (x ^ (x >> np.uint64(32))).min(axis=0), out=least)
-    rows = least.reshape(number, hashes)
-    return np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64)
+def signs(shingles: np.ndarray, width: int) -> np.ndarray:
+    """SimHash of a shingle set in ``width`` bits: each is 1 if set in over half of the shingles' hashes, which are drawn out to that length."""
+    salt = np.arange(1, -(-width // 64) + 1, dtype=U64) * U64(0x9E3779B97F4A7C15)
+    ones = np.zeros(64 * len(salt), np.int64)
+    for at in range(0, len(shingles), 255):  # as many as a byte counts
+        h = mix(shingles[at : at + 255, None] + salt)
+        ones += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return (2 * ones > len(shingles))[:width]
+
+
+def wide_fingerprint(shingles: np.ndarray, number: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the first SKETCH bits, and a key for each of ``number`` blocks of ``bits`` bits after them: the block's number and bits."""
+    up = signs(shingles, SKETCH + number * bits)
+    blocks = up[SKETCH:].reshape(number, bits) @ (1 << np.arange(bits))
+    return np.packbits(up[:SKETCH], bitorder="little").view(np.int64), (np.arange(number) << bits) + blocks
+
+
+def bands(shingles: np.ndarray, number: int, bits: int = 6) -> np.ndarray:
+    """The keys of a set's blocks; sets that share one are compared."""
+    return wide_fingerprint(shingles, number, bits)[1]
+
+
+def near_forest(node: np.ndarray, sketch: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): a spanning forest of the nodes whose sketches (a row for each word) differ in ``most`` bits or fewer."""
+    near = np.zeros((len(node), len(node)), bool)
+    for at in range(0, len(node), 256):
+        far = sum(np.bitwise_count(w[at : at + 256, None] ^ w) for w in sketch)
+        near[at : at + 256] = far <= most
+    np.fill_diagonal(near, False)
+    some = np.flatnonzero(near.any(axis=1))
+    label = least_labels(near[np.ix_(some, some)])
+    moved = np.flatnonzero(label != np.arange(len(some)))
+    return node[some[moved]], node[some[label[moved]]]
 
 
 def similar_labels(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -234,31 +283,58 @@ def similar_labels(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 def keep_one_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5, miss: float = 0.0005) -> DataFrame:
     """One row of each group of documents linked by Jaccard similarity of their sets of ``width``-word shingles.
 
-    A pair at ``similarity`` is met with probability 1 - ``miss`` at least, a more
-    similar one more surely: the bands that two texts share make candidate groups,
-    and within a candidate group every pair's sets are compared exactly, in tiles.
-    Texts of equal sets are one node, those without words too.  The row kept is the
-    least of its group by doc_id (null last), ties by a 128-bit hash of the text;
-    rows are told apart by both, so null or repeated ids lose nothing.
+    Documents whose wide SimHashes agree on a block and differ in no more bits than a
+    pair at ``similarity`` does are linked into candidate groups; within a candidate
+    group every pair's sets are compared exactly, in tiles.  A pair at ``similarity``
+    agrees on no block or differs in more bits with probability ``miss`` at most, a
+    more similar one more rarely.  Texts of equal sets are one node, those without
+    words too.  The row kept is the least of its group by doc_id (null last), ties by
+    a 128-bit hash of the text; rows are told apart by both, so null or repeated ids
+    lose nothing.
     """
     prepare(docs.sparkSession)
-    number = band_plan(similarity, miss)
+    bits = band_bits(docs.count())
+    number, most = band_plan(similarity, 0.9 * miss, bits), hamming_bound(similarity, 0.1 * miss)
+    words = [f"s{k}" for k in range(SKETCH // 64)]
 
     def sketch(batches):
         for b in batches:
-            node, keys, known = [], [], {}
+            node, heads, keys, known = [], [], [], {}
             for t in b.column(len(ROW)).to_pylist():
                 if t not in known:
                     s = shingle_set(t, width)
-                    known[t] = xxhash.xxh64_intdigest(s.tobytes()), bands(s, number)
-                node.append(known[t][0])
-                keys.append(known[t][1])
+                    known[t] = xxhash.xxh64_intdigest(s.tobytes()), *wide_fingerprint(s, number, bits)
+                for x, to in zip(known[t], (node, heads, keys)):
+                    to.append(x)
+            heads = np.array(heads, np.int64).reshape(-1, len(words))
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[: len(ROW)], pa.array(np.array(node, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))],
-                names=[*ROW, "node", "keys"]
+                [
+                    *b.columns[: len(ROW)], pa.array(np.array(node, np.uint64).view(np.int64)),
+                    *[pa.array(np.ascontiguousarray(x)) for x in heads.T], pa.array(keys, pa.list_(pa.int64()))
+                ],
+                names=[*ROW, "node", *words, "keys"]
             )
         release()
 
+    def forest(t):
+        heads = np.stack([t.column(w).to_numpy().view(np.uint64) for w in words])
+        return [pa.array(x) for x in near_forest(t.column("node").to_numpy(), heads, most)]
+
+    def meet(batches):
+        """Links of a bucket have no key; rows of a large one pass, without b."""
+        for t, large in pieces(batches, ["key"], TILE):
+            if large:
+                a, b, rest = t.column("node"), pa.nulls(t.num_rows, pa.int64()), [t.column(c) for c in ("key", *words)]
+            else:
+                a, b = forest(t)
+                rest = [pa.nulls(len(a), pa.int64())] * (1 + len(words))
+            if len(a):
+                yield from pa.table([a, b, *rest], names=["a", "b", "key", *words]).to_batches()
+
+    def meet_in_tile(batches):
+        for t in runs(batches, ["key", "t0", "t1"]):
+            yield pa.RecordBatch.from_arrays(forest(t), names=["a", "b"])
+
     def sets(batches):
         for b in batches:
             found = [shingle_set(t, width).view(np.int64) for t in b.column(2).to_pylist()]
@@ -274,10 +350,13 @@ def keep_one_similar(docs: DataFrame, similarity: float = 0.8, width: int = 5, m
         release()
 
     kinds = "__none boolean, __doc long, __h1 long, __h2 long"
-    rows = cut(_with_row(docs).select(*ROW, "__text").mapInArrow(sketch, f"{kinds}, node long, keys array<long>"))
-    keyed = rows.select("node", "keys").dropDuplicates(["node"]).select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least != most")
-    stars = keyed.join(shared.hint("merge"), "key").filter("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    longs = ", ".join(f"{w} long" for w in words)
+    rows = cut(_with_row(docs).select(*ROW, "__text").mapInArrow(sketch, f"{kinds}, node long, {longs}, keys array<long>"))
+    keyed = rows.select("node", *words, "keys").dropDuplicates(["node"]).select(F.explode("keys").alias("key"), "node", *words)
+    met = cut(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(meet, f"a long, b long, key long, {longs}"))
+    large = tiles(met.filter("b is null").select("key", F.col("a").alias("node"), *words), ["key"], "node", TILE)
+    large = large.select("key", "t0", "t1", "node", *words).mapInArrow(meet_in_tile, "a long, b long")
+    stars = met.filter("b is not null").select("a", "b").union(large)
     near = components(cut(stars)).withColumnRenamed("root", "near")
     near = near.union(near.select(F.col("near").alias("node"), "near").distinct())
     ones = cut(_firsts(rows.join(near.hint("merge"), "node", "left_semi"), "node").join(near.hint("merge"), "node"))

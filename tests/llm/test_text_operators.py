@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -15,7 +16,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from repolith.llm import bpe, langid, licenses, lines, mixing, queries, simhash, substrings
+from repolith.llm import bpe, graph, langid, licenses, lines, mixing, queries, simhash, substrings
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, doc string, tie string, body string, node string, size string"
 RND = random.Random(5)
@@ -463,6 +464,72 @@ def test_bands_miss_few_pairs():
     assert met >= n - 3
 
 
+def test_near_dedup_compares_blocks_of_simhash():
+    r, number, bits = random.Random(10), 12, 7
+    x = np.unique(np.array([r.getrandbits(64) for _ in range(301)], np.uint64))
+    step, low = 0x9E3779B97F4A7C15, (1 << 64) - 1
+
+    def drawn(h, k):  # splitmix64
+        h = (h + (k + 1) * step) & low
+        h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & low
+        h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & low
+        return h ^ (h >> 31)
+
+    width = simhash.SKETCH + number * bits
+    up = [sum(drawn(int(h), k // 64) >> k % 64 & 1 for h in x) * 2 > len(x) for k in range(width)]
+    head, keys = simhash.wide_fingerprint(x, number, bits)
+    assert [int(w) >> k & 1 for w in head.view(np.uint64) for k in range(64)] == up[: simhash.SKETCH]
+    blocks = [up[at : at + bits] for at in range(simhash.SKETCH, width, bits)]
+    assert keys.tolist() == [(k << bits) + sum(b << i for i, b in enumerate(x)) for k, x in enumerate(blocks)]
+    assert (simhash.bands(x, number, bits) == keys).all()
+
+
+@pytest.mark.parametrize("common, a, b", [(4, 0, 1), (12, 0, 3), (12, 1, 2), (16, 2, 2), (80, 10, 10), (80, 0, 20)])
+def test_blocks_and_hamming_bound_miss_few_pairs(common, a, b):
+    r, missed, n = random.Random(11), 0, 400
+    number, most = simhash.band_plan(0.8, 0.0005 * 0.9, 9), simhash.hamming_bound(0.8, 0.0005 * 0.1)
+    for _ in range(n):
+        both = [r.getrandbits(64) for _ in range(common)]
+        x, y = (np.array(both + [r.getrandbits(64) for _ in range(k)], np.uint64) for k in (a, b))
+        (s, k), (t, m) = (simhash.wide_fingerprint(z, number, 9) for z in (x, y))
+        missed += not (k == m).any() or int(np.bitwise_count(s.view(np.uint64) ^ t.view(np.uint64)).sum()) > most
+    assert missed <= 2
+
+
+def test_unrelated_sets_differ_in_more_bits():
+    r, most = np.random.default_rng(12), simhash.hamming_bound(0.8, 0.00005)
+    heads = [simhash.wide_fingerprint(r.integers(0, 1 << 63, 100, np.uint64), 1, 4)[0] for _ in range(300)]
+    a, b = simhash.near_forest(np.arange(302), np.stack([*heads, heads[7], heads[7]]).view(np.uint64).T, most)
+    assert sorted(zip(a.tolist(), b.tolist())) == [(300, 7), (301, 7)]
+
+
+@pytest.mark.parametrize("tile, bucket", [(2, 1024), (8, 1024), (2048, 1)])
+def test_near_dedup_splits_large_buckets(spark, monkeypatch, tile, bucket):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    rows = near_copies()
+    least = {}
+    for (i, _), t in zip(rows, groups_by_similarity(rows)):
+        least[t] = min(i, least.get(t, i))
+    kept = corpus_pipeline.near_dedup(spark, docs(spark, rows), None)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(least.values())
+
+
+def test_pieces_of_runs():
+    r, sizes = random.Random(13), [1, 5, 3, 40, 2, 11, 7, 1]
+    keys = [k for k, n in enumerate(sizes) for _ in range(n)]
+    batches, at = [], 0
+    while at < len(keys):
+        n = r.randint(0, 6)
+        batches.append(pa.record_batch([pa.array(keys[at : at + n], pa.int64()), pa.array(range(at, at + len(keys[at : at + n])), pa.int64())], names=["key", "row"]))
+        at += n
+    got = list(graph.pieces(batches, ["key"], 10))
+    assert [x for t, _ in got for x in t.column("row").to_pylist()] == list(range(len(keys)))
+    assert all(len(set(t.column("key").to_pylist())) == 1 and t.num_rows <= 16 for t, _ in got)
+    assert all(large == (sizes[t.column("key")[0].as_py()] > 10) for t, large in got)
+    assert [t.num_rows for t, large in got if not large] == [n for n in sizes if n <= 10]
+
+
 def test_queries_are_named():
     assert len(queries.QUERIES) == 10 and all(re.match(r"op\d+_", n) for n in queries.QUERIES)
 
